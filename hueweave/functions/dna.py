@@ -67,11 +67,17 @@ def kmer_mask(k: int) -> int:
     return (1 << 2 * k) - 1
 
 
+# Minimizer length by the widest k that uses it.
+MINIMIZER_STEPS = {15: 9, 21: 10, 30: 11, 37: 12, 42: 13, 64: 14}
+
+
 def default_minimizer(k: int) -> int:
-    """A minimizer length for k: about half of k and less for wide k; the least valid k is 4."""
+    """The minimizer length for k; up to 13 it is k-4, or half of k where that is more. The least k with one is 4."""
     if k < 4:
         raise ValueError("k under 4 needs an explicit minimizer length")
-    return max(2, min(k - 1, k // 2 + 1 if k < 20 else k // 3 + 2))
+    if k <= 13:
+        return max(k // 2, k - 4)
+    return next(m for top, m in MINIMIZER_STEPS.items() if k <= top)
 
 
 def minimizer(kmer: Column, m: int) -> Column:
