@@ -1,9 +1,246 @@
-"""Queries over the driver tables and their SQL."""
+"""Queries over the driver tables, and the SQL that gives the same results.
 
+The tables hold no sequences, so nucleotide strings are derived from ``documents``: each letter maps to a
+base, any other character breaks a run, and a document's source is its color.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from hueweave.functions.dna import acgt_runs, canonical, kmers, minimizer, pack
+from hueweave.operators import colors, graph
+from hueweave.plans.build import BuildConfig, Graph, build_graph
+from hueweave.runtime import materialize
+
+K, M, BUCKETS = 21, 10, 64
+LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz ", "ACGTACGTACGTACGTACGTACGTACA"
+N_COLORS = 20
+
+
+def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", F.expr("cast(substring(source, 4) as int)").alias("color"), F.translate(F.lower("text"), LETTERS, BASES).alias("seq"))
+
+
+def _kc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return colors.kmer_colors(sequences(spark, sf_dir), K)
+
+
+def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kc = materialize(_kc(spark, sf_dir), "kmer-colors")
+    return materialize(colors.encode_colors(kc, colors.color_sets(kc)), "nodes")
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> Graph:
+    return build_graph(sequences(spark, sf_dir), N_COLORS, BuildConfig(K))
+
+
+def _spell(c: str = "colors") -> F.Column:
+    return F.array_join(F.col(c).cast("array<string>"), ",")
+
+
+def acgt_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = sequences(spark, sf_dir).select("doc_id", F.explode(acgt_runs("seq")).alias("run")).where(F.length("run") >= K)
+    return runs.groupBy("doc_id").agg(F.count("*").alias("n_runs"), F.sum(F.length("run")).cast("long").alias("n_bases"))
+
+
+def canonical_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return colors.canonical_kmers(sequences(spark, sf_dir), K).groupBy("kmer").agg(F.count("*").alias("n"))
+
+
+def kmer_color_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kc(spark, sf_dir).select("kmer", _spell().alias("colors"))
+
+
+def kmers_per_color_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _kc(spark, sf_dir).groupBy("colors").agg(F.count("*").alias("n_kmers")).select(_spell().alias("colors"), "n_kmers")
+
+
+def color_set_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return colors.color_sets(_kc(spark, sf_dir)).select("cid", _spell().alias("colors"))
+
+
+def kmer_cids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nodes(spark, sf_dir)
+
+
+def color_set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = _kc(spark, sf_dir).groupBy("colors").agg(F.count("*").alias("n"))
+    return sets.groupBy(F.size("colors").cast("long").alias("size")).agg(F.count("*").alias("n_sets"), F.sum("n").alias("n_kmers"))
+
+
+def encoding_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = _kc(spark, sf_dir).select("colors").distinct()
+    return sets.groupBy(colors.regime(F.col("colors"), N_COLORS).alias("regime")).agg(F.count("*").alias("n_sets"), F.sum(F.size("colors")).alias("n_integers"))
+
+
+def color_set_complements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = _kc(spark, sf_dir).select("colors").distinct()
+    return sets.select(_spell().alias("colors"), F.array_join(colors.complement(F.col("colors"), N_COLORS).cast("array<string>"), ",").alias("lacks"))
+
+
+def kmers_per_color(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return colors.canonical_kmers(sequences(spark, sf_dir), K).distinct().groupBy(F.col("color").cast("long").alias("color")).agg(F.count("*").alias("n_kmers"))
+
+
+def junction_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.junctions(_nodes(spark, sf_dir), K).select("junction", "n_in", "n_out")
+
+
+def glue_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.glue_edges(_nodes(spark, sf_dir), K)
+
+
+def branching_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.junctions(_nodes(spark, sf_dir), K).where("n_in > 1 or n_out > 1").groupBy("n_in", "n_out").agg(F.count("*").alias("n"))
+
+
+def linked_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.linked_kmers(colors.canonical_kmers(sequences(spark, sf_dir), K).distinct())
+
+
+def packed_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return colors.canonical_kmers(sequences(spark, sf_dir), K).select("kmer").distinct().select("kmer", pack("kmer").alias("packed"))
+
+
+def minimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    km = colors.canonical_kmers(sequences(spark, sf_dir), K).select("kmer").distinct()
+    return km.groupBy(minimizer(F.col("kmer"), M).alias("minimizer")).agg(F.count("*").alias("n_kmers"))
+
+
+def bucket_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact percentiles of the number of k-mers in minimizer buckets (a bucket for each minimizer's first three bases)."""
+    km = colors.canonical_kmers(sequences(spark, sf_dir), K).select("kmer").distinct()
+    sizes = km.groupBy(F.substring(minimizer(F.col("kmer"), M), 1, 3).alias("b")).agg(F.count("*").alias("n"))
+    ps = {f"p{int(p * 1000)}": F.expr(f"percentile(n, {p})") for p in (0.5, 0.9, 0.99)}
+    return sizes.agg(F.count("*").alias("buckets"), F.max("n").alias("largest"), *[e.alias(n) for n, e in ps.items()])
+
+
+def largest_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minimizers(spark, sf_dir).orderBy(F.desc("n_kmers"), "minimizer").limit(10)
+
+
+def super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maximal stretches of a document's runs whose k-mers share a minimizer: (doc_id, run, start, minimizer, bases)."""
+    runs = sequences(spark, sf_dir).select("doc_id", F.posexplode(acgt_runs("seq")).alias("run", "text")).where(F.length("text") >= K)
+    km = runs.select("doc_id", "run", F.posexplode(kmers(F.col("text"), K)).alias("at", "x")).select("doc_id", "run", "at", minimizer(F.col("x"), M).alias("minimizer"))
+    w = W.partitionBy("doc_id", "run").orderBy("at")
+    new = F.when(F.col("minimizer") == F.lag("minimizer").over(w), 0).otherwise(1)
+    s = km.withColumn("new", new).withColumn("island", F.sum("new").over(w))
+    s = s.groupBy("doc_id", "run", "island", "minimizer").agg(F.min("at").alias("start"), F.count("*").alias("n"))
+    return s.select("doc_id", F.col("run").cast("long").alias("run"), F.col("start").cast("long").alias("start"), "minimizer", (F.col("n") + K - 1).alias("bases"))
+
+
+def color_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run-length coding of color sets along each run: how many stretches, and their k-mers, by document."""
+    nodes = _nodes(spark, sf_dir)
+    runs = sequences(spark, sf_dir).select("doc_id", F.posexplode(acgt_runs("seq")).alias("run", "text")).where(F.length("text") >= K)
+    km = runs.select("doc_id", "run", F.posexplode(kmers(F.col("text"), K)).alias("at", "x")).select("doc_id", "run", "at", canonical("x").alias("kmer")).join(nodes.hint("merge"), "kmer")
+    w = W.partitionBy("doc_id", "run").orderBy("at")
+    new = F.when(F.col("cid") == F.lag("cid").over(w), 0).otherwise(1)
+    return km.withColumn("new", new).groupBy("doc_id").agg(F.sum("new").alias("n_stretches"), F.count("*").alias("n_kmers"))
+
+
+def private_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set difference: the k-mers of color 0 that no other color holds."""
+    km = colors.canonical_kmers(sequences(spark, sf_dir), K)
+    return km.where("color = 0").select("kmer").exceptAll(km.where("color <> 0").select("kmer").distinct()).distinct()
+
+
+def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kc = materialize(_kc(spark, sf_dir), "kmer-colors")
+    a = kc.agg(F.count("*").alias("num_kmers"), F.sum(F.size("colors")).alias("num_integers"))
+    b = kc.select("colors").distinct().agg(F.count("*").alias("num_color_sets"))
+    return a.join(b, F.lit(True)).select(F.lit(K).cast("long").alias("k"), F.lit(N_COLORS).cast("long").alias("num_colors"), "num_kmers", "num_integers", "num_color_sets")
+
+
+def unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).unitigs
+
+
+def unitigs_per_color_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).unitigs.groupBy("cid").agg(F.min("unitig_id").alias("unitig_start"), F.count("*").alias("num_unitigs"), F.sum("num_kmers").cast("long").alias("n_kmers"))
+
+
+def unitig_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _graph(spark, sf_dir).metadata
+
+
+QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
+    acgt_run_stats, canonical_kmers, kmer_color_sets, kmers_per_color_set, color_set_dictionary, kmer_cids, color_set_sizes, encoding_regimes,
+    color_set_complements, kmers_per_color, junction_degrees, glue_edges, branching_junctions, linked_kmers, packed_kmers, minimizers, bucket_sizes,
+    largest_buckets, super_kmers, color_runs, private_kmers, graph_counts, unitigs, unitigs_per_color_set, unitig_metadata,
+]
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in QUERIES}
+
+
+# --- the same in SQL -------------------------------------------------------------------------------------------------
+
+RC = "reverse(translate({0}, 'ACGT', 'TGCA'))"
+
+
+def _can(x: str) -> str:
+    return f"least({x}, {RC.format(x)})"
+
+
+def _windows(x: str, k: int) -> str:
+    return f"list_transform(range(1, length({x}) - {k} + 2), lambda i: substr({x}, i, {k}))"
+
+
+_DNA = f"""
+d AS (SELECT doc_id, CAST(substr(source, 4) AS INT) AS color, translate(lower(text), '{LETTERS}', '{BASES}') AS dna FROM documents),
+lists AS (SELECT doc_id, color, regexp_extract_all(dna, '[ACGT]+') AS rs FROM d),
+runs AS (SELECT doc_id, color, unnest(rs) AS run, unnest(range(len(rs))) AS run_no FROM lists),
+r AS (SELECT * FROM runs WHERE length(run) >= {K}),
+km AS (SELECT doc_id, color, run_no, unnest({_windows('run', K)}) AS x, unnest(range(length(run) - {K} + 1)) AS pos FROM r),
+ck AS (SELECT doc_id, color, run_no, pos, {_can('x')} AS kmer FROM km),
+kc AS (SELECT kmer, list_sort(list(DISTINCT color)) AS colors FROM ck GROUP BY kmer),
+sets AS (SELECT colors, row_number() OVER (ORDER BY colors) - 1 AS cid FROM (SELECT DISTINCT colors FROM kc)),
+nodes AS (SELECT kmer, cid FROM kc JOIN sets USING (colors))
+"""
+_JUNCTIONS = f"""
+sides AS (
+  SELECT kmer, cid, 'L' AS side, substr(kmer, 1, {K - 1}) AS j FROM nodes
+  UNION ALL SELECT kmer, cid, 'R', substr(kmer, 2) FROM nodes WHERE kmer <> {RC.format('kmer')}),
+ends AS (SELECT kmer, cid, side, {_can('j')} AS junction, (side = 'R') = (j = {_can('j')}) AS is_in FROM sides WHERE j <> {RC.format('j')}),
+js AS (SELECT junction, count(*) FILTER (is_in) AS n_in, count(*) FILTER (NOT is_in) AS n_out FROM ends GROUP BY junction)
+"""
+_TEXT = "array_to_string(colors, ',')"
+_MIN = f"list_min(list_transform(range(1, {K - M + 2}), lambda i: least(substr({{0}}, i, {M}), reverse(translate(substr({{0}}, i, {M}), 'ACGT', 'TGCA')))))"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    q = {
+        "acgt_run_stats": "SELECT doc_id, count(*) AS n_runs, CAST(sum(length(run)) AS BIGINT) AS n_bases FROM r GROUP BY doc_id",
+        "canonical_kmers": "SELECT kmer, count(*) AS n FROM ck GROUP BY kmer",
+        "kmer_color_sets": f"SELECT kmer, {_TEXT} AS colors FROM kc",
+        "kmers_per_color_set": f"SELECT {_TEXT} AS colors, count(*) AS n_kmers FROM kc GROUP BY kc.colors",
+        "color_set_dictionary": f"SELECT cid, {_TEXT} AS colors FROM sets",
+        "kmer_cids": "SELECT kmer, cid FROM nodes",
+        "color_set_sizes": "SELECT len(colors) AS size, count(*) AS n_sets, CAST(sum(n) AS BIGINT) AS n_kmers FROM (SELECT colors, count(*) AS n FROM kc GROUP BY colors) GROUP BY len(colors)",
+        "encoding_regimes": f"SELECT CASE WHEN len(colors) < floor(0.25 * {N_COLORS}) THEN 'sparse' WHEN len(colors) < floor(0.75 * {N_COLORS}) THEN 'bitmap' ELSE 'complement' END AS regime, count(*) AS n_sets, CAST(sum(len(colors)) AS BIGINT) AS n_integers FROM sets GROUP BY 1",
+        "color_set_complements": f"SELECT {_TEXT} AS colors, array_to_string(list_filter(range({N_COLORS}), lambda c: NOT list_contains(colors, c)), ',') AS lacks FROM sets",
+        "kmers_per_color": "SELECT CAST(color AS BIGINT) AS color, count(DISTINCT kmer) AS n_kmers FROM ck GROUP BY color",
+        "junction_degrees": "SELECT junction, n_in, n_out FROM js",
+        "glue_edges": "SELECT a.kmer AS x, a.side AS x_side, b.kmer AS y, b.side AS y_side FROM js JOIN ends a ON a.junction = js.junction AND a.is_in JOIN ends b ON b.junction = js.junction AND NOT b.is_in WHERE n_in = 1 AND n_out = 1 AND a.kmer <> b.kmer AND a.cid = b.cid",
+        "branching_junctions": "SELECT n_in, n_out, count(*) AS n FROM js WHERE n_in > 1 OR n_out > 1 GROUP BY n_in, n_out",
+        "linked_kmers": "SELECT DISTINCT kmer FROM (SELECT kmer, unnest(list_concat(list_transform(['A','C','G','T'], lambda b: least(substr(kmer, 2) || b, reverse(translate(substr(kmer, 2) || b, 'ACGT', 'TGCA')))), list_transform(['A','C','G','T'], lambda b: least(b || left(kmer, -1), reverse(translate(b || left(kmer, -1), 'ACGT', 'TGCA')))))) AS n FROM kc) WHERE n IN (SELECT kmer FROM kc)",
+        "packed_kmers": f"SELECT kmer, CAST(list_sum(list_transform(range(1, {K + 1}), lambda i: (strpos('ACGT', substr(kmer, i, 1)) - 1) * (1::BIGINT << (2 * ({K} - i))::BIGINT))) AS BIGINT) AS packed FROM kc",
+        "minimizers": f"SELECT {_MIN.format('kmer')} AS minimizer, count(*) AS n_kmers FROM kc GROUP BY 1",
+        "bucket_sizes": f"SELECT count(*) AS buckets, max(n) AS largest, quantile_cont(n, 0.5) AS p500, quantile_cont(n, 0.9) AS p900, quantile_cont(n, 0.99) AS p990 FROM (SELECT substr({_MIN.format('kmer')}, 1, 3) AS b, count(*) AS n FROM kc GROUP BY 1)",
+        "largest_buckets": f"SELECT {_MIN.format('kmer')} AS minimizer, count(*) AS n_kmers FROM kc GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10",
+        "super_kmers": f"SELECT doc_id, CAST(run_no AS BIGINT) AS run, CAST(min(pos) AS BIGINT) AS start, minimizer, count(*) + {K - 1} AS bases FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id, run_no ORDER BY pos) AS island FROM (SELECT *, CASE WHEN minimizer = lag(minimizer) OVER (PARTITION BY doc_id, run_no ORDER BY pos) THEN 0 ELSE 1 END AS new FROM (SELECT doc_id, run_no, pos, {_MIN.format('x')} AS minimizer FROM km))) GROUP BY doc_id, run_no, island, minimizer",
+        "color_runs": "SELECT doc_id, CAST(sum(new) AS BIGINT) AS n_stretches, count(*) AS n_kmers FROM (SELECT doc_id, CASE WHEN cid = lag(cid) OVER (PARTITION BY doc_id, run_no ORDER BY pos) THEN 0 ELSE 1 END AS new FROM ck JOIN nodes USING (kmer)) GROUP BY doc_id",
+        "private_kmers": "SELECT DISTINCT kmer FROM ck WHERE color = 0 EXCEPT SELECT kmer FROM ck WHERE color <> 0",
+        "graph_counts": f"SELECT {K}::BIGINT AS k, {N_COLORS}::BIGINT AS num_colors, count(*) AS num_kmers, CAST(sum(len(colors)) AS BIGINT) AS num_integers, count(DISTINCT colors) AS num_color_sets FROM kc",
+    }
+    js = {"junction_degrees", "glue_edges", "branching_junctions"}
+    return {n: f"WITH {_DNA}{',' + _JUNCTIONS if n in js else ''} {sql}" for n, sql in q.items()}
