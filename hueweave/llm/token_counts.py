@@ -11,23 +11,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from hueweave.llm.textutil import coded_words, sums
+from hueweave.llm.textutil import byte_letters, coded_words, sums
 
 # The byte-level pre-tokenizer's pattern, and white space as the tokenizers library has it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 SPACES = r"\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
-def byte_letters() -> list[str]:
-    """The letter that byte-level vocabularies write for each byte: printable Latin-1 stands for itself, the rest follow from U+0100."""
-    own = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF]
-    letters = {b: chr(b) for b in own}
-    for b in range(256):
-        if b not in letters:
-            letters[b] = chr(0x100 + len(letters) - len(own))
-    return [letters[b] for b in range(256)]
-
-
 class HeapMerger:
     """Counts the tokens of a text under a byte-level byte-pair vocabulary (a tokenizers .json file)."""
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hueweave.llm.textutil import coded_words
+from hueweave.llm.textutil import byte_letters, coded_words, sums
 from hueweave.runtime import broadcast_if_small, materialize
 
 BLOCK_SCHEMA = "shard int, block int, doc_ids array<{id}>, lengths binary, first long, rules binary, expansions binary, symbols binary, n_ids long"
@@ -28,18 +29,19 @@ class Grammar:
     rules: np.ndarray
     expansions: np.ndarray
     symbols: np.ndarray
+    _lists: pa.LargeListArray | None = None
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        while len(symbols) and len(self.rules):
-            deep = symbols >= self.first
-            if not deep.any():
-                break
-            at = np.cumsum(1 + deep) - 1 - deep
-            out = np.repeat(symbols, 1 + deep)
-            pairs = self.rules[symbols[deep] - self.first]
-            out[at[deep]], out[at[deep] + 1] = pairs[:, 0], pairs[:, 1]
-            symbols = out
-        return symbols
+        """Ids of some symbols: every rule is spelt out once, in order, from the two before it."""
+        if not len(self.rules) or not (symbols >= self.first).any():
+            return symbols
+        if self._lists is None:
+            spelt: list[np.ndarray] = []
+            for a, b in self.rules.tolist():
+                spelt.append(np.concatenate([spelt[x - self.first] if x >= self.first else np.array([x], np.uint32) for x in (a, b)]))
+            ends = np.concatenate([np.arange(self.first + 1), self.first + np.cumsum(self.expansions, dtype=np.int64)])
+            self._lists = pa.LargeListArray.from_arrays(ends, pa.array(np.concatenate([np.arange(self.first, dtype=np.uint32), *spelt])))
+        return self._lists.take(pa.array(symbols)).flatten().to_numpy()
 
     def decode(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids start to stop; only the symbols that cover them are expanded."""
@@ -55,7 +57,7 @@ class Grammar:
         return self.expand(self.symbols[a : b + 1])[skip : skip + stop - start]
 
 
-def repair(ids: np.ndarray, first: int, rounds: int = 4, per_round: int = 2048, least: int = 8) -> Grammar:
+def repair(ids: np.ndarray, first: int, rounds: int = 3, per_round: int = 2048, least: int = 8) -> Grammar:
     """Replace frequent pairs of adjacent symbols by rules, the most frequent ``per_round`` of a round together.
 
     A round counts all pairs, makes rules of those seen at least ``least`` times (most frequent first,
@@ -85,14 +87,20 @@ def repair(ids: np.ndarray, first: int, rounds: int = 4, per_round: int = 2048,
         shift = 16 if small else 32
         left, right = (pairs >> pairs.dtype.type(shift)).astype(np.int64), (pairs & pairs.dtype.type((1 << shift) - 1)).astype(np.int64)
         top = first + made
-        heads, tails = np.zeros(top, bool), np.zeros(top, bool)
-        heads[left], tails[right] = True, True
-        at = np.flatnonzero(heads[seq[:-1]] & tails[seq[1:]])
-        order = np.argsort(pairs)
-        table = pairs[order]
-        place = np.minimum(np.searchsorted(table, code[at]), len(table) - 1)
-        hit = table[place] == code[at]
-        at, rule = at[hit], order[place[hit]]
+        slots = (pairs * pairs.dtype.type(0x9E3779B1)) >> pairs.dtype.type(8 * pairs.itemsize - 20)
+        slots, lone = np.unique(slots, return_index=True)  # of pairs that share a slot the most frequent is replaced
+        lone = np.sort(lone)
+        pairs, left, right = pairs[lone], left[lone], right[lone]
+        slots = (pairs * pairs.dtype.type(0x9E3779B1)) >> pairs.dtype.type(8 * pairs.itemsize - 20)
+        owner, key = np.zeros(1 << 20, np.int32), np.zeros(1 << 20, pairs.dtype)
+        owner[slots], key[slots] = np.arange(len(pairs)), pairs
+        taken = np.zeros(1 << 20, bool)
+        taken[slots] = True
+        place = (code * code.dtype.type(0x9E3779B1)) >> code.dtype.type(8 * code.itemsize - 20)
+        at = np.flatnonzero((key[place] == code) & taken[place])
+        rule = owner[place[at]]
+        if not len(at):
+            break
         fresh = np.concatenate([[True], at[1:] != at[:-1] + 1])
         run = at[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
         even = (at - run) % 2 == 0  # of overlapping pairs every other one
@@ -108,9 +116,13 @@ def repair(ids: np.ndarray, first: int, rounds: int = 4, per_round: int = 2048,
 
 
 class WordEncoder:
-    """Ids of texts under a vocabulary that drops white space: each distinct word is encoded once by the library."""
+    """Ids of texts under a vocabulary that drops white space and case: each distinct piece is encoded once by the library.
+
+    A word of Latin letters, with or without a mark of punctuation behind it, is known by its lower-case
+    letters and the mark, which the vocabulary encodes apart; every other word is known as it stands.
+    """
 
-    def __init__(self, path: str, words: int = 400_000):
+    def __init__(self, path: str, words: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -118,30 +130,54 @@ class WordEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
-        self.words, self.cache = words, {}
+        self.model = self.tok.model
+        self.letters = str.maketrans(dict(enumerate(byte_letters())))
+        self.most = words
+        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.marks = {x: self._ids([x])[0] for x in ".,;:!?"}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _piece(self, low: str) -> bytes:
+        """Ids of one pre-token: lower-case letters, which the model takes with a letter for each byte."""
+        letters = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+        got = self.pieces[low] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        return got
+
+    def words(self, distinct: list[str]) -> list[bytes]:
+        """The ids of each word, as bytes."""
+        known, marks, rest, fresh, piece = self.known, self.marks, [], {}, self.pieces
+        if len(piece) > self.most:
+            piece.clear()
+        for w in [w for w in distinct if w not in known]:
+            tail = marks.get(w[-1:], b"")
+            x = w[:-1] if tail else w
+            low = x.lower()
+            if low.isalpha() and (x.isascii() or max(x) < "\u0250"):
+                fresh[w] = (piece.get(low) or self._piece(low)) + tail
+            else:
+                rest.append(w)
+        for at in range(0, len(rest), 4096):
+            fresh.update(zip(rest[at : at + 4096], self._ids(rest[at : at + 4096]), strict=True))
+        out = [known[w] if w in known else fresh[w] for w in distinct]
+        if len(known) + len(fresh) > self.most:
+            self.known = fresh  # a new generation
+        else:
+            known.update(fresh)
+        return out
 
     def encode(self, text: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end``, and each text's number of ids."""
         offsets, codes, distinct = coded_words(text)
-        new = [w for w in distinct if w not in self.cache]
-        if len(self.cache) + len(new) > self.words:
-            self.cache = {}
-            new = distinct
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            self.cache.update(zip(some, (np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        data = [self.cache[w] for w in distinct]
-        flat = np.frombuffer(b"".join(data), "<u4")
+        data = self.words(distinct)
         size = np.fromiter(map(len, data), np.int64, len(data)) // 4
-        begin = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(data) + int(end).to_bytes(4, "little"), "<u4")
         # a text's words, then one pseudo-word: the end id
-        size, begin, flat = np.append(size, 1), np.append(begin, len(flat)), np.append(flat, np.uint32(end))
-        codes = np.insert(codes, offsets[1:], len(size) - 1)
-        n = size[codes]
-        ids = flat[np.repeat(begin[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        ends = offsets + np.arange(len(offsets))
-        total = np.concatenate([[0], np.cumsum(n)])
-        return ids, total[ends[1:]] - total[ends[:-1]]
+        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(np.append(size, 1))]), pa.array(flat))
+        ids = lists.take(pa.array(np.insert(codes, offsets[1:], len(size)))).flatten().to_numpy()
+        return ids, sums(size[codes], offsets) + 1
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -184,8 +220,8 @@ def write_token_blocks(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", en
             return out
 
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, 8000):
+                part = b.slice(at, 8000)
                 x, size = enc.encode(part.column(1), end_id)
                 ids.append(x)
                 sizes.append(size)
