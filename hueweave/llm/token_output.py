@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -118,11 +120,11 @@ def repair(ids: np.ndarray, first: int, rounds: int = 3, per_round: int = 2048,
 class WordEncoder:
     """Ids of texts under a vocabulary that drops white space and case: each distinct piece is encoded once by the library.
 
-    A word of Latin letters, with or without a mark of punctuation behind it, is known by its lower-case
-    letters and the mark, which the vocabulary encodes apart; every other word is known as it stands.
+    A word of Latin letters, with or without ASCII punctuation behind it, is known by its lower-case
+    letters and the punctuation, which the vocabulary encodes apart; every other word is known as it stands.
     """
 
-    def __init__(self, path: str, words: int = 700_000):
+    def __init__(self, path: str, words: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -135,7 +137,7 @@ class WordEncoder:
         self.most = words
         self.known: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.marks = {x: self._ids([x])[0] for x in ".,;:!?"}
+        self.marks: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -151,12 +153,17 @@ class WordEncoder:
         known, marks, rest, fresh, piece = self.known, self.marks, [], {}, self.pieces
         if len(piece) > self.most:
             piece.clear()
+        if len(marks) > 100_000:
+            marks.clear()
         for w in [w for w in distinct if w not in known]:
-            tail = marks.get(w[-1:], b"")
-            x = w[:-1] if tail else w
+            x = w.rstrip(string.punctuation)
             low = x.lower()
             if low.isalpha() and (x.isascii() or max(x) < "\u0250"):
-                fresh[w] = (piece.get(low) or self._piece(low)) + tail
+                ids = piece.get(low) or self._piece(low)
+                if len(x) < len(w):
+                    tail = w[len(x) :]
+                    ids += marks.get(tail) or marks.setdefault(tail, self._ids([tail])[0])
+                fresh[w] = ids
             else:
                 rest.append(w)
         for at in range(0, len(rest), 4096):
@@ -170,6 +177,9 @@ class WordEncoder:
 
     def encode(self, text: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end``, and each text's number of ids."""
+        text = pc.fill_null(text, "")
+        if not pc.any(pc.match_substring(text, "<|")).as_py():  # else a special string could come about
+            text = pc.replace_substring_regex(pc.ascii_lower(text), r"([a-zà-ÿ])([.,])(\s)", r"\1 \2\3")  # a mark of its own is a word too
         offsets, codes, distinct = coded_words(text)
         data = self.words(distinct)
         size = np.fromiter(map(len, data), np.int64, len(data)) // 4
