@@ -232,7 +232,7 @@ def matches(x: BenchmarkIndex, text: pa.Array) -> Iterator[tuple[int, list[tuple
 _KEYS: dict[str, int] = {}
 
 
-def word_keys_cached(words: list[str], most: int = 1_000_000) -> np.ndarray:
+def word_keys_cached(words: list[str], most: int = 300_000) -> np.ndarray:
     new = [w for w in words if w not in _KEYS]
     if new:
         if len(_KEYS) + len(new) > most:

@@ -38,7 +38,7 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float = 1.0
     least_score: float = 0.0
-    words: int = 1_000_000
+    words: int = 250_000
     cache: dict[str, tuple[np.ndarray, int]] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:

@@ -21,7 +21,7 @@ SPACES = r"\x09-\x0d\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{
 class HeapMerger:
     """Counts the tokens of a text under a byte-level byte-pair vocabulary (a tokenizers .json file)."""
 
-    def __init__(self, path: str, words: int = 1_500_000):
+    def __init__(self, path: str, words: int = 500_000):
         import regex
 
         with open(path, encoding="utf-8") as f:

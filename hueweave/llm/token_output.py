@@ -124,7 +124,7 @@ class WordEncoder:
     letters and the punctuation, which the vocabulary encodes apart; every other word is known as it stands.
     """
 
-    def __init__(self, path: str, words: int = 600_000):
+    def __init__(self, path: str, pieces: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -134,8 +134,7 @@ class WordEncoder:
         self.size = self.tok.get_vocab_size(with_added_tokens=True)
         self.model = self.tok.model
         self.letters = str.maketrans(dict(enumerate(byte_letters())))
-        self.most = words
-        self.known: dict[str, bytes] = {}
+        self.most = pieces
         self.pieces: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
@@ -150,29 +149,30 @@ class WordEncoder:
 
     def words(self, distinct: list[str]) -> list[bytes]:
         """The ids of each word, as bytes."""
-        known, marks, rest, fresh, piece = self.known, self.marks, [], {}, self.pieces
-        if len(piece) > self.most:
-            piece.clear()
-        if len(marks) > 100_000:
-            marks.clear()
-        for w in [w for w in distinct if w not in known]:
+        if len(self.pieces) > self.most:
+            self.pieces.clear()
+        if len(self.marks) > 100_000:
+            self.marks.clear()
+        marks, pieces, out, rest = self.marks, self.pieces, [], {}
+        for i, w in enumerate(distinct):
             x = w.rstrip(string.punctuation)
             low = x.lower()
             if low.isalpha() and (x.isascii() or max(x) < "\u0250"):
-                ids = piece.get(low) or self._piece(low)
+                ids = pieces.get(low) or self._piece(low)
                 if len(x) < len(w):
                     tail = w[len(x) :]
                     ids += marks.get(tail) or marks.setdefault(tail, self._ids([tail])[0])
-                fresh[w] = ids
+                out.append(ids)
             else:
-                rest.append(w)
-        for at in range(0, len(rest), 4096):
-            fresh.update(zip(rest[at : at + 4096], self._ids(rest[at : at + 4096]), strict=True))
-        out = [known[w] if w in known else fresh[w] for w in distinct]
-        if len(known) + len(fresh) > self.most:
-            self.known = fresh  # a new generation
-        else:
-            known.update(fresh)
+                ids = marks.get(w)
+                if ids is None:
+                    rest[i] = w
+                out.append(ids)
+        new = list(rest.values())
+        for at in range(0, len(new), 4096):
+            marks.update(zip(new[at : at + 4096], self._ids(new[at : at + 4096]), strict=True))
+        for i, w in rest.items():
+            out[i] = marks[w]
         return out
 
     def encode(self, text: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,11 +227,12 @@ def write_token_blocks(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", en
             types = [pa.int32(), pa.int32(), pa.list_(docs_[0].type), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
             out = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], ["shard", "block", "doc_ids", "lengths", "first", "rules", "expansions", "symbols", "n_ids"])
             ids, sizes, docs_, held, block = [], [], [], 0, block + 1
+            pa.default_memory_pool().release_unused()
             return out
 
         for b in batches:
-            for at in range(0, b.num_rows, 8000):
-                part = b.slice(at, 8000)
+            for at in range(0, b.num_rows, 4000):
+                part = b.slice(at, 4000)
                 x, size = enc.encode(part.column(1), end_id)
                 ids.append(x)
                 sizes.append(size)
