@@ -124,7 +124,7 @@ class WordEncoder:
     letters and the punctuation, which the vocabulary encodes apart; every other word is known as it stands.
     """
 
-    def __init__(self, path: str, pieces: int = 500_000):
+    def __init__(self, path: str, pieces: int = 350_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
