@@ -39,32 +39,32 @@ class LanguageModel:
     temperature: float = 1.0
     least_score: float = 0.0
     words: int = 250_000
-    cache: dict[str, tuple[np.ndarray, int]] = field(default_factory=dict, repr=False)
+    cache: dict[str, tuple[float, ...]] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"cache": {}}
 
     def _words(self, distinct: list[str]) -> np.ndarray:
         """A row for each word: the sum of its subwords' rows, and their number."""
-        k = len(self.langs)
-        out = np.zeros((len(distinct), k + 1))
-        new = [i for i, w in enumerate(distinct) if w not in self.cache]
-        if new:
-            ids = [subwords(distinct[i], len(self.table)) for i in new]
+        out = np.zeros((len(distinct), len(self.langs) + 1))
+        new = []
+        for i, w in enumerate(distinct):
+            row = self.cache.get(w)
+            if row is None:
+                new.append(i)
+            else:
+                out[i] = row
+        if len(self.cache) + len(new) > self.words:
+            self.cache.clear()
+        for at in range(0, len(new), 10_000):
+            some = new[at : at + 10_000]
+            ids = [subwords(distinct[i], len(self.table)) for i in some]
             n = np.fromiter(map(len, ids), np.int64, len(ids))
             flat = np.fromiter((x for y in ids for x in y), np.int64, int(n.sum()))
-            fresh = np.concatenate([sums(self.table[flat].astype(np.float64), np.concatenate([[0], np.cumsum(n)])), n[:, None]], axis=1)
-            out[new] = fresh
-        seen = np.ones(len(distinct), bool)
-        seen[new] = False
-        for i in np.flatnonzero(seen):
-            out[i] = self.cache[distinct[i]]
-        if new:
-            if len(self.cache) + len(new) > self.words:
-                self.cache.clear()
-            for i, row in zip(new[: self.words], fresh, strict=False):
-                if len(distinct[i]) < 64:
-                    self.cache[distinct[i]] = row
+            out[some] = np.concatenate([sums(self.table[flat].astype(np.float64), np.concatenate([[0], np.cumsum(n)])), n[:, None]], axis=1)
+            for i in some:
+                if len(distinct[i]) < 64 and len(self.cache) < self.words:
+                    self.cache[distinct[i]] = tuple(out[i].tolist())
         return out
 
     def predict(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +179,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None = None) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.langs, "und"], dtype=object)
-        for b in batches:
+        for b in (batch.slice(at, 500) for batch in batches for at in range(0, batch.num_rows, 500)):
             k, score = m.predict(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names[k], pa.string()), pa.array(score), pa.array((score >= m.least_score) & (k >= 0))], ["doc_id", "held_out", "lang_pred", "score", "accepted"])
 
