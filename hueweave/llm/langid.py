@@ -38,7 +38,7 @@ class LanguageModel:
     bias: np.ndarray
     temperature: float = 1.0
     least_score: float = 0.0
-    words: int = 250_000
+    words: int = 700_000
     cache: dict[str, tuple[float, ...]] = field(default_factory=dict, repr=False)
 
     def __getstate__(self) -> dict:
@@ -179,7 +179,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel | None = None) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.array([*m.langs, "und"], dtype=object)
-        for b in (batch.slice(at, 500) for batch in batches for at in range(0, batch.num_rows, 500)):
+        for b in (batch.slice(at, 1000) for batch in batches for at in range(0, batch.num_rows, 1000)):
             k, score = m.predict(b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names[k], pa.string()), pa.array(score), pa.array((score >= m.least_score) & (k >= 0))], ["doc_id", "held_out", "lang_pred", "score", "accepted"])
 
