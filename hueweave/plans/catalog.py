@@ -149,7 +149,7 @@ def color_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def private_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set difference: the k-mers of color 0 that no other color holds."""
     km = colors.canonical_kmers(sequences(spark, sf_dir), K)
-    return km.where("color = 0").select("kmer").exceptAll(km.where("color <> 0").select("kmer").distinct()).distinct()
+    return km.where("color = 0").select("kmer").subtract(km.where("color <> 0").select("kmer"))
 
 
 def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
