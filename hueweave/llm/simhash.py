@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hueweave.operators.components import connected_components
-from hueweave.runtime import materialize
+from hueweave.runtime import broadcast_if_small, materialize
 
 BITS = 64
 
@@ -200,3 +200,291 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4) -> Data
     member = materialize(rooted.join(smallest, "root").select(F.col("fp").alias("f"), "component_id"), "simhash-members")
     out = fps.join(member, fps.fp == member.f)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Near-duplicates by shingle sets: wider fingerprints, sampled shards, exact check.
+
+WIDE = 128
+#: Share of differing bits of two sets at similarity 0.8: the angle of cosine 2s/(1+s), over pi.
+APART = float(np.arccos(1.6 / 1.8) / np.pi)
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Sorted distinct XXH64 keys of the lower-cased (A-Z) text's word shingles (fewer words: the whole sequence; none: no key)."""
+    import xxhash
+
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    n = max(1, len(words) - width + 1)
+    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
+    stops = ends[width - 1 :].tolist() if len(words) >= width else [len(line)]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n))
+
+
+def wide_fingerprint(keys: np.ndarray) -> np.ndarray:
+    """SimHash of a set of keys in WIDE bits, as two unsigned longs: the keys themselves and a remixing of them."""
+    ones = np.zeros(WIDE, np.int64)
+    for at in range(0, len(keys), 1 << 15):
+        h = keys[at : at + (1 << 15)]
+        again = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        again = (again ^ (again >> np.uint64(27))) * np.uint64(0xBF58476D1CE4E5B9)
+        both = np.stack([h, again ^ (again >> np.uint64(31))], axis=1)
+        ones += np.unpackbits(both.astype("<u8").view(np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(keys), bitorder="little").view("<u8")
+
+
+def profiles(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, key, f0, f1, keys) of every row: a 128-bit key of its shingle set, its fingerprint, and the set itself."""
+    names = ["doc_id", "key", "f0", "f1", "keys"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for b in batches:
+            at, held, cols = 0, 0, ([], [], [], [])
+            texts = pc.fill_null(b.column(1), b"")
+            for i, x in enumerate(texts):
+                keys = shingle_set(x.as_py(), width)
+                fp = wide_fingerprint(keys).view(np.int64)
+                raw = keys.astype("<u8").tobytes()
+                for c, v in zip(cols, (xxhash.xxh3_128_digest(raw), int(fp[0]), int(fp[1]), raw), strict=True):
+                    c.append(v)
+                held += len(raw)
+                if held > 8_000_000 or i == len(texts) - 1:  # small batches: sets are as large as texts
+                    arrays = [pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, i + 1 - at), *arrays], names)
+                    at, held, cols = i + 1, 0, ([], [], [], [])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, key binary, f0 long, f1 long, keys binary")
+
+
+def sampling(classes: int, fill: int = 1024, recall: float = 0.999) -> tuple[int, int]:
+    """(bits, tables): a shard holds about ``fill`` unrelated classes, and a pair of similarity 0.8 shares one with this chance."""
+    bits = min(30, max(6, int(np.ceil(np.log2(max(1, classes) / fill)))))
+    return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - APART) ** bits)))
+
+
+def _dealt(rows: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
+    """Rows (node, label, f0, f1, base) once in each table; the shard is the table, the base and ``bits`` sampled bits."""
+    picks = [np.random.default_rng([seed, j]).permutation(WIDE)[:bits] for j in range(tables)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                b = batch.slice(at, 4096)
+                fp = np.stack([b.column(2).to_numpy(), b.column(3).to_numpy()], axis=1)
+                bit = np.unpackbits(fp.astype("<i8").view(np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little")
+                base = b.column(4).to_numpy().view(np.uint64)
+                for j, pick in enumerate(picks):
+                    own = bit[:, pick].astype(np.uint64) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+                    h = (base * np.uint64(0x9E3779B97F4A7C15) + ((np.uint64(j + 1) << np.uint64(32)) | own)) * np.uint64(0xBF58476D1CE4E5B9)
+                    shard = (h ^ (h >> np.uint64(29))).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([*[b.column(c) for c in range(4)], pa.array(shard)], ["node", "label", "f0", "f1", "shard"])
+
+    return rows.mapInArrow(run, "node long, label long, f0 long, f1 long, shard long")
+
+
+class WideTrees:
+    """Burkhard-Keller trees over shards of WIDE-bit fingerprints; rows come sorted by shard, a shard's first row is its root."""
+
+    def __init__(self, fp: np.ndarray, root: np.ndarray):
+        self.fp, self.root = fp, root
+        keys, kids = [], []
+        active = np.flatnonzero(np.arange(len(fp)) != root)
+        at = root[active]
+        while len(active):  # all rows go one edge down at a time; the first at a free edge becomes its child
+            key = at * (WIDE + 1) + self.apart(active, at)
+            slots, first, back = np.unique(key, return_index=True, return_inverse=True)
+            child = active[first]
+            keys.append(slots)
+            kids.append(child)
+            at = child[back]
+            on = at != active
+            active, at = active[on], at[on]
+        key, kid = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, kids))
+        order = np.argsort(key, kind="stable")
+        self.key, self.kid = key[order], kid[order]
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(self.fp[a] ^ self.fp[b]).sum(axis=1, dtype=np.int64)
+
+    def near(self, queries: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query row, earlier row of its shard) within the radius; only edges within the radius of a node's distance are followed."""
+        q, at = queries, self.root[queries]
+        left, right = [queries[:0]], [queries[:0]]
+        while len(q):
+            on = at < q  # a child stands after its parent, so all below a later row is later
+            q, at = q[on], at[on]
+            d = self.apart(q, at)
+            left.append(q[d <= radius])
+            right.append(at[d <= radius])
+            base = at * (WIDE + 1)
+            lo = np.searchsorted(self.key, base + np.maximum(d - radius, 0))
+            n = np.searchsorted(self.key, base + np.minimum(d + radius, WIDE), side="right") - lo
+            q = np.repeat(q, n)
+            at = self.kid[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+        return np.concatenate(left), np.concatenate(right)
+
+
+def _roots(shard: np.ndarray) -> np.ndarray:
+    new = np.concatenate([[True], shard[1:] != shard[:-1]])
+    return np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
+def _near_in_blocks(trees: WideTrees, queries: np.ndarray, radius: int, pairs: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    cost = np.cumsum(queries - trees.root[queries] + 1)
+    at = 0
+    while at < len(queries):
+        stop = max(at + 1, int(np.searchsorted(cost, (cost[at - 1] if at else 0) + pairs, side="right")))
+        yield trees.near(queries[at:stop], radius)
+        at = stop
+
+
+def least_neighbours(node: np.ndarray, fp: np.ndarray, shard: np.ndarray, radius: int, passes: int = 4) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For rows by (shard, node): pairs (row's node, least node near it in its shard).
+
+    In each pass a shard's first row takes all rows near it, and these leave; so a large family
+    costs one comparison a row. What remains goes into trees.
+    """
+    for _ in range(passes):
+        if not len(node):
+            return
+        root = _roots(shard)
+        near = np.bitwise_count(fp ^ fp[root]).sum(axis=1, dtype=np.int64) <= radius
+        on = near & (np.arange(len(node)) != root)
+        yield node[on], node[root[on]]
+        node, fp, shard = node[~near], fp[~near], shard[~near]
+    if len(node):
+        trees = WideTrees(fp, _roots(shard))
+        for q, at in _near_in_blocks(trees, np.arange(len(node)), radius):
+            if len(q):
+                order = np.lexsort((at, q))
+                q, at = q[order], at[order]
+                first = np.concatenate([[True], q[1:] != q[:-1]])
+                yield node[q[first]], node[at[first]]
+
+
+def crossing_pairs(node: np.ndarray, label: np.ndarray, fp: np.ndarray, shard: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For rows sorted by shard: all near pairs of rows with different labels.
+
+    The commonest label's rows stand first in their shard and are not queried, as they never pair among themselves.
+    """
+    order = np.lexsort((label, shard))
+    node, label, fp, shard = node[order], label[order], fp[order], shard[order]
+    new = np.concatenate([[True], (shard[1:] != shard[:-1]) | (label[1:] != label[:-1])])
+    run = np.cumsum(new) - 1
+    many = np.bincount(run)[run]
+    order = np.lexsort((run, -many, shard))
+    node, label, fp, shard = node[order], label[order], fp[order], shard[order]
+    root = _roots(shard)
+    mixed = np.zeros(len(node), bool)
+    mixed[root[label != label[root]]] = True
+    on = mixed[root]  # shards of one label hold nothing
+    node, label, fp, shard = node[on], label[on], fp[on], shard[on]
+    if not len(node):
+        return
+    root = _roots(shard)
+    for q, at in _near_in_blocks(WideTrees(fp, root), np.flatnonzero(label != label[root]), radius):
+        on = label[q] != label[at]
+        yield np.maximum(node[q[on]], node[at[on]]), np.minimum(node[q[on]], node[at[on]])
+
+
+def _candidates(dealt: DataFrame, radius: int, crossing: bool, per_task: int = 200_000) -> DataFrame:
+    """Distinct pairs (a, b), b the smaller node, that a shard's tree finds near."""
+
+    def search(fps: list, shards: list, nodes: list, labels: list, last: bool) -> tuple[Iterator, int]:
+        shard = np.concatenate(shards)
+        stop = len(shard) if last else int(np.searchsorted(shard, shard[-1]))  # the last shard may go on
+        node, label, fp = np.concatenate(nodes), np.concatenate(labels), np.concatenate(fps)
+        for x, v in ((shards, shard), (nodes, node), (labels, label), (fps, fp)):
+            x[:] = [v[stop:]]
+        if not stop:
+            return iter(()), len(shard)
+        args = (fp[:stop].view(np.uint64), shard[:stop], radius)
+        return (crossing_pairs(node[:stop], label[:stop], *args) if crossing else least_neighbours(node[:stop], *args)), len(shard) - stop
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fps, shards, nodes, labels, held = [], [], [], [], 0
+        out = lambda found: (pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]) for a, b in found if len(a))
+        for b in batches:
+            if b.num_rows:
+                for x, c in ((nodes, 0), (labels, 1), (shards, 4)):
+                    x.append(b.column(c).to_numpy())
+                fps.append(np.stack([b.column(2).to_numpy(), b.column(3).to_numpy()], axis=1))
+                held += b.num_rows
+                if held >= per_task:
+                    found, held = search(fps, shards, nodes, labels, False)
+                    yield from out(found)
+        if held:
+            yield from out(search(fps, shards, nodes, labels, True)[0])
+
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(n, "shard").sortWithinPartitions("shard", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """The pairs whose shingle sets have at least this Jaccard similarity. Only sets of nodes in some pair are moved, one for each class."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ends = materialize(classes.join(ends, "node").select("node", F.col("key").alias("k"), "least"), "near-ends")
+    few = broadcast_if_small(ends, ends.count())
+    held = rows.join(few, (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("least"))).select("node", "keys")
+    sets = materialize(held.dropDuplicates(["node"]), "near-sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            on = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) - 1e-9 else 0
+                on.append(both >= least * (len(x) + len(y) - both) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
+
+    one, two = sets.select(F.col("node").alias("a"), F.col("keys").alias("ka")), sets.select(F.col("node").alias("b"), F.col("keys").alias("kb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 32, split: int = 16_384) -> DataFrame:
+    """(doc_id, component_id) of every row with a doc_id: rows are linked where the Jaccard similarity of their
+    sets of ``width``-word shingles is at least ``least``.
+
+    Rows with equal sets form a class, so copies cost one entry. Classes go to shards by sampled bits of a
+    128-bit SimHash of the set; the number of bits and of samples follows from the number of classes, so that
+    a shard keeps its size and a pair at 0.8 shares a shard with a chance of 0.999 (more above). Shards
+    over ``split`` rows are dealt again by further bits. Each shard is a Burkhard-Keller tree. Round one checks
+    each class against its least neighbour in each shard, exactly, on the sets; round two checks all
+    pairs within ``radius`` bits that are not yet connected. So every link that counts was checked, a
+    family is not expanded into all its pairs, and no pair that a shard holds goes unchecked.
+
+    Null and empty texts have the empty set and form one class; rows with a null doc_id take no part;
+    repeated rows come back each; an empty table gives an empty table.
+    """
+    rows = materialize(profiles(docs.where("doc_id is not null"), width), "near-profiles")
+    classes = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("f0").alias("f0"), F.first("f1").alias("f1"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
+    bits, tables = sampling(classes.count())
+
+    def dealt(labelled: DataFrame) -> DataFrame:
+        once = _dealt(labelled.select("node", "label", "f0", "f1", F.lit(0).cast("long").alias("base")), bits, tables, 1)
+        large = broadcast_if_small(hot, n_hot)
+        again = _dealt(once.join(large, "shard", "left_semi").select("node", "label", "f0", "f1", F.col("shard").alias("base")), 8, 8, 2)
+        return once.join(large, "shard", "left_anti").select(*once.columns).unionByName(again) if n_hot else once
+
+    plain = classes.withColumn("label", F.col("node"))
+    counted = _dealt(plain.select("node", "label", "f0", "f1", F.lit(0).cast("long").alias("base")), bits, tables, 1).groupBy("shard").count()
+    hot = materialize(counted.where(F.col("count") > split).select("shard"), "near-hot")
+    n_hot = hot.count()
+    first = materialize(_candidates(dealt(plain), radius, False), "near-first")
+    links = materialize(_verified(first, rows, classes, least), "near-links")
+    found = connected_components(links)
+    labelled = materialize(classes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "f0", "f1"), "near-labels")
+    second = materialize(_candidates(dealt(labelled), radius, True).join(first, ["a", "b"], "left_anti"), "near-second")
+    more = materialize(_verified(second, rows, classes, least), "near-links")
+    found = connected_components(links.unionByName(more))
+    rooted = classes.join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "least")
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("doc_id", "key").join(rooted.join(smallest, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
