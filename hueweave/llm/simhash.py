@@ -237,33 +237,50 @@ def wide_fingerprint(keys: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(keys), bitorder="little").view("<u8")
 
 
+def _set_key(keys: np.ndarray) -> bytes:
+    import xxhash
+
+    return xxhash.xxh3_128_digest(keys.astype("<u8").tobytes())
+
+
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, key, f0, f1, keys) of every row: a 128-bit key of its shingle set, its fingerprint, and the set itself."""
-    names = ["doc_id", "key", "f0", "f1", "keys"]
+    """(doc_id, key, n, f0, f1) of every row: a 128-bit key of its shingle set, the set's size, and its fingerprint."""
+    names = ["doc_id", "key", "n", "f0", "f1"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for b in batches:
-            at, held, cols = 0, 0, ([], [], [], [])
-            texts = pc.fill_null(b.column(1), b"")
-            for i, x in enumerate(texts):
+            fp, key, n = np.zeros((b.num_rows, 2), np.uint64), [], []
+            for i, x in enumerate(pc.fill_null(b.column(1), b"")):
                 keys = shingle_set(x.as_py(), width)
-                fp = wide_fingerprint(keys).view(np.int64)
-                raw = keys.astype("<u8").tobytes()
-                for c, v in zip(cols, (xxhash.xxh3_128_digest(raw), int(fp[0]), int(fp[1]), raw), strict=True):
-                    c.append(v)
-                held += len(raw)
-                if held > 8_000_000 or i == len(texts) - 1:  # small batches: sets are as large as texts
-                    arrays = [pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, i + 1 - at), *arrays], names)
-                    at, held, cols = i + 1, 0, ([], [], [], [])
+                fp[i] = wide_fingerprint(keys)
+                key.append(_set_key(keys))
+                n.append(len(keys))
+            fp = fp.view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(fp[:, 0]), pa.array(fp[:, 1])], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, key binary, f0 long, f1 long, keys binary")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, key binary, n long, f0 long, f1 long")
+
+
+def _sets(docs: DataFrame, ends: DataFrame, width: int) -> DataFrame:
+    """(node, keys) for each of the classes (node, k, least): the shingle set of a row with that key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):  # sets are as large as texts
+                part, on, found = b.slice(at, 500), [], []
+                for key, x in zip(part.column(1), pc.fill_null(part.column(2), b""), strict=True):
+                    keys = shingle_set(x.as_py(), width)
+                    on.append(_set_key(keys) == key.as_py())
+                    if on[-1]:
+                        found.append(keys.view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(on, pa.bool_())), pa.array(found, pa.list_(pa.int64()))], ["node", "keys"])
+
+    held = docs.join(ends, F.col("doc_id") == F.col("least")).select("node", "k", F.col("text").cast("binary").alias("text"))
+    return held.mapInArrow(run, "node long, keys array<long>").dropDuplicates(["node"])
 
 
-def sampling(classes: int, fill: int = 1024, recall: float = 0.999) -> tuple[int, int]:
+def sampling(classes: int, fill: int = 256, recall: float = 0.99) -> tuple[int, int]:
     """(bits, tables): a shard holds about ``fill`` unrelated classes, and a pair of similarity 0.8 shares one with this chance."""
     bits = min(30, max(6, int(np.ceil(np.log2(max(1, classes) / fill)))))
     return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - APART) ** bits)))
@@ -336,7 +353,7 @@ def _roots(shard: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)[np.cumsum(new) - 1]
 
 
-def _near_in_blocks(trees: WideTrees, queries: np.ndarray, radius: int, pairs: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _near_in_blocks(trees: WideTrees, queries: np.ndarray, radius: int, pairs: int = 300_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     cost = np.cumsum(queries - trees.root[queries] + 1)
     at = 0
     while at < len(queries):
@@ -427,25 +444,20 @@ def _candidates(dealt: DataFrame, radius: int, crossing: bool, per_task: int = 2
     return dealt.repartition(n, "shard").sortWithinPartitions("shard", "node").mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """The pairs whose shingle sets have at least this Jaccard similarity. Only sets of nodes in some pair are moved, one for each class."""
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs whose shingle sets have at least this Jaccard similarity.
+
+    Sizes alone rule out many; sets are made for the classes in the other pairs only, and meet in the JVM.
+    """
+    sizes = [classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab"]
+    fits = F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9
+    pairs = materialize(pairs.join(sizes[0], "a").join(sizes[1], "b").where(fits), "near-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     ends = materialize(classes.join(ends, "node").select("node", F.col("key").alias("k"), "least"), "near-ends")
-    few = broadcast_if_small(ends, ends.count())
-    held = rows.join(few, (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("least"))).select("node", "keys")
-    sets = materialize(held.dropDuplicates(["node"]), "near-sets")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            on = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                both = len(np.intersect1d(x, y, assume_unique=True)) if min(len(x), len(y)) >= least * max(len(x), len(y)) - 1e-9 else 0
-                on.append(both >= least * (len(x) + len(y) - both) - 1e-9)
-            yield b.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
-
+    sets = materialize(_sets(docs, broadcast_if_small(ends, ends.count()), width), "near-sets")
     one, two = sets.select(F.col("node").alias("a"), F.col("keys").alias("ka")), sets.select(F.col("node").alias("b"), F.col("keys").alias("kb"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "ka", "kb").mapInArrow(run, "a long, b long")
+    both = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("ka", "kb")))
+    return both.where(F.col("both") >= least * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 32, split: int = 16_384) -> DataFrame:
@@ -454,7 +466,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
 
     Rows with equal sets form a class, so copies cost one entry. Classes go to shards by sampled bits of a
     128-bit SimHash of the set; the number of bits and of samples follows from the number of classes, so that
-    a shard keeps its size and a pair at 0.8 shares a shard with a chance of 0.999 (more above). Shards
+    a shard keeps its size and a pair at 0.8 shares a shard with a chance of 0.99 (more above). Shards
     over ``split`` rows are dealt again by further bits. Each shard is a Burkhard-Keller tree. Round one checks
     each class against its least neighbour in each shard, exactly, on the sets; round two checks all
     pairs within ``radius`` bits that are not yet connected. So every link that counts was checked, a
@@ -463,8 +475,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
     Null and empty texts have the empty set and form one class; rows with a null doc_id take no part;
     repeated rows come back each; an empty table gives an empty table.
     """
-    rows = materialize(profiles(docs.where("doc_id is not null"), width), "near-profiles")
-    classes = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("f0").alias("f0"), F.first("f1").alias("f1"))
+    docs = docs.where("doc_id is not null").select("doc_id", "text")
+    rows = materialize(profiles(docs, width), "near-profiles")
+    classes = rows.groupBy("key").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "f0", "f1")])
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     bits, tables = sampling(classes.count())
 
@@ -479,11 +492,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
     hot = materialize(counted.where(F.col("count") > split).select("shard"), "near-hot")
     n_hot = hot.count()
     first = materialize(_candidates(dealt(plain), radius, False), "near-first")
-    links = materialize(_verified(first, rows, classes, least), "near-links")
+    links = materialize(_verified(first, docs, classes, width, least), "near-links")
     found = connected_components(links)
     labelled = materialize(classes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "f0", "f1"), "near-labels")
     second = materialize(_candidates(dealt(labelled), radius, True).join(first, ["a", "b"], "left_anti"), "near-second")
-    more = materialize(_verified(second, rows, classes, least), "near-links")
+    more = materialize(_verified(second, docs, classes, width, least), "near-links")
     found = connected_components(links.unionByName(more))
     rooted = classes.join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "least")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
