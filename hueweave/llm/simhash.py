@@ -362,19 +362,30 @@ def _near_in_blocks(trees: WideTrees, queries: np.ndarray, radius: int, pairs: i
         at = stop
 
 
+def _hubs(fp: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """For rows sorted by shard: the row of their shard that is closest to the shard's bitwise majority, the first of several."""
+    root = _roots(shard)
+    first = np.flatnonzero(root == np.arange(len(root)))
+    size = np.diff(np.append(first, len(root)))
+    ones = np.add.reduceat(np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(-1, WIDE // 8), axis=1), first, axis=0, dtype=np.int32)
+    middle = np.packbits(2 * ones > size[:, None], axis=1).view("<u8")
+    off = np.bitwise_count(fp ^ np.repeat(middle, size, axis=0)).sum(axis=1, dtype=np.int64)
+    return np.repeat(np.lexsort((off, root))[first], size)
+
+
 def least_neighbours(node: np.ndarray, fp: np.ndarray, shard: np.ndarray, radius: int, passes: int = 4) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For rows by (shard, node): pairs (row's node, least node near it in its shard).
+    """For rows by (shard, node): pairs of each row and a hub, or the least node, near it in its shard; the greater node first.
 
-    In each pass a shard's first row takes all rows near it, and these leave; so a large family
-    costs one comparison a row. What remains goes into trees.
+    In each pass a shard's middle row takes all rows near it, and these leave; so a large family
+    costs one comparison a row, against the member most like the rest. What remains goes into trees.
     """
     for _ in range(passes):
         if not len(node):
             return
-        root = _roots(shard)
-        near = np.bitwise_count(fp ^ fp[root]).sum(axis=1, dtype=np.int64) <= radius
-        on = near & (np.arange(len(node)) != root)
-        yield node[on], node[root[on]]
+        hub = _hubs(fp, shard)
+        near = np.bitwise_count(fp ^ fp[hub]).sum(axis=1, dtype=np.int64) <= radius
+        on = near & (np.arange(len(node)) != hub)
+        yield np.maximum(node[on], node[hub[on]]), np.minimum(node[on], node[hub[on]])
         node, fp, shard = node[~near], fp[~near], shard[~near]
     if len(node):
         trees = WideTrees(fp, _roots(shard))
@@ -386,8 +397,8 @@ def least_neighbours(node: np.ndarray, fp: np.ndarray, shard: np.ndarray, radius
                 yield node[q[first]], node[at[first]]
 
 
-def crossing_pairs(node: np.ndarray, label: np.ndarray, fp: np.ndarray, shard: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For rows sorted by shard: all near pairs of rows with different labels.
+def crossing_pairs(node: np.ndarray, label: np.ndarray, fp: np.ndarray, shard: np.ndarray, radius: int, ends: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For rows sorted by shard: all near pairs of rows with different labels, or the rows that have one (twice, as a pair).
 
     The commonest label's rows stand first in their shard and are not queried, as they never pair among themselves.
     """
@@ -406,13 +417,17 @@ def crossing_pairs(node: np.ndarray, label: np.ndarray, fp: np.ndarray, shard: n
     if not len(node):
         return
     root = _roots(shard)
-    for q, at in _near_in_blocks(WideTrees(fp, root), np.flatnonzero(label != label[root]), radius):
+    trees = WideTrees(fp, root)
+    for q, at in _near_in_blocks(trees, np.flatnonzero(label != label[root]), radius):
         on = label[q] != label[at]
-        yield np.maximum(node[q[on]], node[at[on]]), np.minimum(node[q[on]], node[at[on]])
+        q, at = q[on], at[on]
+        if ends:
+            q = at = np.unique(np.concatenate([q, at]))
+        yield np.maximum(node[q], node[at]), np.minimum(node[q], node[at])
 
 
-def _candidates(dealt: DataFrame, radius: int, crossing: bool, per_task: int = 200_000) -> DataFrame:
-    """Distinct pairs (a, b), b the smaller node, that a shard's tree finds near."""
+def _candidates(dealt: DataFrame, radius: int, crossing: str = "", per_task: int = 200_000) -> DataFrame:
+    """Distinct pairs (a, b), b the smaller node, that a shard's tree finds near: with hubs, of different labels ("pairs"), or rows that have one ("ends")."""
 
     def search(fps: list, shards: list, nodes: list, labels: list, last: bool) -> tuple[Iterator, int]:
         shard = np.concatenate(shards)
@@ -423,7 +438,7 @@ def _candidates(dealt: DataFrame, radius: int, crossing: bool, per_task: int = 2
         if not stop:
             return iter(()), len(shard)
         args = (fp[:stop].view(np.uint64), shard[:stop], radius)
-        return (crossing_pairs(node[:stop], label[:stop], *args) if crossing else least_neighbours(node[:stop], *args)), len(shard) - stop
+        return (crossing_pairs(node[:stop], label[:stop], *args, crossing == "ends") if crossing else least_neighbours(node[:stop], *args)), len(shard) - stop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fps, shards, nodes, labels, held = [], [], [], [], 0
@@ -444,6 +459,18 @@ def _candidates(dealt: DataFrame, radius: int, crossing: bool, per_task: int = 2
     return dealt.repartition(n, "shard").sortWithinPartitions("shard", "node").mapInArrow(run, "a long, b long").distinct()
 
 
+def _able(ends: DataFrame, docs: DataFrame, classes: DataFrame, width: int, least: float) -> DataFrame:
+    """Those of the nodes that may reach this similarity with another of them.
+
+    Of a set's n shingles, u are in no other of these sets, so no similarity is over (n - u) / n.
+    """
+    held = materialize(classes.join(ends, "node").select("node", F.col("key").alias("k"), "least", "n"), "near-ends")
+    sets = _sets(docs, broadcast_if_small(held, held.count()), width)
+    own = sets.select("node", F.explode("keys").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("holders"), F.min("node").alias("node")).where("holders = 1")
+    own = own.groupBy("node").agg(F.count("*").alias("own"))
+    return held.join(own, "node", "left").where(F.col("n") - F.coalesce("own", F.lit(0)) >= least * F.col("n") - 1e-9).select("node")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs whose shingle sets have at least this Jaccard similarity.
 
@@ -468,8 +495,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
     128-bit SimHash of the set; the number of bits and of samples follows from the number of classes, so that
     a shard keeps its size and a pair at 0.8 shares a shard with a chance of 0.99 (more above). Shards
     over ``split`` rows are dealt again by further bits. Each shard is a Burkhard-Keller tree. Round one checks
-    each class against its least neighbour in each shard, exactly, on the sets; round two checks all
-    pairs within ``radius`` bits that are not yet connected. So every link that counts was checked, a
+    each class against a hub or its least neighbour in each shard, exactly, on the sets; round two finds the
+    classes with a row within ``radius`` bits that they are not connected with, leaves out those that hold too
+    many shingles of their own to reach ``least`` with any class (no estimate: a bound), and checks all such pairs of the rest. So every link that counts was checked, a
     family is not expanded into all its pairs, and no pair that a shard holds goes unchecked.
 
     Null and empty texts have the empty set and form one class; rows with a null doc_id take no part;
@@ -491,11 +519,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
     counted = _dealt(plain.select("node", "label", "f0", "f1", F.lit(0).cast("long").alias("base")), bits, tables, 1).groupBy("shard").count()
     hot = materialize(counted.where(F.col("count") > split).select("shard"), "near-hot")
     n_hot = hot.count()
-    first = materialize(_candidates(dealt(plain), radius, False), "near-first")
+    first = materialize(_candidates(dealt(plain), radius), "near-first")
     links = materialize(_verified(first, docs, classes, width, least), "near-links")
     found = connected_components(links)
     labelled = materialize(classes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "f0", "f1"), "near-labels")
-    second = materialize(_candidates(dealt(labelled), radius, True).join(first, ["a", "b"], "left_anti"), "near-second")
+    ends = materialize(_candidates(dealt(labelled), radius, "ends").select(F.col("a").alias("node")), "near-apart")
+    able = materialize(_able(ends, docs, classes, width, least), "near-able")
+    second = materialize(_candidates(dealt(labelled.join(able, "node", "left_semi")), radius, "pairs").join(first, ["a", "b"], "left_anti"), "near-second")
     more = materialize(_verified(second, docs, classes, width, least), "near-links")
     found = connected_components(links.unionByName(more))
     rooted = classes.join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "least")
