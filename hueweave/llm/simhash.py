@@ -243,23 +243,59 @@ def _set_key(keys: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(keys.astype("<u8").tobytes())
 
 
-def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, key, n, f0, f1) of every row: a 128-bit key of its shingle set, the set's size, and its fingerprint."""
-    names = ["doc_id", "key", "n", "f0", "f1"]
+def common_shingles(docs: DataFrame, width: int, few: int = 20_000, share: int = 16, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many rows hold, ascending, and how many do; of a share of the rows if there are more than ``few``.
+
+    They only order shingles, rare ones first: what is not among them costs time, not results.
+    """
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0) if docs.count() > few else docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, key, n = np.zeros((b.num_rows, 2), np.uint64), [], []
-            for i, x in enumerate(pc.fill_null(b.column(1), b"")):
-                keys = shingle_set(x.as_py(), width)
-                fp[i] = wide_fingerprint(keys)
-                key.append(_set_key(keys))
-                n.append(len(keys))
-            fp = fp.view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(fp[:, 0]), pa.array(fp[:, 1])], names)
+            for x in pc.fill_null(b.column(0), b""):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py(), width).view(np.int64))], ["shingle"])
+
+    counted = some.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 2")
+    top = counted.orderBy(F.desc("count"), "shingle").limit(most).toArrow()
+    shingle, count = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
+    order = np.argsort(shingle)
+    return shingle[order], count[order]
+
+
+def prefix(keys: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The set's first shingles, rare ones first: two sets of similarity ``least`` or more have one of these in common.
+
+    They share at least ceil(least * n) of each one's n shingles, so not all of the n - ceil(least * n) + 1 first are unshared.
+    """
+    shingle, count = common
+    seen = np.zeros(len(keys), np.int64)
+    if len(shingle):
+        at = np.minimum(np.searchsorted(shingle, keys), len(shingle) - 1)
+        seen = np.where(shingle[at] == keys, count[at], 0)
+    return keys[np.lexsort((keys, seen))][: len(keys) - int(np.ceil(least * len(keys) - 1e-9)) + 1]
+
+
+def profiles(docs: DataFrame, width: int, least: float) -> DataFrame:
+    """(doc_id, key, n, f0, f1, prefix) of every row: a 128-bit key of its shingle set, the set's size, fingerprint and prefix."""
+    names = ["doc_id", "key", "n", "f0", "f1", "prefix"]
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                b = whole.slice(at, 1000)
+                fp, key, n, first = np.zeros((b.num_rows, 2), np.uint64), [], [], []
+                for i, x in enumerate(pc.fill_null(b.column(1), b"")):
+                    keys = shingle_set(x.as_py(), width)
+                    fp[i] = wide_fingerprint(keys)
+                    key.append(_set_key(keys))
+                    n.append(len(keys))
+                    first.append(prefix(keys, common.value, least).view(np.int64))
+                fp = fp.view(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(first, pa.list_(pa.int64()))], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, key binary, n long, f0 long, f1 long")
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, key binary, n long, f0 long, f1 long, prefix array<long>")
 
 
 def _sets(docs: DataFrame, ends: DataFrame, width: int) -> DataFrame:
@@ -281,7 +317,7 @@ def _sets(docs: DataFrame, ends: DataFrame, width: int) -> DataFrame:
 
 
 def sampling(classes: int, fill: int = 256, recall: float = 0.99) -> tuple[int, int]:
-    """(bits, tables): a shard holds about ``fill`` unrelated classes, and a pair of similarity 0.8 shares one with this chance."""
+    """(bits, tables): a shard holds about ``fill`` unrelated classes; ``recall`` is the chance that a pair of similarity 0.8 shares one, were the tables independent."""
     bits = min(30, max(6, int(np.ceil(np.log2(max(1, classes) / fill)))))
     return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - APART) ** bits)))
 
@@ -426,49 +462,97 @@ def crossing_pairs(node: np.ndarray, label: np.ndarray, fp: np.ndarray, shard: n
         yield np.maximum(node[q], node[at]), np.minimum(node[q], node[at])
 
 
-def _candidates(dealt: DataFrame, radius: int, crossing: str = "", per_task: int = 200_000) -> DataFrame:
-    """Distinct pairs (a, b), b the smaller node, that a shard's tree finds near: with hubs, of different labels ("pairs"), or rows that have one ("ends")."""
+def _candidates(dealt: DataFrame, radius: int, per_task: int = 200_000) -> DataFrame:
+    """Distinct pairs (a, b), b the smaller node, that a shard finds near: a row and a hub, or its least neighbour."""
 
-    def search(fps: list, shards: list, nodes: list, labels: list, last: bool) -> tuple[Iterator, int]:
+    def search(fps: list, shards: list, nodes: list, last: bool) -> tuple[Iterator, int]:
         shard = np.concatenate(shards)
         stop = len(shard) if last else int(np.searchsorted(shard, shard[-1]))  # the last shard may go on
-        node, label, fp = np.concatenate(nodes), np.concatenate(labels), np.concatenate(fps)
-        for x, v in ((shards, shard), (nodes, node), (labels, label), (fps, fp)):
+        node, fp = np.concatenate(nodes), np.concatenate(fps)
+        for x, v in ((shards, shard), (nodes, node), (fps, fp)):
             x[:] = [v[stop:]]
         if not stop:
             return iter(()), len(shard)
-        args = (fp[:stop].view(np.uint64), shard[:stop], radius)
-        return (crossing_pairs(node[:stop], label[:stop], *args, crossing == "ends") if crossing else least_neighbours(node[:stop], *args)), len(shard) - stop
+        return least_neighbours(node[:stop], fp[:stop].view(np.uint64), shard[:stop], radius), len(shard) - stop
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fps, shards, nodes, labels, held = [], [], [], [], 0
+        fps, shards, nodes, held = [], [], [], 0
         out = lambda found: (pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]) for a, b in found if len(a))
         for b in batches:
             if b.num_rows:
-                for x, c in ((nodes, 0), (labels, 1), (shards, 4)):
+                for x, c in ((nodes, 0), (shards, 4)):
                     x.append(b.column(c).to_numpy())
                 fps.append(np.stack([b.column(2).to_numpy(), b.column(3).to_numpy()], axis=1))
                 held += b.num_rows
                 if held >= per_task:
-                    found, held = search(fps, shards, nodes, labels, False)
+                    found, held = search(fps, shards, nodes, False)
                     yield from out(found)
         if held:
-            yield from out(search(fps, shards, nodes, labels, True)[0])
+            yield from out(search(fps, shards, nodes, True)[0])
 
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(n, "shard").sortWithinPartitions("shard", "node").mapInArrow(run, "a long, b long").distinct()
 
 
-def _able(ends: DataFrame, docs: DataFrame, classes: DataFrame, width: int, least: float) -> DataFrame:
-    """Those of the nodes that may reach this similarity with another of them.
+def sharing_pairs(node: np.ndarray, label: np.ndarray, n: np.ndarray, at: np.ndarray, shingle: np.ndarray, least: float, pairs: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For rows by (shingle, n), a shingle of a node's prefix and its place there: pairs of different labels, the greater node first.
 
-    Of a set's n shingles, u are in no other of these sets, so no similarity is over (n - u) / n.
+    Left out is what sizes forbid, and what shares too little even if this shingle is the first in common
+    and all after it are: at the first one in common no pair of similarity ``least`` is left out.
     """
-    held = materialize(classes.join(ends, "node").select("node", F.col("key").alias("k"), "least", "n"), "near-ends")
-    sets = _sets(docs, broadcast_if_small(held, held.count()), width)
-    own = sets.select("node", F.explode("keys").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("holders"), F.min("node").alias("node")).where("holders = 1")
-    own = own.groupBy("node").agg(F.count("*").alias("own"))
-    return held.join(own, "node", "left").where(F.col("n") - F.coalesce("own", F.lit(0)) >= least * F.col("n") - 1e-9).select("node")
+    root = _roots(shingle)
+    mixed = np.zeros(len(node), bool)
+    mixed[root[label != label[root]]] = True
+    on = mixed[root]
+    node, label, n, at, shingle = node[on], label[on], n[on], at[on], shingle[on]
+    if not len(node):
+        return
+    root, size = _roots(shingle), int(n.max()) + 1
+    low = np.searchsorted(root * size + n, root * size + np.ceil(least * n - 1e-9).astype(np.int64))
+    many = np.arange(len(node)) - low  # the earlier rows of the shingle that are not too small
+    cost, start = np.cumsum(many), 0
+    while start < len(node):
+        done = int(cost[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(cost, done + pairs, side="right")))
+        k = many[start:stop]
+        q = np.repeat(np.arange(start, stop), k)
+        r = np.repeat(low[start:stop] - np.cumsum(k) + k, k) + np.arange(len(q))
+        need = np.ceil(least / (1 + least) * (n[q] + n[r]) - 1e-9)
+        on = (label[q] != label[r]) & (np.minimum(n[q] - at[q], n[r] - at[r]) >= need)
+        q, r = q[on], r[on]
+        yield np.maximum(node[q], node[r]), np.minimum(node[q], node[r])
+        start = stop
+
+
+def _sharing(held: DataFrame, least: float, per_task: int = 500_000) -> DataFrame:
+    """Distinct pairs (a, b), b the smaller node, that `sharing_pairs` finds among rows (node, label, n, at, shingle)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, rows = [], 0
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal parts, rows
+            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            stop = rows if last else int(np.flatnonzero(cols[4] != cols[4][-1])[-1] + 1) if cols[4][0] != cols[4][-1] else 0
+            if stop:
+                seen = [np.stack(x, axis=1) for x in sharing_pairs(*[c[:stop] for c in cols], least) if len(x[0])]
+                if seen:
+                    found = np.unique(np.concatenate(seen), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+            parts, rows = [[c[stop:] for c in cols]], rows - stop
+
+        for b in batches:
+            if b.num_rows:
+                parts.append([c.to_numpy() for c in b.columns])
+                rows += b.num_rows
+                if rows >= per_task:
+                    yield from flush(False)
+        if rows:
+            yield from flush(True)
+
+    n = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = held.select("node", "label", "n", F.col("at").cast("long").alias("at"), "shingle")
+    return held.repartition(n, "shingle").sortWithinPartitions("shingle", "n").mapInArrow(run, "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, least: float) -> DataFrame:
@@ -491,20 +575,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
     """(doc_id, component_id) of every row with a doc_id: rows are linked where the Jaccard similarity of their
     sets of ``width``-word shingles is at least ``least``.
 
-    Rows with equal sets form a class, so copies cost one entry. Classes go to shards by sampled bits of a
-    128-bit SimHash of the set; the number of bits and of samples follows from the number of classes, so that
-    a shard keeps its size and a pair at 0.8 shares a shard with a chance of 0.99 (more above). Shards
-    over ``split`` rows are dealt again by further bits. Each shard is a Burkhard-Keller tree. Round one checks
-    each class against a hub or its least neighbour in each shard, exactly, on the sets; round two finds the
-    classes with a row within ``radius`` bits that they are not connected with, leaves out those that hold too
-    many shingles of their own to reach ``least`` with any class (no estimate: a bound), and checks all such pairs of the rest. So every link that counts was checked, a
-    family is not expanded into all its pairs, and no pair that a shard holds goes unchecked.
+    Rows with equal sets form a class, so copies cost one entry. Round one joins most of what is near, families
+    above all: classes go to shards by sampled bits of a 128-bit SimHash of the set, shards over ``split`` rows
+    are dealt again by further bits, each shard is a Burkhard-Keller tree, and each class is checked exactly,
+    on the sets, against a hub or its least neighbour within ``radius`` bits. Sampled bits miss some pairs, so
+    round two is complete: of every two similar sets a shingle stands in both prefixes (rare shingles first),
+    and all such pairs that round one did not connect are checked, unless sizes or places rule them out.
 
     Null and empty texts have the empty set and form one class; rows with a null doc_id take no part;
     repeated rows come back each; an empty table gives an empty table.
     """
     docs = docs.where("doc_id is not null").select("doc_id", "text")
-    rows = materialize(profiles(docs, width), "near-profiles")
+    rows = materialize(profiles(docs, width, least), "near-profiles")
     classes = rows.groupBy("key").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "f0", "f1")])
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
     bits, tables = sampling(classes.count())
@@ -522,10 +604,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius:
     first = materialize(_candidates(dealt(plain), radius), "near-first")
     links = materialize(_verified(first, docs, classes, width, least), "near-links")
     found = connected_components(links)
-    labelled = materialize(classes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("label"), "f0", "f1"), "near-labels")
-    ends = materialize(_candidates(dealt(labelled), radius, "ends").select(F.col("a").alias("node")), "near-apart")
-    able = materialize(_able(ends, docs, classes, width, least), "near-able")
-    second = materialize(_candidates(dealt(labelled.join(able, "node", "left_semi")), radius, "pairs").join(first, ["a", "b"], "left_anti"), "near-second")
+    labelled = classes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("label"), F.col("key").alias("k"), "least")
+    held = rows.join(labelled, (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("least"))).select("node", "label", "n", F.posexplode("prefix").alias("at", "shingle"))
+    second = materialize(_sharing(held, least).join(first, ["a", "b"], "left_anti"), "near-second")
     more = materialize(_verified(second, docs, classes, width, least), "near-links")
     found = connected_components(links.unionByName(more))
     rooted = classes.join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "least")

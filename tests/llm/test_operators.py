@@ -203,6 +203,21 @@ def test_near_duplicates(spark, docs, split):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_at_the_threshold_are_complete(spark):
+    r = random.Random(17)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    made = []
+    for pair in range(400):  # 96 shingles each; a changed end of k words leaves (96 - k) / (96 + k), 0.811 with 10
+        words = r.choices(vocabulary, k=100)
+        made += [(2 * pair, " ".join(words)), (2 * pair + 1, " ".join(words[:-10] + r.choices(vocabulary, k=10)))]
+    want = near_brute_force(made)
+    assert len(set(want.values())) == 400
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    assert {tuple(x) for x in simhash.near_duplicates(df).collect()} == set(want.items())
+    few = df.where("doc_id < 100")
+    assert {tuple(x) for x in simhash.near_duplicates(few, radius=0).collect()} == {(i, i - i % 2) for i in range(100)}
+
+
 def test_near_pairs_of_a_shard():
     r = np.random.default_rng(5)
     fp = r.integers(0, 1 << 63, (300, 2)).astype(np.uint64)
