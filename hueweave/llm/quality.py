@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,8 +88,8 @@ def quality_features(docs: DataFrame) -> DataFrame:
     return d.drop(*[c for c in d.columns if c.startswith("_hw_")])
 
 
-def references(features: DataFrame, most: int = 64) -> list[tuple[list[float], list[float]]]:
-    """Class and common-word distributions of each language, over all rows that pass the base rule.
+def references(features: DataFrame, most: int = 64) -> list[tuple[list[float], list[float], str]]:
+    """Class and common-word distributions of each language, and the language, over all rows that pass the base rule.
 
     At most ``most`` languages (those with most words) serve as references; this bounds what
     the driver holds to ``most`` short rows.
@@ -99,7 +101,7 @@ def references(features: DataFrame, most: int = 64) -> list[tuple[list[float], l
         classes = [r[f"classes{i}"] for i in range(len(CLASSES))]
         common = [r[f"common{i}"] for i in range(len(COMMON_WORDS))]
         if sum(classes):
-            out.append(([c / sum(classes) for c in classes], [c / r["total"] for c in common] + [1 - sum(common) / r["total"]]))
+            out.append(([c / sum(classes) for c in classes], [c / r["total"] for c in common] + [1 - sum(common) / r["total"]], r["lang"]))
     return out
 
 
@@ -114,32 +116,54 @@ def _divergence(counts: Column, total: Column, ref: list[float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)))
 
 
+def bare_distance(ref: list[float]) -> float:
+    """Jensen-Shannon distance of a text without any common word to a common-word reference (whose last part is the other words)."""
+    m = (1 + ref[-1]) / 2
+    rest = ref[-1] * math.log2(ref[-1] / m) if ref[-1] else 0.0
+    return math.sqrt(max(0.0, (1 - ref[-1] - math.log2(m) + rest) / 2))
+
+
 def judge(
     features: DataFrame,
-    refs: list[tuple[list[float], list[float]]],
+    refs: list[tuple[list[float], list[float], str]],
     most_class: float = 0.3,
     most_common: float = 0.6,
     least_chars: int = 200,
     least_words: int = 80,
+    bare_share: float = 0.9,
+    least_common: float = 0.05,
 ) -> DataFrame:
     """Add ``class_distance``, ``common_distance`` (to the nearest reference, rounded to 6 places) and ``kept``.
 
     Texts under ``least_chars`` bytes or ``least_words`` words are too short for the
     respective distance, which is then null and rejects nothing; so are all without references.
+
+    A text fails on common words if its distance to each reference is over ``most_common`` or over ``bare_share``
+    of the distance that a text without any common word has to it. References with fewer than ``least_common``
+    common words (languages that the list does not cover) have no such share and count for texts of their language only.
     """
     classes_total = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     common = F.concat(F.col("common"), F.array(F.greatest(F.lit(0).cast("long"), F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x))))
     f = features.withColumns({"_hw_total": classes_total, "_hw_common": common})
     none = F.lit(None).cast("double")
+    enough = (F.col("n_words") >= max(1, least_words)) if refs else F.lit(False)
     least = lambda xs: F.array_min(F.array(*xs)) if xs else none
     f = f.withColumns(
         {
             "class_distance": F.when(F.col("_hw_total") >= least_chars, F.round(least([_divergence(F.col("classes"), F.col("_hw_total"), r[0]) for r in refs]), 6)).otherwise(none),
-            "common_distance": F.when(F.col("n_words") >= least_words, F.round(least([_divergence(F.col("_hw_common"), F.col("n_words"), r[1]) for r in refs]), 6)).otherwise(none),
+            "_hw_away": F.when(enough, F.array(*[_divergence(F.col("_hw_common"), F.col("n_words"), r[1]) for r in refs])) if refs else none,
         }
     )
-    bad = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > most_class) | (F.coalesce(F.col("common_distance"), F.lit(0.0)) > most_common)
-    return f.withColumn("kept", ~F.col("base_failed") & ~bad).drop("_hw_total", "_hw_common")
+    near = F.lit(False)
+    for i, (_, ref, lang) in enumerate(refs):
+        away = F.get("_hw_away", F.lit(i))
+        if 1 - ref[-1] >= least_common:
+            near = near | (away <= min(most_common, bare_share * bare_distance(ref)))
+        else:
+            near = near | ((away <= most_common) & (F.col("lang").isNull() | (F.col("lang") == lang)))
+    f = f.withColumn("common_distance", F.round(F.array_min("_hw_away"), 6) if refs else none)
+    bad = (F.coalesce(F.col("class_distance"), F.lit(0.0)) > most_class) | (enough & ~F.coalesce(near, F.lit(False)))
+    return f.withColumn("kept", ~F.col("base_failed") & ~bad).drop("_hw_total", "_hw_common", "_hw_away")
 
 
 def quality_rules(docs: DataFrame, **thresholds: float) -> DataFrame:
