@@ -85,6 +85,11 @@ class BenchmarkIndex:
             self.sizes[m] = ([x for x, _ in rows], fp, tables, [self.bag(x, y) for x, y in zip(h, w, strict=True)])
         self.most = max(self.sizes, default=0)
         self.few = min(self.sizes, default=0)
+        self.holders: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for m, (_, _, _, bags) in self.sizes.items():
+            for j, bag in enumerate(bags):
+                for x in bag:
+                    self.holders[x].append((m, j))
 
     def weight(self, h: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
@@ -130,11 +135,22 @@ class BenchmarkIndex:
     def find(self, h: np.ndarray, hit: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(item, first word, words, similarity) of the best window for each item that the text holds."""
         best: dict[int, tuple[float, int, int]] = {}
-        for lo, hi in self.regions(hit):
+        if len(h) < self.most:
+            self._whole(h, hit, best)
+        for lo, hi in self.regions(hit) if len(h) >= self.few else []:
             for at in range(lo, max(lo + 1, hi - self.few + 1), 50_000):  # stretches of a very long region, overlapping by a window
                 self._stretch(h[at : min(hi, at + 50_000 + self.most)], hit[at : min(hi, at + 50_000 + self.most)], at, best)
         return [(item, at, m + self.width - 1, s) for item, (s, at, m) in sorted(best.items())]
 
+    def _whole(self, h: np.ndarray, hit: np.ndarray, best: dict[int, tuple[float, int, int]]) -> None:
+        """The whole text as its one window, against all longer items that share a shingle with it, without fingerprints."""
+        bag = self.bag(h, self.weight(h))
+        for m, j in sorted({x for y in set(h[hit].tolist()) for x in self.holders[y] if x[0] > len(h)}):
+            items, _, _, bags = self.sizes[m]
+            s = self.similarity(bag, bags[j])
+            if s >= self.least and (items[j] not in best or s > best[items[j]][0]):
+                best[items[j]] = (s, 0, len(h))
+
     def _stretch(self, h: np.ndarray, hit: np.ndarray, base: int, best: dict[int, tuple[float, int, int]]) -> None:
         w = self.weight(h)
         ones = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(bits(h) * w[:, None], axis=0, dtype=np.int32)])
@@ -166,7 +182,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 3, radius
     Windows as long as an item slide over the text; those whose weighted SimHash is within ``radius`` bits of
     an item's are candidates. Eight byte blocks with up to radius/8 differing bits each find all of these.
     A candidate counts if the weighted Jaccard of its ``width``-word shingles with the item's is at least
-    ``least``. Windows with too few shingles of any item to reach that are not fingerprinted.
+    ``least``. Windows with too few shingles of any item to reach that are not fingerprinted. A text that is
+    shorter than an item is its one window, checked without fingerprints.
 
     Words are compared lower-cased and without punctuation at their ends. Items with fewer than ``width``
     words find nothing. The benchmark is a stated query set: it goes to the tasks in blocks of ``block``
@@ -223,7 +240,7 @@ def matches(x: BenchmarkIndex, text: pa.Array) -> Iterator[tuple[int, list[tuple
         total = np.concatenate([[0], np.cumsum(hit)])
         for i in range(len(part)):
             a, b = int(offsets[i]), int(offsets[i + 1]) - x.width + 1
-            if b - a >= x.few and total[b] > total[a]:
+            if b > a and total[b] > total[a]:
                 rows = x.find(h[a:b], hit[a:b])
                 if rows:
                     yield at + i, rows
