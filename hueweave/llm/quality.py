@@ -136,7 +136,8 @@ def judge(
     """Add ``class_distance``, ``common_distance`` (to the nearest reference, rounded to 6 places) and ``kept``.
 
     Texts under ``least_chars`` bytes or ``least_words`` words are too short for the
-    respective distance, which is then null and rejects nothing; so are all without references.
+    respective distance, which is then null and rejects nothing; so are texts of a language without
+    reference, and all without references. Texts without a language are judged by every reference.
 
     A text fails on common words if its distance to each reference is over ``most_common`` or over ``bare_share``
     of the distance that a text without any common word has to it. References with fewer than ``least_common``
@@ -146,11 +147,12 @@ def judge(
     common = F.concat(F.col("common"), F.array(F.greatest(F.lit(0).cast("long"), F.col("n_words") - F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x))))
     f = features.withColumns({"_hw_total": classes_total, "_hw_common": common})
     none = F.lit(None).cast("double")
-    enough = (F.col("n_words") >= max(1, least_words)) if refs else F.lit(False)
+    known = F.col("lang").isNull() | F.col("lang").isin([r[2] for r in refs])
+    enough = (known & (F.col("n_words") >= max(1, least_words))) if refs else F.lit(False)
     least = lambda xs: F.array_min(F.array(*xs)) if xs else none
     f = f.withColumns(
         {
-            "class_distance": F.when(F.col("_hw_total") >= least_chars, F.round(least([_divergence(F.col("classes"), F.col("_hw_total"), r[0]) for r in refs]), 6)).otherwise(none),
+            "class_distance": F.when(known & (F.col("_hw_total") >= least_chars), F.round(least([_divergence(F.col("classes"), F.col("_hw_total"), r[0]) for r in refs]), 6)).otherwise(none),
             "_hw_away": F.when(enough, F.array(*[_divergence(F.col("_hw_common"), F.col("n_words"), r[1]) for r in refs])) if refs else none,
         }
     )
