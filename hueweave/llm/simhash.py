@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hueweave.operators.components import connected_components
-from hueweave.runtime import broadcast_if_small, materialize
+from hueweave.runtime import broadcast_if_small, discard, materialize
 
 BITS = 64
 
@@ -196,17 +197,16 @@ def simhash_components(docs: DataFrame, width: int = 4, radius: int = 4) -> Data
     classes = materialize(least, "simhash-classes")
     found = connected_components(materialize(links(classes.select("fp"), radius).distinct(), "simhash-links"))
     rooted = classes.join(found, classes.fp == found.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    rooted = materialize(rooted, "simhash-rooted")
+    smallest = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-smallest")  # two scans join, so a large component's rows can be split over tasks
     member = materialize(rooted.join(smallest, "root").select(F.col("fp").alias("f"), "component_id"), "simhash-members")
     out = fps.join(member, fps.fp == member.f)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# Near-duplicates by shingle sets: wider fingerprints, sampled shards, exact check.
+# Near-duplicates by shingle sets: postings of rare shingles as shards, trees of wider fingerprints, exact check.
 
 WIDE = 128
-#: Share of differing bits of two sets at similarity 0.8: the angle of cosine 2s/(1+s), over pi.
-APART = float(np.arccos(1.6 / 1.8) / np.pi)
 
 
 def shingle_set(text: bytes, width: int) -> np.ndarray:
@@ -237,24 +237,36 @@ def wide_fingerprint(keys: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(keys), bitorder="little").view("<u8")
 
 
-def _set_key(keys: np.ndarray) -> bytes:
-    import xxhash
+def bitmap(keys: np.ndarray) -> bytes:
+    """A bit for each shingle at its hash, of a power of two of 2 to 4 times as many bits (64 at least)."""
+    bits = np.zeros(1 << max(6, int(2 * len(keys) - 1).bit_length()), np.uint8)
+    bits[(keys & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
 
-    return xxhash.xxh3_128_digest(keys.astype("<u8").tobytes())
+def most_shared(a: bytes, b: bytes, na: int, nb: int) -> int:
+    """An upper bound of the shingles that two sets of na and nb share: those whose bits both bitmaps hold, and those that share a bit with another."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    while len(x) > len(y):
+        x = x[: len(x) // 2] | x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] | y[len(y) // 2 :]
+    both = int(np.bitwise_count(x & y).sum())
+    return both + min(na - int(np.bitwise_count(x).sum()), nb - int(np.bitwise_count(y).sum()))
 
 
-def common_shingles(docs: DataFrame, width: int, few: int = 20_000, share: int = 16, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many rows hold, ascending, and how many do; of a share of the rows if there are more than ``few``.
+def common_shingles(docs: DataFrame, width: int, share: int = 32, most: int = 200_000) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` commonest shingles of one row in ``share``, ascending, and how many of these rows hold each (3 at least).
 
     They only order shingles, rare ones first: what is not among them costs time, not results.
     """
-    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0) if docs.count() > few else docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for x in pc.fill_null(b.column(0), b""):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(x.as_py(), width).view(np.int64))], ["shingle"])
 
+    some = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(share)) == 0).select("text").distinct()
     counted = some.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 2")
     top = counted.orderBy(F.desc("count"), "shingle").limit(most).toArrow()
     shingle, count = top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()
@@ -275,71 +287,88 @@ def prefix(keys: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float
     return keys[np.lexsort((keys, seen))][: len(keys) - int(np.ceil(least * len(keys) - 1e-9)) + 1]
 
 
-def profiles(docs: DataFrame, width: int, least: float) -> DataFrame:
-    """(doc_id, key, n, f0, f1, prefix) of every row: a 128-bit key of its shingle set, the set's size, fingerprint and prefix."""
-    names = ["doc_id", "key", "n", "f0", "f1", "prefix"]
-    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))
+def profiles(docs: DataFrame, width: int, least: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(h0, h1, doc_id, key, n, f0, f1, bits, prefix) of rows (h0, h1, doc_id, text): a 128-bit key of the words, and the shingle set's size, fingerprint, bitmap and prefix."""
+    import xxhash
+
+    names = ["h0", "h1", "doc_id", "key", "n", "f0", "f1", "bits", "prefix"]
+    shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
-                fp, key, n, first = np.zeros((b.num_rows, 2), np.uint64), [], [], []
-                for i, x in enumerate(pc.fill_null(b.column(1), b"")):
-                    keys = shingle_set(x.as_py(), width)
+                fp, key, n, held, first = np.zeros((b.num_rows, 2), np.uint64), [], [], [], []
+                for i, x in enumerate(pc.fill_null(b.column(3), b"")):
+                    text = x.as_py()
+                    keys = shingle_set(text, width)
                     fp[i] = wide_fingerprint(keys)
-                    key.append(_set_key(keys))
+                    key.append(xxhash.xxh3_128_digest(b" ".join(text.lower().split())))
                     n.append(len(keys))
-                    first.append(prefix(keys, common.value, least).view(np.int64))
+                    held.append(bitmap(keys))
+                    first.append(prefix(keys, shared.value, least).view(np.int64))
                 fp = fp.view(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(first, pa.list_(pa.int64()))], names)
+                yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(3)), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(fp[:, 0]), pa.array(fp[:, 1]), pa.array(held, pa.binary()), pa.array(first, pa.list_(pa.int64()))], names)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, key binary, n long, f0 long, f1 long, prefix array<long>")
+    rows = docs.select("h0", "h1", "doc_id", F.col("text").cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"h0 long, h1 long, doc_id {kind}, key binary, n long, f0 long, f1 long, bits binary, prefix array<long>")
 
 
-def _sets(docs: DataFrame, ends: DataFrame, width: int) -> DataFrame:
-    """(node, keys) for each of the classes (node, k, least): the shingle set of a row with that key."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 500):  # sets are as large as texts
-                part, on, found = b.slice(at, 500), [], []
-                for key, x in zip(part.column(1), pc.fill_null(part.column(2), b""), strict=True):
-                    keys = shingle_set(x.as_py(), width)
-                    on.append(_set_key(keys) == key.as_py())
-                    if on[-1]:
-                        found.append(keys.view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(pa.array(on, pa.bool_())), pa.array(found, pa.list_(pa.int64()))], ["node", "keys"])
+def shared_postings(classes: DataFrame, least: float, often: list[int]) -> DataFrame:
+    """(node, n, at, shingle, many) of the prefix shingles that can connect two classes; ``many`` is their number of rows.
 
-    held = docs.join(ends, F.col("doc_id") == F.col("least")).select("node", "k", F.col("text").cast("binary").alias("text"))
-    return held.mapInArrow(run, "node long, keys array<long>").dropDuplicates(["node"])
-
-
-def sampling(classes: int, fill: int = 256, recall: float = 0.99) -> tuple[int, int]:
-    """(bits, tables): a shard holds about ``fill`` unrelated classes; ``recall`` is the chance that a pair of similarity 0.8 shares one, were the tables independent."""
-    bits = min(30, max(6, int(np.ceil(np.log2(max(1, classes) / fill)))))
-    return bits, int(np.ceil(np.log(1 - recall) / np.log(1 - (1 - APART) ** bits)))
+    Of a pair of similarity ``least``, the smaller set's first common shingle stands among its first
+    n - ceil(2 * least / (1 + least) * n) + 1; a shingle that stands so early in no set, or in one set
+    only, connects nothing. Shingles listed in ``often`` are known to be shared, so their rows, which
+    may be a good part of all, are not brought together for that.
+    """
+    early = F.col("at") <= F.col("n") - F.ceil(F.lit(2 * least / (1 + least)) * F.col("n") - 1e-9)
+    rows = classes.select("node", "n", F.posexplode("prefix").alias("at", "shingle"))
+    every = W.partitionBy("shingle")
+    frequent = F.col("shingle").isin(often) if often else F.lit(False)
+    rare = rows.where(~frequent).withColumns({"many": F.count("*").over(every), "early": F.max(early).over(every)})
+    out = rare.where("many > 1 and early").drop("early")
+    if often:
+        hot = rows.where(frequent)
+        sizes = hot.groupBy("shingle").agg(F.count("*").alias("many"))
+        out = out.unionByName(hot.join(F.broadcast(sizes), "shingle").select(*out.columns))  # a row for each of a short list
+    return out
+
+
+def _shards(rows: DataFrame, keys: list[str], order: list[str], find: Callable[..., Iterator[tuple[np.ndarray, np.ndarray]]], per_task: int = 200_000) -> DataFrame:
+    """Distinct pairs (a, b), b the smaller node, that ``find`` gives for shards: rows with equal ``keys``, in ``order``.
+
+    ``find`` takes the shard's number for each row, and the other columns of ``rows``, all longs.
+    """
+    others = [c for c in rows.columns if c not in keys]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[list[np.ndarray]] = []
+        held = 0
 
-def _dealt(rows: DataFrame, bits: int, tables: int, seed: int) -> DataFrame:
-    """Rows (node, label, f0, f1, base) once in each table; the shard is the table, the base and ``bits`` sampled bits."""
-    picks = [np.random.default_rng([seed, j]).permutation(WIDE)[:bits] for j in range(tables)]
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal parts, held
+            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols[: len(keys)]], axis=0)])
+            stop = held if last else int(np.flatnonzero(new)[-1])  # the last shard may go on
+            found = [np.stack(x, axis=1) for x in find(np.cumsum(new[:stop]), *(c[:stop] for c in cols[len(keys) :])) if len(x[0])] if stop else []
+            if found:
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+            parts, held = [[c[stop:] for c in cols]], held - stop
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                b = batch.slice(at, 4096)
-                fp = np.stack([b.column(2).to_numpy(), b.column(3).to_numpy()], axis=1)
-                bit = np.unpackbits(fp.astype("<i8").view(np.uint8).reshape(-1, WIDE // 8), axis=1, bitorder="little")
-                base = b.column(4).to_numpy().view(np.uint64)
-                for j, pick in enumerate(picks):
-                    own = bit[:, pick].astype(np.uint64) @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
-                    h = (base * np.uint64(0x9E3779B97F4A7C15) + ((np.uint64(j + 1) << np.uint64(32)) | own)) * np.uint64(0xBF58476D1CE4E5B9)
-                    shard = (h ^ (h >> np.uint64(29))).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([*[b.column(c) for c in range(4)], pa.array(shard)], ["node", "label", "f0", "f1", "shard"])
+        for b in batches:
+            if b.num_rows:
+                parts.append([c.to_numpy() for c in b.columns])
+                held += b.num_rows
+                if held >= per_task:
+                    yield from flush(False)
+        if held:
+            yield from flush(True)
 
-    return rows.mapInArrow(run, "node long, label long, f0 long, f1 long, shard long")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select(*keys, *others).repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, "a long, b long").distinct()
 
 
 class WideTrees:
@@ -433,182 +462,153 @@ def least_neighbours(node: np.ndarray, fp: np.ndarray, shard: np.ndarray, radius
                 yield node[q[first]], node[at[first]]
 
 
-def crossing_pairs(node: np.ndarray, label: np.ndarray, fp: np.ndarray, shard: np.ndarray, radius: int, ends: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For rows sorted by shard: all near pairs of rows with different labels, or the rows that have one (twice, as a pair).
-
-    The commonest label's rows stand first in their shard and are not queried, as they never pair among themselves.
-    """
-    order = np.lexsort((label, shard))
-    node, label, fp, shard = node[order], label[order], fp[order], shard[order]
-    new = np.concatenate([[True], (shard[1:] != shard[:-1]) | (label[1:] != label[:-1])])
-    run = np.cumsum(new) - 1
-    many = np.bincount(run)[run]
-    order = np.lexsort((run, -many, shard))
-    node, label, fp, shard = node[order], label[order], fp[order], shard[order]
-    root = _roots(shard)
-    mixed = np.zeros(len(node), bool)
-    mixed[root[label != label[root]]] = True
-    on = mixed[root]  # shards of one label hold nothing
-    node, label, fp, shard = node[on], label[on], fp[on], shard[on]
-    if not len(node):
-        return
-    root = _roots(shard)
-    trees = WideTrees(fp, root)
-    for q, at in _near_in_blocks(trees, np.flatnonzero(label != label[root]), radius):
-        on = label[q] != label[at]
-        q, at = q[on], at[on]
-        if ends:
-            q = at = np.unique(np.concatenate([q, at]))
-        yield np.maximum(node[q], node[at]), np.minimum(node[q], node[at])
-
-
-def _candidates(dealt: DataFrame, radius: int, per_task: int = 200_000) -> DataFrame:
-    """Distinct pairs (a, b), b the smaller node, that a shard finds near: a row and a hub, or its least neighbour."""
-
-    def search(fps: list, shards: list, nodes: list, last: bool) -> tuple[Iterator, int]:
-        shard = np.concatenate(shards)
-        stop = len(shard) if last else int(np.searchsorted(shard, shard[-1]))  # the last shard may go on
-        node, fp = np.concatenate(nodes), np.concatenate(fps)
-        for x, v in ((shards, shard), (nodes, node), (fps, fp)):
-            x[:] = [v[stop:]]
-        if not stop:
-            return iter(()), len(shard)
-        return least_neighbours(node[:stop], fp[:stop].view(np.uint64), shard[:stop], radius), len(shard) - stop
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fps, shards, nodes, held = [], [], [], 0
-        out = lambda found: (pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]) for a, b in found if len(a))
-        for b in batches:
-            if b.num_rows:
-                for x, c in ((nodes, 0), (shards, 4)):
-                    x.append(b.column(c).to_numpy())
-                fps.append(np.stack([b.column(2).to_numpy(), b.column(3).to_numpy()], axis=1))
-                held += b.num_rows
-                if held >= per_task:
-                    found, held = search(fps, shards, nodes, False)
-                    yield from out(found)
-        if held:
-            yield from out(search(fps, shards, nodes, True)[0])
-
-    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(n, "shard").sortWithinPartitions("shard", "node").mapInArrow(run, "a long, b long").distinct()
-
+def crossing_pairs(shard: np.ndarray, node: np.ndarray, label: np.ndarray, n: np.ndarray, at: np.ndarray, major: np.ndarray, first: np.ndarray, least: float, pairs: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For rows by (shard, n), a shingle of a node's prefix and its place there: pairs of different labels, the greater node first.
 
-def sharing_pairs(node: np.ndarray, label: np.ndarray, n: np.ndarray, at: np.ndarray, shingle: np.ndarray, least: float, pairs: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For rows by (shingle, n), a shingle of a node's prefix and its place there: pairs of different labels, the greater node first.
-
-    Left out is what sizes forbid, and what shares too little even if this shingle is the first in common
-    and all after it are: at the first one in common no pair of similarity ``least`` is left out.
+    Rows of the shard's commonest label (``major``) never pair among themselves; pairs of two other rows are
+    looked for only where ``first`` is set. Left out is what sizes forbid, and what shares too little even if
+    this shingle is the first in common and all after it are: at the first one in common no pair of
+    similarity ``least`` is left out.
     """
-    root = _roots(shingle)
-    mixed = np.zeros(len(node), bool)
-    mixed[root[label != label[root]]] = True
-    on = mixed[root]
-    node, label, n, at, shingle = node[on], label[on], n[on], at[on], shingle[on]
-    if not len(node):
-        return
-    root, size = _roots(shingle), int(n.max()) + 1
-    low = np.searchsorted(root * size + n, root * size + np.ceil(least * n - 1e-9).astype(np.int64))
-    many = np.arange(len(node)) - low  # the earlier rows of the shingle that are not too small
+    size, root = int(n.max(initial=0)) + 2, shard.astype(np.int64)
+    place = root * size + n
+    ask = np.flatnonzero(major == 0)
+    low = np.searchsorted(place, root[ask] * size + np.ceil(least * n[ask] - 1e-9).astype(np.int64))
+    high = np.searchsorted(place, root[ask] * size + np.minimum(size - 1, np.floor(n[ask] / least + 1e-9).astype(np.int64)), side="right")
+    many = high - low
     cost, start = np.cumsum(many), 0
-    while start < len(node):
-        done = int(cost[start - 1]) if start else 0
-        stop = max(start + 1, int(np.searchsorted(cost, done + pairs, side="right")))
+    while start < len(ask):
+        stop = max(start + 1, int(np.searchsorted(cost, (int(cost[start - 1]) if start else 0) + pairs, side="right")))
         k = many[start:stop]
-        q = np.repeat(np.arange(start, stop), k)
+        q = np.repeat(ask[start:stop], k)
         r = np.repeat(low[start:stop] - np.cumsum(k) + k, k) + np.arange(len(q))
         need = np.ceil(least / (1 + least) * (n[q] + n[r]) - 1e-9)
-        on = (label[q] != label[r]) & (np.minimum(n[q] - at[q], n[r] - at[r]) >= need)
+        on = (label[q] != label[r]) & ((major[r] == 1) | ((first[q] == 1) & (q < r))) & (np.minimum(n[q] - at[q], n[r] - at[r]) >= need)
         q, r = q[on], r[on]
         yield np.maximum(node[q], node[r]), np.minimum(node[q], node[r])
         start = stop
 
 
-def _sharing(held: DataFrame, least: float, per_task: int = 500_000) -> DataFrame:
-    """Distinct pairs (a, b), b the smaller node, that `sharing_pairs` finds among rows (node, label, n, at, shingle)."""
+def _bounded(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) that can have this similarity by their sizes and bitmaps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, rows = [], 0
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal parts, rows
-            cols = [np.concatenate(x) for x in zip(*parts, strict=True)]
-            stop = rows if last else int(np.flatnonzero(cols[4] != cols[4][-1])[-1] + 1) if cols[4][0] != cols[4][-1] else 0
-            if stop:
-                seen = [np.stack(x, axis=1) for x in sharing_pairs(*[c[:stop] for c in cols], least) if len(x[0])]
-                if seen:
-                    found = np.unique(np.concatenate(seen), axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-            parts, rows = [[c[stop:] for c in cols]], rows - stop
-
         for b in batches:
-            if b.num_rows:
-                parts.append([c.to_numpy() for c in b.columns])
-                rows += b.num_rows
-                if rows >= per_task:
-                    yield from flush(False)
-        if rows:
-            yield from flush(True)
+            need = [least / (1 + least) * (x + y) - 1e-9 for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            on = [most_shared(*x) >= k for k, *x in zip(need, *(b.column(c).to_pylist() for c in (4, 5, 2, 3)), strict=True)]
+            yield b.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
 
-    n = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    held = held.select("node", "label", "n", F.col("at").cast("long").alias("at"), "shingle")
-    return held.repartition(n, "shingle").sortWithinPartitions("shingle", "n").mapInArrow(run, "a long, b long").distinct()
+    one, two = (classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"m{x}")) for x in "ab")
+    both = pairs.join(one, "a").join(two, "b").where(F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9)
+    return both.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs whose shingle sets have at least this Jaccard similarity.
+def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, least: float, few: int = 500_000) -> DataFrame:
+    """The pairs whose shingle sets have at least this Jaccard similarity; sets are made for the classes in the pairs that bitmaps leave only."""
+    pairs = materialize(_bounded(pairs, classes, least), "near-pairs")
+    ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "node")
+    ends = materialize(classes.join(ends, "node").select("node", F.col("least.h0").alias("e0"), F.col("least.h1").alias("e1")), "near-ends")
+    held = docs.join(broadcast_if_small(ends, ends.count(), few), (F.col("h0") == F.col("e0")) & (F.col("h1") == F.col("e1")))
 
-    Sizes alone rule out many; sets are made for the classes in the other pairs only, and meet in the JVM.
-    """
-    sizes = [classes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}")) for x in "ab"]
-    fits = F.least("na", "nb") >= least * F.greatest("na", "nb") - 1e-9
-    pairs = materialize(pairs.join(sizes[0], "a").join(sizes[1], "b").where(fits), "near-pairs")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ends = materialize(classes.join(ends, "node").select("node", F.col("key").alias("k"), "least"), "near-ends")
-    sets = materialize(_sets(docs, broadcast_if_small(ends, ends.count()), width), "near-sets")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):  # sets are as large as texts
+                part = b.slice(at, 500)
+                keys = [shingle_set(x.as_py(), width).view(np.int64) for x in pc.fill_null(part.column(1), b"")]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.list_(pa.int64()))], ["node", "keys"])
+
+    sets = held.select("node", F.col("text").cast("binary").alias("text")).mapInArrow(run, "node long, keys array<long>")
+    sets = materialize(sets.dropDuplicates(["node"]), "near-sets")
     one, two = sets.select(F.col("node").alias("a"), F.col("keys").alias("ka")), sets.select(F.col("node").alias("b"), F.col("keys").alias("kb"))
     both = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("ka", "kb")))
-    return both.where(F.col("both") >= least * (F.col("na") + F.col("nb") - F.col("both")) - 1e-9).select("a", "b")
+    links = materialize(both.where(F.col("both") >= least * (F.size("ka") + F.size("kb") - F.col("both")) - 1e-9).select("a", "b"), "near-links")
+    discard(pairs, ends, sets)
+    return links
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 32, split: int = 16_384) -> DataFrame:
-    """(doc_id, component_id) of every row with a doc_id: rows are linked where the Jaccard similarity of their
-    sets of ``width``-word shingles is at least ``least``.
+def near_groups(docs: DataFrame, width: int = 5, least: float = 0.8, radius: int = 32, chunk: int = 20_000, hot: int = 1_000_000) -> DataFrame:
+    """(h0, h1, doc_id, least) of every row: h0 and h1 hash its doc_id and text, ``least`` is the first row of its group
+    by doc_id (null last) and hashes, as a struct (no_id, doc_id, h0, h1).
 
-    Rows with equal sets form a class, so copies cost one entry. Round one joins most of what is near, families
-    above all: classes go to shards by sampled bits of a 128-bit SimHash of the set, shards over ``split`` rows
-    are dealt again by further bits, each shard is a Burkhard-Keller tree, and each class is checked exactly,
-    on the sets, against a hub or its least neighbour within ``radius`` bits. Sampled bits miss some pairs, so
-    round two is complete: of every two similar sets a shingle stands in both prefixes (rare shingles first),
-    and all such pairs that round one did not connect are checked, unless sizes or places rule them out.
+    Rows are linked where the Jaccard similarity of their sets of ``width``-word shingles is at least ``least``;
+    groups are what links connect. Rows with equal words form a class, so copies cost one entry.
 
-    Null and empty texts have the empty set and form one class; rows with a null doc_id take no part;
-    repeated rows come back each; an empty table gives an empty table.
+    Of every two similar sets a rare shingle stands in both prefixes, so classes that share a prefix shingle form a
+    shard. In round one a shard is a Burkhard-Keller tree of 128-bit SimHash fingerprints, after its middle rows took
+    what is within ``radius`` bits of them: each class is checked exactly, on the sets, against a middle row or its
+    least neighbour. Round two checks all pairs of a shard that round one did not connect, unless sizes, places
+    in the prefixes or bitmaps of the sets rule them out, so the result is complete (up to equal 64-bit keys of different shingles).
+
+    Shards of over ``chunk`` rows are dealt to chunks, twice over in round one; in round two the rows of the
+    commonest group stay in their chunk and only the others go to all of them. Shingles estimated in over ``hot``
+    rows are not brought together at all.
     """
-    docs = docs.where("doc_id is not null").select("doc_id", "text")
-    rows = materialize(profiles(docs, width, least), "near-profiles")
-    classes = rows.groupBy("key").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in ("n", "f0", "f1")])
+    h = lambda seed: F.xxhash64(F.lit(seed), "doc_id", "text")
+    docs = docs.select(h(0).alias("h0"), h(1).alias("h1"), "doc_id", "text")
+    share = 32
+    common = common_shingles(docs, width, share)
+    often = [int(x) for x in common[0][common[1] * share > hot].view(np.int64)]
+    rows = materialize(profiles(docs, width, least, common), "near-profiles")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h0", "h1")
+    classes = rows.groupBy("key").agg(F.min(first).alias("least"), *[F.first(c).alias(c) for c in ("n", "f0", "f1", "bits", "prefix")])
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "near-classes")
-    bits, tables = sampling(classes.count())
-
-    def dealt(labelled: DataFrame) -> DataFrame:
-        once = _dealt(labelled.select("node", "label", "f0", "f1", F.lit(0).cast("long").alias("base")), bits, tables, 1)
-        large = broadcast_if_small(hot, n_hot)
-        again = _dealt(once.join(large, "shard", "left_semi").select("node", "label", "f0", "f1", F.col("shard").alias("base")), 8, 8, 2)
-        return once.join(large, "shard", "left_anti").select(*once.columns).unionByName(again) if n_hot else once
-
-    plain = classes.withColumn("label", F.col("node"))
-    counted = _dealt(plain.select("node", "label", "f0", "f1", F.lit(0).cast("long").alias("base")), bits, tables, 1).groupBy("shard").count()
-    hot = materialize(counted.where(F.col("count") > split).select("shard"), "near-hot")
-    n_hot = hot.count()
-    first = materialize(_candidates(dealt(plain), radius), "near-first")
-    links = materialize(_verified(first, docs, classes, width, least), "near-links")
+    shared = materialize(shared_postings(classes, least, often), "near-postings")
+    chunks = F.ceil(F.col("many") / chunk)
+    dealt = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), chunks)
+
+    marked = shared.join(classes.select("node", "f0", "f1"), "node")
+    once = marked.select("shingle", dealt(1).alias("chunk"), "node", "f0", "f1")
+    again = marked.where(chunks > 1).select("shingle", (-1 - dealt(2)).alias("chunk"), "node", "f0", "f1")
+    near = lambda shard, node, f0, f1: least_neighbours(node, np.stack([f0, f1], axis=1).view(np.uint64), shard, radius)
+    tried = materialize(_shards(once.unionByName(again), ["shingle", "chunk"], ["node"], near), "near-first")
+    links = _verified(tried, docs, classes, width, least)
     found = connected_components(links)
-    labelled = classes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("label"), F.col("key").alias("k"), "least")
-    held = rows.join(labelled, (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("least"))).select("node", "label", "n", F.posexplode("prefix").alias("at", "shingle"))
-    second = materialize(_sharing(held, least).join(first, ["a", "b"], "left_anti"), "near-second")
-    more = materialize(_verified(second, docs, classes, width, least), "near-links")
-    found = connected_components(links.unionByName(more))
-    rooted = classes.join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "least")
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("doc_id", "key").join(rooted.join(smallest, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
+
+    labelled = shared.join(found, "node", "left").withColumn("label", F.coalesce("root", "node"))
+    labelled = materialize(labelled.select("shingle", "node", "label", "n", "at", "many"), "near-labelled")
+    counts = labelled.groupBy("shingle", "label").agg(F.count("*").alias("rows"))
+    mixed = counts.groupBy("shingle").agg(F.count("*").alias("labels"), F.max(F.struct("rows", "label")).alias("top")).where("labels > 1")
+    mixed = materialize(mixed.select(F.col("shingle").alias("s"), F.col("top.label").alias("top")), "near-mixed")
+    held = labelled.join(mixed, F.col("shingle") == F.col("s")).withColumn("major", (F.col("label") == F.col("top")).cast("long"))
+    place = F.when(F.col("major") == 1, F.array(dealt(1))).otherwise(F.sequence(F.lit(0).cast("long"), chunks - 1))
+    held = held.withColumn("chunk", F.explode(place)).select("shingle", "chunk", "node", "label", "n", F.col("at").cast("long").alias("at"), "major", (F.col("chunk") == 0).cast("long").alias("first"))
+    cross = lambda *columns: crossing_pairs(*columns, least)
+    rest = materialize(_shards(held, ["shingle", "chunk"], ["n"], cross).join(tried, ["a", "b"], "left_anti"), "near-rest")
+    if not rest.isEmpty():
+        more = _verified(rest, docs, classes, width, least)
+        if not more.isEmpty():
+            found = connected_components(links.unionByName(more))
+    rooted = materialize(classes.select("key", "least", "node").join(found, "node", "left").select("key", F.coalesce("root", "node").alias("root"), "least"), "near-rooted")
+    smallest = materialize(rooted.groupBy("root").agg(F.min("least").alias("group")), "near-smallest")
+    member = materialize(rooted.join(smallest, "root").select(F.col("key").alias("k"), "group"), "near-members")
+    discard(classes, shared, tried, links, labelled, mixed, rest, rooted, smallest)
+    return rows.select("h0", "h1", "doc_id", "key").join(member, F.col("key") == F.col("k")).select("h0", "h1", "doc_id", F.col("group").alias("least"))
+
+
+def near_duplicates(docs: DataFrame, **options: float) -> DataFrame:
+    """(doc_id, component_id) of every row: the smallest doc_id of its group of near-duplicates (see ``near_groups``), null if no row of it has one.
+
+    Null and empty texts have the empty set and form one group; rows of one doc_id with different texts are rows
+    of their own; repeated rows come back each; an empty table gives an empty table; other columns are not read.
+    """
+    return near_groups(docs, **options).select("doc_id", F.col("least.doc_id").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, few: int = 500_000, **options: float) -> DataFrame:
+    """The first row of each group of near-duplicates (see ``near_groups``), with all its columns.
+
+    First is by doc_id, null last, then by hashes of doc_id and text; of rows that repeat both, the least by their
+    other columns stays. Rows without doc_id are grouped like any other. An empty table gives an empty table.
+    """
+    groups = near_groups(docs, **options)
+    kept = (F.col("h0") == F.col("least.h0")) & (F.col("h1") == F.col("least.h1"))
+    rows = groups.groupBy("h0", "h1").agg(F.first(kept).alias("kept"), F.count("*").alias("many"))
+    marks = materialize(rows.where("not kept or many > 1").select(F.col("h0").alias("_hw_h0"), F.col("h1").alias("_hw_h1"), "kept"), "near-dropped")
+    n = marks.count()
+    h = lambda seed: F.xxhash64(F.lit(seed), "doc_id", "text")
+    on = (h(0) == F.col("_hw_h0")) & (h(1) == F.col("_hw_h1"))
+    out = docs.join(broadcast_if_small(marks, n, few), on, "left_anti")
+    repeated = docs.join(broadcast_if_small(marks.where("kept"), n, few), on, "left_semi")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    once = repeated.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_hw_o")).select("doc_id", "text", "_hw_o.*") if others else repeated.distinct()
+    return out.unionByName(once)

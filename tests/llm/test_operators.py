@@ -213,8 +213,8 @@ def near_brute_force(rows, width=5, least=0.8):
     return label
 
 
-@pytest.mark.parametrize("split", [16_384, 8])
-def test_near_duplicates(spark, docs, split):
+@pytest.mark.parametrize("chunk", [20_000, 3])
+def test_near_duplicates(spark, docs, chunk):
     r = random.Random(11)
     vocabulary = [f"w{i}" for i in range(3000)]
     made, i = [], 1000
@@ -229,16 +229,36 @@ def test_near_duplicates(spark, docs, split):
     for tail in range(3):  # the same line over and over, and different ends: sets differ though most shingles repeat
         made.append((i, "all work and no play makes a dull day " * 60 + " ".join(r.choices(vocabulary, k=60))))
         i += 1
+    passage = r.choices(vocabulary, k=120)
+    for tail in (4, 6, 40, 40, 60):  # one passage, own ends of several lengths
+        made.append((i, " ".join([*passage, *r.choices(vocabulary, k=tail)])))
+        i += 1
     df = docs.unionByName(spark.createDataFrame(made, "doc_id long, text string"), allowMissingColumns=True)
-    got = [tuple(x) for x in simhash.near_duplicates(df, split=split).collect()]
-    rows = [(x["doc_id"], x["text"]) for x in df.select("doc_id", "text").where("doc_id is not null").collect()]
-    assert sorted(x for x, _ in got) == sorted(x for x, _ in rows)
-    want = near_brute_force(rows)
+    got = [tuple(x) for x in simhash.near_duplicates(df, chunk=chunk).collect()]
+    rows = [(x["doc_id"], x["text"]) for x in df.select("doc_id", "text").collect()]
+    assert sorted(map(str, (x for x, _ in got))) == sorted(map(str, (x for x, _ in rows)))
+    want = near_brute_force([x for x in rows if x[0] is not None])
     assert len(set(want.values())) < len(want) - 20  # the fixture holds families
-    assert set(got) == set(want.items())
+    assert {x for x in got if x[0] is not None} == set(want.items())
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_and_not_ids_are_deduplicated(spark):
+    r = random.Random(5)
+    texts = [" ".join(r.choices([f"w{i}" for i in range(500)], k=80)) for _ in range(4)]
+    near = texts[0] + " more"
+    rows = [(1, texts[0]), (1, texts[1]), (1, near), (2, near.upper()), (None, texts[2]), (None, texts[2] + " end"), (None, texts[0]), (3, texts[3]), (3, texts[3]), (4, None), (5, " "), (None, "")]
+    df = spark.createDataFrame([(a, b, c) for c, (a, b) in enumerate(rows)], "doc_id long, text string, place long")
+    got = sorted(tuple(x) for x in simhash.drop_near_duplicates(df).select("place").collect())
+    assert len(got) == 5
+    one = {0, 2, 3, 6} & {x for (x,) in got}  # of doc_id 1 the two similar rows tie; one of them stays
+    assert len(one) == 1 and one < {0, 2}
+    assert {x for (x,) in got} - one - {4, 5} == {1, 7, 9} and len({x for (x,) in got} & {4, 5}) == 1
+    assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
+    clash = df.withColumns({"least": F.lit("l"), "kept": F.lit("k"), "h0": F.lit(1), "node": F.lit(2)})
+    assert sorted(tuple(x) for x in simhash.drop_near_duplicates(clash).select("place").collect()) == got
+
+
 def test_near_duplicates_at_the_threshold_are_complete(spark):
     r = random.Random(17)
     vocabulary = [f"w{i}" for i in range(5000)]
@@ -254,19 +274,31 @@ def test_near_duplicates_at_the_threshold_are_complete(spark):
     assert {tuple(x) for x in simhash.near_duplicates(few, radius=0).collect()} == {(i, i - i % 2) for i in range(100)}
 
 
-def test_near_pairs_of_a_shard():
+def test_bitmaps_bound_what_sets_share():
+    r = np.random.default_rng(7)
+    for na, nb, both in [(1, 1, 0), (1, 1, 1), (40, 50, 30), (300, 310, 290), (300, 600, 100), (5000, 4100, 4000)]:
+        keys = np.unique(r.integers(0, 1 << 63, na + nb - both, dtype=np.uint64))
+        a, b = keys[:na], keys[na - both :]
+        assert both <= simhash.most_shared(simhash.bitmap(a), simhash.bitmap(b), len(a), len(b)) <= both + 0.4 * min(na, nb)
+
+
+def test_pairs_of_a_shard():
     r = np.random.default_rng(5)
     fp = r.integers(0, 1 << 63, (300, 2)).astype(np.uint64)
     fp[100:] = fp[r.integers(0, 100, 200)] ^ (np.uint64(1) << r.integers(0, 64, (200, 2)).astype(np.uint64))
     node, shard = np.arange(300) + 7, np.sort(r.integers(0, 3, 300))
-    label = r.integers(0, 40, 300)
     near = lambda a, b: shard[a] == shard[b] and int(np.bitwise_count(fp[a] ^ fp[b]).sum()) <= 6
     pairs = {(a + 7, b + 7) for a in range(300) for b in range(a) if near(a, b)}
-    crossing = [(int(x), int(y)) for a, b in simhash.crossing_pairs(node, label, fp, shard, 6) for x, y in zip(a, b)]
-    assert sorted(crossing) == sorted((a, b) for a, b in pairs if label[a - 7] != label[b - 7])
     least = {(int(x), int(y)) for a, b in simhash.least_neighbours(node, fp, shard, 6, 0) for x, y in zip(a, b)}
     assert least == {(a, min(b for x, b in pairs if x == a)) for a, _ in pairs}
     assert {(int(x), int(y)) for a, b in simhash.least_neighbours(node, fp, shard, 6) for x, y in zip(a, b)} <= pairs
+    label, n, at = r.integers(0, 8, 300), r.integers(20, 60, 300), r.integers(0, 9, 300)
+    order = np.lexsort((n, shard))
+    shard, label, n, at, major = shard[order], label[order], n[order], at[order], (label[order] == 0).astype(np.int64)
+    fits = lambda i, j: shard[i] == shard[j] and label[i] != label[j] and min(n[i], n[j]) >= 0.8 * max(n[i], n[j]) and 9 * min(n[i] - at[i], n[j] - at[j]) >= 4 * (n[i] + n[j])
+    want = {(i, j) for i in range(300) for j in range(i) if fits(i, j)}
+    found = [(int(x), int(y)) for a, b in simhash.crossing_pairs(shard, np.arange(300), label, n, at, major, np.ones(300, np.int64), 0.8, 500) for x, y in zip(a, b)]
+    assert set(found) == want
 
 
 def test_secrets(spark, docs):
