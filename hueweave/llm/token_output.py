@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import string
 import zlib
@@ -59,62 +60,47 @@ class Grammar:
         return self.expand(self.symbols[a : b + 1])[skip : skip + stop - start]
 
 
-def repair(ids: np.ndarray, first: int, rounds: int = 3, per_round: int = 2048, least: int = 8) -> Grammar:
-    """Replace frequent pairs of adjacent symbols by rules, the most frequent ``per_round`` of a round together.
+def repair(ids: np.ndarray, first: int, least: int = 8) -> Grammar:
+    """Replace frequent pairs of adjacent symbols by rules until no pair is seen ``least`` times or more.
 
-    A round counts all pairs, makes rules of those seen at least ``least`` times (most frequent first,
-    the lower pair of equals), and replaces their occurrences from left to right without overlap. It ends
-    when no pair is frequent or after ``rounds``.
+    A round counts all pairs, makes a rule of each frequent one, and replaces their occurrences from left to
+    right without overlap. Of pairs that share a slot of the lookup table the most frequent is replaced; the others
+    wait for the next round, and so does a pair whose every occurrence overlaps another's.
     """
     seq = ids.astype(np.uint32)
-    rules: list[np.ndarray] = []
-    sizes = np.zeros(0, np.int64)
-    for _ in range(rounds):
-        made = sum(map(len, rules))
-        small = first + made + per_round <= 1 << 16
-        if len(seq) < 2:
-            break
-        code = (seq[:-1] << np.uint32(16)) | seq[1:] if small else (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
+    rules = [np.zeros((0, 2), np.uint32)]
+    sizes = np.ones(first, np.int64)
+    while len(seq) > 1:
+        shift = 16 if len(sizes) <= 1 << 16 else 32
+        word = np.uint32 if shift == 16 else np.uint64
+        code = (seq[:-1].astype(word) << word(shift)) | seq[1:]
         ranked = np.sort(code)
-        edge = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-        count = np.diff(np.append(edge, len(ranked)))
+        edge = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1], [True]]))
+        count = np.diff(edge)
         often = np.flatnonzero(count >= least)
         if not len(often):
             break
-        if len(often) > per_round:
-            often = often[np.argsort(-count[often], kind="stable")[:per_round]]
-        else:
-            often = often[np.argsort(-count[often], kind="stable")]
         pairs = ranked[edge[often]]
-        shift = 16 if small else 32
-        left, right = (pairs >> pairs.dtype.type(shift)).astype(np.int64), (pairs & pairs.dtype.type((1 << shift) - 1)).astype(np.int64)
-        top = first + made
-        slots = (pairs * pairs.dtype.type(0x9E3779B1)) >> pairs.dtype.type(8 * pairs.itemsize - 20)
-        slots, lone = np.unique(slots, return_index=True)  # of pairs that share a slot the most frequent is replaced
-        lone = np.sort(lone)
-        pairs, left, right = pairs[lone], left[lone], right[lone]
-        slots = (pairs * pairs.dtype.type(0x9E3779B1)) >> pairs.dtype.type(8 * pairs.itemsize - 20)
-        owner, key = np.zeros(1 << 20, np.int32), np.zeros(1 << 20, pairs.dtype)
-        owner[slots], key[slots] = np.arange(len(pairs)), pairs
-        taken = np.zeros(1 << 20, bool)
-        taken[slots] = True
-        place = (code * code.dtype.type(0x9E3779B1)) >> code.dtype.type(8 * code.itemsize - 20)
-        at = np.flatnonzero((key[place] == code) & taken[place])
-        rule = owner[place[at]]
-        if not len(at):
-            break
+        bits = min(22, max(16, int(4 * len(pairs)).bit_length()))
+        slot = lambda x: (x * word(0x9E3779B97F4A7C15 & ((1 << 2 * shift) - 1))) >> word(2 * shift - bits)  # noqa: B023, E731
+        rising = np.argsort(count[often], kind="stable")  # the most frequent of a slot is written last
+        owner = np.full(1 << bits, -1, np.int64)
+        owner[slot(pairs)[rising]] = rising
+        rule = owner[slot(code)]
+        at = np.flatnonzero(rule >= 0)
+        at = at[pairs[rule[at]] == code[at]]
         fresh = np.concatenate([[True], at[1:] != at[:-1] + 1])
         run = at[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        even = (at - run) % 2 == 0  # of overlapping pairs every other one
-        at, rule = at[even], rule[even]
+        at = at[(at - run) % 2 == 0]  # of overlapping pairs every other one
+        used, name = np.unique(rule[at], return_inverse=True)
+        left, right = (pairs[used] >> word(shift)).astype(np.int64), (pairs[used] & word((1 << shift) - 1)).astype(np.int64)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq[at] = (rule + top).astype(np.uint32)
+        seq[at] = name + len(sizes)
         seq = seq[keep]
-        known = np.concatenate([np.ones(first, np.int64), sizes])
-        sizes = np.concatenate([sizes, known[left] + known[right]])
+        sizes = np.concatenate([sizes, sizes[left] + sizes[right]])
         rules.append(np.stack([left, right], axis=1).astype(np.uint32))
-    return Grammar(first, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32), sizes.astype(np.uint32), seq)
+    return Grammar(first, np.concatenate(rules), sizes[first:].astype(np.uint32), seq)
 
 
 class WordEncoder:
@@ -199,7 +185,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def write_token_blocks(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, block_ids: int = 2_000_000) -> DataFrame:
+def write_token_blocks(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, block_ids: int = 2_000_000, rows_per_part: int = 250_000) -> DataFrame:
     """Encode every whole text and write the ids, in ascending doc_id order, as grammar-compressed blocks.
 
     Rows are range-partitioned by doc_id (null first, equal ids by content); a partition is a shard,
@@ -207,7 +193,7 @@ def write_token_blocks(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", en
     of a Parquet table in the shared folder, so Spark's commit makes a retried task's output appear
     once. ``tokenizer`` names a public vocabulary whose words white space separates.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(docs.count() / rows_per_part))
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = BLOCK_SCHEMA.format(id=kind)
 
@@ -283,6 +269,31 @@ def read_token_blocks(blocks: DataFrame) -> DataFrame:
     return out.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def read_ids(blocks: DataFrame, wanted: DataFrame, few: int = 100_000) -> DataFrame:
+    """(doc_id, ids) of the documents whose doc_id is in ``wanted``: random access, only the symbols that cover a document are expanded.
+
+    Blocks without such a document are not decoded. Null ids find nothing; a repeated doc_id gives a row each; ``wanted`` has no repeats to speak of.
+    """
+    kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
+    wanted = wanted.select("doc_id").where("doc_id is not null").distinct()
+    at = blocks.select("shard", "block", F.posexplode("doc_ids").alias("place", "doc_id"))
+    places = at.join(broadcast_if_small(wanted, wanted.count(), few), "doc_id", "left_semi")
+    places = places.groupBy("shard", "block").agg(F.sort_array(F.collect_list("place")).alias("places")).select(F.col("shard").alias("s"), F.col("block").alias("b"), "places")
+    held = blocks.join(places, (F.col("shard") == F.col("s")) & (F.col("block") == F.col("b"))).select(*blocks.columns, "places")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                row = {k: b.column(k)[i] for k in b.schema.names}
+                g = grammar(*(row[k].as_py() for k in ("first", "rules", "expansions", "symbols")))
+                ends = np.cumsum(np.frombuffer(row["lengths"].as_py(), "<u4").astype(np.int64))
+                places = row["places"].as_py()
+                ids = [g.decode(int(ends[j - 1]) if j else 0, int(ends[j])).astype(np.int64) for j in places]
+                yield pa.RecordBatch.from_arrays([row["doc_ids"].values.take(pa.array(places)), pa.array(ids, pa.list_(pa.int64()))], ["doc_id", "ids"])
+
+    return held.mapInArrow(run, f"doc_id {kind}, ids array<long>")
+
+
 def token_output(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1) -> DataFrame:
     """Write the token blocks of ``docs`` and return each document's place and digest as read back.
 
