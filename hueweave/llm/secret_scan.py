@@ -81,8 +81,8 @@ def dense_windows(s: str, least: float | None = None, width: int = 20) -> list[t
     return out
 
 
-def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Dense spans of the parts of candidate strings outside allow-list runs, where no base span holds them."""
+def entropy_spans(text: str) -> list[tuple[int, int, int]]:
+    """Dense spans of the parts of candidate strings outside allow-list runs, inside base spans too."""
     out = []
     for m in CANDIDATE.finditer(text):
         s, at = m[0], 0
@@ -90,7 +90,7 @@ def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int
             if a - at >= 20:
                 out += [(m.start() + at + x, 3, m.start() + at + y) for x, y in dense_windows(s[at:a])]
             at = b
-    return [x for x in out if not any(b[0] <= x[0] and x[2] <= b[2] for b in base)] if base else out
+    return out
 
 
 def spell(spans: list[tuple[int, int, int]]) -> str:
@@ -100,7 +100,7 @@ def spell(spans: list[tuple[int, int, int]]) -> str:
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans and all spans of a whole text, each by start and kind."""
     base = base_spans(text)
-    return base, sorted(base + entropy_spans(text, base))
+    return base, sorted(base + entropy_spans(text))
 
 
 def scan_secrets(docs: DataFrame) -> DataFrame:
