@@ -81,7 +81,7 @@ class LanguageModel:
 
 
 def train(samples: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 16, epochs: int = 4, span: int = 24, windows: int = 12_000, rate: float = 2.0, seed: int = 7) -> LanguageModel:
-    """Fit on (lang, text) samples by stochastic gradient descent over windows of ``span`` words.
+    """Fit on (lang, text) samples by stochastic gradient descent over about ``windows`` windows of ``span`` words, 400 of each language at least.
 
     A fifth of the windows is held back to fit the temperature, and the least score at
     which 99 of 100 held-back windows are right.
@@ -90,7 +90,7 @@ def train(samples: list[tuple[str, str]], buckets: int = 1 << 16, dim: int = 16,
     if not langs:
         return LanguageModel([], np.zeros((1, 0), np.float32), np.zeros(0))
     rng = np.random.default_rng(seed)
-    each = max(1, windows // len(langs))
+    each = max(400, windows // len(langs))
     xs: list[np.ndarray] = []
     ys: list[int] = []
     for k, lang in enumerate(langs):
@@ -148,20 +148,23 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit_languages(docs: DataFrame, rows: int = 800, chars: int = 20_000, languages: int = 200) -> LanguageModel:
-    """Fit on a bounded sample: about ``rows`` rows for each of at most ``languages`` languages.
+def fit_languages(docs: DataFrame, rows: int = 800, most: int = 50_000, chars: int = 2_000) -> LanguageModel:
+    """Fit on a bounded sample: about ``rows`` rows of each language, fewer if all languages together had over ``most``
+    rows, and of each row a stretch of ``chars`` characters at a place that depends on the row.
 
-    The sample is by a hash of doc_id from the rows that are not held out, have a language and
-    have at most ``chars`` characters, so the driver gets at most about rows x languages x chars characters.
+    Every language of the rows that are not held out is learned. The sample is by a hash of doc_id and the row order is
+    fixed, so reruns agree; the driver gets at most ``most`` x ``chars`` characters.
     """
-    fit = docs.select("doc_id", "lang", "text").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= chars))
-    n = docs.select("doc_id", "lang").where(~held_out() & F.col("lang").isNotNull()).groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    fit = docs.select("doc_id", "lang", "text").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    n = fit.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a short row for each language
     if not n:
         return train([])
-    share = F.create_map(*[x for r in n for x in (F.lit(r["lang"]), F.lit(min(1.0, rows / r["n"])))])
+    each = min(rows, max(1, most // len(n)))
+    share = F.create_map(*[x for r in n for x in (F.lit(r["lang"]), F.lit(min(1.0, each / r["n"])))])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    picked = fit.where(place < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
-    got = picked.select("doc_id", "lang", "text").limit(2 * rows * len(n)).collect()
+    start = F.pmod(F.xxhash64("doc_id", F.lit("start")), F.greatest(F.lit(1), F.length("text") - chars + 1)) + 1
+    picked = fit.where(place < share[F.col("lang")]).select("lang", "doc_id", F.substring("text", start.cast("int"), F.lit(chars)).alias("text"))
+    got = picked.orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(most).collect()
     return train([(r["lang"], r["text"]) for r in sorted(got, key=lambda r: (r["lang"], str(r["doc_id"]), r["text"]))])
 
 
