@@ -82,7 +82,8 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
 def read_back(segments: DataFrame, template: Template | None = None) -> DataFrame:
     """Digest each conversation from its formatted text: turns are found by the template's marks alone.
 
-    Takes segments in order within partitions, as ``format_conversations`` gives them.
+    Takes segments as ``format_conversations`` gives them, written and read again in any order: they are sorted by
+    conversation and place. No segments give no rows.
     """
     t = template or Template()
     kind = segments.schema["conv_id"].dataType.simpleString()
@@ -126,6 +127,8 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
         types = [ARROW.get(kind, pa.string()), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), types, strict=True)], names)
 
+    n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    segments = segments.select(*SEGMENTS).repartition(n, "conv_id").sortWithinPartitions("conv_id", "place")
     return segments.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
 
 

@@ -55,7 +55,7 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     talk = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
-    return chat.read_back(chat.format_conversations(talk.unionByName(more)))
+    return chat.read_back(materialize(chat.format_conversations(talk.unionByName(more)), "chat"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
