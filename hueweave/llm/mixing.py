@@ -76,20 +76,20 @@ def mix_sources(
     key = ["source", "_hw_class", "_hw_chunk"]
     totals = grouped(slim).groupBy(*key).agg(F.count("*").alias("_hw_n"))
     ahead = W.partitionBy("source").orderBy("_hw_class", "_hw_chunk").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*[F.col(c).alias(f"{c}_t") for c in key], F.coalesce(F.sum("_hw_n").over(ahead), F.lit(0)).alias("_hw_ahead"))
+    totals = totals.select(*[F.col(c).alias(f"_hw_t_{c}") for c in key], F.coalesce(F.sum("_hw_n").over(ahead), F.lit(0)).alias("_hw_ahead"))
     totals = materialize(totals, "mix-chunks")
     rank = F.row_number().over(W.partitionBy(*key).orderBy("size", "doc_id"))
     rows = grouped(docs).withColumn("_hw_rank", rank)
-    match = F.col("source").eqNullSafe(F.col("source_t")) & (F.col("_hw_class") == F.col("_hw_class_t")) & (F.col("_hw_chunk") == F.col("_hw_chunk_t"))
+    match = F.col("source").eqNullSafe(F.col("_hw_t_source")) & (F.col("_hw_class") == F.col("_hw_t__hw_class")) & (F.col("_hw_chunk") == F.col("_hw_t__hw_chunk"))
     rows = rows.join(broadcast_if_small(totals, totals.count()), match, "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = key_hash(F.lit(seed), F.coalesce(F.col("source"), F.lit(""))) / F.lit(4294967296.0)
     i = (F.col("_hw_ahead") + F.col("_hw_rank")).cast("double")
     copies = F.floor(i * rate + offset) - F.floor((i - 1) * rate + offset)
     rows = rows.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
-    return rows.drop(*[c for c in rows.columns if c.startswith("_hw_")], "source_t")
+    return rows.drop("_hw_chunks", "_hw_class", "_hw_chunk", "_hw_rank", "_hw_ahead", *(f"_hw_t_{c}" for c in key))
 
 
 def emit_copies(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row per copy taken, with the given columns; rows taken zero times go."""
+    """One row per copy taken, with the given columns; rows taken zero times go. Nulls in the columns stay as they are; no rows give none."""
     return mixed.where("copies > 0").select(*columns, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_hw_copy")).drop("_hw_copy")

@@ -22,7 +22,7 @@ def shard_by_bytes(docs: DataFrame, shards: int, size: Column, order: list[str],
 
     Adds ``size, shard, slot`` (replacing columns so named); slots count a shard's rows from 0
     without gaps. Null order keys come first; equal rows are interchangeable; an empty table
-    gives an empty table. With fewer rows than shards some shards are empty.
+    gives an empty table; rows that are all of size 0 go to shard 0. With fewer rows than shards some shards are empty.
     """
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(docs.count() / rows_per_part))
@@ -42,8 +42,8 @@ def shard_by_bytes(docs: DataFrame, shards: int, size: Column, order: list[str],
     rows = placed.withColumns({"_hw_to": F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)), "_hw_row": F.row_number().over(inside)})
     rows = rows.join(totals, F.col("_hw_part") == F.col("_hw_p"))
     middle = 2 * (F.col("_hw_bytes_ahead") + F.col("_hw_to")) - F.col("size")  # twice the middle byte
-    target = 2 * F.col("_hw_total") / F.lit(float(shards))  # twice a shard's bytes
-    rows = rows.withColumns({"shard": F.least(F.lit(shards - 1), F.floor(middle / target)).cast("int"), "_hw_index": F.col("_hw_rows_ahead") + F.col("_hw_row") - 1})
+    target = 2 * F.greatest(F.col("_hw_total"), F.lit(1)) / F.lit(float(shards))  # twice a shard's bytes
+    rows = rows.withColumns({"shard": F.when(F.col("_hw_total") > 0, F.least(F.lit(shards - 1), F.floor(middle / target))).otherwise(F.lit(0)).cast("int"), "_hw_index": F.col("_hw_rows_ahead") + F.col("_hw_row") - 1})
     rows = materialize(rows.drop("_hw_p", "_hw_to", "_hw_row", "_hw_bytes_ahead", "_hw_rows_ahead", "_hw_total", "_hw_part"), "shard-rows")
     starts = rows.groupBy("shard").agg(F.min("_hw_index").alias("_hw_start")).withColumnRenamed("shard", "_hw_shard")
     rows = rows.join(broadcast_if_small(starts, shards), F.col("shard") == F.col("_hw_shard"))
