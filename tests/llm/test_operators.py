@@ -354,14 +354,21 @@ def test_token_output(spark, docs):
     for r in got:
         assert r["start"] == at
         at += r["n_tokens"]
+    blocks = token_output.write_token_blocks(docs, block_ids=3000)
+    some = spark.createDataFrame([(5,), (102,), (110,), (999,), (None,)], "doc_id long")
+    want = sorted((r[0], [*tok.encode(r[1] or "", add_special_tokens=False).ids, 1]) for r in rows() if r[0] in (5, 102, 110))
+    assert sorted(tuple(x) for x in token_output.read_ids(blocks, some).collect()) == want
+    assert token_output.token_output(docs.limit(0)).count() == 0
 
 
 def test_grammar_round_trip_and_random_access():
     r = np.random.default_rng(2)
-    for ids in (np.zeros(0, np.uint32), np.array([7], np.uint32), np.full(1001, 5, np.uint32), r.integers(0, 30, 20_000).astype(np.uint32), np.tile(r.integers(0, 500, 40), 300).astype(np.uint32)):
+    for ids in (np.zeros(0, np.uint32), np.array([1, 2] * 500 + [3] * 999, np.uint32), np.array([7], np.uint32), np.full(1001, 5, np.uint32), r.integers(0, 30, 20_000).astype(np.uint32), np.tile(r.integers(0, 500, 40), 300).astype(np.uint32)):
         for first in (500, 70_000):
             g = token_output.repair(ids, first)
             assert np.array_equal(g.decode(), ids)
+            left = collections.Counter(zip(g.symbols[:-1].tolist(), g.symbols[1:].tolist()))
+            assert max(left.values(), default=0) < 8  # no pair is frequent any more
             for _ in range(20):
                 a, b = sorted(r.integers(0, len(ids) + 1, 2).tolist())
                 assert np.array_equal(g.decode(a, b), ids[a:b])
@@ -395,18 +402,20 @@ def test_chat(spark):
 
 def test_decontamination(spark, docs):
     r = random.Random(8)
-    items = [(i, " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))) for i, n in enumerate([14, 20, 33, 59])] + [(9, "too short"), (None, "no id for this one at all"), (10, None)]
+    items = [(i, " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))) for i, n in enumerate([14, 20, 33, 59])] + [(9, "too Short!"), (11, "oneword"), (None, "no id for this one at all"), (10, None), (12, "...")]
     w = items[2][1].split()
     edited = " ".join([*w[:15], "changed", *w[16:]]).upper().replace(" ", ", ")
-    planted = [(500, f"before it {items[0][1]} after it", 0), (501, edited, 2), (502, items[3][1][:150], None), (503, items[1][1] * 1, 1), (504, " ".join(w[::-1]), None)]
+    planted = [(500, f"before it {items[0][1]} after it", 0), (501, edited, 2), (502, items[3][1][:150], None), (503, items[1][1] * 1, 1), (504, " ".join(w[::-1]), None), (505, "it is too, short", 9), (506, "too very short", None), (507, "just ONEWORD.", 11), (None, items[0][1], 0)]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(a, b) for a, b, _ in planted], "doc_id long, text string"))
     bench = spark.createDataFrame(items, "item_id long, text string")
     for block in (2, 2000):
         got = {(x["doc_id"], x["item_id"]) for x in decontam.find_benchmark(df, bench, block=block).collect()}
         assert got == {(a, c) for a, _, c in planted if c is not None}
     kept = decontam.decontaminate(df, bench)
-    assert kept.count() == df.count() - 3
-    assert decontam.find_benchmark(df, bench.limit(0)).count() == 0
+    assert kept.count() == df.count() - 6
+    twice = spark.createDataFrame([(1, items[0][1]), (1, "clean text of the same id"), (1, None)], "doc_id long, text string").withColumn("words", F.lit(1))
+    assert sorted(str(x["text"]) for x in decontam.decontaminate(twice, bench).collect()) == ["None", "clean text of the same id"]
+    assert decontam.find_benchmark(df, bench.limit(0)).count() == 0 and decontam.find_benchmark(df.limit(0), bench).count() == 0
 
 
 def test_decontamination_of_texts_shorter_than_the_item(spark):
