@@ -39,6 +39,12 @@ def kmers(run: Column, k: int) -> Column:
     return F.when(F.length(run) >= k, F.transform(at, lambda i: F.substring(run, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
 
 
+def run_pieces(run: Column, k: int, step: int = 1500) -> Column:
+    """Structs (start, piece) that cover a run of at least k bases: pieces of ``step`` k-mers, overlapping by k-1 bases, so that work on their k-mers is linear."""
+    at = F.sequence(F.lit(0), F.length(run) - k, F.lit(step))
+    return F.transform(at, lambda i: F.struct(i.alias("start"), F.substring(run, i + 1, F.lit(step + k - 1)).alias("piece")))
+
+
 def successor(x: Column, base: Column | str) -> Column:
     """Drop the first base and append one."""
     return F.concat(F.substring(x, F.lit(2), F.length(x) - 1), F.lit(base) if isinstance(base, str) else base)
@@ -59,10 +65,27 @@ def pack(x: Column | str) -> Column:
 
 
 def unpack(x: Column | str, k: int) -> Column:
+    """The bases of a packed k-mer: a long, or over 31 bases a struct (hi, lo) whose lower part holds the last 31."""
     x = F.col(x) if isinstance(x, str) else x
+    if k > MAX_PACKED_K:
+        return F.concat(unpack(x["hi"], k - MAX_PACKED_K), unpack(x["lo"], MAX_PACKED_K))
     return F.translate(F.lpad(F.conv(x.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
 
 
+def packed_reverse_complement(x: Column, k: int) -> Column:
+    """The reverse complement of a packed k-mer of up to 31 bases: all pairs of bits turned round by halves."""
+    x = F.bitwise_not(x)
+    for n, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF)):
+        m = F.lit(mask).cast("long")
+        x = F.shiftrightunsigned(x, n).bitwiseAND(m).bitwiseOR(F.shiftleft(x.bitwiseAND(m), n))
+    return F.shiftrightunsigned(F.shiftrightunsigned(x, 32).bitwiseOR(F.shiftleft(x, 32)), 64 - 2 * k)
+
+
+def base_at(x: Column, place: int) -> Column:
+    """The base of a packed k-mer that is ``place`` from its end."""
+    return F.substring(F.lit("ACGT"), F.shiftrightunsigned(x, 2 * place).bitwiseAND(F.lit(3).cast("long")).cast("int") + 1, F.lit(1))
+
+
 def kmer_mask(k: int) -> int:
     return (1 << 2 * k) - 1
 

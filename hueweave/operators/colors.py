@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hueweave.functions.dna import acgt_runs, canonical, check_k, kmers
+from hueweave.functions.dna import acgt_runs, check_k, unpack
+from hueweave.functions.packed import packed_kmers
 from hueweave.operators.ranking import number_rows
+from hueweave.runtime import broadcast_if_small
 
 
 def runs(sequences: DataFrame, k: int) -> DataFrame:
@@ -15,18 +17,39 @@ def runs(sequences: DataFrame, k: int) -> DataFrame:
 
 
 def canonical_kmers(sequences: DataFrame, k: int) -> DataFrame:
-    """(color, kmer) for each k-mer occurrence, in canonical form."""
-    r = runs(sequences, k).select("color", F.explode(kmers(F.col("run"), k)).alias("x"))
-    return r.select("color", canonical("x").alias("kmer"))
+    """(color, kmer, n): the k-mers of each color in canonical form, and how often they occur."""
+    found = packed_kmers(sequences, k).groupBy("color", "code").agg(F.sum("n").alias("n"))
+    return found.select("color", unpack("code", k).alias("kmer"), "n")
 
 
-def kmer_colors(sequences: DataFrame, k: int) -> DataFrame:
-    """(kmer, colors): the sorted distinct colors that hold each canonical k-mer.
+def packed_colors(sequences: DataFrame, k: int, n_colors: int | None = None, wide: int = 1008) -> DataFrame:
+    """(code, colors): the sorted distinct colors that hold each canonical k-mer, packed.
 
-    Partial sets form before the shuffle, so it carries a k-mer once for each task and color;
-    a set is no longer than the number of inputs.
+    Sets form as bit masks of 63 colors, a hash aggregate with partial sums. With ``n_colors`` given, and up to ``wide``, all masks of
+    a k-mer are columns of one row; else each is a row, and the rows of a k-mer are put together afterwards.
     """
-    return canonical_kmers(sequences, k).groupBy("kmer").agg(F.array_sort(F.collect_set("color")).alias("colors"))
+    rows = packed_kmers(sequences, k)
+    bit = F.expr("shiftleft(1L, cast(color % 63 as int))")
+    word = F.floor(F.col("color") / 63).cast("int")
+    if n_colors is not None and n_colors <= wide:
+        words = [F.bit_or(F.when(word == i, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(max(1, -(-n_colors // 63)))]
+        masks = rows.groupBy("code").agg(*words)
+        sets = [_members(F.col(f"w{i}"), F.lit(63 * i)) for i in range(len(words))]
+        return masks.select("code", (F.concat(*sets) if len(sets) > 1 else sets[0]).alias("colors"))
+    masks = rows.groupBy("code", word.alias("word")).agg(F.bit_or(bit).alias("mask"))
+    held = masks.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("word", "mask"))).alias("held"))
+    return held.select("code", F.flatten(F.transform("held", lambda x: _members(x["mask"], x["word"] * 63))).alias("colors"))
+
+
+def _members(mask: Column, base: Column) -> Column:
+    """The set bits of a mask, from ``base`` on, ascending."""
+    on = F.filter(F.array(*[F.lit(i) for i in range(63)]), lambda i: F.getbit(mask, i) == 1)
+    return F.transform(on, lambda i: (i + base).cast("int"))
+
+
+def kmer_colors(sequences: DataFrame, k: int, n_colors: int | None = None) -> DataFrame:
+    """(kmer, colors): ``packed_colors`` with the bases spelt out."""
+    return packed_colors(sequences, k, n_colors).select(unpack("code", k).alias("kmer"), "colors")
 
 
 def color_sets(kc: DataFrame) -> DataFrame:
@@ -35,8 +58,13 @@ def color_sets(kc: DataFrame) -> DataFrame:
 
 
 def encode_colors(kc: DataFrame, sets: DataFrame) -> DataFrame:
-    """(kmer, cid): color sets replaced by their ids; equality is of the sets themselves, not of hashes."""
-    return kc.join(sets, "colors").select("kmer", "cid")
+    """The k-mers with cid: color sets replaced by their ids; equality is of the sets themselves, not of hashes.
+
+    Most k-mers share a few sets, so the dictionary is broadcast while it is small; beyond that both sides are written
+    tables, whose join adaptive execution can split.
+    """
+    small = broadcast_if_small(sets.withColumnRenamed("colors", "set"), sets.count(), 200_000)
+    return kc.join(small, F.col("colors") == F.col("set")).drop("colors", "set")
 
 
 def regime(colors: Column, n_colors: Column | int) -> Column:

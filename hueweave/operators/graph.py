@@ -2,44 +2,80 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hueweave.functions.dna import canonical, neighbours, reverse_complement
+from hueweave.functions.dna import base_at, canonical, kmer_mask, neighbours, packed_reverse_complement, reverse_complement, unpack
 from hueweave.operators.paths import rank_paths
 from hueweave.runtime import materialize
 
 
+class Kmers:
+    """Expressions on the k-mers of a graph: packed longs (column ``code``, up to 31 bases) or strings (column ``kmer``)."""
+
+    def __init__(self, nodes: DataFrame, k: int):
+        self.k, self.packed = k, "code" in nodes.columns
+        self.name = "code" if self.packed else "kmer"
+
+    def turned(self, x: Column, k: int) -> Column:
+        return packed_reverse_complement(x, k) if self.packed else reverse_complement(x)
+
+    def left(self, x: Column) -> Column:
+        return F.shiftrightunsigned(x, 2) if self.packed else F.substring(x, 1, self.k - 1)
+
+    def right(self, x: Column) -> Column:
+        return x.bitwiseAND(F.lit(kmer_mask(self.k - 1)).cast("long")) if self.packed else F.substring(x, 2, self.k - 1)
+
+    def spelt(self, x: Column, k: int | None = None) -> Column:
+        return unpack(x, k or self.k) if self.packed else x
+
+    def oriented(self, x: Column, plus: Column) -> Column:
+        return F.shiftleft(x, 1).bitwiseOR((~plus).cast("long")) if self.packed else F.concat(x, F.when(plus, "+").otherwise("-"))
+
+    def plus(self, node: Column) -> Column:
+        return node.bitwiseAND(F.lit(1).cast("long")) == 0 if self.packed else node.endswith("+")
+
+    def kmer(self, node: Column) -> Column:
+        return F.shiftrightunsigned(node, 1) if self.packed else F.substring(node, F.lit(1), F.length(node) - 1)
+
+    def last_base(self, x: Column, plus: Column) -> Column:
+        if not self.packed:
+            return F.when(plus, F.right(x, F.lit(1))).otherwise(F.translate(F.left(x, F.lit(1)), "ACGT", "TGCA"))
+        return F.when(plus, base_at(x, 0)).otherwise(F.translate(base_at(x, self.k - 1), "ACGT", "TGCA"))
+
+
 def ends(nodes: DataFrame, k: int) -> DataFrame:
-    """(kmer, cid, side, junction, is_in): both ends of each k-mer at their canonical (k-1)-mers.
+    """(kmer, cid, side, junction, is_in): both ends of each k-mer at their canonical (k-1)-mers, packed as the k-mers are.
 
     The successors of an incoming end are the outgoing ends at its junction. Ends at a
     palindromic junction never continue; a palindromic k-mer has one end, as both are the same.
     """
-    x = F.col("kmer")
-    left, right = F.substring(x, 1, k - 1), F.substring(x, 2, k - 1)
-    sides = F.array(F.struct(F.lit("L").alias("side"), left.alias("j")), F.struct(F.lit("R").alias("side"), right.alias("j")))
-    sides = F.when(x == reverse_complement(x), F.slice(sides, 1, 1)).otherwise(sides)
-    e = nodes.select("kmer", "cid", F.explode(sides).alias("e")).select("kmer", "cid", "e.side", "e.j", canonical("e.j").alias("junction"))
-    e = e.where(F.col("j") != reverse_complement("j"))
-    return e.select("kmer", "cid", "side", "junction", ((F.col("side") == "R") == (F.col("j") == F.col("junction"))).alias("is_in"))
+    km = Kmers(nodes, k)
+    x, j = F.col(km.name), F.col("j")
+    sides = F.array(F.struct(F.lit("L").alias("side"), km.left(x).alias("j")), F.struct(F.lit("R").alias("side"), km.right(x).alias("j")))
+    if k % 2 == 0:
+        sides = F.when(x == km.turned(x, k), F.slice(sides, 1, 1)).otherwise(sides)
+    e = nodes.select(x.alias("kmer"), "cid", F.explode(sides).alias("e")).select("kmer", "cid", "e.side", "e.j").withColumn("t", km.turned(j, k - 1))
+    e = e.where("j <> t").withColumn("junction", F.least("j", "t"))
+    return e.select("kmer", "cid", "side", "junction", ((F.col("side") == "R") == (j == F.col("junction"))).alias("is_in"))
 
 
 def junctions(nodes: DataFrame, k: int) -> DataFrame:
-    """(junction, n_in, n_out, incoming, outgoing): degrees, and one end of each kind (the only one where the degree is 1)."""
-    end = F.struct("kmer", "side", "cid")
-    return ends(nodes, k).groupBy("junction").agg(
-        F.count_if("is_in").alias("n_in"),
-        F.count_if(~F.col("is_in")).alias("n_out"),
-        F.max(F.when(F.col("is_in"), end)).alias("incoming"),
-        F.max(F.when(~F.col("is_in"), end)).alias("outgoing"),
-    )
+    """(junction, n_in, n_out, and kmer, right and cid of an incoming and an outgoing end).
+
+    The ends are those of one k-mer where the degree is 1, which is where they serve; kept apart, packed columns
+    stay in a hash aggregate.
+    """
+    e = ends(nodes, k).withColumn("is_right", F.col("side") == "R")
+    kept = [F.max(F.when(on, F.col(c))).alias(f"{n}_{c}") for n, on in (("in", F.col("is_in")), ("out", ~F.col("is_in"))) for c in ("kmer", "is_right", "cid")]
+    return e.groupBy("junction").agg(F.count_if("is_in").alias("n_in"), F.count_if(~F.col("is_in")).alias("n_out"), *kept)
 
 
 def glue_edges(nodes: DataFrame, k: int) -> DataFrame:
     """(x, x_side, y, y_side): ends that continue each other: alone on both sides of a junction, of two k-mers with one color set."""
-    j = junctions(nodes, k).where("n_in = 1 and n_out = 1 and incoming.kmer <> outgoing.kmer and incoming.cid = outgoing.cid")
-    return j.select(F.col("incoming.kmer").alias("x"), F.col("incoming.side").alias("x_side"), F.col("outgoing.kmer").alias("y"), F.col("outgoing.side").alias("y_side"))
+    j = junctions(nodes, k).where("n_in = 1 and n_out = 1 and in_kmer <> out_kmer and in_cid = out_cid")
+    side = lambda c: F.when(F.col(c), "R").otherwise("L")
+    return j.select(F.col("in_kmer").alias("x"), side("in_is_right").alias("x_side"), F.col("out_kmer").alias("y"), side("out_is_right").alias("y_side"))
 
 
 def linked_kmers(nodes: DataFrame) -> DataFrame:
@@ -48,28 +84,34 @@ def linked_kmers(nodes: DataFrame) -> DataFrame:
     return probe.join(nodes.select(F.col("kmer").alias("other")), F.col("n") == F.col("other"), "left_semi").select("kmer").distinct()
 
 
-def oriented(glue: DataFrame) -> DataFrame:
-    """Successor edges (src, dst) of oriented nodes (name and + or -): leaving by R or entering by L is +."""
-    leave = lambda n, s: F.concat(n, F.when(F.col(s) == "R", "+").otherwise("-"))
-    enter = lambda n, s: F.concat(n, F.when(F.col(s) == "L", "+").otherwise("-"))
+def oriented(glue: DataFrame, km: Kmers) -> DataFrame:
+    """Successor edges (src, dst) of oriented nodes: leaving by R or entering by L is plus."""
+    leave = lambda n, s: km.oriented(F.col(n), F.col(s) == "R")
+    enter = lambda n, s: km.oriented(F.col(n), F.col(s) == "L")
     there = F.struct(leave("x", "x_side").alias("src"), enter("y", "y_side").alias("dst"))
     back = F.struct(leave("y", "y_side").alias("src"), enter("x", "x_side").alias("dst"))
     return glue.select(F.explode(F.array(there, back)).alias("e")).select("e.src", "e.dst").distinct()
 
 
-def unitigs(nodes: DataFrame, k: int) -> DataFrame:
+def unitigs(nodes: DataFrame, k: int, piece: int = 4096) -> DataFrame:
     """(cid, seq, num_kmers): the maximal non-branching paths of one color set, in canonical form.
 
     Each path shows up in both directions and is kept once. A circular path starts at its least
-    k-mer. Even k is allowed: a palindromic k-mer ends its path.
+    k-mer. Even k is allowed: a palindromic k-mer ends its path. Bases are gathered in pieces of ``piece`` k-mers
+    and the pieces of a path then, so no task holds more than its strings.
     """
-    ranked = rank_paths(oriented(glue_edges(nodes, k)))
-    ranked = ranked.where(~F.col("cyclic") | F.col("root").endswith("+"))
-    ranked = materialize(ranked.withColumn("kmer", F.expr("substring(node, 1, length(node) - 1)")), "ranked")
-    text = F.when(F.col("node").endswith("+"), F.col("kmer")).otherwise(reverse_complement("kmer"))
-    piece = F.when(F.col("dist") == 0, text).otherwise(F.expr("right(t, 1)"))
-    paths = ranked.withColumn("t", text).join(nodes, "kmer").select("root", "cid", F.struct("dist", piece.alias("s")).alias("p"))
-    paths = paths.groupBy("root").agg(F.min("cid").alias("cid"), F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["s"]), "").alias("seq"))
-    alone = nodes.join(ranked.select("kmer"), "kmer", "left_anti").select("cid", F.col("kmer").alias("seq"))
-    out = paths.select("cid", canonical("seq").alias("seq")).distinct().union(alone)
-    return out.withColumn("num_kmers", F.length("seq") - k + 1)
+    km = Kmers(nodes, k)
+    ranked = rank_paths(oriented(glue_edges(nodes, k), km))
+    ranked = ranked.where(~F.col("cyclic") | km.plus(F.col("root")))
+    ranked = materialize(ranked.select("root", "dist", km.kmer(F.col("node")).alias("x"), km.plus(F.col("node")).alias("plus")), "ranked")
+    x, first = F.col("x"), F.col("dist") == 0
+    whole = F.when(F.col("plus"), km.spelt(x)).otherwise(km.spelt(km.turned(x, k)))
+    base = F.when(first, whole).otherwise(km.last_base(x, F.col("plus")))
+    spell = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda p: p["s"]), "")
+    parts = ranked.select("root", F.floor(F.col("dist") / piece).alias("part"), F.struct("dist", base.alias("s")).alias("p"))
+    parts = parts.groupBy("root", "part").agg(spell("p").alias("s"))
+    paths = parts.groupBy("root").agg(spell(F.struct("part", "s")).alias("seq"))
+    heads = nodes.select(F.col(km.name).alias("h"), "cid")
+    paths = paths.join(heads, km.kmer(F.col("root")) == F.col("h")).select("cid", canonical("seq").alias("seq")).distinct()
+    alone = nodes.join(ranked.select("x"), F.col(km.name) == F.col("x"), "left_anti").select("cid", km.spelt(F.col(km.name)).alias("seq"))
+    return paths.union(alone).withColumn("num_kmers", (F.length("seq") - k + 1).cast("long"))

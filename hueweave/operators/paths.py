@@ -40,7 +40,6 @@ def rank_paths(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 def _double(done: list[DataFrame], active: DataFrame, cyclic: bool, max_rounds: int) -> tuple[list[DataFrame], DataFrame | None]:
     left = None
     for _ in range(max_rounds):
-        active = materialize(active, "path-active")
         n = active.count()
         if n == 0:
             return done, None

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hueweave.functions.dna import canonical, reverse_complement
@@ -22,51 +23,62 @@ def open_ends(fragments: DataFrame, k: int) -> DataFrame:
     return e.select("frag_id", "e.side", canonical("e.x").alias("kmer"), (canonical("e.x") != F.col("e.x")).alias("rc"))
 
 
+def joins(fragments: DataFrame, k: int) -> DataFrame:
+    """(a, s, b, t): which open ends (fragment, side) join, each at most once.
+
+    Two ends with one boundary k-mer fit if their sides differ and the k-mer is turned in both or neither, or if the
+    sides agree and it is turned in one. So the ends of a k-mer are of two kinds, and fit across kinds: the first of
+    one kind joins the first of the other, and so on in the order of fragments. Both ends of one fragment never join.
+    """
+    e = open_ends(fragments, k).withColumn("kind", (F.col("side") == "R") != F.col("rc"))
+    e = e.withColumn("nth", F.row_number().over(W.partitionBy("kmer", "kind").orderBy("frag_id", "side")))
+    one = e.where("kind").select("kmer", "nth", F.col("frag_id").alias("a"), F.col("side").alias("s"))
+    two = e.where("not kind").select("kmer", "nth", F.col("frag_id").alias("b"), F.col("side").alias("t"))
+    return one.join(two, ["kmer", "nth"]).where("a <> b").select("a", "s", "b", "t")
+
+
+#: One more fragment's runs x after those of a path: the shared k-mer belongs to the last run unless that is foreign.
+_ADD = f"""(acc, x) -> CASE
+  WHEN size(acc) = 0 THEN x
+  WHEN element_at(acc, -1).cid = {FOREIGN} AND element_at(acc, -1).num_kmers > 1
+    THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('cid', {FOREIGN}L, 'num_kmers', element_at(acc, -1).num_kmers - 1)), x)
+  WHEN element_at(acc, -1).cid = {FOREIGN} THEN concat(slice(acc, 1, size(acc) - 1), x)
+  WHEN x[0].num_kmers > 1 THEN concat(acc, array(named_struct('cid', x[0].cid, 'num_kmers', x[0].num_kmers - 1)), slice(x, 2, size(x)))
+  ELSE concat(acc, slice(x, 2, size(x))) END"""
+
+
 def stitch(fragments: DataFrame, k: int) -> DataFrame:
     """(seq, cid, num_kmers) of the color-uniform stretches of the stitched fragments, in canonical form.
 
-    Takes (frag_id long, seq, runs array<struct<cid,num_kmers>>, open_left, open_right). Two open ends with one
-    boundary k-mer join if their sides differ and the k-mer is turned in both or neither, or if the sides
-    agree and it is turned in one. Closed ends never join. The shared k-mer counts once, with the color set
-    of the fragment that knows it.
+    Takes (frag_id long, seq, runs array<struct<cid,num_kmers>>, open_left, open_right). Open ends join as ``joins``
+    says, closed ends never. The shared k-mer counts once, with the color set of the fragment that knows it.
     """
-    e = open_ends(fragments, k)
-    f = e.select(*[F.col(c).alias(f"{c}2") for c in e.columns])
-    fit = (F.col("side") != F.col("side2")) == (F.col("rc") == F.col("rc2"))
-    pairs = e.join(f, (F.col("kmer") == F.col("kmer2")) & (F.col("frag_id") < F.col("frag_id2")) & fit)
-    # of several that fit, the first: an end joins once
-    pairs = pairs.groupBy("frag_id", "side").agg(F.min(F.struct("frag_id2", "side2")).alias("p")).groupBy("p.frag_id2", "p.side2").agg(F.min(F.struct("frag_id", "side")).alias("q"))
-    name = lambda n, plus: F.concat(F.lpad(F.col(n).cast("string"), 20, "0"), F.when(plus, "+").otherwise("-"))
-    pairs = pairs.select(F.col("q.frag_id").alias("a"), F.col("q.side").alias("s"), F.col("frag_id2").alias("b"), F.col("side2").alias("t"))
+    fragments = fragments.withColumn("runs", F.expr("transform(runs, r -> named_struct('cid', cast(r.cid as bigint), 'num_kmers', cast(r.num_kmers as bigint)))"))
+    pairs = joins(fragments, k)
+    name = lambda n, plus: F.shiftleft(F.col(n), 1).bitwiseOR((~plus).cast("long"))
     there = F.struct(name("a", F.col("s") == "R").alias("src"), name("b", F.col("t") == "L").alias("dst"))
     back = F.struct(name("b", F.col("t") == "R").alias("src"), name("a", F.col("s") == "L").alias("dst"))
     ranked = rank_paths(pairs.select(F.explode(F.array(there, back)).alias("e")).select("e.src", "e.dst").distinct())
-    ranked = ranked.where(~F.col("cyclic") | F.col("root").endswith("+"))
-    ranked = ranked.select("root", "dist", F.expr("cast(substring(node, 1, 20) as bigint)").alias("frag_id"), F.col("node").endswith("+").alias("plus"))
+    plus = lambda c: F.col(c).bitwiseAND(F.lit(1).cast("long")) == 0
+    ranked = ranked.where(~F.col("cyclic") | plus("root"))
+    ranked = ranked.select("root", "dist", F.shiftrightunsigned("node", 1).alias("frag_id"), plus("node").alias("plus"))
     parts = ranked.join(fragments, "frag_id")
     piece = F.struct("dist", F.when(F.col("plus"), F.col("seq")).otherwise(reverse_complement("seq")).alias("seq"), F.when(F.col("plus"), F.col("runs")).otherwise(F.reverse("runs")).alias("runs"))
     joined = parts.groupBy("root").agg(F.sort_array(F.collect_list(piece)).alias("ps"))
     seq = F.array_join(F.transform("ps", lambda p: F.when(p["dist"] == 0, p["seq"]).otherwise(F.substring(p["seq"], F.lit(k + 1), F.length(p["seq"])))), "")
-    # each k-mer's color set, one entry a k-mer; of a shared k-mer the one that is known
-    cids = F.transform("ps", lambda p: F.flatten(F.transform(p["runs"], lambda r: F.array_repeat(r["cid"], r["num_kmers"].cast("int")))))
-    start = F.array().cast("array<bigint>")
-
-    def add(acc, x):
-        known = F.when(F.element_at(acc, -1) == FOREIGN, F.concat(F.slice(acc, 1, F.size(acc) - 1), x)).otherwise(F.concat(acc, F.slice(x, 2, F.size(x))))
-        return F.when(F.size(acc) == 0, x).otherwise(known)
-
-    whole = joined.select(seq.alias("seq"), F.aggregate(cids, start, add).alias("cids"))
-    alone = fragments.join(ranked.select("frag_id").distinct(), "frag_id", "left_anti")
-    alone = alone.select("seq", F.flatten(F.transform("runs", lambda r: F.array_repeat(r["cid"], r["num_kmers"].cast("int")))).alias("cids"))
+    whole = joined.select(seq.alias("seq"), F.expr(f"aggregate(transform(ps, p -> p.runs), cast(array() as array<struct<cid: bigint, num_kmers: bigint>>), {_ADD})").alias("runs"))
+    alone = fragments.join(ranked.select("frag_id").distinct(), "frag_id", "left_anti").select("seq", "runs")
     return split_by_color(whole.union(alone), k)
 
 
 def split_by_color(tigs: DataFrame, k: int) -> DataFrame:
-    """(seq, cid, num_kmers): cut (seq, cids) where the color set changes; each direction once."""
-    n = F.size("cids")
-    cuts = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (F.get("cids", i) != F.get("cids", i - 1)))
-    t = tigs.where(n > 0).withColumn("cuts", cuts)
-    spans = F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), lambda j: F.struct(F.get("cuts", j).alias("a"), F.get("cuts", j + 1).alias("b")))
-    t = t.select("seq", "cids", F.explode(spans).alias("s"))
-    out = t.select(canonical(F.substring(F.col("seq"), F.col("s.a") + 1, F.col("s.b") - F.col("s.a") + k - 1)).alias("seq"), F.get("cids", F.col("s.a")).alias("cid"), (F.col("s.b") - F.col("s.a")).cast("long").alias("num_kmers"))
+    """(seq, cid, num_kmers): cut (seq, runs) where the color set changes; each direction once."""
+    t = tigs.where(F.size("runs") > 0)
+    # where each run starts, and whether it goes on with the color set before it
+    t = t.withColumn("starts", F.expr("aggregate(runs, array(0L), (acc, r) -> concat(acc, array(element_at(acc, -1) + r.num_kmers)))"))
+    cuts = F.expr("filter(sequence(0, size(runs)), i -> i = 0 or i = size(runs) or get(runs, i).cid <> get(runs, i - 1).cid)")
+    t = t.withColumn("cuts", cuts)
+    spans = F.expr("transform(sequence(0, size(cuts) - 2), j -> named_struct('a', starts[cuts[j]], 'b', starts[cuts[j + 1]], 'cid', runs[cuts[j]].cid))")
+    t = t.select("seq", F.explode(spans).alias("s"))
+    out = t.select(canonical(F.substring(F.col("seq"), (F.col("s.a") + 1).cast("int"), (F.col("s.b") - F.col("s.a") + k - 1).cast("int"))).alias("seq"), F.col("s.cid").alias("cid"), (F.col("s.b") - F.col("s.a")).alias("num_kmers"))
     return out.distinct()

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hueweave.functions.dna import check_k
+from hueweave.functions.dna import MAX_PACKED_K, check_k
 from hueweave.operators import colors, graph
 from hueweave.runtime import materialize
 from hueweave.sources import artifacts, sequences
@@ -30,6 +30,21 @@ class Graph:
     metadata: DataFrame
     num_colors: int
 
+    def _of(self, name: str) -> int:
+        return self.metadata.first()[name]
+
+    @property
+    def num_kmers(self) -> int:
+        return self._of("num_kmers")
+
+    @property
+    def num_unitigs(self) -> int:
+        return self._of("num_unitigs")
+
+    @property
+    def num_color_sets(self) -> int:
+        return self._of("num_color_sets")
+
     def write(self, base: str) -> None:
         artifacts.write(base, self.unitigs, self.color_sets, self.metadata, self.num_colors)
 
@@ -37,10 +52,10 @@ class Graph:
 def build_graph(seqs: DataFrame, n_colors: int, config: BuildConfig | None = None) -> Graph:
     """Unitigs, color sets and metadata of (color, seq) rows."""
     k = (config or BuildConfig()).k
-    kc = materialize(colors.kmer_colors(seqs, k), "kmer-colors")
+    kc = materialize((colors.packed_colors if k <= MAX_PACKED_K else colors.kmer_colors)(seqs, k, n_colors), "kmer-colors")
     sets = materialize(colors.color_sets(kc), "color-sets")
     nodes = materialize(colors.encode_colors(kc, sets), "nodes")
-    numbered = artifacts.number_unitigs(graph.unitigs(nodes, k))
+    numbered = materialize(artifacts.number_unitigs(graph.unitigs(nodes, k)), "unitigs")
     return Graph(numbered, sets, artifacts.metadata(numbered, sets, k, n_colors), n_colors)
 
 

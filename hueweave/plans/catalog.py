@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hueweave.functions.dna import acgt_runs, canonical, kmers, minimizer, pack
+from hueweave.functions import packed
+from hueweave.functions.dna import acgt_runs, canonical, kmers, minimizer, pack, run_pieces, unpack
 from hueweave.operators import colors, graph
 from hueweave.plans.build import BuildConfig, Graph, build_graph
 from hueweave.runtime import materialize
@@ -23,23 +24,42 @@ N_COLORS = 20
 
 
 def sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """(doc_id, color, seq); rows are spread over the tasks first, as a table of few row groups would be read by few."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    docs = docs.repartition(max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))), "doc_id")
     return docs.select("doc_id", F.expr("cast(substring(source, 4) as int)").alias("color"), F.translate(F.lower("text"), LETTERS, BASES).alias("seq"))
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return colors.packed_colors(sequences(spark, sf_dir), K, N_COLORS)
+
+
 def _kc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return colors.kmer_colors(sequences(spark, sf_dir), K)
+    return _packed(spark, sf_dir).select(unpack("code", K).alias("kmer"), "colors")
+
+
+def _distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed.packed_kmers(sequences(spark, sf_dir), K).select("code").distinct()
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kc = materialize(_kc(spark, sf_dir), "kmer-colors")
-    return materialize(colors.encode_colors(kc, colors.color_sets(kc)), "nodes")
+    """(code, cid)"""
+    kc = materialize(_packed(spark, sf_dir), "kmer-colors")
+    return materialize(colors.encode_colors(kc, materialize(colors.color_sets(kc), "color-sets")), "nodes")
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> Graph:
     return build_graph(sequences(spark, sf_dir), N_COLORS, BuildConfig(K))
 
 
+def _run_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, run, at, x): every k-mer of every run with its place."""
+    runs = sequences(spark, sf_dir).select("doc_id", F.posexplode(acgt_runs("seq")).alias("run", "text")).where(F.length("text") >= K)
+    pieces = runs.select("doc_id", "run", F.explode(run_pieces(F.col("text"), K)).alias("p"))
+    km = pieces.select("doc_id", "run", "p.start", F.posexplode(kmers(F.col("p.piece"), K)).alias("at", "x"))
+    return km.select("doc_id", "run", (F.col("start") + F.col("at")).alias("at"), "x")
+
+
 def _spell(c: str = "colors") -> F.Column:
     return F.array_join(F.col(c).cast("array<string>"), ",")
 
@@ -50,7 +70,8 @@ def acgt_run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return colors.canonical_kmers(sequences(spark, sf_dir), K).groupBy("kmer").agg(F.count("*").alias("n"))
+    counts = packed.packed_kmers(sequences(spark, sf_dir), K).groupBy("code").agg(F.sum("n").alias("n"))
+    return counts.select(unpack("code", K).alias("kmer"), "n")
 
 
 def kmer_color_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,42 +79,43 @@ def kmer_color_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmers_per_color_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _kc(spark, sf_dir).groupBy("colors").agg(F.count("*").alias("n_kmers")).select(_spell().alias("colors"), "n_kmers")
+    return _packed(spark, sf_dir).groupBy("colors").agg(F.count("*").alias("n_kmers")).select(_spell().alias("colors"), "n_kmers")
 
 
 def color_set_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return colors.color_sets(_kc(spark, sf_dir)).select("cid", _spell().alias("colors"))
+    return colors.color_sets(_packed(spark, sf_dir)).select("cid", _spell().alias("colors"))
 
 
 def kmer_cids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nodes(spark, sf_dir)
+    return _nodes(spark, sf_dir).select(unpack("code", K).alias("kmer"), "cid")
 
 
 def color_set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = _kc(spark, sf_dir).groupBy("colors").agg(F.count("*").alias("n"))
+    sets = _packed(spark, sf_dir).groupBy("colors").agg(F.count("*").alias("n"))
     return sets.groupBy(F.size("colors").cast("long").alias("size")).agg(F.count("*").alias("n_sets"), F.sum("n").alias("n_kmers"))
 
 
 def encoding_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = _kc(spark, sf_dir).select("colors").distinct()
+    sets = _packed(spark, sf_dir).select("colors").distinct()
     return sets.groupBy(colors.regime(F.col("colors"), N_COLORS).alias("regime")).agg(F.count("*").alias("n_sets"), F.sum(F.size("colors")).alias("n_integers"))
 
 
 def color_set_complements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sets = _kc(spark, sf_dir).select("colors").distinct()
+    sets = _packed(spark, sf_dir).select("colors").distinct()
     return sets.select(_spell().alias("colors"), F.array_join(colors.complement(F.col("colors"), N_COLORS).cast("array<string>"), ",").alias("lacks"))
 
 
 def kmers_per_color(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return colors.canonical_kmers(sequences(spark, sf_dir), K).distinct().groupBy(F.col("color").cast("long").alias("color")).agg(F.count("*").alias("n_kmers"))
+    held = packed.packed_kmers(sequences(spark, sf_dir), K).select("color", "code").distinct()
+    return held.groupBy(F.col("color").cast("long").alias("color")).agg(F.count("*").alias("n_kmers"))
 
 
 def junction_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.junctions(_nodes(spark, sf_dir), K).select("junction", "n_in", "n_out")
+    return graph.junctions(_nodes(spark, sf_dir), K).select(unpack("junction", K - 1).alias("junction"), "n_in", "n_out")
 
 
 def glue_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.glue_edges(_nodes(spark, sf_dir), K)
+    return graph.glue_edges(_nodes(spark, sf_dir), K).withColumns({"x": unpack("x", K), "y": unpack("y", K)})
 
 
 def branching_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,22 +123,22 @@ def branching_junctions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linked_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.linked_kmers(colors.canonical_kmers(sequences(spark, sf_dir), K).distinct())
+    return graph.linked_kmers(_distinct(spark, sf_dir).select(unpack("code", K).alias("kmer")))
 
 
 def packed_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return colors.canonical_kmers(sequences(spark, sf_dir), K).select("kmer").distinct().select("kmer", pack("kmer").alias("packed"))
+    return _distinct(spark, sf_dir).select(unpack("code", K).alias("kmer"), F.col("code").alias("packed"))
 
 
 def minimizers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    km = colors.canonical_kmers(sequences(spark, sf_dir), K).select("kmer").distinct()
-    return km.groupBy(minimizer(F.col("kmer"), M).alias("minimizer")).agg(F.count("*").alias("n_kmers"))
+    sizes = packed.add_minimizer(_distinct(spark, sf_dir), K, M).groupBy("minimizer").agg(F.count("*").alias("n_kmers"))
+    return sizes.withColumn("minimizer", unpack("minimizer", M))
 
 
 def bucket_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact percentiles of the number of k-mers in minimizer buckets (a bucket for each minimizer's first three bases)."""
-    km = colors.canonical_kmers(sequences(spark, sf_dir), K).select("kmer").distinct()
-    sizes = km.groupBy(F.substring(minimizer(F.col("kmer"), M), 1, 3).alias("b")).agg(F.count("*").alias("n"))
+    km = packed.add_minimizer(_distinct(spark, sf_dir), K, M)
+    sizes = km.groupBy(F.shiftrightunsigned("minimizer", 2 * (M - 3)).alias("b")).agg(F.count("*").alias("n"))
     ps = {f"p{int(p * 1000)}": F.expr(f"percentile(n, {p})") for p in (0.5, 0.9, 0.99)}
     return sizes.agg(F.count("*").alias("buckets"), F.max("n").alias("largest"), *[e.alias(n) for n, e in ps.items()])
 
@@ -127,8 +149,7 @@ def largest_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal stretches of a document's runs whose k-mers share a minimizer: (doc_id, run, start, minimizer, bases)."""
-    runs = sequences(spark, sf_dir).select("doc_id", F.posexplode(acgt_runs("seq")).alias("run", "text")).where(F.length("text") >= K)
-    km = runs.select("doc_id", "run", F.posexplode(kmers(F.col("text"), K)).alias("at", "x")).select("doc_id", "run", "at", minimizer(F.col("x"), M).alias("minimizer"))
+    km = _run_kmers(spark, sf_dir).select("doc_id", "run", "at", minimizer(F.col("x"), M).alias("minimizer"))
     w = W.partitionBy("doc_id", "run").orderBy("at")
     new = F.when(F.col("minimizer") == F.lag("minimizer").over(w), 0).otherwise(1)
     s = km.withColumn("new", new).withColumn("island", F.sum("new").over(w))
@@ -138,9 +159,8 @@ def super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def color_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run-length coding of color sets along each run: how many stretches, and their k-mers, by document."""
-    nodes = _nodes(spark, sf_dir)
-    runs = sequences(spark, sf_dir).select("doc_id", F.posexplode(acgt_runs("seq")).alias("run", "text")).where(F.length("text") >= K)
-    km = runs.select("doc_id", "run", F.posexplode(kmers(F.col("text"), K)).alias("at", "x")).select("doc_id", "run", "at", canonical("x").alias("kmer")).join(nodes.hint("merge"), "kmer")
+    nodes = _nodes(spark, sf_dir).withColumnRenamed("code", "c")
+    km = _run_kmers(spark, sf_dir).withColumn("code", pack(canonical("x"))).join(nodes.hint("merge"), F.col("code") == F.col("c"))
     w = W.partitionBy("doc_id", "run").orderBy("at")
     new = F.when(F.col("cid") == F.lag("cid").over(w), 0).otherwise(1)
     return km.withColumn("new", new).groupBy("doc_id").agg(F.sum("new").alias("n_stretches"), F.count("*").alias("n_kmers"))
@@ -148,12 +168,12 @@ def color_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def private_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set difference: the k-mers of color 0 that no other color holds."""
-    km = colors.canonical_kmers(sequences(spark, sf_dir), K)
-    return km.where("color = 0").select("kmer").subtract(km.where("color <> 0").select("kmer"))
+    km = packed.packed_kmers(sequences(spark, sf_dir), K)
+    return km.where("color = 0").select("code").subtract(km.where("color <> 0").select("code")).select(unpack("code", K).alias("kmer"))
 
 
 def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kc = materialize(_kc(spark, sf_dir), "kmer-colors")
+    kc = materialize(_packed(spark, sf_dir), "kmer-colors")
     a = kc.agg(F.count("*").alias("num_kmers"), F.sum(F.size("colors")).alias("num_integers"))
     b = kc.select("colors").distinct().agg(F.count("*").alias("num_color_sets"))
     return a.join(b, F.lit(True)).select(F.lit(K).cast("long").alias("k"), F.lit(N_COLORS).cast("long").alias("num_colors"), "num_kmers", "num_integers", "num_color_sets")
@@ -217,6 +237,37 @@ _TEXT = "array_to_string(colors, ',')"
 _MIN = f"list_min(list_transform(range(1, {K - M + 2}), lambda i: least(substr({{0}}, i, {M}), reverse(translate(substr({{0}}, i, {M}), 'ACGT', 'TGCA')))))"
 
 
+def _doubled(name: str, rounds: int) -> str:
+    """Rounds of pointer doubling from table name0 (n, p, d, m): p is 2^i steps back or the root, m the least node on the way."""
+    step = "{0}{2} AS MATERIALIZED (SELECT a.n, b.p, a.d + b.d AS d, least(a.m, b.m) AS m FROM {0}{1} a JOIN {0}{1} b ON a.p = b.n)"
+    return ",\n".join(step.format(name, i, i + 1) for i in range(rounds))
+
+
+ROUNDS = 16  # paths of up to 65,536 k-mers
+_SPELT = "CASE WHEN n % 2 = 0 THEN kmer ELSE reverse(translate(kmer, 'ACGT', 'TGCA')) END"
+_UNITIGS = f"""
+ids AS MATERIALIZED (SELECT kmer, cid, row_number() OVER (ORDER BY kmer) - 1 AS id FROM nodes),
+glue AS (SELECT a.kmer AS x, a.side AS x_side, b.kmer AS y, b.side AS y_side FROM js JOIN ends a ON a.junction = js.junction AND a.is_in JOIN ends b ON b.junction = js.junction AND NOT b.is_in WHERE n_in = 1 AND n_out = 1 AND a.kmer <> b.kmer AND a.cid = b.cid),
+g AS MATERIALIZED (SELECT u.id AS x, v.id AS y, x_side, y_side FROM glue JOIN ids u ON u.kmer = x JOIN ids v ON v.kmer = y),
+steps AS MATERIALIZED (
+  SELECT 2 * x + CASE WHEN x_side = 'R' THEN 0 ELSE 1 END AS src, 2 * y + CASE WHEN y_side = 'L' THEN 0 ELSE 1 END AS dst FROM g
+  UNION SELECT 2 * y + CASE WHEN y_side = 'R' THEN 0 ELSE 1 END, 2 * x + CASE WHEN x_side = 'L' THEN 0 ELSE 1 END FROM g),
+a0 AS MATERIALIZED (SELECT dst AS n, src AS p, 1 AS d, dst AS m FROM steps UNION ALL SELECT DISTINCT src, src, 0, src FROM steps WHERE src NOT IN (SELECT dst FROM steps)),
+{_doubled('a', ROUNDS)},
+open_ends AS MATERIALIZED (SELECT n FROM a0 WHERE p = n),
+loops AS MATERIALIZED (SELECT n, m FROM a{ROUNDS} WHERE p NOT IN (SELECT n FROM open_ends)),
+b0 AS MATERIALIZED (SELECT loops.n, CASE WHEN loops.n = loops.m THEN loops.n ELSE a0.p END AS p, CASE WHEN loops.n = loops.m THEN 0 ELSE 1 END AS d, loops.m FROM loops JOIN a0 ON a0.n = loops.n),
+{_doubled('b', ROUNDS)},
+placed AS (SELECT n, p, d FROM a{ROUNDS} WHERE p IN (SELECT n FROM open_ends) UNION ALL SELECT n, p, d FROM b{ROUNDS} WHERE p % 2 = 0),
+bases AS (SELECT p, d, cid, CASE WHEN d = 0 THEN {_SPELT} ELSE right({_SPELT}, 1) END AS s FROM placed JOIN ids ON id = n // 2),
+spelt AS (SELECT p, min(cid) AS cid, string_agg(s, '' ORDER BY d) AS seq FROM bases GROUP BY p),
+tigs AS (
+  SELECT DISTINCT cid, {_can('seq')} AS seq FROM spelt
+  UNION ALL SELECT cid, kmer FROM ids WHERE 2 * id NOT IN (SELECT n FROM a0) AND 2 * id + 1 NOT IN (SELECT n FROM a0)),
+unitigs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY cid, seq) - 1 AS unitig_id, cid, seq, CAST(length(seq) - {K - 1} AS BIGINT) AS num_kmers FROM tigs)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     q = {
         "acgt_run_stats": "SELECT doc_id, count(*) AS n_runs, CAST(sum(length(run)) AS BIGINT) AS n_bases FROM r GROUP BY doc_id",
@@ -242,5 +293,11 @@ def oracle_sql() -> dict[str, str]:
         "private_kmers": "SELECT DISTINCT kmer FROM ck WHERE color = 0 EXCEPT SELECT kmer FROM ck WHERE color <> 0",
         "graph_counts": f"SELECT {K}::BIGINT AS k, {N_COLORS}::BIGINT AS num_colors, count(*) AS num_kmers, CAST(sum(len(colors)) AS BIGINT) AS num_integers, count(DISTINCT colors) AS num_color_sets FROM kc",
     }
+    tigs = {
+        "unitigs": "SELECT unitig_id, cid, seq, num_kmers, unitig_id = max(unitig_id) OVER (PARTITION BY cid) AS run_end FROM unitigs",
+        "unitigs_per_color_set": "SELECT cid, min(unitig_id) AS unitig_start, count(*) AS num_unitigs, CAST(sum(num_kmers) AS BIGINT) AS n_kmers FROM unitigs GROUP BY cid",
+        "unitig_metadata": f"SELECT {K}::BIGINT AS k, CAST(sum(num_kmers) AS BIGINT) AS num_kmers, {N_COLORS}::BIGINT AS num_colors, count(*) AS num_unitigs, (SELECT count(*) FROM sets) AS num_color_sets FROM unitigs",
+    }
     js = {"junction_degrees", "glue_edges", "branching_junctions"}
-    return {n: f"WITH {_DNA}{',' + _JUNCTIONS if n in js else ''} {sql}" for n, sql in q.items()}
+    out = {n: f"WITH {_DNA}{',' + _JUNCTIONS if n in js else ''} {sql}" for n, sql in q.items()}
+    return out | {n: f"WITH {_DNA.replace('nodes AS (', 'nodes AS MATERIALIZED (')},{_JUNCTIONS},{_UNITIGS} {sql}" for n, sql in tigs.items()}

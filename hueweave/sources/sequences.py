@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import gzip
-import io
-from collections.abc import Iterator
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FASTQ = (".fq", ".fastq", ".fq.gz", ".fastq.gz")
+from hueweave.runtime import broadcast_if_small
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -26,79 +24,67 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+def _look(spark: SparkSession, path: str) -> tuple[str, str]:
+    """The full name of a file and the first character in it that is not white space ("" if it has none); no name if it is missing."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(conf)
+    if not fs.exists(p):
+        return "", ""
+    stream = fs.open(p)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(p)
+        text = codec.createInputStream(stream) if codec is not None else stream
+        first = next((chr(b) for b in iter(text.read, -1) if not chr(b).isspace()), "")
+    finally:
+        stream.close()
+    return fs.makeQualified(p).toString(), first
 
 
 def read_sequences(spark: SparkSession, manifest: DataFrame, permissive: bool = False) -> DataFrame:
     """(color, seq) of every record of the manifest's files, plain or gzipped.
 
-    FASTA records are text rows between ``>`` marks, so plain files split over tasks; FASTQ files are
-    parsed as streams, one file a task. A missing file is an error; with ``permissive`` it is skipped and
-    its color stays unused.
+    A file is FASTQ if it begins with ``@``, whatever its name, and FASTA otherwise. Records are text rows between marks, so
+    plain files of any size split over tasks. A missing file is an error; with ``permissive`` it is skipped and
+    its color stays unused. A file that the manifest names twice has two colors.
     """
     files = [(r["color"], r["path"]) for r in manifest.collect()]  # names only, one for each input file
-    there = [(c, p) for c, p in files if _exists(spark, p)]
-    if len(there) < len(files) and not permissive:
-        raise FileNotFoundError(sorted({p for _, p in files} - {p for _, p in there})[0])
-    fasta = [(c, p) for c, p in there if not p.endswith(FASTQ)]
-    fastq = [(c, p) for c, p in there if p.endswith(FASTQ)]
+    with ThreadPoolExecutor(32) as pool:
+        looks = list(pool.map(lambda x: _look(spark, x[1]), files))
+    missing = [p for (_, p), (name, _) in zip(files, looks, strict=True) if not name]
+    if missing and not permissive:
+        raise FileNotFoundError(min(missing))
     out = spark.createDataFrame([], "color int, seq string")
-    if fasta:
-        out = out.union(read_fasta(spark, fasta))
-    if fastq:
-        out = out.union(read_fastq(spark, fastq))
+    for is_fastq, mark, body in ((False, ">", fasta_sequence), (True, "@", fastq_sequence)):
+        named = [(c, p, name) for (c, p), (name, first) in zip(files, looks, strict=True) if name and (first == "@") == is_fastq]
+        if named:
+            out = out.union(_records(spark, named, f"\n{mark}", body(F.col("value"))))
     return out
 
 
-def read_fasta(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
-    names = spark.createDataFrame(files, "color int, path string").withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
-    rows = spark.read.option("lineSep", "\n>").text(sorted({p for _, p in files})).select("value", F.col("_metadata.file_path").alias("file"))
-    body = F.regexp_replace(F.regexp_replace("value", r"^[^\n]*(\n|$)", ""), r"\s+", "")
-    rows = rows.select(body.alias("seq"), F.regexp_extract("file", r"([^/]+)$", 1).alias("name"), "file")
-    match = (rows["name"] == names["name"]) & F.url_decode("file").endswith(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"))
-    return rows.join(F.broadcast(names) if len(files) < 100_000 else names, match).where("seq <> ''").select("color", "seq")
-
-
-def parse_fastq(lines: Iterator[str]) -> Iterator[str]:
-    """Sequences of FASTQ records; sequence and quality may span lines."""
-    lines = iter(lines)
-    for head in lines:
-        if not head.startswith("@"):
-            continue
-        seq = []
-        for x in lines:
-            if x.startswith("+"):
-                break
-            seq.append(x.strip())
-        text = "".join(seq)
-        left = len(text)
-        while left > 0:
-            x = next(lines, None)
-            if x is None:
-                break
-            left -= len(x.rstrip("\r\n"))
-        yield text
-
-
-def read_fastq(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
-    names = spark.createDataFrame(files, "color int, path string").withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
-    data = spark.read.format("binaryFile").load(sorted({p for _, p in files})).select("path", "content").withColumnRenamed("path", "file")
-    match = F.url_decode("file").endswith(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"))
-    data = data.join(F.broadcast(names), match).select("color", "content")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for color, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                raw = content.as_py()
-                stream = gzip.open(io.BytesIO(raw), "rt") if raw[:2] == b"\x1f\x8b" else io.TextIOWrapper(io.BytesIO(raw))
-                held: list[str] = []
-                for seq in parse_fastq(stream):
-                    held.append(seq)
-                    if len(held) == 10_000:
-                        yield pa.RecordBatch.from_pydict({"color": pa.array([color] * len(held), pa.int32()), "seq": held})
-                        held = []
-                yield pa.RecordBatch.from_pydict({"color": pa.array([color] * len(held), pa.int32()), "seq": pa.array(held, pa.string())})
-
-    return data.mapInArrow(run, "color int, seq string")
+def _plain(name: Column) -> Column:
+    """A file's name with one spelling: not URL-encoded, and with one slash after a scheme that has no host."""
+    return F.regexp_replace(name, "^file:/+", "file:/")
+
+
+def _records(spark: SparkSession, files: Iterable[tuple[int, str, str]], between: str, seq: Column) -> DataFrame:
+    names = spark.createDataFrame([(c, name) for c, _, name in files], "color int, name string").select("color", _plain(F.col("name")).alias("name"))
+    rows = spark.read.option("lineSep", between).text(sorted({p for _, p, _ in files}))
+    file = _plain(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+    rows = rows.select(seq.alias("seq"), file.alias("file")).where("seq <> ''")
+    return rows.join(broadcast_if_small(names, len(files)), F.col("file") == F.col("name")).select("color", "seq")
+
+
+def fasta_sequence(record: Column) -> Column:
+    """The sequence of a FASTA record: all but its first line, without white space."""
+    return F.regexp_replace(F.regexp_replace(record, r"^[^\n]*(\n|$)", ""), r"\s+", "")
+
+
+def fastq_sequence(record: Column) -> Column:
+    """The sequence of a FASTQ record: what stands between its first line and the line that begins with ``+``.
+
+    A quality line that begins with ``@`` cuts its record in two; the part that is left over has no such line and so
+    no sequence. Sequences may span lines; qualities that span lines must not have one that begins with ``@`` and
+    a later one that begins with ``+``.
+    """
+    return F.regexp_replace(F.regexp_extract(record, r"^[^\n]*\n([\s\S]*?)\n\+", 1), r"\s+", "")

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from hueweave.functions import codec, dna
+from hueweave.functions import codec, dna, packed
 from hueweave.operators import colors, graph
 from hueweave.operators.stitch import stitch
 from hueweave.plans.build import BuildConfig, build
@@ -75,16 +75,25 @@ def random_seqs(seed):
     return [*seqs, (1, loop * 2 + loop[:12]), (2, "ACG"), (3, "A" * 30)]
 
 
-@pytest.mark.parametrize("k,seed", [(9, 1), (11, 2), (5, 3)])
+@pytest.mark.parametrize("k,seed", [(9, 1), (31, 2), (35, 4), (5, 3)])
 def test_unitigs_match_naive_walk(spark, k, seed):
     seqs = random_seqs(seed)
     color, truth = naive(seqs, k)
-    kc = colors.kmer_colors(spark.createDataFrame(seqs, "color int, seq string"), k).cache()
+    df = spark.createDataFrame(seqs, "color int, seq string")
+    kc = colors.kmer_colors(df, k).cache()
+    wide = colors.kmer_colors(df.withColumn("color", F.col("color") * 70), k, 300)  # masks in several columns
+    assert {r["kmer"]: {c // 70 for c in r["colors"]} for r in wide.collect()} == color
     assert {r["kmer"]: set(r["colors"]) for r in kc.collect()} == color
     sets = colors.color_sets(kc).cache()
     named = {r["cid"]: frozenset(r["colors"]) for r in sets.collect()}
     assert sorted(named) == list(range(len(set(map(frozenset, color.values())))))
-    got = graph.unitigs(colors.encode_colors(kc, sets), k).collect()
+    nodes = colors.encode_colors(kc, sets)
+    if k == 9:  # k-mers as strings, as beyond 31 bases
+        plain = sorted(tuple(r) for r in graph.unitigs(nodes, k).collect())
+    if k <= 31:
+        nodes = nodes.select(dna.pack("kmer").alias("code"), "cid")
+    got = graph.unitigs(nodes, k, piece=7).collect()
+    assert k != 9 or sorted(tuple(r) for r in got) == plain
     mine = sorted((sorted(can(r["seq"][i : i + k]) for i in range(r["num_kmers"])), sorted(named[r["cid"]])) for r in got)
     assert mine == sorted((sorted(a), sorted(b)) for a, b in truth)
     assert sum(r["num_kmers"] for r in got) == len(color)
@@ -109,6 +118,37 @@ def test_dna_functions(spark):
         dna.check_k(64)
 
 
+@pytest.mark.parametrize("k", [1, 2, 7, 31, 32, 47, 63])
+def test_packed_kmers_of_a_long_sequence(k):
+    r = random.Random(k)
+    seq = "".join(r.choice("ACGTacgtACGTacgtN") for _ in range(700)) + "".join(r.choice("ACGT") for _ in range(300))
+    want = {}
+    for i in range(len(seq) - k + 1):
+        x = seq[i : i + k].upper()
+        if "N" not in x:
+            want[can(x)] = want.get(can(x), 0) + 1
+    for piece in (2_000_000, 64):
+        got = {}
+        for hi, lo, n in packed.counted_kmers(seq.encode(), k, piece):
+            for h, x, c in zip(hi.tolist(), lo.tolist(), n.tolist()):
+                word = (h << 62 | x) if k > 31 else x
+                spelt = "".join("ACGT"[word >> 2 * i & 3] for i in reversed(range(k)))
+                got[spelt] = got.get(spelt, 0) + c
+        assert got == want
+
+
+def test_packed_column_functions(spark):
+    xs = ["ACGTTGCAACC", "TTTTTTTTTTT", "GATTACAGATT"]
+    df = spark.createDataFrame([(x,) for x in xs], "x string").withColumn("code", dna.pack("x"))
+    for r in packed.add_minimizer(df, 11, 4).join(df, "code").collect():
+        assert r["minimizer"] == min("".join(str("ACGT".index(c)) for c in can(r["x"][i : i + 4])) and int("".join(str("ACGT".index(c)) for c in can(r["x"][i : i + 4])), 4) for i in range(8))
+    for r in df.select("x", dna.unpack(dna.packed_reverse_complement(F.col("code"), 11), 11).alias("r"), dna.base_at(F.col("code"), 3).alias("b")).collect():
+        assert r["r"] == rc(r["x"]) and r["b"] == r["x"][-4]
+    run = "".join(random.Random(1).choice("ACGT") for _ in range(50))
+    for r in spark.createDataFrame([(run,)], "run string").select(F.explode(dna.run_pieces(F.col("run"), 9, 10)).alias("p")).select("p.*").collect():
+        assert run[r["start"] : r["start"] + 18] == r["piece"]
+
+
 def test_codec_round_trips_in_all_regimes():
     r = random.Random(4)
     for n in (1, 4, 20, 101):
@@ -131,6 +171,7 @@ def test_files_to_artifacts(spark, tmp_path):
     assert got == [(0, "ACGTACGGTTCAGGATTNACCAGGTTACA"), (0, "ACGTAGGCATT"), (1, "ACGTACGGTTCAGGATT"), (2, "ACGTACGGTTCAGG"), (2, "TTACCAGGTTACA")]
     g = build(spark, str(tmp_path / "files.txt"), BuildConfig(k=7, permissive=True))
     base = str(tmp_path / "out")
+    assert (g.num_colors, g.num_kmers) == (4, sum(r["num_kmers"] for r in g.unitigs.collect())) and g.num_unitigs > 0 < g.num_color_sets
     g.write(base)
     color, truth = naive([(c, s) for c, s in got], 7)
     meta = artifacts.read_metadata(spark, f"{base}.metadata")
@@ -143,10 +184,41 @@ def test_files_to_artifacts(spark, tmp_path):
     assert spark.read.text(f"{base}.fa").count() == 2 * len(truth)
 
 
-def test_stitch_rebuilds_unitigs(spark):
-    k, r, fragments, truth = 9, random.Random(5), [], []
+def test_formats_and_names_of_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "x.seq").write_text("@r1\nACGT\n+\nIIII\n@r2\r\nGGCC\r\n+\r\n@ACG\r\n")  # FASTQ by its content
+    (tmp_path / "a" / "x.seq").write_text(">r\nTTTT\n")  # a path that ends like the other
+    (tmp_path / "b c+d%20.fa").write_text("\n>r\nAAAA\n")
+    (tmp_path / "empty.fa").write_text("")
+    names = ["x.seq", "a/x.seq", "b c+d%20.fa", "empty.fa", "x.seq"]
+    (tmp_path / "files.txt").write_text("\n".join(f"{tmp_path}/{x}" for x in names))
+    got = sequences.read_sequences(spark, sequences.read_manifest(spark, str(tmp_path / "files.txt"))).collect()
+    assert sorted(map(tuple, got)) == [(0, "ACGT"), (0, "GGCC"), (1, "TTTT"), (2, "AAAA"), (4, "ACGT"), (4, "GGCC")]
+
+
+def test_an_end_joins_once(spark):
+    k, r = 7, random.Random(3)
+    join = "ACCTGAT"
+    own = ["".join(r.choice("ACGT") for _ in range(20)) for _ in range(4)]
+    rows = [(0, own[0] + join, [(1, 21)], False, True), (1, own[1] + join, [(1, 21)], False, True), (2, rc(join + own[2]), [(1, 21)], False, True), (3, own[3] + join, [(1, 21)], False, False)]
+    df = spark.createDataFrame(rows, "frag_id long, seq string, runs array<struct<cid:bigint,num_kmers:int>>, open_left boolean, open_right boolean")
+    got = {x["seq"] for x in stitch(df, k).collect()}
+    assert got == {can(own[0] + join + own[2]), can(own[1] + join), can(own[3] + join)}
+
+
+def test_shared_kmers_keep_the_color_that_is_known(spark):
+    k, a = 5, "ACGGTTCATGCAAGGT"
+    runs = lambda *x: [{"cid": c, "num_kmers": n} for c, n in x]
+    rows = [(0, a[:8], runs((4, 3), (-1, 1)), False, True), (1, a[3:12], runs((5, 1), (4, 4)), True, True), (2, a[7:], runs((-1, 1), (6, 4)), True, False)]
+    df = spark.createDataFrame(rows, "frag_id long, seq string, runs array<struct<cid:bigint,num_kmers:int>>, open_left boolean, open_right boolean")
+    assert sorted((x["cid"], x["num_kmers"], x["seq"]) for x in stitch(df, k).collect()) == sorted([(4, 3, can(a[:7])), (5, 1, can(a[3:8])), (4, 4, can(a[4:12])), (6, 4, can(a[8:]))])
+
+
+@pytest.mark.parametrize("k", [9, 31])
+def test_stitch_rebuilds_unitigs(spark, k):
+    r, fragments, truth = random.Random(5), [], []
     for cid in range(30):
-        size = r.choice([k, k + 3, 60, 200])
+        size = r.choice([k, k + 3, 90, 200])
         seq = "".join(r.choice("ACGT") for _ in range(size))
         truth.append((can(seq), cid, size - k + 1))
         cuts = sorted(r.sample(range(1, size - k + 1), min(r.randint(0, 5), max(0, size - k)))) if size > k + 1 else []
