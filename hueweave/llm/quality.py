@@ -88,14 +88,13 @@ def quality_features(docs: DataFrame) -> DataFrame:
     return d.drop(*[c for c in d.columns if c.startswith("_hw_")])
 
 
-def references(features: DataFrame, most: int = 64) -> list[tuple[list[float], list[float], str]]:
+def references(features: DataFrame) -> list[tuple[list[float], list[float], str]]:
     """Class and common-word distributions of each language, and the language, over all rows that pass the base rule.
 
-    At most ``most`` languages (those with most words) serve as references; this bounds what
-    the driver holds to ``most`` short rows.
+    Every language is a reference; the driver holds one short row for each.
     """
     sums = [F.sum(F.col(c)[i]).alias(f"{c}{i}") for c, k in (("classes", len(CLASSES)), ("common", len(COMMON_WORDS))) for i in range(k)]
-    rows = features.where("lang is not null and not base_failed").groupBy("lang").agg(F.sum("n_words").alias("total"), *sums).orderBy(F.desc("total"), "lang").limit(most).collect()
+    rows = features.where("lang is not null and not base_failed").groupBy("lang").agg(F.sum("n_words").alias("total"), *sums).orderBy("lang").collect()
     out = []
     for r in rows:
         classes = [r[f"classes{i}"] for i in range(len(CLASSES))]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hueweave.llm import chat, decontam, langid, mixing, quality, secret_scan, sharding, simhash, token_counts, token_output
+from hueweave.llm import chat, decontam, langid, mixing, oracle, quality, secret_scan, sharding, simhash, token_counts, token_output
 from hueweave.llm.textutil import word_count
 from hueweave.runtime import materialize
 
@@ -67,4 +67,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracle.SQL)
