@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,6 +328,34 @@ def test_secrets_joined_to_other_characters():
         assert found(known) == []
 
 
+def test_entropy_spans_against_brute_force():
+    r = random.Random(14)
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abc1", "abcdefghij0123456789+/_=-", "abcdefghijklm"]
+    for _ in range(300):
+        text = " ".join("".join(r.choices(r.choice(alphabets), k=r.randint(1, 70))) for _ in range(4)) + r.choice(["", " token=" + "".join(r.choices(alphabets[1], k=30))])
+        want = set()
+        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+            parts, at = [], 0
+            for x in secret_scan.ALLOW.finditer(m[0]):
+                parts.append((at, x.start()))
+                at = x.end()
+            for a, b in [*parts, (at, len(m[0]))]:
+                cover = set()
+                for i in range(a, b - 19):
+                    w = m[0][i : i + 20]
+                    if any(map(str.isdigit, w)) and any(map(str.isalpha, w)):
+                        entropy = -sum(n / 20 * np.log2(n / 20) for n in collections.Counter(w).values())
+                        if entropy >= (3.0 if re.fullmatch("[0-9a-fA-F]+", w) else 3.7 if w.isalnum() else 3.9) - 1e-9:
+                            cover |= set(range(i, i + 20))
+                for i in cover:
+                    if i - 1 not in cover:
+                        end = next(j for j in range(i, b + 1) if j not in cover)
+                        want.add((m.start() + i, 3, m.start() + end))
+        base, spans = secret_scan.scan(text)
+        # windows that touch without sharing a character are one span for the brute force, and so for the operator
+        assert {x for x in spans if x[1] == 3} == want and set(base) <= set(spans), text
+
+
 def test_language(spark, docs):
     many = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 1000)).unionByName(docs.withColumn("doc_id", F.col("doc_id") + 2000))
     got = langid.identify_languages(many).join(many.select("doc_id", "lang", "text"), "doc_id").collect()
@@ -338,6 +367,38 @@ def test_language(spark, docs):
     assert langid.identify_languages(docs.limit(0)).count() == 0
 
 
+def test_language_scores_against_brute_force():
+    samples = [("en", "the cat and the dog went to the house over there"), ("de", "der hund und die katze gehen nach hause dort")] * 40
+    model = langid.train(samples, epochs=2)
+    texts = ["the dog", "und die", "", None, "12 34", "mixed und the x1y", "Haus-Katze, THE"]
+    k, score = model.predict(pa.array(texts, pa.string()))
+    for text, lang, p in zip(texts, k.tolist(), score.tolist()):
+        ids = [x for w in (text or "").split() for x in langid.subwords(w, len(model.table))]
+        if not ids:
+            assert (lang, p) == (-1, 0.0)
+            continue
+        z = (np.mean(model.table[ids].astype(np.float64), axis=0) + model.bias) / model.temperature
+        want = np.exp(z) / np.exp(z).sum()
+        assert lang == want.argmax() and abs(p - want.max()) < 1e-9
+    assert [model.langs[x] for x in k[:2]] == ["en", "de"]
+
+
+def test_small_and_empty_inputs(spark, docs):
+    none = docs.limit(0)
+    assert token_counts.count_tokens(none, "byte_bpe_50k.json").count() == 0
+    assert simhash.simhash_components(none).count() == 0 and secret_scan.scan_secrets(none).count() == 0
+    assert sharding.shard_by_bytes(none, 3, F.lit(8).cast("long"), ["doc_id"]).count() == 0
+    zero = sharding.shard_by_bytes(docs.select("doc_id"), 3, F.lit(0).cast("long"), ["doc_id"]).collect()
+    assert {r["shard"] for r in zero} == {0} and sorted(r["slot"] for r in zero) == list(range(len(rows())))
+    clash = docs.withColumns({"source_t": F.lit("x"), "_hw_own": F.lit("y"), "size_t": F.lit(1)})
+    mixed = mixing.mix_sources(clash)
+    assert {"source_t", "_hw_own", "size_t"} <= set(mixed.columns) and mixed.count() == len(rows())
+    talk = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.format_conversations(talk)).count() == 0
+    long = spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"turn {i}") for i in range(20_000)], talk.schema)
+    assert [(r["n_turns"], r["valid"]) for r in chat.read_back(chat.format_conversations(long)).collect()] == [(20_000, True)]
+
+
 def test_token_output(spark, docs):
     from tokenizers import Tokenizer
 
@@ -436,6 +497,36 @@ def test_decontamination_of_texts_shorter_than_the_item(spark):
     assert {(x["doc_id"], x["item_id"]) for x in decontam.find_benchmark(df, bench).collect()} == want
 
 
+def test_decontamination_against_an_exact_scan(spark):
+    r = random.Random(21)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(4))
+    phrase = [word() for _ in range(8)]
+    items = [[*phrase, *(word() for _ in range(n))] if n % 2 else [word() for _ in range(n)] for n in (15, 20, 31, 40, 51)]
+    texts = []
+    for i in range(150):
+        part = list(items[i % 5])
+        for at in r.sample(range(len(part)), r.choice([0, 1, 2, 3, 5])):
+            part[at] = word()
+        texts.append([word() for _ in range(r.randint(0, 60))] + part + [word() for _ in range(r.randint(0, 60))])
+    grams = lambda x: [tuple(x[i : i + 3]) for i in range(len(x) - 2)]
+    holders = collections.Counter(g for x in items for g in set(grams(x)))
+    exact = set()
+    for i, text in enumerate(texts):
+        for j, item in enumerate(items):
+            own = collections.Counter(grams(item))
+            weight = lambda g: max(1, 4 // holders[g]) if g in own else 4  # noqa: B023, E731
+            for at in range(len(text) - len(item) + 1):
+                window = collections.Counter(grams(text[at : at + len(item)]))
+                both = sum(weight(g) * n for g, n in (window & own).items())
+                if both >= 0.6 * sum(weight(g) * n for g, n in (window | own).items()):
+                    exact.add((i, j))
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(j, " ".join(x)) for j, x in enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontam.find_benchmark(df, bench).collect()}
+    assert got <= exact and len(exact) > 80 and len(got) >= 0.97 * len(exact)
+    assert {(x["doc_id"], x["item_id"]) for x in decontam.find_benchmark(df, bench, block=2).collect()} >= got
+
+
 def test_queries_are_named_for_their_operators():
     assert [int(n[2:].split("_")[0]) for n in queries.queries()] == list(range(1, 11))
 
