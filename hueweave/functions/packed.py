@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from hueweave.functions.dna import MAX_PACKED_K, check_k
+from hueweave.functions.dna import MAX_PACKED_K, NTHASH_SEEDS, check_k
 
 BREAK = 4
 CODES = np.full(256, BREAK, np.uint8)
@@ -112,3 +112,34 @@ def add_minimizer(kmers: DataFrame, k: int, m: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(least.view(np.int64))], ["code", "minimizer"])
 
     return kmers.select("code").mapInArrow(run, "code long, minimizer long")
+
+
+def nthashes(mers: np.ndarray, m: int) -> np.ndarray:
+    """ntHash of packed m-mers: for each base, rotate by one, then xor with the base's seed."""
+    seeds = np.array([NTHASH_SEEDS[c] for c in "ACGT"], np.uint64)
+    h = np.zeros(len(mers), np.uint64)
+    for i in reversed(range(m)):
+        h = ((h << np.uint64(1)) | (h >> np.uint64(63))) ^ seeds[((mers >> np.uint64(2 * i)) & np.uint64(3)).astype(np.int64)]
+    return h
+
+
+def add_bucket(kmers: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
+    """(code, bucket) of packed k-mers (code) of up to 31 bases: the least canonical ntHash of their m-mers, as an unsigned number, without its lowest bit, modulo ``buckets``.
+
+    A k-mer and its reverse complement have one bucket, and so most neighbours do.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mask = np.uint64((1 << 2 * m) - 1)
+        for b in batches:
+            x = b.column(0).to_numpy().view(np.uint64)
+            least = np.full(len(x), np.iinfo(np.uint64).max)
+            for j in range(k - m + 1):
+                own = (x >> np.uint64(2 * j)) & mask
+                turned = np.zeros(len(x), np.uint64)
+                for i in range(m):
+                    turned = (turned << np.uint64(2)) | (np.uint64(3) - ((own >> np.uint64(2 * i)) & np.uint64(3)))
+                least = np.minimum(least, np.minimum(nthashes(own, m), nthashes(turned, m)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(((least >> np.uint64(1)) % np.uint64(buckets)).astype(np.int32))], ["code", "bucket"])
+
+    return kmers.select("code").mapInArrow(run, "code long, bucket int")

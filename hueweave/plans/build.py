@@ -21,6 +21,8 @@ class BuildConfig:
 
     def __post_init__(self) -> None:
         check_k(self.k)
+        if not isinstance(self.permissive, bool):
+            raise ValueError("permissive is true or false")
 
 
 @dataclass(frozen=True)

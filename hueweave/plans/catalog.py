@@ -13,12 +13,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hueweave.functions import packed
-from hueweave.functions.dna import acgt_runs, canonical, kmers, minimizer, pack, run_pieces, unpack
+from hueweave.functions.dna import NTHASH_SEEDS, acgt_runs, canonical, kmers, minimizer, pack, run_pieces, unpack
 from hueweave.operators import colors, graph
 from hueweave.plans.build import BuildConfig, Graph, build_graph
 from hueweave.runtime import materialize
 
-K, M, BUCKETS = 21, 10, 64
+K, M, HASH_BUCKETS = 21, 10, 64
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz ", "ACGTACGTACGTACGTACGTACGTACA"
 N_COLORS = 20
 
@@ -147,6 +147,24 @@ def largest_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimizers(spark, sf_dir).orderBy(F.desc("n_kmers"), "minimizer").limit(10)
 
 
+def _junction_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(code, bucket) of the graph's (k-1)-mers: all that meets at a junction is in the bucket of its minimizer."""
+    js = graph.ends(_distinct(spark, sf_dir).withColumn("cid", F.lit(0)), K).select(F.col("junction").alias("code")).distinct()
+    return packed.add_bucket(js, K - 1, M, HASH_BUCKETS)
+
+
+def junction_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _junction_buckets(spark, sf_dir).groupBy("bucket").agg(F.count("*").alias("n_junctions"))
+
+
+def bucket_size_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How evenly junctions spread over buckets: exact percentiles, the largest bucket and the sum of the eight largest."""
+    sizes = materialize(junction_buckets(spark, sf_dir), "bucket-sizes").withColumnRenamed("n_junctions", "n")
+    ps = {f"p{int(p * 1000)}": F.expr(f"percentile(n, {p})") for p in (0.5, 0.9, 0.99, 0.999)}
+    top = sizes.orderBy(F.desc("n")).limit(8).agg(F.sum("n").alias("largest_8"))
+    return sizes.agg(F.count("*").alias("buckets"), F.max("n").alias("largest"), *[e.alias(n) for n, e in ps.items()]).join(top, F.lit(True))
+
+
 def super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maximal stretches of a document's runs whose k-mers share a minimizer: (doc_id, run, start, minimizer, bases)."""
     km = _run_kmers(spark, sf_dir).select("doc_id", "run", "at", minimizer(F.col("x"), M).alias("minimizer"))
@@ -194,7 +212,7 @@ def unitig_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     acgt_run_stats, canonical_kmers, kmer_color_sets, kmers_per_color_set, color_set_dictionary, kmer_cids, color_set_sizes, encoding_regimes,
     color_set_complements, kmers_per_color, junction_degrees, glue_edges, branching_junctions, linked_kmers, packed_kmers, minimizers, bucket_sizes,
-    largest_buckets, super_kmers, color_runs, private_kmers, graph_counts, unitigs, unitigs_per_color_set, unitig_metadata,
+    largest_buckets, junction_buckets, bucket_size_report, super_kmers, color_runs, private_kmers, graph_counts, unitigs, unitigs_per_color_set, unitig_metadata,
 ]
 
 
@@ -237,6 +255,15 @@ _TEXT = "array_to_string(colors, ',')"
 _MIN = f"list_min(list_transform(range(1, {K - M + 2}), lambda i: least(substr({{0}}, i, {M}), reverse(translate(substr({{0}}, i, {M}), 'ACGT', 'TGCA')))))"
 
 
+_SEED = "CASE {0} " + " ".join(f"WHEN '{c}' THEN {x}::UBIGINT" for c, x in NTHASH_SEEDS.items()) + " END"
+_HASH = f"list_reduce(list_prepend(0::UBIGINT, list_transform(range(1, {M + 1}), lambda i: {_SEED.format('substr({0}, i, 1)')})), lambda h, s: xor(((h & 9223372036854775807::UBIGINT) * 2) | (h >> 63), s))"
+_BUCKETS = f"""
+mers AS (SELECT junction, unnest(list_transform(range(1, {K - M + 1}), lambda i: substr(junction, i, {M}))) AS x FROM js),
+hashes AS MATERIALIZED (SELECT x, least({_HASH.format('x')}, {_HASH.format('y')}) AS h FROM (SELECT x, {RC.format('x')} AS y FROM (SELECT DISTINCT x FROM mers))),
+buckets AS (SELECT bucket, count(*) AS n_junctions FROM (SELECT junction, CAST((min(h) >> 1) % {HASH_BUCKETS} AS INT) AS bucket FROM mers JOIN hashes USING (x) GROUP BY junction) GROUP BY bucket)
+"""
+
+
 def _doubled(name: str, rounds: int) -> str:
     """Rounds of pointer doubling from table name0 (n, p, d, m): p is 2^i steps back or the root, m the least node on the way."""
     step = "{0}{2} AS MATERIALIZED (SELECT a.n, b.p, a.d + b.d AS d, least(a.m, b.m) AS m FROM {0}{1} a JOIN {0}{1} b ON a.p = b.n)"
@@ -298,6 +325,11 @@ def oracle_sql() -> dict[str, str]:
         "unitigs_per_color_set": "SELECT cid, min(unitig_id) AS unitig_start, count(*) AS num_unitigs, CAST(sum(num_kmers) AS BIGINT) AS n_kmers FROM unitigs GROUP BY cid",
         "unitig_metadata": f"SELECT {K}::BIGINT AS k, CAST(sum(num_kmers) AS BIGINT) AS num_kmers, {N_COLORS}::BIGINT AS num_colors, count(*) AS num_unitigs, (SELECT count(*) FROM sets) AS num_color_sets FROM unitigs",
     }
+    spread = {
+        "junction_buckets": "SELECT bucket, n_junctions FROM buckets",
+        "bucket_size_report": "SELECT count(*) AS buckets, max(n_junctions) AS largest, quantile_cont(n_junctions, 0.5) AS p500, quantile_cont(n_junctions, 0.9) AS p900, quantile_cont(n_junctions, 0.99) AS p990, quantile_cont(n_junctions, 0.999) AS p999, (SELECT CAST(sum(n_junctions) AS BIGINT) FROM (SELECT n_junctions FROM buckets ORDER BY n_junctions DESC LIMIT 8)) AS largest_8 FROM buckets",
+    }
     js = {"junction_degrees", "glue_edges", "branching_junctions"}
     out = {n: f"WITH {_DNA}{',' + _JUNCTIONS if n in js else ''} {sql}" for n, sql in q.items()}
+    out |= {n: f"WITH {_DNA},{_JUNCTIONS},{_BUCKETS} {sql}" for n, sql in spread.items()}
     return out | {n: f"WITH {_DNA.replace('nodes AS (', 'nodes AS MATERIALIZED (')},{_JUNCTIONS},{_UNITIGS} {sql}" for n, sql in tigs.items()}

@@ -137,6 +137,14 @@ def test_packed_kmers_of_a_long_sequence(k):
         assert got == want
 
 
+def plain_nthash(x):
+    turn = lambda h, n: (h << n | h >> (64 - n)) % (1 << 64) if n else h
+    out = 0
+    for i, c in enumerate(x):
+        out ^= turn(dna.NTHASH_SEEDS[c], len(x) - 1 - i)
+    return out
+
+
 def test_packed_column_functions(spark):
     xs = ["ACGTTGCAACC", "TTTTTTTTTTT", "GATTACAGATT"]
     df = spark.createDataFrame([(x,) for x in xs], "x string").withColumn("code", dna.pack("x"))
@@ -144,6 +152,11 @@ def test_packed_column_functions(spark):
         assert r["minimizer"] == min("".join(str("ACGT".index(c)) for c in can(r["x"][i : i + 4])) and int("".join(str("ACGT".index(c)) for c in can(r["x"][i : i + 4])), 4) for i in range(8))
     for r in df.select("x", dna.unpack(dna.packed_reverse_complement(F.col("code"), 11), 11).alias("r"), dna.base_at(F.col("code"), 3).alias("b")).collect():
         assert r["r"] == rc(r["x"]) and r["b"] == r["x"][-4]
+    for r in packed.add_bucket(df, 11, 4, 5).join(df, "code").collect():
+        least = min(plain_nthash(x) for i in range(8) for x in (r["x"][i : i + 4], rc(r["x"][i : i + 4])))
+        assert r["bucket"] == (least >> 1) % 5
+    signed = [r["h"] % (1 << 64) for r in df.select(dna.canonical_nthash(F.col("x")).alias("h"), "x").orderBy("x").collect()]
+    assert signed == [min(plain_nthash(x), plain_nthash(rc(x))) for x in sorted(xs)]
     run = "".join(random.Random(1).choice("ACGT") for _ in range(50))
     for r in spark.createDataFrame([(run,)], "run string").select(F.explode(dna.run_pieces(F.col("run"), 9, 10)).alias("p")).select("p.*").collect():
         assert run[r["start"] : r["start"] + 18] == r["piece"]
