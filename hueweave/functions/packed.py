@@ -124,7 +124,7 @@ def nthashes(mers: np.ndarray, m: int) -> np.ndarray:
 
 
 def add_bucket(kmers: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
-    """(code, bucket) of packed k-mers (code) of up to 31 bases: the least canonical ntHash of their m-mers, as an unsigned number, without its lowest bit, modulo ``buckets``.
+    """Add ``bucket`` to rows of packed k-mers (code) of up to 31 bases: the least canonical ntHash of their m-mers, as an unsigned number, without its lowest bit, modulo ``buckets``.
 
     A k-mer and its reverse complement have one bucket, and so most neighbours do.
     """
@@ -140,6 +140,9 @@ def add_bucket(kmers: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
                 for i in range(m):
                     turned = (turned << np.uint64(2)) | (np.uint64(3) - ((own >> np.uint64(2 * i)) & np.uint64(3)))
                 least = np.minimum(least, np.minimum(nthashes(own, m), nthashes(turned, m)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(((least >> np.uint64(1)) % np.uint64(buckets)).astype(np.int32))], ["code", "bucket"])
+            bucket = pa.array(((least >> np.uint64(1)) % np.uint64(buckets)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*b.columns, bucket], [*b.schema.names, "bucket"])
 
-    return kmers.select("code").mapInArrow(run, "code long, bucket int")
+    others = [f for f in kmers.schema if f.name not in ("code", "bucket")]
+    rows = kmers.select("code", *[f.name for f in others])
+    return rows.mapInArrow(run, ", ".join(["code long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "bucket int"]))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hueweave.functions.dna import base_at, canonical, kmer_mask, neighbours, packed_reverse_complement, reverse_complement, unpack
-from hueweave.operators.paths import rank_paths
+from hueweave.functions.dna import base_at, canonical, default_minimizer, kmer_mask, neighbours, packed_reverse_complement, reverse_complement, unpack
+from hueweave.functions.packed import add_bucket
+from hueweave.operators.paths import rank_near_paths, rank_paths
 from hueweave.runtime import materialize
 
 
@@ -73,9 +74,13 @@ def junctions(nodes: DataFrame, k: int) -> DataFrame:
 
 def glue_edges(nodes: DataFrame, k: int) -> DataFrame:
     """(x, x_side, y, y_side): ends that continue each other: alone on both sides of a junction, of two k-mers with one color set."""
+    return _glue(nodes, k).drop("junction")
+
+
+def _glue(nodes: DataFrame, k: int) -> DataFrame:
     j = junctions(nodes, k).where("n_in = 1 and n_out = 1 and in_kmer <> out_kmer and in_cid = out_cid")
     side = lambda c: F.when(F.col(c), "R").otherwise("L")
-    return j.select(F.col("in_kmer").alias("x"), side("in_is_right").alias("x_side"), F.col("out_kmer").alias("y"), side("out_is_right").alias("y_side"))
+    return j.select(F.col("in_kmer").alias("x"), side("in_is_right").alias("x_side"), F.col("out_kmer").alias("y"), side("out_is_right").alias("y_side"), "junction")
 
 
 def linked_kmers(nodes: DataFrame) -> DataFrame:
@@ -85,12 +90,12 @@ def linked_kmers(nodes: DataFrame) -> DataFrame:
 
 
 def oriented(glue: DataFrame, km: Kmers) -> DataFrame:
-    """Successor edges (src, dst) of oriented nodes: leaving by R or entering by L is plus."""
+    """Successor edges (src, dst, junction) of oriented nodes: leaving by R or entering by L is plus."""
     leave = lambda n, s: km.oriented(F.col(n), F.col(s) == "R")
     enter = lambda n, s: km.oriented(F.col(n), F.col(s) == "L")
     there = F.struct(leave("x", "x_side").alias("src"), enter("y", "y_side").alias("dst"))
     back = F.struct(leave("y", "y_side").alias("src"), enter("x", "x_side").alias("dst"))
-    return glue.select(F.explode(F.array(there, back)).alias("e")).select("e.src", "e.dst").distinct()
+    return glue.select("junction", F.explode(F.array(there, back)).alias("e")).select("e.src", "e.dst", "junction").distinct()
 
 
 def unitigs(nodes: DataFrame, k: int, piece: int = 4096) -> DataFrame:
@@ -101,7 +106,13 @@ def unitigs(nodes: DataFrame, k: int, piece: int = 4096) -> DataFrame:
     and the pieces of a path then, so no task holds more than its strings.
     """
     km = Kmers(nodes, k)
-    ranked = rank_paths(oriented(glue_edges(nodes, k), km))
+    edges = oriented(_glue(nodes, k), km)
+    m = default_minimizer(k) if k >= 4 else 1
+    if km.packed and m < k - 1:  # most neighbours on a path share the minimizer of their junctions
+        edges = materialize(add_bucket(edges.withColumnRenamed("junction", "code"), k - 1, m, (1 << 31) - 1), "glue")
+        ranked = rank_near_paths(edges, "bucket")
+    else:
+        ranked = rank_paths(edges)
     ranked = ranked.where(~F.col("cyclic") | km.plus(F.col("root")))
     ranked = materialize(ranked.select("root", "dist", km.kmer(F.col("node")).alias("x"), km.plus(F.col("node")).alias("plus")), "ranked")
     x, first = F.col("x"), F.col("dist") == 0

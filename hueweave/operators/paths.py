@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,25 +13,88 @@ from hueweave.operators.components import connected_components
 from hueweave.runtime import materialize
 
 
+def chains(src: np.ndarray, dst: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Edges contracted to their chains: (first node, last node, edges) of each, and (node, first node, place) of the nodes inside.
+
+    Edges on a circle stay as they are, chains of one edge.
+    """
+    names, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    s, t = at[: len(src)], at[len(src) :]
+    pred = np.arange(len(names))
+    pred[t] = s
+    head = pred == np.arange(len(names))
+    dist = (~head).astype(np.int64)
+    ptr = pred
+    for _ in range(int(len(names)).bit_length() + 1):
+        if head[ptr].all():
+            break
+        dist, ptr = dist + dist[ptr], ptr[ptr]
+    ringed = ~head[ptr]
+    onward = np.zeros(len(names), bool)
+    onward[s] = True
+    last, inner = np.flatnonzero(~ringed & ~onward & ~head), np.flatnonzero(~ringed & onward & ~head)
+    ring = np.flatnonzero(ringed)
+    first = np.concatenate([ptr[last], pred[ring]])
+    return (names[first], names[np.concatenate([last, ring])], np.concatenate([dist[last], np.ones(len(ring), np.int64)])), (names[inner], names[ptr[inner]], dist[inner])
+
+
+def rank_near_paths(edges: DataFrame, key: str, per_task: int = 2_000_000) -> DataFrame:
+    """``rank_paths`` of edges (src, dst, key), long nodes, where neighbours on a path mostly have one ``key``.
+
+    Edges are shuffled by key, and those that meet in a task (``per_task`` at a time) are contracted to chains there, so
+    only the chains' ends enter the rounds of pointer doubling, and the nodes inside take their place from their chain's first.
+    """
+    n = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // per_task))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(held)
+            for inside, rows in enumerate(chains(whole.column(0).to_numpy(), whole.column(1).to_numpy())):
+                yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(np.full(len(rows[0]), bool(inside)))], ["a", "b", "w", "inside"])
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= per_task:
+                yield from flush()
+                held = []
+        if held:
+            yield from flush()
+
+    met = materialize(edges.repartition(n, key).select("src", "dst").mapInArrow(run, "a long, b long, w long, inside boolean"), "chains")
+    ends = rank_paths(met.where("not inside").select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"))
+    inner = met.where("inside").select(F.col("a").alias("inner"), F.col("b").alias("first"), "w")
+    inner = inner.join(ends, F.col("first") == F.col("node")).select(F.col("inner").alias("node"), "root", (F.col("dist") + F.col("w")).alias("dist"), "cyclic")
+    every = ends.unionByName(inner)
+    rings = materialize(every.where("cyclic"), "path-rings")  # opened at an end of a chain: turn to the least node
+    turn = rings.groupBy("root").agg(F.min(F.struct("node", "dist")).alias("least"), F.count("*").alias("size")).withColumnRenamed("root", "r")
+    rings = rings.join(turn, F.col("root") == F.col("r")).select("node", F.col("least.node").alias("root"), F.pmod(F.col("dist") - F.col("least.dist"), "size").alias("dist"), "cyclic")
+    return every.where("not cyclic").unionByName(rings)
+
+
 def rank_paths(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, root, dist, cyclic) for the nodes of ``edges`` (src, dst), where no node has two successors or predecessors.
 
+    An edge counts 1, or what a column ``w`` says.
+
     Every round a node takes over its pointer's pointer, so a path of L nodes settles in about log2 L
     rounds; settled nodes leave the active set. While a path is unsettled the active set
     shrinks every round, so when it does not, only cycles are left: each is opened before its least
     node and ranked again. Each round's state is a table in shared storage.
     """
-    preds = materialize(edges.select(F.col("dst").alias("node"), F.col("src").alias("ptr")), "path-edges")
+    weight = F.col("w") if "w" in edges.columns else F.lit(1).cast("long")
+    preds = materialize(edges.select(F.col("dst").alias("node"), F.col("src").alias("ptr"), weight.alias("dist")), "path-edges")
     roots = preds.select("ptr").join(preds.select(F.col("node").alias("n")), F.col("ptr") == F.col("n"), "left_anti").distinct()
     done = [materialize(roots.select(F.col("ptr").alias("node"), F.col("ptr").alias("root"), F.lit(0).cast("long").alias("dist"), F.lit(False).alias("cyclic")), "path-roots")]
-    active = preds.select("node", "ptr", F.lit(1).cast("long").alias("dist"))
+    active = preds.select("node", "ptr", "dist")
     done, active = _double(done, active, False, max_rounds)
     if active is not None:
         loops = preds.join(active.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_semi")
         least = connected_components(loops.select(F.col("node").alias("a"), F.col("ptr").alias("b")))
         heads = materialize(least.select("root").distinct().union(loops.where("node = ptr").select("node")), "path-cycles")
         done.append(heads.select(F.col("root").alias("node"), "root", F.lit(0).cast("long").alias("dist"), F.lit(True).alias("cyclic")))
-        opened = loops.join(heads, F.col("node") == F.col("root"), "left_anti").select("node", "ptr", F.lit(1).cast("long").alias("dist"))
+        opened = loops.join(heads, F.col("node") == F.col("root"), "left_anti").select("node", "ptr", "dist")
         done, active = _double(done, opened, True, max_rounds)
         if active is not None:
             raise RuntimeError("cycles did not open")

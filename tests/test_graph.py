@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hueweave.functions import codec, dna, packed
 from hueweave.operators import colors, graph
+from hueweave.operators.paths import rank_near_paths, rank_paths
 from hueweave.operators.stitch import stitch
 from hueweave.plans.build import BuildConfig, build
 from hueweave.sources import artifacts, sequences
@@ -99,6 +100,25 @@ def test_unitigs_match_naive_walk(spark, k, seed):
     assert sum(r["num_kmers"] for r in got) == len(color)
 
 
+def test_chains_and_circles(spark):
+    r = random.Random(2)
+    names = r.sample(range(1, 10_000), 400)
+    paths, at = [], 0
+    for n in (1, 2, 3, 50, 128, 16, 7, 64, 3):
+        paths.append((names[at : at + n], n in (16, 3, 64)))
+        at += n
+    edges = [e for p, ring in paths for e in [*zip(p, p[1:]), *([(p[-1], p[0])] if ring else [])]]
+    want = set()
+    for p, ring in paths:
+        start = p.index(min(p)) if ring else 0
+        if len(p) > 1:
+            want |= {(x, p[start], i, ring) for i, x in enumerate([*p[start:], *p[:start]])}
+    for buckets in (1, 4):
+        df = spark.createDataFrame([(a, b, r.randrange(buckets)) for a, b in edges], "src long, dst long, bucket int")
+        assert {tuple(x) for x in rank_near_paths(df, "bucket", 60).collect()} == want
+    assert {tuple(x) for x in rank_paths(df).collect()} == want
+
+
 def test_even_k_covers_every_kmer_once(spark):
     seqs = [(0, "ACGTACGTTAGCATGCAATTGGCC" * 2), (1, "GGCCAATTGCATGCTAACGTACGT")]
     kc = colors.kmer_colors(spark.createDataFrame(seqs, "color int, seq string"), 6).cache()
