@@ -146,3 +146,57 @@ def add_bucket(kmers: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
     others = [f for f in kmers.schema if f.name not in ("code", "bucket")]
     rows = kmers.select("code", *[f.name for f in others])
     return rows.mapInArrow(run, ", ".join(["code long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "bucket int"]))
+
+
+def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:
+    """The least of the ``w`` numbers from each place on; windows are put together from overlapping halves, so log2(w) steps do."""
+    size = 1
+    while 2 * size <= w:
+        x, size = np.minimum(x[:-size], x[size:]), 2 * size
+    return x if size == w else np.minimum(x[: len(x) - (w - size)], x[w - size :])
+
+
+def junction_hashes(run: bytes, k: int, m: int) -> np.ndarray:
+    """For each (k-1)-mer of an ACGT run, in order, the least canonical ntHash of its m-mers (m under k)."""
+    codes = CODES[np.frombuffer(run, np.uint8)].astype(np.uint64)
+    other = nthashes(windows(np.uint64(3) - codes[::-1], m), m)[::-1]
+    return sliding_minimum(np.minimum(nthashes(windows(codes, m), m), other), k - m)
+
+
+def super_kmers(runs: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
+    """Split ACGT runs (column ``run_seq``) where the minimizer of their (k-1)-mers changes: the runs' other columns and
+    (start, seq, bucket, is_begin, is_end, owns_first, owns_last), a row a super-k-mer.
+
+    A super-k-mer holds the k-mers whose left or right (k-1)-mer has its minimizer, so neighbours share one k-mer, all k-mers that
+    meet at a junction meet in one bucket, and of two neighbours the one with the lesser hash owns the k-mer they share: each
+    k-mer of a run is owned once. Null runs and those under k bases give none.
+    """
+    if not 1 <= m < check_k(k) or m > MAX_PACKED_K:
+        raise ValueError("a minimizer has at least 1 and fewer than k bases")
+    others = [f for f in runs.schema if f.name != "run_seq"]
+    names = ["start", "seq", "bucket", "is_begin", "is_end", "owns_first", "owns_last"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, cut = [], []
+            for row, x in enumerate(b.column(0).to_pylist()):
+                if x is None or len(x) < k:
+                    continue
+                least, last = junction_hashes(x.encode(), k, m), len(x) - k
+                first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+                begin, end = np.maximum(first - 1, 0), np.minimum(np.append(first[1:] - 1, last), last)
+                h = least[first]
+                less = h[:-1] < h[1:]
+                edge = np.arange(len(h))
+                rows += [row] * len(h)
+                seqs = [x[i : j + k] for i, j in zip(begin.tolist(), end.tolist())]
+                bucket = ((h >> np.uint64(1)) % np.uint64(buckets)).astype(np.int32)
+                cut.append((begin, np.array(seqs, object), bucket, edge == 0, edge == len(h) - 1, np.append(True, ~less), np.append(less, True)))
+            if cut:
+                columns = [np.concatenate(c) for c in zip(*cut)]
+                kept = pa.RecordBatch.from_arrays(b.columns[1:], names=b.schema.names[1:]).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*kept.columns, *map(pa.array, columns)], [*kept.schema.names, *names])
+
+    types = ["long", "string", "int", "boolean", "boolean", "boolean", "boolean"]
+    schema = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), *map(" ".join, zip(names, types))]
+    return runs.select("run_seq", *[f.name for f in others]).mapInArrow(run, ", ".join(schema))

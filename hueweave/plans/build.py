@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import time
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,13 +16,20 @@ from hueweave.sources import artifacts, sequences
 
 @dataclass(frozen=True)
 class BuildConfig:
-    """What decides a build's results. Threads, memory and buckets are the cluster's settings."""
+    """What decides a build's results. Threads, memory and buckets are the cluster's settings.
+
+    ``m``, from 2 to k, is the minimizer length by which neighbouring k-mers meet in a task; it changes time, not results,
+    and unset it follows from k.
+    """
 
     k: int = 31
     permissive: bool = False
+    m: int | None = None
 
     def __post_init__(self) -> None:
         check_k(self.k)
+        if self.m is not None and not 2 <= self.m <= self.k:
+            raise ValueError("m must be from 2 to k")
         if not isinstance(self.permissive, bool):
             raise ValueError("permissive is true or false")
 
@@ -31,6 +40,9 @@ class Graph:
     color_sets: DataFrame
     metadata: DataFrame
     num_colors: int
+    config: BuildConfig = field(default_factory=BuildConfig)
+    #: Seconds and rows of each phase, in order.
+    phases: dict[str, tuple[float, int]] = field(default_factory=dict)
 
     def _of(self, name: str) -> int:
         return self.metadata.first()[name]
@@ -52,13 +64,21 @@ class Graph:
 
 
 def build_graph(seqs: DataFrame, n_colors: int, config: BuildConfig | None = None) -> Graph:
-    """Unitigs, color sets and metadata of (color, seq) rows."""
-    k = (config or BuildConfig()).k
-    kc = materialize((colors.packed_colors if k <= MAX_PACKED_K else colors.kmer_colors)(seqs, k, n_colors), "kmer-colors")
-    sets = materialize(colors.color_sets(kc), "color-sets")
-    nodes = materialize(colors.encode_colors(kc, sets), "nodes")
-    numbered = materialize(artifacts.number_unitigs(graph.unitigs(nodes, k)), "unitigs")
-    return Graph(numbered, sets, artifacts.metadata(numbered, sets, k, n_colors), n_colors)
+    """Unitigs, color sets and metadata of (color, seq) rows; each phase is a written table, timed and counted."""
+    config = config or BuildConfig()
+    k, phases = config.k, {}
+
+    def phase(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        began = time.monotonic()
+        out = materialize(make(), name)
+        phases[name] = (time.monotonic() - began, out.count())
+        return out
+
+    kc = phase("kmer-colors", lambda: (colors.packed_colors if k <= MAX_PACKED_K else colors.kmer_colors)(seqs, k, n_colors))
+    sets = phase("color-sets", lambda: colors.color_sets(kc))
+    nodes = phase("nodes", lambda: colors.encode_colors(kc, sets))
+    numbered = phase("unitigs", lambda: artifacts.number_unitigs(graph.unitigs(nodes, k, config.m)))
+    return Graph(numbered, sets, artifacts.metadata(numbered, sets, k, n_colors), n_colors, config, phases)
 
 
 def build(spark: SparkSession, manifest_path: str, config: BuildConfig | None = None) -> Graph:
@@ -66,3 +86,29 @@ def build(spark: SparkSession, manifest_path: str, config: BuildConfig | None =
     config = config or BuildConfig()
     manifest = sequences.read_manifest(spark, manifest_path)
     return build_graph(sequences.read_sequences(spark, manifest, config.permissive), manifest.count(), config)
+
+
+@dataclass(frozen=True)
+class StoredGraph:
+    """A written graph: its five counts, and its sets and unitigs by color-set id."""
+
+    spark: SparkSession
+    base: str
+    k: int
+    num_kmers: int
+    num_colors: int
+    num_unitigs: int
+    num_color_sets: int
+
+    def color_sets(self, cids: list[int] | None = None) -> DataFrame:
+        """(color_set_id, unitig_start, num_unitigs, color_set), of some sets or all; only the row groups that may hold them are read, and only they are decoded."""
+        return artifacts.read_color_sets(self.spark, self.base, cids)
+
+    def unitigs(self, cids: list[int] | None = None) -> DataFrame:
+        u = self.spark.read.parquet(f"{self.base}.unitigs")
+        return u if cids is None else u.where(u["cid"].isin(cids))
+
+
+def open_graph(spark: SparkSession, base: str) -> StoredGraph:
+    """The graph that ``Graph.write(base)`` has written."""
+    return StoredGraph(spark, base, **artifacts.read_metadata(spark, f"{base}.metadata"))

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hueweave.functions import packed
+from hueweave.functions.codec import encode_sets
 from hueweave.functions.dna import NTHASH_SEEDS, acgt_runs, canonical, kmers, minimizer, pack, run_pieces, unpack
 from hueweave.operators import colors, graph
 from hueweave.plans.build import BuildConfig, Graph, build_graph
@@ -175,6 +176,20 @@ def super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", F.col("run").cast("long").alias("run"), F.col("start").cast("long").alias("start"), "minimizer", (F.col("n") + K - 1).alias("bases"))
 
 
+def bucketed_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each run cut where the ntHash minimizer of its junctions changes, with the bucket and who owns the k-mers that neighbours share."""
+    runs = sequences(spark, sf_dir).select("doc_id", F.posexplode(acgt_runs("seq")).alias("run", "run_seq"))
+    cut = packed.super_kmers(runs, K, M, HASH_BUCKETS)
+    return cut.select("doc_id", F.col("run").cast("long").alias("run"), "start", F.length("seq").cast("long").alias("bases"), "bucket", "is_begin", "is_end", "owns_first", "owns_last")
+
+
+def color_set_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of each color set's hybrid code: (cid, n_integers, n_bits), the code's bits before padding to bytes."""
+    sets = materialize(colors.color_sets(_packed(spark, sf_dir)), "color-sets")
+    sizes = sets.select(F.col("cid").alias("c"), F.size("colors").cast("long").alias("n_integers"))
+    return encode_sets(sets, N_COLORS).join(sizes, F.col("cid") == F.col("c")).select("cid", "n_integers", "n_bits")
+
+
 def color_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run-length coding of color sets along each run: how many stretches, and their k-mers, by document."""
     nodes = _nodes(spark, sf_dir).withColumnRenamed("code", "c")
@@ -212,7 +227,7 @@ def unitig_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     acgt_run_stats, canonical_kmers, kmer_color_sets, kmers_per_color_set, color_set_dictionary, kmer_cids, color_set_sizes, encoding_regimes,
     color_set_complements, kmers_per_color, junction_degrees, glue_edges, branching_junctions, linked_kmers, packed_kmers, minimizers, bucket_sizes,
-    largest_buckets, junction_buckets, bucket_size_report, super_kmers, color_runs, private_kmers, graph_counts, unitigs, unitigs_per_color_set, unitig_metadata,
+    largest_buckets, junction_buckets, bucket_size_report, super_kmers, bucketed_super_kmers, color_set_codes, color_runs, private_kmers, graph_counts, unitigs, unitigs_per_color_set, unitig_metadata,
 ]
 
 
@@ -262,6 +277,16 @@ mers AS (SELECT junction, unnest(list_transform(range(1, {K - M + 1}), lambda i:
 hashes AS MATERIALIZED (SELECT x, least({_HASH.format('x')}, {_HASH.format('y')}) AS h FROM (SELECT x, {RC.format('x')} AS y FROM (SELECT DISTINCT x FROM mers))),
 buckets AS (SELECT bucket, count(*) AS n_junctions FROM (SELECT junction, CAST((min(h) >> 1) % {HASH_BUCKETS} AS INT) AS bucket FROM mers JOIN hashes USING (x) GROUP BY junction) GROUP BY bucket)
 """
+_SUPERS = f"""
+mers AS MATERIALIZED (SELECT doc_id, run_no, length(run) - {K} AS last, unnest(range(length(run) - {M - 1})) AS i, unnest({_windows('run', M)}) AS x FROM r),
+hashes AS MATERIALIZED (SELECT x, least({_HASH.format('x')}, {_HASH.format('y')}) AS h FROM (SELECT x, {RC.format('x')} AS y FROM (SELECT DISTINCT x FROM mers))),
+least_of AS (SELECT doc_id, run_no, last, i, min(h) OVER (PARTITION BY doc_id, run_no ORDER BY i ROWS BETWEEN CURRENT ROW AND {K - M - 1} FOLLOWING) AS h FROM mers JOIN hashes USING (x)),
+islands AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, run_no ORDER BY i) AS island FROM (
+  SELECT *, CASE WHEN h = lag(h) OVER (PARTITION BY doc_id, run_no ORDER BY i) THEN 0 ELSE 1 END AS new FROM least_of WHERE i <= last + 1)),
+blocks AS (SELECT doc_id, run_no, island, last, h, greatest(min(i) - 1, 0) AS a, least(max(i), last) AS b FROM islands GROUP BY doc_id, run_no, island, last, h),
+supers AS (SELECT *, lag(h) OVER w AS before, lead(h) OVER w AS after FROM blocks WINDOW w AS (PARTITION BY doc_id, run_no ORDER BY island))
+"""
+_WIDTH = "2 * length(bin(length(bin({0} + 1)))) + length(bin({0} + 1)) - 2"  # bits of the Elias delta code of x + 1
 
 
 def _doubled(name: str, rounds: int) -> str:
@@ -320,6 +345,10 @@ def oracle_sql() -> dict[str, str]:
         "private_kmers": "SELECT DISTINCT kmer FROM ck WHERE color = 0 EXCEPT SELECT kmer FROM ck WHERE color <> 0",
         "graph_counts": f"SELECT {K}::BIGINT AS k, {N_COLORS}::BIGINT AS num_colors, count(*) AS num_kmers, CAST(sum(len(colors)) AS BIGINT) AS num_integers, count(DISTINCT colors) AS num_color_sets FROM kc",
     }
+    cut = "SELECT doc_id, CAST(run_no AS BIGINT) AS run, CAST(a AS BIGINT) AS start, CAST(b - a + {0} AS BIGINT) AS bases, CAST((h >> 1) % {1} AS INT) AS bucket, before IS NULL AS is_begin, after IS NULL AS is_end, before IS NULL OR h < before AS owns_first, after IS NULL OR h < after AS owns_last FROM supers"
+    stored = f"SELECT cid, colors, len(colors) >= floor(0.25 * {N_COLORS}) AND len(colors) < floor(0.75 * {N_COLORS}) AS bitmap, CASE WHEN len(colors) < floor(0.75 * {N_COLORS}) THEN colors ELSE list_filter(range({N_COLORS}), lambda c: NOT list_contains(colors, c)) END AS x FROM sets"
+    gaps = f"coalesce(list_sum(list_transform(list_transform(range(1, len(x) + 1), lambda i: x[i] - coalesce(x[i - 1], -1) - 1), lambda g: {_WIDTH.format('g')})), 0)"
+    q["color_set_codes"] = f"SELECT cid, len(colors) AS n_integers, CAST({_WIDTH.format('len(colors)')} + CASE WHEN bitmap THEN {N_COLORS} ELSE {gaps} END AS BIGINT) AS n_bits FROM ({stored})"
     tigs = {
         "unitigs": "SELECT unitig_id, cid, seq, num_kmers, unitig_id = max(unitig_id) OVER (PARTITION BY cid) AS run_end FROM unitigs",
         "unitigs_per_color_set": "SELECT cid, min(unitig_id) AS unitig_start, count(*) AS num_unitigs, CAST(sum(num_kmers) AS BIGINT) AS n_kmers FROM unitigs GROUP BY cid",
@@ -332,4 +361,5 @@ def oracle_sql() -> dict[str, str]:
     js = {"junction_degrees", "glue_edges", "branching_junctions"}
     out = {n: f"WITH {_DNA}{',' + _JUNCTIONS if n in js else ''} {sql}" for n, sql in q.items()}
     out |= {n: f"WITH {_DNA},{_JUNCTIONS},{_BUCKETS} {sql}" for n, sql in spread.items()}
+    out["bucketed_super_kmers"] = f"WITH {_DNA},{_SUPERS} {cut.format(K, HASH_BUCKETS)}"
     return out | {n: f"WITH {_DNA.replace('nodes AS (', 'nodes AS MATERIALIZED (')},{_JUNCTIONS},{_UNITIGS} {sql}" for n, sql in tigs.items()}

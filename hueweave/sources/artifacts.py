@@ -24,12 +24,15 @@ def metadata(unitigs: DataFrame, sets: DataFrame, k: int, n_colors: int) -> Data
 
 
 def write(base: str, numbered: DataFrame, sets: DataFrame, meta: DataFrame, n_colors: int) -> None:
-    """Write base.fa (``>cid`` and sequence, by cid), base.unitigs, base.color_sets (hybrid-coded) and base.metadata."""
+    """Write base.fa (``>cid`` and sequence, by cid), base.unitigs, base.color_sets (hybrid-coded) and base.metadata.
+
+    Unitigs and color sets lie in order of their ids, so Parquet's statistics serve as offsets: reading a few ids skips the other row groups.
+    """
     n = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fasta = numbered.repartitionByRange(n, "cid", "seq").sortWithinPartitions("cid", "seq")
     fasta.select(F.concat(F.lit(">"), F.col("cid").cast("string"), F.lit("\n"), F.col("seq"))).write.text(f"{base}.fa")
-    numbered.write.parquet(f"{base}.unitigs")
-    encode_sets(sets, n_colors).write.parquet(f"{base}.color_sets")
+    numbered.repartitionByRange(n, "unitig_id").sortWithinPartitions("unitig_id").write.parquet(f"{base}.unitigs")
+    encode_sets(sets.repartitionByRange(n, "cid").sortWithinPartitions("cid"), n_colors).write.parquet(f"{base}.color_sets")
     pairs = F.array(*[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in meta.columns])
     meta.select(F.explode(pairs)).coalesce(1).write.text(f"{base}.metadata")
 
@@ -41,8 +44,9 @@ def read_metadata(spark: SparkSession, path: str) -> dict[str, int]:
     return {key: got[key] for key in ("k", "num_kmers", "num_colors", "num_unitigs", "num_color_sets")}
 
 
-def read_color_sets(spark: SparkSession, base: str) -> DataFrame:
-    """(color_set_id, unitig_start, num_unitigs, color_set): each set with its contiguous range of unitigs."""
-    u = spark.read.parquet(f"{base}.unitigs").groupBy("cid").agg(F.min("unitig_id").alias("unitig_start"), F.count("*").alias("num_unitigs"))
-    sets = decode_sets(spark.read.parquet(f"{base}.color_sets"))
+def read_color_sets(spark: SparkSession, base: str, cids: list[int] | None = None) -> DataFrame:
+    """(color_set_id, unitig_start, num_unitigs, color_set): each set, or those of ``cids``, with its contiguous range of unitigs."""
+    kept = lambda df: df if cids is None else df.where(F.col("cid").isin(cids))
+    u = kept(spark.read.parquet(f"{base}.unitigs")).groupBy("cid").agg(F.min("unitig_id").alias("unitig_start"), F.count("*").alias("num_unitigs"))
+    sets = decode_sets(kept(spark.read.parquet(f"{base}.color_sets")))
     return sets.join(u, "cid").select(F.col("cid").alias("color_set_id"), "unitig_start", "num_unitigs", F.col("colors").alias("color_set"))

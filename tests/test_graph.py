@@ -10,7 +10,7 @@ from hueweave.functions import codec, dna, packed
 from hueweave.operators import colors, graph
 from hueweave.operators.paths import rank_near_paths, rank_paths
 from hueweave.operators.stitch import stitch
-from hueweave.plans.build import BuildConfig, build
+from hueweave.plans.build import BuildConfig, build, open_graph
 from hueweave.sources import artifacts, sequences
 from hueweave.streaming import ingest
 
@@ -182,12 +182,55 @@ def test_packed_column_functions(spark):
         assert run[r["start"] : r["start"] + 18] == r["piece"]
 
 
-def test_codec_round_trips_in_all_regimes():
+def plain_delta(x):
+    """The code of x + 1 as a string of bits, in the order they are written."""
+    n = (x + 1).bit_length()
+    m = n.bit_length()
+    low = lambda y, bits: "".join(str(y >> i & 1) for i in range(bits))
+    return "0" * (m - 1) + "1" + low(n, m - 1) + low(x + 1, n - 1)
+
+
+def test_codec_matches_plain_bits_and_round_trips():
     r = random.Random(4)
-    for n in (1, 4, 20, 101):
+    for n in (1, 4, 20, 101, 3000):
         for size in {0, 1, n // 4, n // 4 + 1, n // 2, 3 * n // 4, n - 1, n}:
             x = sorted(r.sample(range(n), max(0, min(n, size))))
-            assert codec.decode(codec.encode(x, n), n) == x
+            bits = plain_delta(len(x))
+            if int(0.25 * n) <= len(x) < int(0.75 * n):
+                bits += "".join("1" if c in x else "0" for c in range(n))
+            else:
+                kept = x if len(x) < int(0.25 * n) else sorted(set(range(n)) - set(x))
+                bits += "".join(plain_delta(b - a - 1) for a, b in zip([-1, *kept], kept))
+            code, size_in_bits = codec.encode(x, n)
+            assert size_in_bits == len(bits) and "".join(f"{b:08b}"[::-1] for b in code).rstrip("0") == bits.rstrip("0")
+            assert codec.decode(code, n).tolist() == x
+    far = [0, 5, 2**31 - 1, 2**32 - 2]
+    assert codec.decode(codec.encode(far, 2**32 - 1)[0], 2**32 - 1).tolist() == far
+
+
+@pytest.mark.parametrize("k,m", [(9, 4), (31, 12), (5, 4), (40, 13)])
+def test_super_kmers(spark, k, m):
+    r = random.Random(k)
+    runs = ["".join(r.choice("ACGT") for _ in range(n)) for n in (k - 1, k, k + 1, 300)] + ["A" * 60, None, ""]
+    df = spark.createDataFrame(list(enumerate(runs)), "run int, run_seq string")
+    got = packed.super_kmers(df, k, m, 7).collect()
+    least = lambda x: min(plain_nthash(y) for i in range(len(x) - m + 1) for y in (x[i : i + m], rc(x[i : i + m])))
+    owned, held = {}, set()
+    for s in got:
+        x = runs[s["run"]]
+        assert x[s["start"] : s["start"] + len(s["seq"])] == s["seq"]
+        n = len(s["seq"]) - k + 1
+        for i in range(n):
+            held.add((s["run"], s["start"] + i, s["bucket"]))
+            if (i > 0 or s["owns_first"]) and (i < n - 1 or s["owns_last"]):
+                owned[s["run"], s["start"] + i] = owned.get((s["run"], s["start"] + i), 0) + 1
+    every = {(i, at) for i, x in enumerate(runs) if x for at in range(len(x) - k + 1)}
+    assert owned == dict.fromkeys(every, 1)
+    assert held == {(i, at, (least(y) >> 1) % 7) for i, at in every for y in (runs[i][at : at + k - 1], runs[i][at + 1 : at + k])}
+    assert sum(s["is_begin"] for s in got) == sum(s["is_end"] for s in got) == len({i for i, _ in every})
+    assert packed.super_kmers(df.limit(0), k, m, 7).count() == 0
+    with pytest.raises(ValueError):
+        packed.super_kmers(df, k, k, 7)
 
 
 def test_files_to_artifacts(spark, tmp_path):
@@ -211,6 +254,16 @@ def test_files_to_artifacts(spark, tmp_path):
     assert meta == {"k": 7, "num_kmers": len(color), "num_colors": 4, "num_unitigs": len(truth), "num_color_sets": len({frozenset(x) for x in color.values()})}
     sets = artifacts.read_color_sets(spark, base).collect()
     assert {frozenset(r["color_set"]) for r in sets} == {frozenset(x) for x in color.values()}
+    stored = open_graph(spark, base)
+    assert (stored.num_kmers, stored.k) == (g.num_kmers, 7) and g.config.k == 7
+    assert stored.color_sets([1]).collect() == [r for r in sets if r["color_set_id"] == 1] and stored.color_sets().count() == len(sets)
+    assert sorted(map(tuple, stored.unitigs([0]).collect())) == sorted(tuple(r) for r in g.unitigs.collect() if r["cid"] == 0)
+    assert list(g.phases) == ["kmer-colors", "color-sets", "nodes", "unitigs"] and g.phases["unitigs"][1] == g.num_unitigs
+    again = build(spark, str(tmp_path / "files.txt"), BuildConfig(k=7, permissive=True, m=2))
+    assert sorted(map(tuple, again.unitigs.collect())) == sorted(map(tuple, g.unitigs.collect()))
+    for bad in ({"k": 1}, {"k": 64}, {"k": 7, "m": 8}, {"k": 7, "m": 1}, {"permissive": "yes"}):
+        with pytest.raises(ValueError):
+            BuildConfig(**bad)
     spans = sorted((r["unitig_start"], r["unitig_start"] + r["num_unitigs"]) for r in sets)
     assert spans[0][0] == 0 and spans[-1][1] == len(truth) and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
     assert spark.read.parquet(f"{base}.unitigs").where("run_end").count() == len(sets)
