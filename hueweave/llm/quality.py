@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,23 +25,31 @@ CODES = "".join(chr(ord("0") + i) for i in range(len(COMMON_WORDS)))
 CLASSES = ["space", "digit", "upper", "punct", "symbol", "wide", "plain"]
 
 
-def _repeat_words(d: DataFrame) -> DataFrame:
+def _repeat_words(d: DataFrame, window_hash: Callable[..., Column] = F.xxhash64) -> DataFrame:
     """Add n_repeat_words: words inside 3-word windows that the text holds twice or more.
 
     Only texts whose window hashes are not all distinct go on: hash and place are packed into one
     long, a sort of longs brings equal windows together, and neighbours that agree in the hash
-    bits are compared word by word.
+    bits are compared word by word. If any of these differ, the text's windows are sorted as strings instead.
     """
     words, s, keep = F.col("_hw_words"), F.col("_hw_packed"), F.bitwise_not(F.col("_hw_mask"))
     windows = (F.size(words) - 2).cast("int")
-    hashes = F.when(windows > 0, F.transform(F.sequence(F.lit(0), windows - 1), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
+    hashes = F.when(windows > 0, F.transform(F.sequence(F.lit(0), windows - 1), lambda i: window_hash(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))))
     d = d.withColumns({"_hw_hash": hashes, "_hw_mask": F.expr("shiftleft(1L, length(bin(cast(size(_hw_words) as bigint)))) - 1")})
     packed = F.when(F.size(F.array_distinct("_hw_hash")) < F.size("_hw_hash"), F.sort_array(F.transform("_hw_hash", lambda x, i: x.bitwiseAND(keep).bitwiseOR(i.cast("long")))))
     d = d.withColumn("_hw_packed", packed)
     at = lambda i: F.get(s, i).bitwiseAND(F.col("_hw_mask")).cast("int")
     equal = lambda i, j: (F.get(words, i) == F.get(words, j)) & (F.get(words, i + 1) == F.get(words, j + 1)) & (F.get(words, i + 2) == F.get(words, j + 2))
-    same = lambda x, i, j: F.coalesce((x.bitwiseXOR(F.get(s, j)) <= F.col("_hw_mask")) & (x.bitwiseXOR(F.get(s, j)) >= 0) & equal(at(i), at(j)), F.lit(False))
-    starts = F.when(F.size(s) > 1, F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i, i - 1) | same(x, i, i + 1)), lambda x: x.bitwiseAND(F.col("_hw_mask")).cast("int"))))
+    bits = lambda x, j: F.coalesce((x.bitwiseXOR(F.get(s, j)) <= F.col("_hw_mask")) & (x.bitwiseXOR(F.get(s, j)) >= 0), F.lit(False))
+    met = F.filter(s, lambda x, i: bits(x, i - 1) | bits(x, i + 1))
+    clash = F.exists(F.sequence(F.lit(1), F.size(s) - 1), lambda i: bits(F.get(s, i), i - 1) & ~equal(at(i), at(i - 1)))
+    spelt = F.sort_array(F.transform(F.sequence(F.lit(0), windows - 1), lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i"))))
+    d = d.withColumn("_hw_spelt", F.when((F.size(s) > 1) & clash, spelt))
+    z = F.col("_hw_spelt")
+    twin = lambda x, j: F.coalesce(x["w"] == F.get(z, j)["w"], F.lit(False))
+    plain = F.transform(F.filter(z, lambda x, i: twin(x, i - 1) | twin(x, i + 1)), lambda x: x["i"])
+    quick = F.transform(met, lambda x: x.bitwiseAND(F.col("_hw_mask")).cast("int"))
+    starts = F.when(z.isNotNull(), F.sort_array(plain)).when(F.size(s) > 1, F.sort_array(quick))
     d = d.withColumn("_hw_starts", starts)
     p = F.col("_hw_starts")
     covered = F.aggregate(F.sequence(F.lit(1), F.size(p)), F.lit(0), lambda acc, i: acc + F.least(F.lit(3), F.coalesce(F.get(p, i) - F.get(p, i - 1), F.lit(3))))
@@ -49,7 +58,7 @@ def _repeat_words(d: DataFrame) -> DataFrame:
 
 def quality_features(docs: DataFrame) -> DataFrame:
     """Add the base counts, ``classes`` (a count for each of CLASSES, in bytes or characters) and
-    ``common`` (a count for each common word) to each row, without a shuffle.
+    ``common`` (a count for each common word, as written) to each row, without a shuffle.
 
     Null text counts as empty: every count is 0. Columns so named are replaced.
     """

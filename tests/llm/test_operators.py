@@ -84,6 +84,17 @@ def test_quality(spark, docs):
     assert quality.quality_rules(docs.limit(0)).count() == 0
 
 
+def test_repeats_do_not_depend_on_the_hash(spark):
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abc") for _ in range(n)) for n in (0, 1, 2, 3, 4, 12, 40)] + ["a b c x a b d y a b c z", "p q r s t u"]
+    for same in (lambda *w: F.lit(7).cast("long"), lambda *w: F.when(w[0] < "b", 1024).otherwise(2048).cast("long")):  # windows that differ share a hash
+        d = spark.createDataFrame([(t.split(),) for t in texts], "_hw_words array<string>")
+        for x in quality._repeat_words(d, same).select("_hw_words", "n_repeat_words").collect():
+            w = x["_hw_words"]
+            c = collections.Counter(zip(w, w[1:], w[2:]))
+            assert x["n_repeat_words"] == len({j + i for j in range(len(w) - 2) if c[tuple(w[j : j + 3])] > 1 for i in range(3)})
+
+
 def test_common_words_against_brute_force(spark):
     r = random.Random(6)
     other = ["".join(r.choices("abcdefghijklmnop", k=5)) for _ in range(2000)]
