@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +15,8 @@ from hueweave.operators.paths import rank_paths
 #: The color-set id of a k-mer whose color set another fragment knows.
 FOREIGN = -1
 
+_PAIRED = str.maketrans("ACGT", "TGCA")
+
 
 def open_ends(fragments: DataFrame, k: int) -> DataFrame:
     """(frag_id, side, kmer, rc): the canonical boundary k-mer of each open end; rc if it is turned."""
@@ -37,14 +42,31 @@ def joins(fragments: DataFrame, k: int) -> DataFrame:
     return one.join(two, ["kmer", "nth"]).where("a <> b").select("a", "s", "b", "t")
 
 
-#: One more fragment's runs x after those of a path: the shared k-mer belongs to the last run unless that is foreign.
-_ADD = f"""(acc, x) -> CASE
-  WHEN size(acc) = 0 THEN x
-  WHEN element_at(acc, -1).cid = {FOREIGN} AND element_at(acc, -1).num_kmers > 1
-    THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('cid', {FOREIGN}L, 'num_kmers', element_at(acc, -1).num_kmers - 1)), x)
-  WHEN element_at(acc, -1).cid = {FOREIGN} THEN concat(slice(acc, 1, size(acc) - 1), x)
-  WHEN x[0].num_kmers > 1 THEN concat(acc, array(named_struct('cid', x[0].cid, 'num_kmers', x[0].num_kmers - 1)), slice(x, 2, size(x)))
-  ELSE concat(acc, slice(x, 2, size(x))) END"""
+def stretches(pieces: list[dict], k: int) -> Iterator[tuple[str, int, int]]:
+    """(seq, cid, num_kmers) of the color-uniform stretches of a path, whose pieces (seq, runs) overlap by k bases, in canonical form.
+
+    The k-mer that two pieces share counts once: it belongs to the earlier piece's last run unless that is foreign. Time is
+    linear in the bases and runs.
+    """
+    seq, runs = [], []
+    for p in pieces:
+        new = [[r["cid"], r["num_kmers"]] for r in p["runs"]]
+        seq.append(p["seq"][k:] if seq else p["seq"])
+        if runs:
+            short = runs[-1] if runs[-1][0] == FOREIGN else new[0]
+            short[1] -= 1
+            if runs[-1][1] == 0:
+                runs.pop()
+        for cid, n in new:
+            if n and runs and runs[-1][0] == cid:
+                runs[-1][1] += n
+            elif n:
+                runs.append([cid, n])
+    whole, at = "".join(seq), 0
+    for cid, n in runs:
+        x = whole[at : at + n + k - 1]
+        yield min(x, x[::-1].translate(_PAIRED)), cid, n
+        at += n
 
 
 def stitch(fragments: DataFrame, k: int) -> DataFrame:
@@ -64,21 +86,17 @@ def stitch(fragments: DataFrame, k: int) -> DataFrame:
     ranked = ranked.select("root", "dist", F.shiftrightunsigned("node", 1).alias("frag_id"), plus("node").alias("plus"))
     parts = ranked.join(fragments, "frag_id")
     piece = F.struct("dist", F.when(F.col("plus"), F.col("seq")).otherwise(reverse_complement("seq")).alias("seq"), F.when(F.col("plus"), F.col("runs")).otherwise(F.reverse("runs")).alias("runs"))
-    joined = parts.groupBy("root").agg(F.sort_array(F.collect_list(piece)).alias("ps"))
-    seq = F.array_join(F.transform("ps", lambda p: F.when(p["dist"] == 0, p["seq"]).otherwise(F.substring(p["seq"], F.lit(k + 1), F.length(p["seq"])))), "")
-    whole = joined.select(seq.alias("seq"), F.expr(f"aggregate(transform(ps, p -> p.runs), cast(array() as array<struct<cid: bigint, num_kmers: bigint>>), {_ADD})").alias("runs"))
-    alone = fragments.join(ranked.select("frag_id").distinct(), "frag_id", "left_anti").select("seq", "runs")
-    return split_by_color(whole.union(alone), k)
-
-
-def split_by_color(tigs: DataFrame, k: int) -> DataFrame:
-    """(seq, cid, num_kmers): cut (seq, runs) where the color set changes; each direction once."""
-    t = tigs.where(F.size("runs") > 0)
-    # where each run starts, and whether it goes on with the color set before it
-    t = t.withColumn("starts", F.expr("aggregate(runs, array(0L), (acc, r) -> concat(acc, array(element_at(acc, -1) + r.num_kmers)))"))
-    cuts = F.expr("filter(sequence(0, size(runs)), i -> i = 0 or i = size(runs) or get(runs, i).cid <> get(runs, i - 1).cid)")
-    t = t.withColumn("cuts", cuts)
-    spans = F.expr("transform(sequence(0, size(cuts) - 2), j -> named_struct('a', starts[cuts[j]], 'b', starts[cuts[j + 1]], 'cid', runs[cuts[j]].cid))")
-    t = t.select("seq", F.explode(spans).alias("s"))
-    out = t.select(canonical(F.substring(F.col("seq"), (F.col("s.a") + 1).cast("int"), (F.col("s.b") - F.col("s.a") + k - 1).cast("int"))).alias("seq"), F.col("s.cid").alias("cid"), (F.col("s.b") - F.col("s.a")).alias("num_kmers"))
-    return out.distinct()
+    joined = parts.groupBy("root").agg(F.sort_array(F.collect_list(piece)).alias("pieces")).select("pieces")
+    alone = fragments.join(ranked.select("frag_id").distinct(), "frag_id", "left_anti")
+    return split_by_color(joined.union(alone.select(F.array(F.struct(F.lit(0).cast("long").alias("dist"), "seq", "runs")))), k)
+
+
+def split_by_color(paths: DataFrame, k: int) -> DataFrame:
+    """(seq, cid, num_kmers) of paths (pieces, in order), cut where the color set changes; each direction once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [x for pieces in b.column(0) for x in stretches(pieces.as_py(), k)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate([pa.string(), pa.int64(), pa.int64()])], ["seq", "cid", "num_kmers"])
+
+    return paths.select("pieces").mapInArrow(run, "seq string, cid long, num_kmers long").distinct()

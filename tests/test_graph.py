@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from hueweave.functions import codec, dna, packed
 from hueweave.operators import colors, graph
 from hueweave.operators.paths import rank_near_paths, rank_paths
-from hueweave.operators.stitch import stitch
+from hueweave.operators.stitch import stitch, stretches
 from hueweave.plans.build import BuildConfig, build, open_graph
 from hueweave.sources import artifacts, sequences
 from hueweave.streaming import ingest
@@ -300,6 +300,27 @@ def test_shared_kmers_keep_the_color_that_is_known(spark):
     assert sorted((x["cid"], x["num_kmers"], x["seq"]) for x in stitch(df, k).collect()) == sorted([(4, 3, can(a[:7])), (5, 1, can(a[3:8])), (4, 4, can(a[4:12])), (6, 4, can(a[8:]))])
 
 
+def test_stretches_of_many_colors():
+    k, r = 5, random.Random(9)
+    whole = "".join(r.choice("ACGT") for _ in range(400))
+    of = [r.choice([1, 1, 1, 2, 3]) for _ in range(400 - k + 1)]
+    cuts = [0, *sorted(r.sample(range(1, len(of) - 1), 60)), len(of) - 1]
+    for knows in (0, 1):  # the earlier or the later piece knows the shared k-mer
+        pieces = []
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            cids = of[a : b + 1]
+            if knows and i < len(cuts) - 2:
+                cids[-1] = -1
+            if not knows and i:
+                cids[0] = -1
+            pieces.append({"seq": whole[a : b + k], "runs": [{"cid": c, "num_kmers": 1} for c in cids]})
+        got, at = list(stretches(pieces, k)), 0
+        for seq, cid, n in got:
+            assert of[at : at + n] == [cid] * n and seq == can(whole[at : at + n + k - 1])
+            at += n
+        assert at == len(of) and all(a[1] != b[1] for a, b in zip(got, got[1:]))
+
+
 @pytest.mark.parametrize("k", [9, 31])
 def test_stitch_rebuilds_unitigs(spark, k):
     r, fragments, truth = random.Random(5), [], []
