@@ -76,11 +76,17 @@ SELECT doc_id, n_words, word_chars, CAST(symbol AS BIGINT) AS n_symbols, n_dup_l
 FROM judged
 """
 
-SHARD = """
-WITH crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS rest FROM range(256) AS r(i)),
+_CRC = """crc AS (SELECT list(list_reduce(list_prepend(i, range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS rest FROM range(256) AS r(i))"""
+
+
+def _crc32(x: str) -> str:
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(c >> 8, rest[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+SHARD = f"""
+WITH {_CRC},
 d AS (
-  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes,
-    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT))), lambda c, b: xor(c >> 8, rest[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes, {_crc32("coalesce(text, '')")} AS text_crc32
   FROM documents, crc),
 placed AS (SELECT *, bytes + 8 AS size, sum(bytes + 8) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, bytes ROWS UNBOUNDED PRECEDING) AS upto, sum(bytes + 8) OVER () AS total FROM d),
 cut AS (SELECT *, CAST(least(23, floor(CAST(2 * upto - size AS DOUBLE) / (2 * total / 24.0::DOUBLE))) AS INT) AS shard FROM placed)
@@ -110,4 +116,71 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM told GROUP BY conv_id
 """
 
-SQL = {"op1_mix": MIX, "op2_quality": QUALITY, "op3_shard": SHARD, "op9_chat": CHAT}
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BOTH = "SELECT a.word, b.word AS other, b.n AS other_n FROM {0} a JOIN {1} b ON a.p = b.p WHERE a.word <> b.word"
+
+VARIANTS = f"""
+WITH RECURSIVE {_CRC},
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{_UP}', '{_LOW}') AS run FROM documents),
+held AS (SELECT d, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY d, run),
+hashed AS MATERIALIZED (SELECT run, n, {_crc32("d || ':' || run")} AS h FROM held, crc),
+words AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+skips AS MATERIALIZED (SELECT word, n, substr(word, 1, i) || '|' || substr(word, i + 2) AS p FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+gaps AS MATERIALIZED (SELECT word, n, substr(word, 1, i) || '|' || substr(word, i + 1) AS p FROM (SELECT word, n, unnest(range(length(word) + 1)) AS i FROM words)),
+near AS MATERIALIZED ({_BOTH.format('skips', 'skips')} UNION {_BOTH.format('skips', 'gaps')} UNION {_BOTH.format('gaps', 'skips')}),
+best AS (SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS i FROM near),
+forms AS MATERIALIZED (SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * words.n THEN other END AS form, CASE WHEN other_n >= 10 * words.n THEN other_n END AS form_n FROM words LEFT JOIN best ON best.word = words.word AND i = 1),
+chains AS (SELECT word, word AS root, form AS onward FROM forms UNION ALL SELECT chains.word, forms.word, forms.form FROM chains JOIN forms ON forms.word = chains.onward)
+SELECT forms.word, form, root, n, n_near, form_n FROM forms JOIN chains ON chains.word = forms.word AND onward IS NULL
+"""
+
+_FAR = 1 << 40
+
+
+def _option(letter: str, cost: str, at: str | None, line: str = "''") -> str:
+    return f"{{'c': {cost} + {at}.c, 'a': '{letter}' || {at}.a, 't': {line} || {at}.t}}" if at else f"{{'c': {_FAR}, 'a': '', 't': ''}}"
+
+
+def _kept(state: int) -> str:
+    """The state after a kept turn, by its initial."""
+    of = {0: {"s": 2, "u": 3}, 1: {"u": 3}, 2: {"a": 4}, 3: {"u": 3}}[state]
+    return "CASE r " + " ".join(f"WHEN '{x}' THEN {_option('K', 'late', f's[{i}]', 'line')}" for x, i in of.items()) + f" ELSE {_option('', '', None)} END"
+
+
+_GIVEN = {0: ("user", 3), 1: ("user", 3), 2: ("assistant", 4), 3: ("user", 3)}
+_LINE = "'{0}:' || text || chr(10)"
+_STAY = [f"CASE WHEN fault IN ('blank', 'duplicate') THEN {_option('D', '2', f's[{k + 1}]')} ELSE least({_option('D', '2', f's[{k + 1}]')}, {_kept(k)}, {_option('R', '1 + late', f's[{_GIVEN[k][1]}]', _LINE.format(_GIVEN[k][0]))}) END" for k in range(4)]
+_PUT = [f"least(b{k}, {_option('I', '5', f'b{_GIVEN[k][1] - 1}', chr(39) + _GIVEN[k][0] + ':' + chr(39) + ' || chr(10)')})" for k in range(4)]
+_PUT_FIRST = [f"least(b{k}, {_option('I', '5', 'u', chr(39) + 'user:' + chr(39) + ' || chr(10)')})" for k in range(2)]
+
+REPAIR = f"""
+WITH RECURSIVE {_CRC},
+hit AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS f FROM conversations, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN f = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hit WHERE f <> 0),
+placed AS (
+  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n, left(role, 1) AS r, left(lag(role) OVER w, 1) || left(role, 1) AS pair,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again
+  FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+faults AS MATERIALIZED (
+  SELECT *, role || ':' || text || chr(10) AS line, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS late FROM (
+    SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN again THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 'truncated' ELSE '' END AS fault FROM placed)),
+best AS (
+  SELECT DISTINCT conv_id, n + 1 AS i, [{{'c': 0::BIGINT, 'a': '', 't': ''}}, {{'c': 10, 'a': 'II', 't': 'user:' || chr(10) || 'assistant:' || chr(10)}}, {{'c': 5, 'a': 'I', 't': 'assistant:' || chr(10)}}, {{'c': 0, 'a': '', 't': ''}}] AS s FROM faults
+  UNION ALL
+  SELECT conv_id, i, [{_PUT_FIRST[0]}, {_PUT_FIRST[1]}, u, a] AS s FROM (
+    SELECT *, {_PUT[2]} AS u, {_PUT[3]} AS a FROM (
+      SELECT conv_id, i, {', '.join(f'{x} AS b{k}' for k, x in enumerate(_STAY))} FROM (
+        SELECT f.conv_id, f.i, f.r, f.fault, f.late, f.line, f.text, b.s FROM best b JOIN faults f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.i = b.i - 1)))),
+counted AS (
+  SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(s[1].c, 0) AS BIGINT) AS cost, coalesce(s[1].a, '') AS audit, sha256(coalesce(left(s[1].t, -1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON o.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best b ON o.conv_id IS NOT DISTINCT FROM b.conv_id AND b.i = 1
+"""
+
+SQL = {"op12_variants": VARIANTS, "op13_repair": REPAIR, "op1_mix": MIX, "op2_quality": QUALITY, "op3_shard": SHARD, "op9_chat": CHAT}

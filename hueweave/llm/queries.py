@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hueweave.llm import chat, decontam, langid, mixing, oracle, quality, secret_scan, sharding, simhash, token_counts, token_output
+from hueweave.llm import chat, decontam, langid, mixing, oracle, quality, repair, secret_scan, sharding, simhash, suffix_dedup, token_counts, token_output, variants
 from hueweave.llm.textutil import word_count
 from hueweave.runtime import materialize
 
@@ -62,8 +62,40 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    left = F.octet_length("kept").cast("long")
+    return kept.select("doc_id", "n_bytes", (F.col("n_bytes") - left).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(table(spark, sf_dir, "documents"))
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversation rows with faults put in by the CRC-32 of ``conv_id:turn`` modulo 20: 0 drops, 1 empties, 2 takes ``.!?`` out, 3 repeats, 4 makes it the user's; nulls count as one space."""
+    space = F.lit(" ")
+    text = F.coalesce("text", space)
+    rows = conversations.select("conv_id", "turn", F.coalesce("role", space).alias("role"), text.alias("text"), F.pmod(F.crc32(F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space)).cast("binary")), F.lit(20)).alias("fault"))
+    rows = rows.where("fault <> 0").select(
+        "conv_id", "turn", F.when(F.col("fault") == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(F.col("fault") == 1, "").when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.explode(F.when(F.col("fault") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+    return rows.drop("copy")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talk = table(spark, sf_dir, "conversations")
+    repaired = repair.repair_conversations(damaged(talk)).withColumnRenamed("conv_id", "c")
+    every = talk.select("conv_id").distinct().join(repaired, F.col("conv_id").eqNullSafe(F.col("c")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_mix, op2_quality, op3_shard, op4_tokens, op5_simhash, op6_secrets, op7_language, op8_tokenids, op9_chat, op10_decontaminate)}
+    ops = op1_mix, op2_quality, op3_shard, op4_tokens, op5_simhash, op6_secrets, op7_language, op8_tokenids, op9_chat, op10_decontaminate, op11_suffixes, op12_variants, op13_repair
+    return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
