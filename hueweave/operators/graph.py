@@ -98,22 +98,22 @@ def oriented(glue: DataFrame, km: Kmers) -> DataFrame:
     return glue.select("junction", F.explode(F.array(there, back)).alias("e")).select("e.src", "e.dst", "junction").distinct()
 
 
-def unitigs(nodes: DataFrame, k: int, m: int | None = None, piece: int = 4096) -> DataFrame:
+def unitigs(nodes: DataFrame, k: int, m: int | None = None, piece: int = 4096, rounds: list[int] | None = None) -> DataFrame:
     """(cid, seq, num_kmers): the maximal non-branching paths of one color set, in canonical form.
 
     Each path shows up in both directions and is kept once. A circular path starts at its least
     k-mer. Even k is allowed: a palindromic k-mer ends its path. Bases are gathered in pieces of ``piece`` k-mers
     and the pieces of a path then, so no task holds more than its strings. ``m`` is the minimizer length by which
-    neighbours meet in a task.
+    neighbours meet in a task; ``rounds`` gets the edges of each round of contraction.
     """
     km = Kmers(nodes, k)
     edges = oriented(_glue(nodes, k), km)
     m = m or (default_minimizer(k) if k >= 4 else 1)
     if km.packed and m < k - 1:  # most neighbours on a path share the minimizer of their junctions
         edges = materialize(add_bucket(edges.withColumnRenamed("junction", "code"), k - 1, m, (1 << 31) - 1), "glue")
-        ranked = rank_near_paths(edges, "bucket")
+        ranked = rank_near_paths(edges, "bucket", rounds=rounds)
     else:
-        ranked = rank_paths(edges)
+        ranked = rank_paths(edges, rounds=rounds)
     ranked = ranked.where(~F.col("cyclic") | km.plus(F.col("root")))
     ranked = materialize(ranked.select("root", "dist", km.kmer(F.col("node")).alias("x"), km.plus(F.col("node")).alias("plus")), "ranked")
     x, first = F.col("x"), F.col("dist") == 0

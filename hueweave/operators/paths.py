@@ -1,4 +1,4 @@
-"""Ranking of nodes along non-branching paths by pointer doubling."""
+"""Ranking of nodes along non-branching paths by contraction."""
 
 from __future__ import annotations
 
@@ -9,8 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hueweave.operators.components import connected_components
-from hueweave.runtime import materialize
+from hueweave.runtime import discard, materialize
 
 
 def chains(src: np.ndarray, dst: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
@@ -38,11 +37,12 @@ def chains(src: np.ndarray, dst: np.ndarray) -> tuple[tuple[np.ndarray, ...], tu
     return (names[first], names[np.concatenate([last, ring])], np.concatenate([dist[last], np.ones(len(ring), np.int64)])), (names[inner], names[ptr[inner]], dist[inner])
 
 
-def rank_near_paths(edges: DataFrame, key: str, per_task: int = 2_000_000) -> DataFrame:
+def rank_near_paths(edges: DataFrame, key: str, per_task: int = 2_000_000, rounds: list[int] | None = None) -> DataFrame:
     """``rank_paths`` of edges (src, dst, key), long nodes, where neighbours on a path mostly have one ``key``.
 
     Edges are shuffled by key, and those that meet in a task (``per_task`` at a time) are contracted to chains there, so
-    only the chains' ends enter the rounds of pointer doubling, and the nodes inside take their place from their chain's first.
+    only the chains' ends enter the rounds of contraction, and the nodes inside take their place from their chain's first. The table
+    of chains is deleted in the end.
     """
     n = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // per_task))
 
@@ -63,62 +63,112 @@ def rank_near_paths(edges: DataFrame, key: str, per_task: int = 2_000_000) -> Da
             yield from flush()
 
     met = materialize(edges.repartition(n, key).select("src", "dst").mapInArrow(run, "a long, b long, w long, inside boolean"), "chains")
-    ends = rank_paths(met.where("not inside").select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"))
+    ends = rank_paths(met.where("not inside").select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"), rounds=rounds)
     inner = met.where("inside").select(F.col("a").alias("inner"), F.col("b").alias("first"), "w")
     inner = inner.join(ends, F.col("first") == F.col("node")).select(F.col("inner").alias("node"), "root", (F.col("dist") + F.col("w")).alias("dist"), "cyclic")
     every = ends.unionByName(inner)
-    rings = materialize(every.where("cyclic"), "path-rings")  # opened at an end of a chain: turn to the least node
-    turn = rings.groupBy("root").agg(F.min(F.struct("node", "dist")).alias("least"), F.count("*").alias("size")).withColumnRenamed("root", "r")
-    rings = rings.join(turn, F.col("root") == F.col("r")).select("node", F.col("least.node").alias("root"), F.pmod(F.col("dist") - F.col("least.dist"), "size").alias("dist"), "cyclic")
-    return every.where("not cyclic").unionByName(rings)
+    circles = materialize(every.where("cyclic"), "path-rings")  # opened at an end of a chain: turn to the least node
+    turn = circles.groupBy("root").agg(F.min(F.struct("node", "dist")).alias("least"), F.count("*").alias("size")).withColumnRenamed("root", "r")
+    rings = circles.join(turn, F.col("root") == F.col("r")).select("node", F.col("least.node").alias("root"), F.pmod(F.col("dist") - F.col("least.dist"), "size").alias("dist"), "cyclic")
+    out = materialize(every.where("not cyclic").unionByName(rings), "near-path-ranks")
+    discard(met, ends, circles)
+    return out
 
 
-def rank_paths(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def solved(src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(node, root, dist, ring) of all nodes of some whole paths and circles: a path's root is its first node, a circle's its least, and ``ring`` the circle's length (0 for paths)."""
+    names, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    s, t = at[: len(src)], at[len(src) :]
+    every = np.arange(len(names))
+    pred, cost = every.copy(), np.zeros(len(names), np.int64)
+    pred[t], cost[t] = s, w
+    head = pred == every
+    head[t[s == t]] = False  # a node that follows itself
+    ptr, dist, least = pred, cost, np.minimum(every, pred)
+    for _ in range(int(len(names)).bit_length() + 1):
+        dist, least, ptr = dist + dist[ptr], np.minimum(least, least[ptr]), ptr[ptr]
+    round_ = ~head[ptr]
+    ring = np.zeros(len(names), np.int64)
+    if round_.any():
+        opened, step = np.where(least == every, every, pred), np.where(least == every, 0, cost)
+        total = np.bincount(least[round_], cost[round_], len(names)).astype(np.int64)
+        ring[round_] = total[least[round_]]
+        for _ in range(int(len(names)).bit_length() + 1):
+            step, opened = step + step[opened], opened[opened]
+        ptr, dist = np.where(round_, least, ptr), np.where(round_, step, dist)
+    return names, names[ptr], dist, ring
+
+
+def _solve(edges: DataFrame, kind: str) -> DataFrame:
+    """``solved`` of edges (src, dst, w) of counted size, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if held:
+            whole = pa.Table.from_batches(held)
+            rows = solved(*(whole.column(i).to_numpy() for i in range(3)))
+            for i in range(0, len(rows[0]), 100_000):
+                node, root, dist, ring = (r[i : i + 100_000] for r in rows)
+                yield pa.RecordBatch.from_arrays([pa.array(node, held[0].column(0).type), pa.array(root, held[0].column(0).type), pa.array(dist), pa.array(ring)], ["node", "root", "dist", "ring"])
+
+    return edges.select("src", "dst", "w").repartition(1).mapInArrow(run, f"node {kind}, root {kind}, dist long, ring long")
+
+
+def rank_paths(edges: DataFrame, in_task: int = 500_000, max_rounds: int = 200, rounds: list[int] | None = None) -> DataFrame:
     """(node, root, dist, cyclic) for the nodes of ``edges`` (src, dst), where no node has two successors or predecessors.
 
-    An edge counts 1, or what a column ``w`` says.
+    An edge counts 1, or what a column ``w`` says. The root is a path's first node, or the least of a circle.
 
-    Every round a node takes over its pointer's pointer, so a path of L nodes settles in about log2 L
-    rounds; settled nodes leave the active set. While a path is unsettled the active set
-    shrinks every round, so when it does not, only cycles are left: each is opened before its least
-    node and ranked again. Each round's state is a table in shared storage.
+    By contraction: each round every node draws a bit from its hash, and a node that draws one behind a node that draws
+    nothing leaves, its edges becoming one. No two neighbours leave together, a quarter of the nodes go each round, and
+    no settled node comes up again, so all rounds together shuffle about three times the edges. When ``in_task`` edges are left they are
+    ranked in one task. Then rounds are undone from the last to the first: a node takes its place from the node that it left. Each round's
+    state is a table in shared storage, deleted in the end; ``rounds`` gets the edges of each round.
     """
     weight = F.col("w") if "w" in edges.columns else F.lit(1).cast("long")
-    preds = materialize(edges.select(F.col("dst").alias("node"), F.col("src").alias("ptr"), weight.alias("dist")), "path-edges")
-    roots = preds.select("ptr").join(preds.select(F.col("node").alias("n")), F.col("ptr") == F.col("n"), "left_anti").distinct()
-    done = [materialize(roots.select(F.col("ptr").alias("node"), F.col("ptr").alias("root"), F.lit(0).cast("long").alias("dist"), F.lit(False).alias("cyclic")), "path-roots")]
-    active = preds.select("node", "ptr", "dist")
-    done, active = _double(done, active, False, max_rounds)
-    if active is not None:
-        loops = preds.join(active.select(F.col("node").alias("n")), F.col("node") == F.col("n"), "left_semi")
-        least = connected_components(loops.select(F.col("node").alias("a"), F.col("ptr").alias("b")))
-        heads = materialize(least.select("root").distinct().union(loops.where("node = ptr").select("node")), "path-cycles")
-        done.append(heads.select(F.col("root").alias("node"), "root", F.lit(0).cast("long").alias("dist"), F.lit(True).alias("cyclic")))
-        opened = loops.join(heads, F.col("node") == F.col("root"), "left_anti").select("node", "ptr", "dist")
-        done, active = _double(done, opened, True, max_rounds)
-        if active is not None:
-            raise RuntimeError("cycles did not open")
-    out = done[0]
-    for d in done[1:]:
-        out = out.union(d)
+    kind = edges.schema["src"].dataType.simpleString()
+    table = materialize(edges.select("src", "dst", weight.alias("w"), F.lit(None).cast(kind).alias("gone"), F.lit(None).cast("long").alias("more")), "path-edges")
+    levels, places = [table], []
+    while True:
+        left = levels[-1].where("src <> dst").select("src", "dst", "w")
+        n = left.count()
+        if rounds is not None:
+            rounds.append(n)
+        if n <= in_task:
+            break
+        if len(levels) > max_rounds:
+            raise RuntimeError("paths did not contract")
+        draws = lambda c: F.xxhash64(F.lit(len(levels)), c).bitwiseAND(F.lit(1).cast("long")) == 1  # noqa: B023, E731
+        left = left.select("*", draws("src").alias("a"), draws("dst").alias("b"))
+        leaving = left.where("not a and b").select(F.col("src").alias("from"), F.col("dst").alias("gone"), F.col("w").alias("more"))
+        moved = left.where("a").join(leaving, F.col("src") == F.col("gone"), "left")
+        moved = moved.select(F.coalesce("from", "src").alias("src"), "dst", (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"))
+        ends = left.where("not a and b").select("src", F.lit(None).cast(kind).alias("dst"), "w", F.col("dst").alias("gone"), F.col("w").alias("more"))
+        none = F.lit(None).cast(kind).alias("gone"), F.lit(None).cast("long").alias("more")
+        levels.append(materialize(left.where("not a and not b").select("src", "dst", "w", *none).union(moved.select("src", "dst", "w", *none)).union(ends), "path-edges"))
+    if len(levels) > 1:  # a path may leave no edge, but its first node stays
+        first = table.select("src").join(table.select(F.col("dst").alias("d")), F.col("src") == F.col("d"), "left_anti")
+        places.append(materialize(first.select(F.col("src").alias("node"), F.col("src").alias("root"), F.lit(0).cast("long").alias("dist"), F.lit(0).cast("long").alias("ring")), "path-places"))
+    last = _solve(left, kind)
+    places.append(materialize(last.where("ring > 0 or node <> root") if len(levels) > 1 else last, "path-places"))
+    for i in range(len(levels) - 1, -1, -1):
+        places.append(levels[i].where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("root"), F.lit(0).cast("long").alias("dist"), F.col("w").alias("ring")))
+        gone = levels[i].where("gone is not null").select(F.col("src").alias("at"), F.col("gone"), F.col("more"))
+        if i:
+            back = gone.join(_all(places), F.col("at") == F.col("node"))
+            dist = F.col("dist") + F.col("more")
+            places.append(materialize(back.select(F.col("gone").alias("node"), "root", F.when(F.col("ring") > 0, F.pmod(dist, "ring")).otherwise(dist).alias("dist"), "ring"), "path-places"))
+    every = _all(places)
+    circles = every.where("ring > 0")  # a circle's root is the least of the nodes that were left: turn to the least of all
+    turn = circles.groupBy("root").agg(F.min(F.struct("node", "dist")).alias("least")).withColumnRenamed("root", "r")
+    circles = circles.join(turn, F.col("root") == F.col("r")).select("node", F.col("least.node").alias("root"), F.pmod(F.col("dist") - F.col("least.dist"), "ring").alias("dist"), F.lit(True).alias("cyclic"))
+    out = materialize(every.where("ring = 0").select("node", "root", "dist", F.lit(False).alias("cyclic")).union(circles), "path-ranks")
+    discard(*levels, *[p for p in places if hasattr(p, "_hw_path")])
     return out
 
 
-def _double(done: list[DataFrame], active: DataFrame, cyclic: bool, max_rounds: int) -> tuple[list[DataFrame], DataFrame | None]:
-    left = None
-    for _ in range(max_rounds):
-        n = active.count()
-        if n == 0:
-            return done, None
-        if n == left:
-            return done, active
-        left = n
-        settled = done[0]
-        for d in done[1:]:
-            settled = settled.union(d)
-        ends = settled.select(F.col("node").alias("at"), F.col("root").alias("to"), F.col("dist").alias("more"), F.lit(True).alias("end"))
-        table = ends.union(active.select(F.col("node").alias("at"), F.col("ptr").alias("to"), F.col("dist").alias("more"), F.lit(False).alias("end")))
-        step = materialize(active.join(table, F.col("ptr") == F.col("at")).select("node", F.col("to").alias("ptr"), (F.col("dist") + F.col("more")).alias("dist"), "end"), "path-step")
-        done = [*done, step.where("end").select("node", F.col("ptr").alias("root"), "dist", F.lit(cyclic).alias("cyclic"))]
-        active = step.where("not end").select("node", "ptr", "dist")
-    raise RuntimeError("paths did not settle")
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.union(t)
+    return out

@@ -43,6 +43,8 @@ class Graph:
     config: BuildConfig = field(default_factory=BuildConfig)
     #: Seconds and rows of each phase, in order.
     phases: dict[str, tuple[float, int]] = field(default_factory=dict)
+    #: Edges that each round of contraction begins with, the last for those that one task ranks.
+    rounds: list[int] = field(default_factory=list)
 
     def _of(self, name: str) -> int:
         return self.metadata.first()[name]
@@ -66,7 +68,7 @@ class Graph:
 def build_graph(seqs: DataFrame, n_colors: int, config: BuildConfig | None = None) -> Graph:
     """Unitigs, color sets and metadata of (color, seq) rows; each phase is a written table, timed and counted."""
     config = config or BuildConfig()
-    k, phases = config.k, {}
+    k, phases, rounds = config.k, {}, []
 
     def phase(name: str, make: Callable[[], DataFrame]) -> DataFrame:
         began = time.monotonic()
@@ -77,8 +79,8 @@ def build_graph(seqs: DataFrame, n_colors: int, config: BuildConfig | None = Non
     kc = phase("kmer-colors", lambda: (colors.packed_colors if k <= MAX_PACKED_K else colors.kmer_colors)(seqs, k, n_colors))
     sets = phase("color-sets", lambda: colors.color_sets(kc))
     nodes = phase("nodes", lambda: colors.encode_colors(kc, sets))
-    numbered = phase("unitigs", lambda: artifacts.number_unitigs(graph.unitigs(nodes, k, config.m)))
-    return Graph(numbered, sets, artifacts.metadata(numbered, sets, k, n_colors), n_colors, config, phases)
+    numbered = phase("unitigs", lambda: artifacts.number_unitigs(graph.unitigs(nodes, k, config.m, rounds=rounds)))
+    return Graph(numbered, sets, artifacts.metadata(numbered, sets, k, n_colors), n_colors, config, phases, rounds)
 
 
 def build(spark: SparkSession, manifest_path: str, config: BuildConfig | None = None) -> Graph:

@@ -116,7 +116,17 @@ def test_chains_and_circles(spark):
     for buckets in (1, 4):
         df = spark.createDataFrame([(a, b, r.randrange(buckets)) for a, b in edges], "src long, dst long, bucket int")
         assert {tuple(x) for x in rank_near_paths(df, "bucket", 60).collect()} == want
-    assert {tuple(x) for x in rank_paths(df).collect()} == want
+    for in_task in (500_000, 40, 0):
+        rounds = []
+        got = [tuple(x) for x in rank_paths(df, in_task, rounds=rounds).collect()]
+        assert set(got) == want and len(got) == len(want) and rounds[-1] <= in_task
+    assert sum(rounds) < 6 * len(edges)
+    named = rank_paths(df.selectExpr("lpad(src, 6, '0') AS src", "lpad(dst, 6, '0') AS dst"), 20)
+    assert {(int(n), int(r), d, c) for n, r, d, c in named.collect()} == want
+    loops = spark.createDataFrame([(7, 7, 1), (1, 2, 4), (2, 3, 5)], "src long, dst long, w long")
+    for in_task in (0, 10):
+        assert {tuple(x) for x in rank_paths(loops, in_task).collect()} == {(7, 7, 0, True), (1, 1, 0, False), (2, 1, 4, False), (3, 1, 9, False)}
+    assert rank_paths(loops.where("src > 9")).collect() == [] and rank_paths(loops.where("src > 9"), -1 + 1).collect() == []
 
 
 def test_even_k_covers_every_kmer_once(spark):
