@@ -304,7 +304,7 @@ def repeated_stretches(texts: DataFrame, length: int, most: int = 50_000) -> Dat
     copies of a document are sorted once. Classes of which over ``most`` share a ``g`` go through ``string_reaches``, which no task holds together.
     """
     every = materialize(sampled(texts, length), "places")
-    shared = every.groupBy("g").agg(F.count("*").alias("times")).where("times > 1").select("g")
+    shared = materialize(every.groupBy("g").agg(F.count("*").alias("times")).where("times > 1").select("g"), "shared")
     kept = materialize(every.join(shared, "g", "left_semi"), "shared-places")
     discard(every)
     classes = kept.groupBy("g", "f1", "f2").agg(F.count("*").alias("n"), F.min(F.struct("rid", "place")).alias("at"))
