@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hueweave.functions.dna import base_at, canonical, default_minimizer, kmer_mask, neighbours, packed_reverse_complement, reverse_complement, unpack
-from hueweave.functions.packed import add_bucket
-from hueweave.operators.paths import rank_near_paths, rank_paths
-from hueweave.runtime import materialize
+from hueweave.functions.packed import CODES, add_bucket, canonical_windows
+from hueweave.operators.paths import chains, rank_paths
+from hueweave.runtime import discard, materialize
 
 
 class Kmers:
@@ -74,13 +78,13 @@ def junctions(nodes: DataFrame, k: int) -> DataFrame:
 
 def glue_edges(nodes: DataFrame, k: int) -> DataFrame:
     """(x, x_side, y, y_side): ends that continue each other: alone on both sides of a junction, of two k-mers with one color set."""
-    return _glue(nodes, k).drop("junction")
+    return _glue(nodes, k).drop("junction", "cid")
 
 
 def _glue(nodes: DataFrame, k: int) -> DataFrame:
     j = junctions(nodes, k).where("n_in = 1 and n_out = 1 and in_kmer <> out_kmer and in_cid = out_cid")
     side = lambda c: F.when(F.col(c), "R").otherwise("L")
-    return j.select(F.col("in_kmer").alias("x"), side("in_is_right").alias("x_side"), F.col("out_kmer").alias("y"), side("out_is_right").alias("y_side"), "junction")
+    return j.select(F.col("in_kmer").alias("x"), side("in_is_right").alias("x_side"), F.col("out_kmer").alias("y"), side("out_is_right").alias("y_side"), "junction", F.col("in_cid").alias("cid"))
 
 
 def linked_kmers(nodes: DataFrame) -> DataFrame:
@@ -90,40 +94,113 @@ def linked_kmers(nodes: DataFrame) -> DataFrame:
 
 
 def oriented(glue: DataFrame, km: Kmers) -> DataFrame:
-    """Successor edges (src, dst, junction) of oriented nodes: leaving by R or entering by L is plus."""
+    """Successor edges (src, dst, junction, cid) of oriented nodes: leaving by R or entering by L is plus."""
     leave = lambda n, s: km.oriented(F.col(n), F.col(s) == "R")
     enter = lambda n, s: km.oriented(F.col(n), F.col(s) == "L")
     there = F.struct(leave("x", "x_side").alias("src"), enter("y", "y_side").alias("dst"))
     back = F.struct(leave("y", "y_side").alias("src"), enter("x", "x_side").alias("dst"))
-    return glue.select("junction", F.explode(F.array(there, back)).alias("e")).select("e.src", "e.dst", "junction").distinct()
+    return glue.select("junction", "cid", F.explode(F.array(there, back)).alias("e")).select("e.src", "e.dst", "junction", "cid").distinct()
 
 
 def unitigs(nodes: DataFrame, k: int, m: int | None = None, piece: int = 4096, rounds: list[int] | None = None) -> DataFrame:
     """(cid, seq, num_kmers): the maximal non-branching paths of one color set, in canonical form.
 
     Each path shows up in both directions and is kept once. A circular path starts at its least
-    k-mer. Even k is allowed: a palindromic k-mer ends its path. Bases are gathered in pieces of ``piece`` k-mers
-    and the pieces of a path then, so no task holds more than its strings. ``m`` is the minimizer length by which
-    neighbours meet in a task; ``rounds`` gets the edges of each round of contraction.
+    k-mer. Even k is allowed: a palindromic k-mer ends its path. ``m`` is the minimizer length by which
+    neighbours meet in a task, ``rounds`` gets the edges of each round of contraction.
     """
     km = Kmers(nodes, k)
-    edges = oriented(_glue(nodes, k), km)
     m = m or (default_minimizer(k) if k >= 4 else 1)
+    edges = oriented(_glue(nodes, k), km)
     if km.packed and m < k - 1:  # most neighbours on a path share the minimizer of their junctions
-        edges = materialize(add_bucket(edges.withColumnRenamed("junction", "code"), k - 1, m, (1 << 31) - 1), "glue")
-        ranked = rank_near_paths(edges, "bucket", rounds=rounds)
+        edges = materialize(add_bucket(edges.withColumnRenamed("junction", "code"), k - 1, m, (1 << 31) - 1).drop("code"), "glue")
+        paths, held = spelt_paths(edges, k, rounds)
     else:
-        ranked = rank_paths(edges, rounds=rounds)
-    ranked = ranked.where(~F.col("cyclic") | km.plus(F.col("root")))
-    ranked = materialize(ranked.select("root", "dist", km.kmer(F.col("node")).alias("x"), km.plus(F.col("node")).alias("plus")), "ranked")
+        edges = materialize(edges.select("src", "dst", "cid"), "glue")
+        paths, held = _spelt_by_node(edges, km, piece, rounds)
+    ends_ = edges.select(km.kmer(F.col("src")).alias("x"))  # a k-mer with an edge has one that leaves it, in one direction or the other
+    alone = nodes.join(ends_, F.col(km.name) == F.col("x"), "left_anti").select("cid", km.spelt(F.col(km.name)).alias("seq"))
+    out = materialize(paths.union(alone).withColumn("num_kmers", (F.length("seq") - k + 1).cast("long")), "unitig-paths")
+    discard(edges, *held)
+    return out
+
+
+def _spelt_by_node(edges: DataFrame, km: Kmers, piece: int, rounds: list[int] | None) -> tuple[DataFrame, list[DataFrame]]:
+    """(cid, seq) of the paths of edges (src, dst, cid), and the tables that this reads. Every node is ranked; bases are gathered in pieces of ``piece`` k-mers and the pieces of a path then."""
+    ranked = rank_paths(edges.select("src", "dst"), rounds=rounds)
+    kept = ranked.where(~F.col("cyclic") | km.plus(F.col("root")))
+    kept = kept.select("root", "dist", km.kmer(F.col("node")).alias("x"), km.plus(F.col("node")).alias("plus"))
     x, first = F.col("x"), F.col("dist") == 0
-    whole = F.when(F.col("plus"), km.spelt(x)).otherwise(km.spelt(km.turned(x, k)))
+    whole = F.when(F.col("plus"), km.spelt(x)).otherwise(km.spelt(km.turned(x, km.k)))
     base = F.when(first, whole).otherwise(km.last_base(x, F.col("plus")))
     spell = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda p: p["s"]), "")
-    parts = ranked.select("root", F.floor(F.col("dist") / piece).alias("part"), F.struct("dist", base.alias("s")).alias("p"))
+    parts = kept.select("root", F.floor(F.col("dist") / piece).alias("part"), F.struct("dist", base.alias("s")).alias("p"))
     parts = parts.groupBy("root", "part").agg(spell("p").alias("s"))
     paths = parts.groupBy("root").agg(spell(F.struct("part", "s")).alias("seq"))
-    heads = nodes.select(F.col(km.name).alias("h"), "cid")
-    paths = paths.join(heads, km.kmer(F.col("root")) == F.col("h")).select("cid", canonical("seq").alias("seq")).distinct()
-    alone = nodes.join(ranked.select("x"), F.col(km.name) == F.col("x"), "left_anti").select("cid", km.spelt(F.col(km.name)).alias("seq"))
-    return paths.union(alone).withColumn("num_kmers", (F.length("seq") - k + 1).cast("long"))
+    paths = paths.join(edges.select(F.col("src").alias("h"), "cid"), F.col("root") == F.col("h")).select("cid", canonical("seq").alias("seq")).distinct()
+    return paths, [ranked]
+
+
+def spelt_paths(edges: DataFrame, k: int, rounds: list[int] | None = None, per_task: int = 2_000_000) -> tuple[DataFrame, list[DataFrame]]:
+    """(cid, seq) of the paths of edges (src, dst, cid, bucket) of packed nodes, and the tables that this reads.
+
+    Edges are shuffled by bucket, and those that meet in a task (``per_task`` at a time) become chains there, spelt at once: a
+    chain is one row with its bases, and its inner k-mers never travel again. Chains are ranked by their ends, and a path is
+    its chains' bases in order. Of a path's two directions the one with the lesser first node is kept.
+    """
+    n = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // per_task))
+    letters = np.frombuffer(b"ACGT", np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(held)
+            src, cid = whole.column(0).to_numpy(), whole.column(2).to_numpy()
+            first, last, w, behind = chains(src, whole.column(1).to_numpy())
+            order = np.argsort(src)
+            code = behind >> 1
+            base = np.where(behind & 1, 3 - ((code >> 2 * (k - 1)) & 3), code & 3)
+            upto = np.concatenate([[0], np.cumsum(w)]).astype(np.int32)
+            bases = pa.StringArray.from_buffers(len(w), pa.py_buffer(upto), pa.py_buffer(letters[base].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(last), pa.array(w), pa.array(cid[order[np.searchsorted(src, first, sorter=order)]]), bases], ["src", "dst", "w", "cid", "bases"])
+
+        for b in batches:
+            held.append(b)
+            if sum(x.num_rows for x in held) >= per_task:
+                yield from flush()
+                held = []
+        if held:
+            yield from flush()
+
+    met = materialize(edges.repartition(n, "bucket").select("src", "dst", "cid").mapInArrow(run, "src long, dst long, w long, cid long, bases string"), "chains")
+    ranked = rank_paths(met.select("src", "dst", "w"), rounds=rounds)
+    placed = met.join(ranked, F.col("src") == F.col("node"))
+    pieces = F.transform(F.sort_array(F.collect_list(F.struct("dist", "bases"))), lambda p: p["bases"])
+    paths = placed.groupBy("root").agg(F.array_join(pieces, "").alias("bases"), F.max(F.struct("dist", "dst"))["dst"].alias("last"), F.max("cid").alias("cid"), F.max("cyclic").alias("cyclic"))
+    x, plus = F.shiftrightunsigned("root", 1), F.col("root").bitwiseAND(F.lit(1).cast("long")) == 0
+    spelt = F.when(plus, unpack(x, k)).otherwise(unpack(packed_reverse_complement(x, k), k))
+    paths = paths.select("root", "cid", "cyclic", "last", F.concat(spelt, "bases").alias("seq"))
+    turned = F.col("last").bitwiseXOR(F.lit(1).cast("long"))
+    whole = paths.where(~F.col("cyclic") & (F.col("root") <= turned)).select("cid", canonical("seq").alias("seq"))
+    rings = turn_rings(paths.where("cyclic").select("cid", F.expr("left(seq, length(seq) - 1)").alias("seq")), k)
+    return whole.union(rings), [met, ranked]
+
+
+def turn_rings(rings: DataFrame, k: int) -> DataFrame:
+    """(cid, seq) of circular paths spelt once round from any k-mer, in both directions: one direction, from the least k-mer on, in canonical form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for cid, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                least = canonical_windows(CODES[np.frombuffer(seq.encode(), np.uint8)], k)[1]
+                at = int(np.argmin(least))
+                n = len(least)
+                own = seq[at : at + k]
+                back = own[::-1].translate(str.maketrans("ACGT", "TGCA"))
+                if own <= back:
+                    rows.append((cid, min(x := (seq[:n] + seq[:n] + seq[:n] * -(-k // n))[at : at + n + k - 1], x[::-1].translate(str.maketrans("ACGT", "TGCA")))))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["cid", "seq"])
+
+    return rings.select("cid", "seq").mapInArrow(run, "cid long, seq string")

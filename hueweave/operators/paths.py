@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from hueweave.runtime import discard, materialize
 
 
-def chains(src: np.ndarray, dst: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
-    """Edges contracted to their chains: (first node, last node, edges) of each, and (node, first node, place) of the nodes inside.
+def chains(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Edges contracted to their chains: (first node, last node, edges) of each, and the nodes behind the first ones, in order, chain by chain.
 
     Edges on a circle stay as they are, chains of one edge.
     """
@@ -22,6 +22,7 @@ def chains(src: np.ndarray, dst: np.ndarray) -> tuple[tuple[np.ndarray, ...], tu
     pred = np.arange(len(names))
     pred[t] = s
     head = pred == np.arange(len(names))
+    head[t[s == t]] = False
     dist = (~head).astype(np.int64)
     ptr = pred
     for _ in range(int(len(names)).bit_length() + 1):
@@ -29,50 +30,14 @@ def chains(src: np.ndarray, dst: np.ndarray) -> tuple[tuple[np.ndarray, ...], tu
             break
         dist, ptr = dist + dist[ptr], ptr[ptr]
     ringed = ~head[ptr]
-    onward = np.zeros(len(names), bool)
-    onward[s] = True
-    last, inner = np.flatnonzero(~ringed & ~onward & ~head), np.flatnonzero(~ringed & onward & ~head)
     ring = np.flatnonzero(ringed)
-    first = np.concatenate([ptr[last], pred[ring]])
-    return (names[first], names[np.concatenate([last, ring])], np.concatenate([dist[last], np.ones(len(ring), np.int64)])), (names[inner], names[ptr[inner]], dist[inner])
-
-
-def rank_near_paths(edges: DataFrame, key: str, per_task: int = 2_000_000, rounds: list[int] | None = None) -> DataFrame:
-    """``rank_paths`` of edges (src, dst, key), long nodes, where neighbours on a path mostly have one ``key``.
-
-    Edges are shuffled by key, and those that meet in a task (``per_task`` at a time) are contracted to chains there, so
-    only the chains' ends enter the rounds of contraction, and the nodes inside take their place from their chain's first. The table
-    of chains is deleted in the end.
-    """
-    n = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // per_task))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            whole = pa.Table.from_batches(held)
-            for inside, rows in enumerate(chains(whole.column(0).to_numpy(), whole.column(1).to_numpy())):
-                yield pa.RecordBatch.from_arrays([*map(pa.array, rows), pa.array(np.full(len(rows[0]), bool(inside)))], ["a", "b", "w", "inside"])
-
-        for b in batches:
-            held.append(b)
-            if sum(x.num_rows for x in held) >= per_task:
-                yield from flush()
-                held = []
-        if held:
-            yield from flush()
-
-    met = materialize(edges.repartition(n, key).select("src", "dst").mapInArrow(run, "a long, b long, w long, inside boolean"), "chains")
-    ends = rank_paths(met.where("not inside").select(F.col("a").alias("src"), F.col("b").alias("dst"), "w"), rounds=rounds)
-    inner = met.where("inside").select(F.col("a").alias("inner"), F.col("b").alias("first"), "w")
-    inner = inner.join(ends, F.col("first") == F.col("node")).select(F.col("inner").alias("node"), "root", (F.col("dist") + F.col("w")).alias("dist"), "cyclic")
-    every = ends.unionByName(inner)
-    circles = materialize(every.where("cyclic"), "path-rings")  # opened at an end of a chain: turn to the least node
-    turn = circles.groupBy("root").agg(F.min(F.struct("node", "dist")).alias("least"), F.count("*").alias("size")).withColumnRenamed("root", "r")
-    rings = circles.join(turn, F.col("root") == F.col("r")).select("node", F.col("least.node").alias("root"), F.pmod(F.col("dist") - F.col("least.dist"), "size").alias("dist"), "cyclic")
-    out = materialize(every.where("not cyclic").unionByName(rings), "near-path-ranks")
-    discard(met, ends, circles)
-    return out
+    behind = np.flatnonzero(~ringed & ~head)
+    behind = behind[np.lexsort((dist[behind], ptr[behind]))]
+    ends = np.flatnonzero(np.concatenate([ptr[behind[1:]] != ptr[behind[:-1]], [True]])) if len(behind) else behind
+    last = behind[ends]
+    order = np.concatenate([behind, ring])
+    edges = np.concatenate([dist[last], np.ones(len(ring), np.int64)])
+    return names[np.concatenate([ptr[last], pred[ring]])], names[np.concatenate([last, ring])], edges, names[order]
 
 
 def solved(src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +79,7 @@ def _solve(edges: DataFrame, kind: str) -> DataFrame:
     return edges.select("src", "dst", "w").repartition(1).mapInArrow(run, f"node {kind}, root {kind}, dist long, ring long")
 
 
-def rank_paths(edges: DataFrame, in_task: int = 500_000, max_rounds: int = 200, rounds: list[int] | None = None) -> DataFrame:
+def rank_paths(edges: DataFrame, in_task: int = 3_000_000, max_rounds: int = 200, rounds: list[int] | None = None) -> DataFrame:
     """(node, root, dist, cyclic) for the nodes of ``edges`` (src, dst), where no node has two successors or predecessors.
 
     An edge counts 1, or what a column ``w`` says. The root is a path's first node, or the least of a circle.
@@ -146,11 +111,13 @@ def rank_paths(edges: DataFrame, in_task: int = 500_000, max_rounds: int = 200,
         ends = left.where("not a and b").select("src", F.lit(None).cast(kind).alias("dst"), "w", F.col("dst").alias("gone"), F.col("w").alias("more"))
         none = F.lit(None).cast(kind).alias("gone"), F.lit(None).cast("long").alias("more")
         levels.append(materialize(left.where("not a and not b").select("src", "dst", "w", *none).union(moved.select("src", "dst", "w", *none)).union(ends), "path-edges"))
-    if len(levels) > 1:  # a path may leave no edge, but its first node stays
-        first = table.select("src").join(table.select(F.col("dst").alias("d")), F.col("src") == F.col("d"), "left_anti")
-        places.append(materialize(first.select(F.col("src").alias("node"), F.col("src").alias("root"), F.lit(0).cast("long").alias("dist"), F.lit(0).cast("long").alias("ring")), "path-places"))
-    last = _solve(left, kind)
-    places.append(materialize(last.where("ring > 0 or node <> root") if len(levels) > 1 else last, "path-places"))
+    if len(levels) == 1:
+        out = materialize(_solve(table.select("src", "dst", "w"), kind).select("node", "root", "dist", (F.col("ring") > 0).alias("cyclic")), "path-ranks")
+        discard(table)
+        return out
+    first = table.select("src").join(table.select(F.col("dst").alias("d")), F.col("src") == F.col("d"), "left_anti")  # a path may leave no edge, but its first node stays
+    places.append(materialize(first.select(F.col("src").alias("node"), F.col("src").alias("root"), F.lit(0).cast("long").alias("dist"), F.lit(0).cast("long").alias("ring")), "path-places"))
+    places.append(materialize(_solve(left, kind).where("ring > 0 or node <> root"), "path-places"))
     for i in range(len(levels) - 1, -1, -1):
         places.append(levels[i].where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("root"), F.lit(0).cast("long").alias("dist"), F.col("w").alias("ring")))
         gone = levels[i].where("gone is not null").select(F.col("src").alias("at"), F.col("gone"), F.col("more"))

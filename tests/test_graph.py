@@ -3,12 +3,13 @@
 import gzip
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from hueweave.functions import codec, dna, packed
 from hueweave.operators import colors, graph
-from hueweave.operators.paths import rank_near_paths, rank_paths
+from hueweave.operators.paths import chains, rank_paths
 from hueweave.operators.stitch import stitch, stretches
 from hueweave.plans.build import BuildConfig, build, open_graph
 from hueweave.sources import artifacts, sequences
@@ -113,9 +114,17 @@ def test_chains_and_circles(spark):
         start = p.index(min(p)) if ring else 0
         if len(p) > 1:
             want |= {(x, p[start], i, ring) for i, x in enumerate([*p[start:], *p[:start]])}
-    for buckets in (1, 4):
-        df = spark.createDataFrame([(a, b, r.randrange(buckets)) for a, b in edges], "src long, dst long, bucket int")
-        assert {tuple(x) for x in rank_near_paths(df, "bucket", 60).collect()} == want
+    for share in (1.0, 0.7):
+        some = [e for e in edges if r.random() < share]
+        first, last, w, behind = chains(*(np.array(x) for x in zip(*some)))
+        at, walked = 0, []
+        for a, b, n in zip(first.tolist(), last.tolist(), w.tolist()):
+            way = [a, *behind[at : at + n].tolist()]
+            assert way[-1] == b and n > 0
+            walked += zip(way, way[1:])
+            at += n
+        assert sorted(walked) == sorted(some)
+    df = spark.createDataFrame(edges, "src long, dst long")
     for in_task in (500_000, 40, 0):
         rounds = []
         got = [tuple(x) for x in rank_paths(df, in_task, rounds=rounds).collect()]
