@@ -94,12 +94,13 @@ def linked_kmers(nodes: DataFrame) -> DataFrame:
 
 
 def oriented(glue: DataFrame, km: Kmers) -> DataFrame:
-    """Successor edges (src, dst, junction, cid) of oriented nodes: leaving by R or entering by L is plus."""
+    """Successor edges (src, dst, and the glue edge's other columns) of oriented nodes, one in each direction: leaving by R or entering by L is plus."""
     leave = lambda n, s: km.oriented(F.col(n), F.col(s) == "R")
     enter = lambda n, s: km.oriented(F.col(n), F.col(s) == "L")
     there = F.struct(leave("x", "x_side").alias("src"), enter("y", "y_side").alias("dst"))
     back = F.struct(leave("y", "y_side").alias("src"), enter("x", "x_side").alias("dst"))
-    return glue.select("junction", "cid", F.explode(F.array(there, back)).alias("e")).select("e.src", "e.dst", "junction", "cid").distinct()
+    others = [c for c in glue.columns if c not in ("x", "x_side", "y", "y_side")]
+    return glue.select(*others, F.explode(F.array(there, back)).alias("e")).select("e.src", "e.dst", *others)
 
 
 def unitigs(nodes: DataFrame, k: int, m: int | None = None, piece: int = 4096, rounds: list[int] | None = None) -> DataFrame:
@@ -111,12 +112,13 @@ def unitigs(nodes: DataFrame, k: int, m: int | None = None, piece: int = 4096, r
     """
     km = Kmers(nodes, k)
     m = m or (default_minimizer(k) if k >= 4 else 1)
-    edges = oriented(_glue(nodes, k), km)
+    glue = _glue(nodes, k)
     if km.packed and m < k - 1:  # most neighbours on a path share the minimizer of their junctions
-        edges = materialize(add_bucket(edges.withColumnRenamed("junction", "code"), k - 1, m, (1 << 31) - 1).drop("code"), "glue")
+        glue = add_bucket(glue.withColumnRenamed("junction", "code"), k - 1, m, (1 << 31) - 1).drop("code")
+        edges = materialize(oriented(glue, km), "glue")
         paths, held = spelt_paths(edges, k, rounds)
     else:
-        edges = materialize(edges.select("src", "dst", "cid"), "glue")
+        edges = materialize(oriented(glue.drop("junction"), km), "glue")
         paths, held = _spelt_by_node(edges, km, piece, rounds)
     ends_ = edges.select(km.kmer(F.col("src")).alias("x"))  # a k-mer with an edge has one that leaves it, in one direction or the other
     alone = nodes.join(ends_, F.col(km.name) == F.col("x"), "left_anti").select("cid", km.spelt(F.col(km.name)).alias("seq"))

@@ -49,18 +49,26 @@ def solved(src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
     pred[t], cost[t] = s, w
     head = pred == every
     head[t[s == t]] = False  # a node that follows itself
-    ptr, dist, least = pred, cost, np.minimum(every, pred)
-    for _ in range(int(len(names)).bit_length() + 1):
-        dist, least, ptr = dist + dist[ptr], np.minimum(least, least[ptr]), ptr[ptr]
-    round_ = ~head[ptr]
+    ptr, dist, before = pred, cost, -1
+    while True:  # unsettled nodes get fewer until only circles are left
+        round_ = ~head[ptr]
+        if (n := int(round_.sum())) in (0, before):
+            break
+        before, dist, ptr = n, dist + dist[ptr], ptr[ptr]
     ring = np.zeros(len(names), np.int64)
-    if round_.any():
-        opened, step = np.where(least == every, every, pred), np.where(least == every, 0, cost)
-        total = np.bincount(least[round_], cost[round_], len(names)).astype(np.int64)
-        ring[round_] = total[least[round_]]
-        for _ in range(int(len(names)).bit_length() + 1):
+    if n:
+        own = np.flatnonzero(round_)
+        at = np.searchsorted(own, pred[own])  # predecessors among the circles' nodes
+        least, back = np.minimum(np.arange(n), at), at
+        for _ in range(n.bit_length() + 1):
+            least, back = np.minimum(least, least[back]), back[back]
+        first = least == np.arange(n)
+        step, opened = np.where(first, 0, cost[own]), np.where(first, np.arange(n), at)
+        for _ in range(n.bit_length() + 1):
             step, opened = step + step[opened], opened[opened]
-        ptr, dist = np.where(round_, least, ptr), np.where(round_, step, dist)
+        ring[own] = np.bincount(least, cost[own], n).astype(np.int64)[least]
+        ptr, dist = ptr.copy(), dist.copy()
+        ptr[own], dist[own] = own[least], step
     return names, names[ptr], dist, ring
 
 

