@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from hueweave.functions import packed
 from hueweave.functions.codec import encode_sets
 from hueweave.functions.dna import NTHASH_SEEDS, acgt_runs, canonical, kmers, minimizer, pack, run_pieces, unpack
-from hueweave.operators import colors, graph
+from hueweave.operators import colors, fragments, graph
 from hueweave.plans.build import BuildConfig, Graph, build_graph
 from hueweave.runtime import materialize
+from hueweave.sources import artifacts
 
 K, M, HASH_BUCKETS = 21, 10, 64
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz ", "ACGTACGTACGTACGTACGTACGTACA"
@@ -216,6 +217,18 @@ def unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).unitigs
 
 
+def fragment_unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unitigs again, by buckets of merged super-k-mers, walked alone and stitched at open ends."""
+    return artifacts.number_unitigs(fragments.fragment_unitigs(sequences(spark, sf_dir), K, M, HASH_BUCKETS)[0])
+
+
+def merged_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much merging equal super-k-mers of all inputs saves, by bucket: super-k-mers and k-mers, occurrences and merged rows."""
+    merged = fragments.merged_super_kmers(sequences(spark, sf_dir), K, M, HASH_BUCKETS)
+    n = F.length("seq") - K + 1
+    return merged.groupBy("bucket").agg(F.count("*").alias("n_merged"), F.sum(n).cast("long").alias("n_kmers"), F.sum(F.size("colors")).cast("long").alias("n_integers"))
+
+
 def unitigs_per_color_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).unitigs.groupBy("cid").agg(F.min("unitig_id").alias("unitig_start"), F.count("*").alias("num_unitigs"), F.sum("num_kmers").cast("long").alias("n_kmers"))
 
@@ -227,7 +240,7 @@ def unitig_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     acgt_run_stats, canonical_kmers, kmer_color_sets, kmers_per_color_set, color_set_dictionary, kmer_cids, color_set_sizes, encoding_regimes,
     color_set_complements, kmers_per_color, junction_degrees, glue_edges, branching_junctions, linked_kmers, packed_kmers, minimizers, bucket_sizes,
-    largest_buckets, junction_buckets, bucket_size_report, super_kmers, bucketed_super_kmers, color_set_codes, color_runs, private_kmers, graph_counts, unitigs, unitigs_per_color_set, unitig_metadata,
+    largest_buckets, junction_buckets, bucket_size_report, super_kmers, bucketed_super_kmers, color_set_codes, color_runs, private_kmers, graph_counts, unitigs, fragment_unitigs, merged_super_kmers, unitigs_per_color_set, unitig_metadata,
 ]
 
 
@@ -350,6 +363,7 @@ def oracle_sql() -> dict[str, str]:
     gaps = f"coalesce(list_sum(list_transform(list_transform(range(1, len(x) + 1), lambda i: x[i] - coalesce(x[i - 1], -1) - 1), lambda g: {_WIDTH.format('g')})), 0)"
     q["color_set_codes"] = f"SELECT cid, len(colors) AS n_integers, CAST({_WIDTH.format('len(colors)')} + CASE WHEN bitmap THEN {N_COLORS} ELSE {gaps} END AS BIGINT) AS n_bits FROM ({stored})"
     tigs = {
+        "fragment_unitigs": "SELECT unitig_id, cid, seq, num_kmers, unitig_id = max(unitig_id) OVER (PARTITION BY cid) AS run_end FROM unitigs",
         "unitigs": "SELECT unitig_id, cid, seq, num_kmers, unitig_id = max(unitig_id) OVER (PARTITION BY cid) AS run_end FROM unitigs",
         "unitigs_per_color_set": "SELECT cid, min(unitig_id) AS unitig_start, count(*) AS num_unitigs, CAST(sum(num_kmers) AS BIGINT) AS n_kmers FROM unitigs GROUP BY cid",
         "unitig_metadata": f"SELECT {K}::BIGINT AS k, CAST(sum(num_kmers) AS BIGINT) AS num_kmers, {N_COLORS}::BIGINT AS num_colors, count(*) AS num_unitigs, (SELECT count(*) FROM sets) AS num_color_sets FROM unitigs",
@@ -362,4 +376,6 @@ def oracle_sql() -> dict[str, str]:
     out = {n: f"WITH {_DNA}{',' + _JUNCTIONS if n in js else ''} {sql}" for n, sql in q.items()}
     out |= {n: f"WITH {_DNA},{_JUNCTIONS},{_BUCKETS} {sql}" for n, sql in spread.items()}
     out["bucketed_super_kmers"] = f"WITH {_DNA},{_SUPERS} {cut.format(K, HASH_BUCKETS)}"
+    merged = f"cut AS (SELECT color, CAST((h >> 1) % {HASH_BUCKETS} AS INT) AS bucket, substr(run, CAST(a + 1 AS BIGINT), CAST(b - a + {K} AS BIGINT)) AS seq, before IS NULL AS bb, after IS NULL AS ee, before IS NULL OR h < before AS o1, after IS NULL OR h < after AS o2 FROM supers JOIN r USING (doc_id, run_no)), canon AS (SELECT bucket, color, {_can('seq')} AS seq, CASE WHEN seq > {RC.format('seq')} THEN [ee, bb, o2, o1] ELSE [bb, ee, o1, o2] END AS flags FROM cut), sets_of AS (SELECT bucket, seq, count(DISTINCT color) AS n_colors FROM canon GROUP BY bucket, seq, flags)"
+    out["merged_super_kmers"] = f"WITH {_DNA},{_SUPERS},{merged} SELECT bucket, count(*) AS n_merged, CAST(sum(length(seq) - {K - 1}) AS BIGINT) AS n_kmers, CAST(sum(n_colors) AS BIGINT) AS n_integers FROM sets_of GROUP BY bucket"
     return out | {n: f"WITH {_DNA.replace('nodes AS (', 'nodes AS MATERIALIZED (')},{_JUNCTIONS},{_UNITIGS} {sql}" for n, sql in tigs.items()}

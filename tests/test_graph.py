@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hueweave.functions import codec, dna, packed
-from hueweave.operators import colors, graph
+from hueweave.operators import colors, fragments, graph
 from hueweave.operators.paths import chains, rank_paths
 from hueweave.operators.stitch import stitch, stretches
 from hueweave.plans.build import BuildConfig, build, open_graph
@@ -369,6 +369,32 @@ def test_stream_of_arriving_files(spark, tmp_path):
     assert sorted(out) == [(0, "ACGT"), (1, "GGCC"), (2, "TTAA")]
 
 
+@pytest.mark.parametrize(("k", "m", "buckets"), [(7, 3, 5), (8, 2, 3), (11, 4, 1)])
+def test_fragments_stitch_to_the_unitigs(spark, k, m, buckets):
+    r = random.Random(k)
+    draw = lambda n: "".join(r.choices("ACGT", k=n))
+    rows = []
+    for n in (9, 20, 40, 90, 200):  # circles, of one color and with arcs of another
+        s = draw(n)
+        rows += [(0, s + s[: k - 1])] + ([(3, (s * 2)[n // 2 : n // 2 + k + 6])] if n > 20 else [])
+    base = [draw(60) for _ in range(8)]
+    rows += [(r.randrange(4), r.choice(base)[r.randrange(20) :] + r.choice(base)[: r.randrange(60)]) for _ in range(30)]
+    rows += [(1, rc(rows[-1][1])), (2, "A" * 40), (2, "ACGTNACG"), (5, None), (1, "AC" * 20)]
+    seqs = spark.createDataFrame(rows, "color int, seq string")
+    got, sets = fragments.fragment_unitigs(seqs, k, m, buckets)
+    kc = colors.packed_colors(seqs, k).cache()
+    want_sets = colors.color_sets(kc)
+    want = graph.unitigs(colors.encode_colors(kc, want_sets), k)
+    assert sorted(tuple(x) for x in sets.collect()) == sorted(tuple(x) for x in want_sets.collect())
+    named = {c: tuple(s) for c, s in sets.collect()}
+    show = lambda df: sorted((x["seq"], named[x["cid"]], x["num_kmers"]) for x in df.select("seq", "cid", "num_kmers").collect())
+    assert show(got) == show(want)
+
+
+def test_rings_begin_where_their_color_changes():
+    assert list(stretches([{"seq": "ACGGTACG", "runs": [{"cid": 4, "num_kmers": 1}, {"cid": 5, "num_kmers": 3}, {"cid": 4, "num_kmers": 1}]}], 4, True)) == [("CCGTA", 4, 2), ("CGGTAC", 5, 3)]
+
+
 def test_an_end_joins_once(spark):
     k, r = 7, random.Random(3)
     join = "ACCTGAT"
