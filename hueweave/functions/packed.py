@@ -73,11 +73,11 @@ def packed_type(k: int) -> str:
     return "long" if k <= MAX_PACKED_K else "struct<hi: long, lo: long>"
 
 
-def packed_kmers(sequences: DataFrame, k: int) -> DataFrame:
+def packed_kmers(sequences: DataFrame, k: int, n_colors: int | None = None) -> DataFrame:
     """(color, code, n): the canonical k-mers of (color, seq) rows, packed, n times each; a k-mer may have several rows.
 
     Equal k-mers of a color are put together within each Arrow batch, so what is shuffled afterwards is a partial
-    count. Null and short sequences have none.
+    count. Null and short sequences have none. A null or negative color, or one of ``n_colors`` or more, is an error.
     """
     check_k(k)
 
@@ -88,6 +88,8 @@ def packed_kmers(sequences: DataFrame, k: int) -> DataFrame:
                 if seq is not None:
                     of.setdefault(color, []).append(seq)
             for color, seqs in of.items():
+                if color is None or color < 0 or (n_colors is not None and color >= n_colors):
+                    raise ValueError(f"color {color} is not one of {n_colors if n_colors is not None else 'the colors from 0 on'}")
                 for hi, lo, count in counted_kmers(b"\n".join(seqs), k):
                     yield pa.RecordBatch.from_arrays([pa.array([color] * len(lo), pa.int32()), _column(hi, lo, k), pa.array(count)], ["color", "code", "n"])
 

@@ -14,6 +14,10 @@ from hueweave.runtime import materialize
 from hueweave.sources import artifacts, sequences
 
 
+#: Up to so many colors, sets form as masks in one row; beyond, by digests.
+MASKED = 1008
+
+
 @dataclass(frozen=True)
 class BuildConfig:
     """What decides a build's results. Threads, memory and buckets are the cluster's settings.
@@ -76,9 +80,13 @@ def build_graph(seqs: DataFrame, n_colors: int, config: BuildConfig | None = Non
         phases[name] = (time.monotonic() - began, out.count())
         return out
 
-    kc = phase("kmer-colors", lambda: (colors.packed_colors if k <= MAX_PACKED_K else colors.kmer_colors)(seqs, k, n_colors))
-    sets = phase("color-sets", lambda: colors.color_sets(kc))
-    nodes = phase("nodes", lambda: colors.encode_colors(kc, sets))
+    if k <= MAX_PACKED_K and n_colors > MASKED:
+        named, sets = colors.digest_colors(seqs, k, n_colors)
+        nodes = phase("nodes", lambda: named)
+    else:
+        kc = phase("kmer-colors", lambda: (colors.packed_colors if k <= MAX_PACKED_K else colors.kmer_colors)(seqs, k, n_colors))
+        sets = phase("color-sets", lambda: colors.color_sets(kc))
+        nodes = phase("nodes", lambda: colors.encode_colors(kc, sets))
     numbered = phase("unitigs", lambda: artifacts.number_unitigs(graph.unitigs(nodes, k, config.m, rounds=rounds)))
     return Graph(numbered, sets, artifacts.metadata(numbered, sets, k, n_colors), n_colors, config, phases, rounds)
 

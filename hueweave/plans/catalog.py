@@ -89,7 +89,9 @@ def color_set_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmer_cids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nodes(spark, sf_dir).select(unpack("code", K).alias("kmer"), "cid")
+    """Each k-mer's color-set id, by set digests: the way for any number of colors."""
+    kmers_, _ = colors.digest_colors(sequences(spark, sf_dir), K, N_COLORS)
+    return kmers_.select(unpack("code", K).alias("kmer"), "cid")
 
 
 def color_set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:

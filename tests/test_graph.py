@@ -395,6 +395,24 @@ def test_rings_begin_where_their_color_changes():
     assert list(stretches([{"seq": "ACGGTACG", "runs": [{"cid": 4, "num_kmers": 1}, {"cid": 5, "num_kmers": 3}, {"cid": 4, "num_kmers": 1}]}], 4, True)) == [("CCGTA", 4, 2), ("CGGTAC", 5, 3)]
 
 
+def test_color_sets_of_many_colors(spark):
+    r = random.Random(9)
+    base = ["".join(r.choices("ACGT", k=30)) for _ in range(12)]
+    rows = [(c, base[j]) for j in range(12) for c in r.sample(range(5000), r.choice([1, 3, 40, 700]))] + [(c, base[0]) for c in range(5000)]
+    seqs = spark.createDataFrame(rows, "color int, seq string").repartition(4)
+    held = {}
+    for c, s in rows:
+        for i in range(30 - 11 + 1):
+            held.setdefault(can(s[i : i + 11]), set()).add(c)
+    kmers, sets = colors.digest_colors(seqs, 11, 5000)
+    of = {x["cid"]: x["colors"] for x in sets.collect()}
+    assert [of[i] for i in range(len(of))] == [list(x) for x in sorted({tuple(sorted(v)) for v in held.values()})]
+    assert {x["kmer"]: of[x["cid"]] for x in kmers.select(dna.unpack("code", 11).alias("kmer"), "cid").collect()} == {x: sorted(v) for x, v in held.items()}
+    for bad in (None, -1, 20):
+        with pytest.raises(Exception, match="is not one of"):
+            colors.packed_colors(spark.createDataFrame([(bad, base[0])], "color int, seq string"), 11, 20).collect()
+
+
 def test_an_end_joins_once(spark):
     k, r = 7, random.Random(3)
     join = "ACCTGAT"
