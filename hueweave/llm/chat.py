@@ -6,6 +6,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,19 +26,40 @@ class Template:
     follows: dict[str, tuple[str, ...]] = field(default_factory=lambda: {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)})
     last: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self) -> None:
+        if self.head.count("{role}") != 1 or not self.head.split("{role}")[1].strip("%\\\\") or not self.tail or self.head.endswith(self.tail):
+            raise ValueError("a head holds {role} once, with a mark behind it, and does not end as the tail does")
+
+    @cached_property
+    def marks(self) -> re.Pattern:
+        """A backslash, or the first character of a control string or of the template's own marks."""
+        own = (self.head.split("{role}")[0], self.tail)
+        return re.compile(r"\\|" + "|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in (*self.controls, *own) if c))
+
     def escape(self, text: str) -> str:
-        """Double each backslash, and put one behind the first character of each control string: reversible, and no control string is left."""
-        return re.sub(r"\\|" + "|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in self.controls), lambda m: m[0] + "\\", text)
+        """Double each backslash, and put one behind the first character of each control string and mark: reversible, and none is left."""
+        return self.marks.sub(lambda m: m[0] + "\\", text)
 
     @staticmethod
     def unescape(text: str) -> str:
         return re.sub(r"\\(\\?)", r"\1", text)
 
+    @property
+    def _coded(self) -> dict[str, str]:
+        """What a role's line end, and the character by which the mark behind the role begins, are written as."""
+        return {c: f"%{ord(c):02X};" if ord(c) > 255 else f"%{ord(c):02X}" for c in dict.fromkeys(["\n", self.head.split("{role}")[1][0]]) if c != "%"}
+
     def role(self, role: str) -> str:
-        return self.escape(role.replace("%", "%25").replace("\n", "%0A"))
+        role = role.replace("%", "%25")
+        for c, code in self._coded.items():
+            role = role.replace(c, code)
+        return self.escape(role)
 
     def unrole(self, role: str) -> str:
-        return self.unescape(role).replace("%0A", "\n").replace("%25", "%")
+        role = self.unescape(role)
+        for c, code in self._coded.items():
+            role = role.replace(code, c)
+        return role.replace("%25", "%")
 
     def segments(self, role: str, text: str) -> list[tuple[str, bool]]:
         """A turn's (text, loss) segments."""
@@ -91,6 +113,7 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
     before, after = t.head.split("{role}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: list[pa.DataType] = []
         now: list = []  # the conversation under way: id, turns, digest, loss characters, digest, characters, in order, text of the open turn, last role
 
         def result() -> tuple:
@@ -98,7 +121,7 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
             return conv, n, turns.hexdigest(), chars, loss.hexdigest(), size, ok and role in t.last
 
         for b in batches:
-            done = []
+            done, of[:] = [], [b.column("conv_id").type]
             for conv, text, loss, ok in zip(*(b.column(k).to_pylist() for k in ("conv_id", "text", "loss", "in_order")), strict=True):
                 if not now or conv != now[0]:
                     if now:
@@ -119,17 +142,15 @@ def read_back(segments: DataFrame, template: Template | None = None) -> DataFram
                     now[1] += 1
                     now[7] = []
             if done:
-                yield pack(done)
+                yield pack(done, of[0])
         if now:
-            yield pack([result()])
+            yield pack([result()], of[0])
 
-    def pack(rows: list[tuple]) -> pa.RecordBatch:
-        types = [ARROW.get(kind, pa.string()), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+    def pack(rows: list[tuple], conv_type: pa.DataType) -> pa.RecordBatch:
+        types = [conv_type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     n = int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     segments = segments.select(*SEGMENTS).repartition(n, "conv_id").sortWithinPartitions("conv_id", "place")
     return segments.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
 
-
-ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}

@@ -184,5 +184,9 @@ def quality_rules(docs: DataFrame, **thresholds: float) -> DataFrame:
     give no reference but are judged; repeated rows are judged alike; an empty table gives an
     empty table; added columns replace columns of the same name.
     """
-    features = materialize(quality_features(docs), "quality")
-    return judge(features, references(features), **thresholds).drop("classes", "common")
+    held = [c for c in docs.columns if c not in ("text", "lang")]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in held], F.lit(0).alias("_hw_none")).alias("held"), "text", "lang")  # no name of the input meets a helper's
+    features = materialize(quality_features(rows), "quality")
+    added = [c for c in features.columns if c not in ("held", "text", "lang", "classes", "common")] + ["class_distance", "common_distance", "kept"]
+    own = [F.col(c) if c in ("text", "lang") else F.col("held")[c].alias(c) for c in docs.columns if c not in added]
+    return judge(features, references(features), **thresholds).select(*own, *added)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -598,7 +599,7 @@ def drop_near_duplicates(docs: DataFrame, few: int = 500_000, **options: float)
     """The first row of each group of near-duplicates (see ``near_groups``), with all its columns.
 
     First is by doc_id, null last, then by hashes of doc_id and text; of rows that repeat both, the least by their
-    other columns stays. Rows without doc_id are grouped like any other. An empty table gives an empty table.
+    other columns stays, or one of them if a column has no order. Rows without doc_id are grouped like any other. An empty table gives an empty table.
     """
     groups = near_groups(docs, **options)
     kept = (F.col("h0") == F.col("least.h0")) & (F.col("h1") == F.col("least.h1"))
@@ -610,5 +611,6 @@ def drop_near_duplicates(docs: DataFrame, few: int = 500_000, **options: float)
     out = docs.join(broadcast_if_small(marks, n, few), on, "left_anti")
     repeated = docs.join(broadcast_if_small(marks.where("kept"), n, few), on, "left_semi")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    once = repeated.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_hw_o")).select("doc_id", "text", "_hw_o.*") if others else repeated.distinct()
+    ordered = not any(re.search(r"\b(map|variant|interval)\b", docs.schema[c].dataType.simpleString()) for c in others)
+    once = repeated.groupBy("doc_id", "text").agg((F.min if ordered else F.first)(F.struct(*others)).alias("_hw_o")).select("doc_id", "text", "_hw_o.*") if others else repeated.distinct()
     return out.unionByName(once)

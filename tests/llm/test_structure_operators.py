@@ -253,3 +253,28 @@ def test_sql(spark, tmp_path, name):
     got = queries.queries()[name](spark, str(tmp_path))
     want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({oracle.SQL[name]})").fetchall()
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr) and want
+
+
+def test_own_marks_are_escaped_and_ids_of_any_type_read_back(spark):
+    from hueweave.llm import chat
+
+    t = chat.Template(head="<u>{role}:", tail="</u>")
+    said = [(7, 0, "us:er\n%3A", "a</u>"), (7, 1, "assistant", "<u>x: </u></u> \\ </"), (None, 0, "user", "")]
+    talk = spark.createDataFrame(said, "conv_id smallint, turn int, role string, text string")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(talk, t), t).collect()}
+    want = hashlib.sha256("".join(f"{role}\n{text}\n" for _, _, role, text in said[:2]).encode()).hexdigest()
+    assert got[7]["turns_sha256"] == want and got[7]["n_turns"] == 2 and got[None]["n_turns"] == 1
+    for head, tail in (("{role}", "x"), ("no role", "x"), ("{role}\n", "\n"), ("{role}:", "")):
+        with pytest.raises(ValueError, match="a head holds"):
+            chat.Template(head=head, tail=tail)
+
+
+def test_columns_of_any_name_and_type_stay(spark):
+    from hueweave.llm import quality, simhash
+
+    text = " ".join(f"word{i} the" for i in range(60))
+    docs = spark.createDataFrame([(1, text, "en", 5, 6, 7, {"a": 1}), (1, text, "en", 5, 6, 7, {"a": 1}), (2, "short", None, 8, 9, 1, None)], "doc_id long, text string, lang string, _hw_words int, classes int, common int, m map<string, int>")
+    judged = quality.quality_rules(docs)
+    assert set(docs.columns) <= set(judged.columns) and sorted(r["_hw_words"] for r in judged.collect()) == [5, 5, 8] and sorted(r["classes"] for r in judged.collect()) == [6, 6, 9]
+    kept = simhash.drop_near_duplicates(docs).collect()
+    assert sorted((r["doc_id"], r["_hw_words"], str(r["m"])) for r in kept) == [(1, 5, "{'a': 1}"), (2, 8, "None")]
