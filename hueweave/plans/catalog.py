@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from hueweave.functions import packed
 from hueweave.functions.codec import encode_sets
 from hueweave.functions.dna import NTHASH_SEEDS, acgt_runs, canonical, kmers, minimizer, pack, run_pieces, unpack
-from hueweave.operators import colors, fragments, graph
+from hueweave.operators import colors, fragments, graph, verify
 from hueweave.plans.build import BuildConfig, Graph, build_graph
 from hueweave.runtime import materialize
 from hueweave.sources import artifacts
@@ -224,6 +224,13 @@ def fragment_unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.number_unitigs(fragments.fragment_unitigs(sequences(spark, sf_dir), K, M, HASH_BUCKETS)[0])
 
 
+def graph_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The check of the graph built from fragments against its sequences: no fault of any kind."""
+    seqs = sequences(spark, sf_dir)
+    tigs, sets = fragments.fragment_unitigs(seqs, K, M, HASH_BUCKETS)
+    return verify.graph_faults(seqs, materialize(tigs, "checked-unitigs"), sets, K)
+
+
 def merged_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much merging equal super-k-mers of all inputs saves, by bucket: super-k-mers and k-mers, occurrences and merged rows."""
     merged = fragments.merged_super_kmers(sequences(spark, sf_dir), K, M, HASH_BUCKETS)
@@ -242,7 +249,7 @@ def unitig_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     acgt_run_stats, canonical_kmers, kmer_color_sets, kmers_per_color_set, color_set_dictionary, kmer_cids, color_set_sizes, encoding_regimes,
     color_set_complements, kmers_per_color, junction_degrees, glue_edges, branching_junctions, linked_kmers, packed_kmers, minimizers, bucket_sizes,
-    largest_buckets, junction_buckets, bucket_size_report, super_kmers, bucketed_super_kmers, color_set_codes, color_runs, private_kmers, graph_counts, unitigs, fragment_unitigs, merged_super_kmers, unitigs_per_color_set, unitig_metadata,
+    largest_buckets, junction_buckets, bucket_size_report, super_kmers, bucketed_super_kmers, color_set_codes, color_runs, private_kmers, graph_counts, unitigs, fragment_unitigs, graph_faults, merged_super_kmers, unitigs_per_color_set, unitig_metadata,
 ]
 
 
@@ -378,6 +385,7 @@ def oracle_sql() -> dict[str, str]:
     out = {n: f"WITH {_DNA}{',' + _JUNCTIONS if n in js else ''} {sql}" for n, sql in q.items()}
     out |= {n: f"WITH {_DNA},{_JUNCTIONS},{_BUCKETS} {sql}" for n, sql in spread.items()}
     out["bucketed_super_kmers"] = f"WITH {_DNA},{_SUPERS} {cut.format(K, HASH_BUCKETS)}"
+    out["graph_faults"] = f"SELECT fault, 0::BIGINT AS n FROM (SELECT unnest({list(verify.FAULTS)}) AS fault) WHERE EXISTS (SELECT * FROM documents)"
     merged = f"cut AS (SELECT color, CAST((h >> 1) % {HASH_BUCKETS} AS INT) AS bucket, substr(run, CAST(a + 1 AS BIGINT), CAST(b - a + {K} AS BIGINT)) AS seq, before IS NULL AS bb, after IS NULL AS ee, before IS NULL OR h < before AS o1, after IS NULL OR h < after AS o2 FROM supers JOIN r USING (doc_id, run_no)), canon AS (SELECT bucket, color, {_can('seq')} AS seq, CASE WHEN seq > {RC.format('seq')} THEN [ee, bb, o2, o1] ELSE [bb, ee, o1, o2] END AS flags FROM cut), sets_of AS (SELECT bucket, seq, count(DISTINCT color) AS n_colors FROM canon GROUP BY bucket, seq, flags)"
     out["merged_super_kmers"] = f"WITH {_DNA},{_SUPERS},{merged} SELECT bucket, count(*) AS n_merged, CAST(sum(length(seq) - {K - 1}) AS BIGINT) AS n_kmers, CAST(sum(n_colors) AS BIGINT) AS n_integers FROM sets_of GROUP BY bucket"
     return out | {n: f"WITH {_DNA.replace('nodes AS (', 'nodes AS MATERIALIZED (')},{_JUNCTIONS},{_UNITIGS} {sql}" for n, sql in tigs.items()}

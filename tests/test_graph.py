@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hueweave.functions import codec, dna, packed
-from hueweave.operators import colors, fragments, graph
+from hueweave.operators import colors, fragments, graph, verify
 from hueweave.operators.paths import chains, rank_paths
 from hueweave.operators.stitch import stitch, stretches
 from hueweave.plans.build import BuildConfig, build, open_graph
@@ -391,6 +391,30 @@ def test_fragments_stitch_to_the_unitigs(spark, k, m, buckets):
     assert show(got) == show(want)
 
 
+def test_damaged_graphs_are_found_out(spark):
+    r = random.Random(12)
+    base = "".join(r.choices("ACGT", k=120))
+    seqs = spark.createDataFrame([(0, base), (1, base[30:90]), (1, rc(base[:50])), (0, base[40:70] + "A" * 15), (2, base[90:] + "ACG"), (2, (x := "GATTACCAGT") + x)], "color int, seq string")
+    k = 9
+    kc = colors.packed_colors(seqs, k).cache()
+    sets = colors.color_sets(kc).cache()
+    tigs = graph.unitigs(colors.encode_colors(kc, sets), k).select("cid", "seq").collect()
+    long = max(tigs, key=lambda t: len(t["seq"]))
+    rest = [t for t in tigs if t != long]
+    halves = [(long["cid"], long["seq"][:15]), (long["cid"], long["seq"][15 - k + 1 :])]
+    other = next(t for t in tigs if t["cid"] != long["cid"])
+    cases = {
+        "": tigs, "kmer_lost": rest, "kmer_repeated": [*tigs, long], "kmer_strange": [*tigs, (long["cid"], "CCCCCCCCC")], "path_stops": [*rest, *halves],
+        "path_runs_on": [*[t for t in tigs if t != other], (other["cid"], other["seq"] + "T")],
+    }
+    for fault, rows in cases.items():
+        got = {x["fault"]: x["n"] for x in verify.graph_faults(seqs, spark.createDataFrame(rows, "cid long, seq string"), sets, k).collect()}
+        assert set(got) == set(verify.FAULTS) and (got[fault] > 0 if fault else not any(got.values())), (fault, got)
+    twice = sets.union(spark.createDataFrame([(99, sets.first()["colors"])], "cid long, colors array<int>"))
+    got = {x["fault"]: x["n"] for x in verify.graph_faults(seqs, spark.createDataFrame(tigs, "cid long, seq string"), twice, k).collect()}
+    assert got["set_repeated"] == 1 and got["set_unused"] == 1
+
+
 def test_rings_begin_where_their_color_changes():
     assert list(stretches([{"seq": "ACGGTACG", "runs": [{"cid": 4, "num_kmers": 1}, {"cid": 5, "num_kmers": 3}, {"cid": 4, "num_kmers": 1}]}], 4, True)) == [("CCGTA", 4, 2), ("CGGTAC", 5, 3)]
 
