@@ -12,6 +12,7 @@ from hueweave.functions.dna import MAX_PACKED_K, check_k
 from hueweave.operators import colors, graph
 from hueweave.runtime import materialize
 from hueweave.sources import artifacts, sequences
+from hueweave.sources.packed_files import ColorSetFiles, RunEndFiles
 
 
 #: Up to so many colors, sets form as masks in one row; beyond, by digests.
@@ -65,8 +66,8 @@ class Graph:
     def num_color_sets(self) -> int:
         return self._of("num_color_sets")
 
-    def write(self, base: str) -> None:
-        artifacts.write(base, self.unitigs, self.color_sets, self.metadata, self.num_colors)
+    def write(self, base: str, packed: bool = False) -> None:
+        artifacts.write(base, self.unitigs, self.color_sets, self.metadata, self.num_colors, packed)
 
 
 def build_graph(seqs: DataFrame, n_colors: int, config: BuildConfig | None = None) -> Graph:
@@ -118,6 +119,10 @@ class StoredGraph:
         u = self.spark.read.parquet(f"{self.base}.unitigs")
         return u if cids is None else u.where(u["cid"].isin(cids))
 
+    def packed(self) -> tuple[ColorSetFiles, RunEndFiles]:
+        """Single color sets, and their unitigs' ids, read in place; for graphs written with ``packed``."""
+        return ColorSetFiles(f"{self.base}.packed_color_sets"), RunEndFiles(f"{self.base}.run_ends")
+
 
 def open_graph(spark: SparkSession, base: str) -> StoredGraph:
     """The graph that ``Graph.write(base)`` has written."""

@@ -17,8 +17,9 @@ from hueweave.functions.codec import encode_sets
 from hueweave.functions.dna import NTHASH_SEEDS, acgt_runs, canonical, kmers, minimizer, pack, run_pieces, unpack
 from hueweave.operators import colors, fragments, graph, verify
 from hueweave.plans.build import BuildConfig, Graph, build_graph
-from hueweave.runtime import materialize
+from hueweave.runtime import materialize, table_path
 from hueweave.sources import artifacts
+from hueweave.sources.packed_files import write_color_sets, write_run_ends
 
 K, M, HASH_BUCKETS = 21, 10, 64
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz ", "ACGTACGTACGTACGTACGTACGTACA"
@@ -242,6 +243,21 @@ def unitigs_per_color_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).unitigs.groupBy("cid").agg(F.min("unitig_id").alias("unitig_start"), F.count("*").alias("num_unitigs"), F.sum("num_kmers").cast("long").alias("n_kmers"))
 
 
+def packed_unitig_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unitigs of each color set, from the packed run ends alone."""
+    path = table_path(spark, "run-ends")
+    write_run_ends(_graph(spark, sf_dir).unitigs, path)
+    return spark.read.format("run_ends").option("path", path).load()
+
+
+def packed_color_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The color sets, written with succinct offsets and read back."""
+    path = table_path(spark, "packed-color-sets")
+    write_color_sets(colors.color_sets(_packed(spark, sf_dir)), N_COLORS, path)
+    sets = spark.read.format("packed_color_sets").option("path", path).load()
+    return sets.select("cid", _spell().alias("colors"))
+
+
 def unitig_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).metadata
 
@@ -249,7 +265,7 @@ def unitig_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     acgt_run_stats, canonical_kmers, kmer_color_sets, kmers_per_color_set, color_set_dictionary, kmer_cids, color_set_sizes, encoding_regimes,
     color_set_complements, kmers_per_color, junction_degrees, glue_edges, branching_junctions, linked_kmers, packed_kmers, minimizers, bucket_sizes,
-    largest_buckets, junction_buckets, bucket_size_report, super_kmers, bucketed_super_kmers, color_set_codes, color_runs, private_kmers, graph_counts, unitigs, fragment_unitigs, graph_faults, merged_super_kmers, unitigs_per_color_set, unitig_metadata,
+    largest_buckets, junction_buckets, bucket_size_report, super_kmers, bucketed_super_kmers, color_set_codes, color_runs, private_kmers, graph_counts, unitigs, fragment_unitigs, graph_faults, merged_super_kmers, unitigs_per_color_set, packed_unitig_ranges, packed_color_sets, unitig_metadata,
 ]
 
 
@@ -349,6 +365,7 @@ def oracle_sql() -> dict[str, str]:
         "kmer_color_sets": f"SELECT kmer, {_TEXT} AS colors FROM kc",
         "kmers_per_color_set": f"SELECT {_TEXT} AS colors, count(*) AS n_kmers FROM kc GROUP BY kc.colors",
         "color_set_dictionary": f"SELECT cid, {_TEXT} AS colors FROM sets",
+        "packed_color_sets": f"SELECT cid, {_TEXT} AS colors FROM sets",
         "kmer_cids": "SELECT kmer, cid FROM nodes",
         "color_set_sizes": "SELECT len(colors) AS size, count(*) AS n_sets, CAST(sum(n) AS BIGINT) AS n_kmers FROM (SELECT colors, count(*) AS n FROM kc GROUP BY colors) GROUP BY len(colors)",
         "encoding_regimes": f"SELECT CASE WHEN len(colors) < floor(0.25 * {N_COLORS}) THEN 'sparse' WHEN len(colors) < floor(0.75 * {N_COLORS}) THEN 'bitmap' ELSE 'complement' END AS regime, count(*) AS n_sets, CAST(sum(len(colors)) AS BIGINT) AS n_integers FROM sets GROUP BY 1",
@@ -374,6 +391,7 @@ def oracle_sql() -> dict[str, str]:
     tigs = {
         "fragment_unitigs": "SELECT unitig_id, cid, seq, num_kmers, unitig_id = max(unitig_id) OVER (PARTITION BY cid) AS run_end FROM unitigs",
         "unitigs": "SELECT unitig_id, cid, seq, num_kmers, unitig_id = max(unitig_id) OVER (PARTITION BY cid) AS run_end FROM unitigs",
+        "packed_unitig_ranges": "SELECT cid, min(unitig_id) AS unitig_start, count(*) AS num_unitigs FROM unitigs GROUP BY cid",
         "unitigs_per_color_set": "SELECT cid, min(unitig_id) AS unitig_start, count(*) AS num_unitigs, CAST(sum(num_kmers) AS BIGINT) AS n_kmers FROM unitigs GROUP BY cid",
         "unitig_metadata": f"SELECT {K}::BIGINT AS k, CAST(sum(num_kmers) AS BIGINT) AS num_kmers, {N_COLORS}::BIGINT AS num_colors, count(*) AS num_unitigs, (SELECT count(*) FROM sets) AS num_color_sets FROM unitigs",
     }

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from hueweave.functions.codec import decode_sets, encode_sets
 from hueweave.operators.ranking import number_rows
+from hueweave.sources.packed_files import write_color_sets, write_run_ends
 
 
 def number_unitigs(unitigs: DataFrame) -> DataFrame:
     """(unitig_id, cid, seq, num_kmers, run_end): ids in cid order; ``run_end`` marks the last unitig of each color set."""
-    rows = number_rows(unitigs, "unitig_id", ["cid", "seq"])
-    last = rows.groupBy("cid").agg(F.max("unitig_id").alias("last")).withColumnRenamed("cid", "c")
-    return rows.join(last, F.col("cid") == F.col("c")).select("unitig_id", "cid", "seq", "num_kmers", (F.col("unitig_id") == F.col("last")).alias("run_end"))
+    rows = number_rows(unitigs, "unitig_id", ["cid", "seq"], "run_end")
+    return rows.select("unitig_id", "cid", "seq", "num_kmers", "run_end")
 
 
 def metadata(unitigs: DataFrame, sets: DataFrame, k: int, n_colors: int) -> DataFrame:
@@ -23,16 +23,20 @@ def metadata(unitigs: DataFrame, sets: DataFrame, k: int, n_colors: int) -> Data
     return u.join(s, F.lit(True)).select(F.lit(k).cast("long").alias("k"), "num_kmers", F.lit(n_colors).cast("long").alias("num_colors"), "num_unitigs", "num_color_sets")
 
 
-def write(base: str, numbered: DataFrame, sets: DataFrame, meta: DataFrame, n_colors: int) -> None:
+def write(base: str, numbered: DataFrame, sets: DataFrame, meta: DataFrame, n_colors: int, packed: bool = False) -> None:
     """Write base.fa (``>cid`` and sequence, by cid), base.unitigs, base.color_sets (hybrid-coded) and base.metadata.
 
     Unitigs and color sets lie in order of their ids, so Parquet's statistics serve as offsets: reading a few ids skips the other row groups.
+    With ``packed`` also base.run_ends and base.packed_color_sets, which give single sets and their unitigs without Spark.
     """
     n = int(numbered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     fasta = numbered.repartitionByRange(n, "cid", "seq").sortWithinPartitions("cid", "seq")
     fasta.select(F.concat(F.lit(">"), F.col("cid").cast("string"), F.lit("\n"), F.col("seq"))).write.text(f"{base}.fa")
     numbered.repartitionByRange(n, "unitig_id").sortWithinPartitions("unitig_id").write.parquet(f"{base}.unitigs")
     encode_sets(sets.repartitionByRange(n, "cid").sortWithinPartitions("cid"), n_colors).write.parquet(f"{base}.color_sets")
+    if packed:
+        write_run_ends(numbered, f"{base}.run_ends")
+        write_color_sets(sets, n_colors, f"{base}.packed_color_sets")
     pairs = F.array(*[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in meta.columns])
     meta.select(F.explode(pairs)).coalesce(1).write.text(f"{base}.metadata")
 
