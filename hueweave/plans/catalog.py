@@ -20,6 +20,7 @@ from hueweave.plans.build import BuildConfig, Graph, build_graph
 from hueweave.runtime import materialize, table_path
 from hueweave.sources import artifacts
 from hueweave.sources.packed_files import write_color_sets, write_run_ends
+from hueweave.streaming import ingest
 
 K, M, HASH_BUCKETS = 21, 10, 64
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz ", "ACGTACGTACGTACGTACGTACGTACA"
@@ -95,6 +96,15 @@ def kmer_cids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kmers_.select(unpack("code", K).alias("kmer"), "cid")
 
 
+def streamed_color_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K-mers of each color set, followed as a stream of sequence files that arrive in several batches: summed from the changes that keyed state gives."""
+    arriving, out = table_path(spark, "arriving"), table_path(spark, "followed")
+    sequences(spark, sf_dir).select("color", "seq").write.parquet(arriving)
+    stream = spark.readStream.schema("color int, seq string").option("maxFilesPerTrigger", 4).parquet(arriving)
+    ingest.follow_colors(stream, K, out, table_path(spark, "followed-state"), pages=1 << 12).awaitTermination()
+    return ingest.followed_sets(spark, out).select(_spell().alias("colors"), "n_kmers")
+
+
 def color_set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = _packed(spark, sf_dir).groupBy("colors").agg(F.count("*").alias("n"))
     return sets.groupBy(F.size("colors").cast("long").alias("size")).agg(F.count("*").alias("n_sets"), F.sum("n").alias("n_kmers"))
@@ -263,7 +273,7 @@ def unitig_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
-    acgt_run_stats, canonical_kmers, kmer_color_sets, kmers_per_color_set, color_set_dictionary, kmer_cids, color_set_sizes, encoding_regimes,
+    acgt_run_stats, canonical_kmers, kmer_color_sets, kmers_per_color_set, color_set_dictionary, kmer_cids, streamed_color_sets, color_set_sizes, encoding_regimes,
     color_set_complements, kmers_per_color, junction_degrees, glue_edges, branching_junctions, linked_kmers, packed_kmers, minimizers, bucket_sizes,
     largest_buckets, junction_buckets, bucket_size_report, super_kmers, bucketed_super_kmers, color_set_codes, color_runs, private_kmers, graph_counts, unitigs, fragment_unitigs, graph_faults, merged_super_kmers, unitigs_per_color_set, packed_unitig_ranges, packed_color_sets, unitig_metadata,
 ]
@@ -366,6 +376,7 @@ def oracle_sql() -> dict[str, str]:
         "kmers_per_color_set": f"SELECT {_TEXT} AS colors, count(*) AS n_kmers FROM kc GROUP BY kc.colors",
         "color_set_dictionary": f"SELECT cid, {_TEXT} AS colors FROM sets",
         "packed_color_sets": f"SELECT cid, {_TEXT} AS colors FROM sets",
+        "streamed_color_sets": f"SELECT {_TEXT} AS colors, count(*) AS n_kmers FROM kc GROUP BY kc.colors",
         "kmer_cids": "SELECT kmer, cid FROM nodes",
         "color_set_sizes": "SELECT len(colors) AS size, count(*) AS n_sets, CAST(sum(n) AS BIGINT) AS n_kmers FROM (SELECT colors, count(*) AS n FROM kc GROUP BY colors) GROUP BY len(colors)",
         "encoding_regimes": f"SELECT CASE WHEN len(colors) < floor(0.25 * {N_COLORS}) THEN 'sparse' WHEN len(colors) < floor(0.75 * {N_COLORS}) THEN 'bitmap' ELSE 'complement' END AS regime, count(*) AS n_sets, CAST(sum(len(colors)) AS BIGINT) AS n_integers FROM sets GROUP BY 1",
