@@ -67,9 +67,10 @@ def pack(x: Column | str) -> Column:
 def unpack(x: Column | str, k: int) -> Column:
     """The bases of a packed k-mer: a long, or over 31 bases a struct (hi, lo) whose lower part holds the last 31."""
     x = F.col(x) if isinstance(x, str) else x
+    spelt = lambda part, n: F.translate(F.lpad(F.conv(part.cast("string"), 10, 4), n, "0"), "0123", "ACGT")
     if k > MAX_PACKED_K:
-        return F.concat(unpack(x["hi"], k - MAX_PACKED_K), unpack(x["lo"], MAX_PACKED_K))
-    return F.translate(F.lpad(F.conv(x.cast("string"), 10, 4), k, "0"), "0123", "ACGT")
+        return F.concat(spelt(x["hi"], k - MAX_PACKED_K), spelt(x["lo"], MAX_PACKED_K))
+    return spelt(x, k)
 
 
 def packed_reverse_complement(x: Column, k: int) -> Column:
@@ -81,6 +82,20 @@ def packed_reverse_complement(x: Column, k: int) -> Column:
     return F.shiftrightunsigned(F.shiftrightunsigned(x, 32).bitwiseOR(F.shiftleft(x, 32)), 64 - 2 * k)
 
 
+def wide_reverse_complement(x: Column, k: int) -> Column:
+    """The reverse complement of a struct (hi, lo) of 31 to 63 bases, the lower part of 31: both parts are turned and change places, and bases cross over."""
+    top = k - MAX_PACKED_K
+    lo = packed_reverse_complement(x["lo"], MAX_PACKED_K)
+    if top == 0:
+        return F.struct(F.lit(0).cast("long").alias("hi"), lo.alias("lo"))
+    hi = packed_reverse_complement(x["hi"], top)
+    if top > MAX_PACKED_K:
+        over = F.shiftleft(lo, 2).bitwiseOR(F.shiftrightunsigned(hi, 62))
+        return F.struct(over.alias("hi"), hi.bitwiseAND(F.lit(kmer_mask(MAX_PACKED_K))).alias("lo"))
+    rest = F.shiftleft(lo.bitwiseAND(F.lit(kmer_mask(MAX_PACKED_K - top)).cast("long")), 2 * top).bitwiseOR(hi)
+    return F.struct(F.shiftrightunsigned(lo, 2 * (MAX_PACKED_K - top)).alias("hi"), rest.alias("lo"))
+
+
 def base_at(x: Column, place: int) -> Column:
     """The base of a packed k-mer that is ``place`` from its end."""
     return F.substring(F.lit("ACGT"), F.shiftrightunsigned(x, 2 * place).bitwiseAND(F.lit(3).cast("long")).cast("int") + 1, F.lit(1))

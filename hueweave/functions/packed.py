@@ -126,18 +126,22 @@ def nthashes(mers: np.ndarray, m: int) -> np.ndarray:
 
 
 def add_bucket(kmers: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
-    """Add ``bucket`` to rows of packed k-mers (code) of up to 31 bases: the least canonical ntHash of their m-mers, as an unsigned number, without its lowest bit, modulo ``buckets``.
+    """Add ``bucket`` to rows of packed k-mers (code), longs or pairs of them: the least canonical ntHash of their m-mers (m up to 30), as an unsigned number, without its lowest bit, modulo ``buckets``.
 
     A k-mer and its reverse complement have one bucket, and so most neighbours do.
     """
+    kind = kmers.schema["code"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = np.uint64((1 << 2 * m) - 1)
         for b in batches:
-            x = b.column(0).to_numpy().view(np.uint64)
+            *hi, x = (p.to_numpy().view(np.uint64) for p in (b.column(0).flatten() if pa.types.is_struct(b.column(0).type) else [b.column(0)]))
             least = np.full(len(x), np.iinfo(np.uint64).max)
             for j in range(k - m + 1):
-                own = (x >> np.uint64(2 * j)) & mask
+                own = x >> np.uint64(2 * j) if j < MAX_PACKED_K else hi[0] >> np.uint64(2 * (j - MAX_PACKED_K))
+                if hi and j < MAX_PACKED_K:
+                    own = own | (hi[0] << np.uint64(2 * (MAX_PACKED_K - j)))
+                own = own & mask
                 turned = np.zeros(len(x), np.uint64)
                 for i in range(m):
                     turned = (turned << np.uint64(2)) | (np.uint64(3) - ((own >> np.uint64(2 * i)) & np.uint64(3)))
@@ -147,7 +151,7 @@ def add_bucket(kmers: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
 
     others = [f for f in kmers.schema if f.name not in ("code", "bucket")]
     rows = kmers.select("code", *[f.name for f in others])
-    return rows.mapInArrow(run, ", ".join(["code long", *(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "bucket int"]))
+    return rows.mapInArrow(run, ", ".join([f"code {kind}", *(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "bucket int"]))
 
 
 def sliding_minimum(x: np.ndarray, w: int) -> np.ndarray:

@@ -8,45 +8,75 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from hueweave.functions.dna import base_at, canonical, default_minimizer, kmer_mask, neighbours, packed_reverse_complement, reverse_complement, unpack
+from hueweave.functions.dna import MAX_PACKED_K, base_at, canonical, default_minimizer, kmer_mask, neighbours, packed_reverse_complement, reverse_complement, unpack, wide_reverse_complement
 from hueweave.functions.packed import CODES, add_bucket, canonical_windows
-from hueweave.operators.paths import chains, rank_paths
+from hueweave.operators.paths import chains, parts, rank_paths, single
 from hueweave.runtime import discard, materialize
 
 
 class Kmers:
-    """Expressions on the k-mers of a graph: packed longs (column ``code``, up to 31 bases) or strings (column ``kmer``)."""
+    """Expressions on the k-mers of a graph and on oriented nodes: packed (column ``code``; longs up to 31 bases, beyond that structs of two longs) or strings (column ``kmer``).
+
+    A packed node has its direction in the lowest bit.
+    """
 
     def __init__(self, nodes: DataFrame, k: int):
         self.k, self.packed = k, "code" in nodes.columns
         self.name = "code" if self.packed else "kmer"
+        self.wide = self.packed and isinstance(nodes.schema["code"].dataType, StructType)
+        self.kind = nodes.schema[self.name].dataType.simpleString()
+
+    @staticmethod
+    def pair(hi: Column, lo: Column) -> Column:
+        return F.struct(hi.alias("hi"), lo.alias("lo"))
 
     def turned(self, x: Column, k: int) -> Column:
+        if self.wide:
+            return wide_reverse_complement(x, k)
         return packed_reverse_complement(x, k) if self.packed else reverse_complement(x)
 
     def left(self, x: Column) -> Column:
+        if self.wide:
+            low = F.shiftleft(x["hi"].bitwiseAND(F.lit(3).cast("long")), 2 * (MAX_PACKED_K - 1)).bitwiseOR(F.shiftrightunsigned(x["lo"], 2))
+            return self.pair(F.shiftrightunsigned(x["hi"], 2), low)
         return F.shiftrightunsigned(x, 2) if self.packed else F.substring(x, 1, self.k - 1)
 
     def right(self, x: Column) -> Column:
+        if self.wide:
+            return self.pair(x["hi"].bitwiseAND(F.lit(kmer_mask(self.k - 1 - MAX_PACKED_K)).cast("long")), x["lo"])
         return x.bitwiseAND(F.lit(kmer_mask(self.k - 1)).cast("long")) if self.packed else F.substring(x, 2, self.k - 1)
 
-    def spelt(self, x: Column, k: int | None = None) -> Column:
-        return unpack(x, k or self.k) if self.packed else x
+    def same(self, x: Column, y: Column) -> Column:
+        return (x["hi"] == y["hi"]) & (x["lo"] == y["lo"]) if self.wide else x == y
+
+    def spelt(self, x: Column) -> Column:
+        return unpack(x, self.k) if self.packed else x
 
     def oriented(self, x: Column, plus: Column) -> Column:
+        if self.wide:
+            return self.pair(x["hi"], F.shiftleft(x["lo"], 1).bitwiseOR((~plus).cast("long")))
         return F.shiftleft(x, 1).bitwiseOR((~plus).cast("long")) if self.packed else F.concat(x, F.when(plus, "+").otherwise("-"))
 
     def plus(self, node: Column) -> Column:
-        return node.bitwiseAND(F.lit(1).cast("long")) == 0 if self.packed else node.endswith("+")
+        return (node["lo"] if self.wide else node).bitwiseAND(F.lit(1).cast("long")) == 0 if self.packed else node.endswith("+")
 
     def kmer(self, node: Column) -> Column:
+        if self.wide:
+            return self.pair(node["hi"], F.shiftrightunsigned(node["lo"], 1))
         return F.shiftrightunsigned(node, 1) if self.packed else F.substring(node, F.lit(1), F.length(node) - 1)
 
+    def flipped(self, node: Column) -> Column:
+        """A packed node in the other direction."""
+        one = F.lit(1).cast("long")
+        return self.pair(node["hi"], node["lo"].bitwiseXOR(one)) if self.wide else node.bitwiseXOR(one)
+
     def last_base(self, x: Column, plus: Column) -> Column:
         if not self.packed:
             return F.when(plus, F.right(x, F.lit(1))).otherwise(F.translate(F.left(x, F.lit(1)), "ACGT", "TGCA"))
-        return F.when(plus, base_at(x, 0)).otherwise(F.translate(base_at(x, self.k - 1), "ACGT", "TGCA"))
+        last, first = (base_at(x["lo"], 0), base_at(x["hi"], self.k - 1 - MAX_PACKED_K)) if self.wide else (base_at(x, 0), base_at(x, self.k - 1))
+        return F.when(plus, last).otherwise(F.translate(first, "ACGT", "TGCA"))
 
 
 def ends(nodes: DataFrame, k: int) -> DataFrame:
@@ -71,9 +101,17 @@ def junctions(nodes: DataFrame, k: int) -> DataFrame:
     The ends are those of one k-mer where the degree is 1, which is where they serve; kept apart, packed columns
     stay in a hash aggregate.
     """
+    km = Kmers(nodes, k)
     e = ends(nodes, k).withColumn("is_right", F.col("side") == "R")
-    kept = [F.max(F.when(on, F.col(c))).alias(f"{n}_{c}") for n, on in (("in", F.col("is_in")), ("out", ~F.col("is_in"))) for c in ("kmer", "is_right", "cid")]
-    return e.groupBy("junction").agg(F.count_if("is_in").alias("n_in"), F.count_if(~F.col("is_in")).alias("n_out"), *kept)
+    if km.wide:
+        e = e.withColumns({"hi": F.col("kmer")["hi"], "lo": F.col("kmer")["lo"]})
+    values = ("hi", "lo", "is_right", "cid") if km.wide else ("kmer", "is_right", "cid")
+    kept = [F.max(F.when(on, F.col(c))).alias(f"{n}_{c}") for n, on in (("in", F.col("is_in")), ("out", ~F.col("is_in"))) for c in values]
+    out = e.groupBy("junction").agg(F.count_if("is_in").alias("n_in"), F.count_if(~F.col("is_in")).alias("n_out"), *kept)
+    if not km.wide:
+        return out
+    whole = {f"{n}_kmer": F.when(F.col(f"{n}_lo").isNotNull(), km.pair(F.col(f"{n}_hi"), F.col(f"{n}_lo"))) for n in ("in", "out")}
+    return out.withColumns(whole).drop("in_hi", "in_lo", "out_hi", "out_lo")
 
 
 def glue_edges(nodes: DataFrame, k: int) -> DataFrame:
@@ -112,16 +150,17 @@ def unitigs(nodes: DataFrame, k: int, m: int | None = None, piece: int = 4096, r
     """
     km = Kmers(nodes, k)
     m = m or (default_minimizer(k) if k >= 4 else 1)
+    m = min(m, MAX_PACKED_K - 1) if km.wide else m
     glue = _glue(nodes, k)
     if km.packed and m < k - 1:  # most neighbours on a path share the minimizer of their junctions
         glue = add_bucket(glue.withColumnRenamed("junction", "code"), k - 1, m, (1 << 31) - 1).drop("code")
         edges = materialize(oriented(glue, km), "glue")
-        paths, held = spelt_paths(edges, k, rounds)
+        paths, held = spelt_paths(edges, km, rounds)
     else:
         edges = materialize(oriented(glue.drop("junction"), km), "glue")
         paths, held = _spelt_by_node(edges, km, piece, rounds)
     ends_ = edges.select(km.kmer(F.col("src")).alias("x"))  # a k-mer with an edge has one that leaves it, in one direction or the other
-    alone = nodes.join(ends_, F.col(km.name) == F.col("x"), "left_anti").select("cid", km.spelt(F.col(km.name)).alias("seq"))
+    alone = nodes.join(ends_, km.same(F.col(km.name), F.col("x")), "left_anti").select("cid", km.spelt(F.col(km.name)).alias("seq"))
     out = materialize(paths.union(alone).withColumn("num_kmers", (F.length("seq") - k + 1).cast("long")), "unitig-paths")
     discard(edges, *held)
     return out
@@ -143,29 +182,32 @@ def _spelt_by_node(edges: DataFrame, km: Kmers, piece: int, rounds: list[int] |
     return paths, [ranked]
 
 
-def spelt_paths(edges: DataFrame, k: int, rounds: list[int] | None = None, per_task: int = 2_000_000) -> tuple[DataFrame, list[DataFrame]]:
+def spelt_paths(edges: DataFrame, km: Kmers, rounds: list[int] | None = None, per_task: int = 2_000_000) -> tuple[DataFrame, list[DataFrame]]:
     """(cid, seq) of the paths of edges (src, dst, cid, bucket) of packed nodes, and the tables that this reads.
 
     Edges are shuffled by bucket, and those that meet in a task (``per_task`` at a time) become chains there, spelt at once: a
     chain is one row with its bases, and its inner k-mers never travel again. Chains are ranked by their ends, and a path is
     its chains' bases in order. Of a path's two directions the one with the lesser first node is kept.
     """
+    k, top = km.k, 2 * (km.k - 1 - (MAX_PACKED_K if km.wide else 0))
     n = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-edges.count() // per_task))
-    letters = np.frombuffer(b"ACGT", np.uint8)
+    letters, wide = np.frombuffer(b"ACGT", np.uint8), km.wide
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             whole = pa.Table.from_batches(held)
-            src, cid = whole.column(0).to_numpy(), whole.column(2).to_numpy()
-            first, last, w, behind = chains(src, whole.column(1).to_numpy())
+            src, dst, named = single(whole.column(0), whole.column(1))
+            cid = whole.column(2).to_numpy()
+            first, last, w, behind = chains(src, dst)
             order = np.argsort(src)
-            code = behind >> 1
-            base = np.where(behind & 1, 3 - ((code >> 2 * (k - 1)) & 3), code & 3)
+            node = parts(named(behind))
+            code = node[-1] >> 1
+            base = np.where(node[-1] & 1, 3 - (((node[0] if wide else code) >> top) & 3), code & 3)
             upto = np.concatenate([[0], np.cumsum(w)]).astype(np.int32)
             bases = pa.StringArray.from_buffers(len(w), pa.py_buffer(upto), pa.py_buffer(letters[base].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(last), pa.array(w), pa.array(cid[order[np.searchsorted(src, first, sorter=order)]]), bases], ["src", "dst", "w", "cid", "bases"])
+            yield pa.RecordBatch.from_arrays([named(first), named(last), pa.array(w), pa.array(cid[order[np.searchsorted(src, first, sorter=order)]]), bases], ["src", "dst", "w", "cid", "bases"])
 
         for b in batches:
             held.append(b)
@@ -175,16 +217,15 @@ def spelt_paths(edges: DataFrame, k: int, rounds: list[int] | None = None, per_t
         if held:
             yield from flush()
 
-    met = materialize(edges.repartition(n, "bucket").select("src", "dst", "cid").mapInArrow(run, "src long, dst long, w long, cid long, bases string"), "chains")
+    met = materialize(edges.repartition(n, "bucket").select("src", "dst", "cid").mapInArrow(run, f"src {km.kind}, dst {km.kind}, w long, cid long, bases string"), "chains")
     ranked = rank_paths(met.select("src", "dst", "w"), rounds=rounds)
     placed = met.join(ranked, F.col("src") == F.col("node"))
     pieces = F.transform(F.sort_array(F.collect_list(F.struct("dist", "bases"))), lambda p: p["bases"])
     paths = placed.groupBy("root").agg(F.array_join(pieces, "").alias("bases"), F.max(F.struct("dist", "dst"))["dst"].alias("last"), F.max("cid").alias("cid"), F.max("cyclic").alias("cyclic"))
-    x, plus = F.shiftrightunsigned("root", 1), F.col("root").bitwiseAND(F.lit(1).cast("long")) == 0
-    spelt = F.when(plus, unpack(x, k)).otherwise(unpack(packed_reverse_complement(x, k), k))
+    x = km.kmer(F.col("root"))
+    spelt = F.when(km.plus(F.col("root")), km.spelt(x)).otherwise(km.spelt(km.turned(x, k)))
     paths = paths.select("root", "cid", "cyclic", "last", F.concat(spelt, "bases").alias("seq"))
-    turned = F.col("last").bitwiseXOR(F.lit(1).cast("long"))
-    whole = paths.where(~F.col("cyclic") & (F.col("root") <= turned)).select("cid", canonical("seq").alias("seq"))
+    whole = paths.where(~F.col("cyclic") & (F.col("root") <= km.flipped(F.col("last")))).select("cid", canonical("seq").alias("seq"))
     rings = turn_rings(paths.where("cyclic").select("cid", F.expr("left(seq, length(seq) - 1)").alias("seq")), k)
     return whole.union(rings), [met, ranked]
 
@@ -196,9 +237,10 @@ def turn_rings(rings: DataFrame, k: int) -> DataFrame:
         for b in batches:
             rows = []
             for cid, seq in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                least = canonical_windows(CODES[np.frombuffer(seq.encode(), np.uint8)], k)[1]
-                at = int(np.argmin(least))
-                n = len(least)
+                hi, lo = canonical_windows(CODES[np.frombuffer(seq.encode(), np.uint8)], k)
+                least = np.flatnonzero(hi == hi.min())
+                at = int(least[np.argmin(lo[least])])
+                n = len(lo)
                 own = seq[at : at + k]
                 back = own[::-1].translate(str.maketrans("ACGT", "TGCA"))
                 if own <= back:

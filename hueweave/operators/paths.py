@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,29 @@ from pyspark.sql import functions as F
 from hueweave.runtime import discard, materialize
 
 
+def parts(nodes: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """The values of a column of nodes: one array, or one for each half of pairs of longs."""
+    if isinstance(nodes, pa.ChunkedArray):
+        nodes = nodes.combine_chunks()
+    return [p.to_numpy(zero_copy_only=False) for p in (nodes.flatten() if pa.types.is_struct(nodes.type) else [nodes])]
+
+
+def single(src: pa.ChunkedArray, dst: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], pa.Array]]:
+    """Both ends of edges as single values, and what gives such values their Arrow form back. Pairs of longs are numbered in their order."""
+    a, b, kind = parts(src), parts(dst), src.type
+    if len(a) == 1:
+        return a[0], b[0], lambda x: pa.array(x, kind)
+    both = [np.concatenate(x) for x in zip(a, b)]
+    order = np.lexsort(both[::-1])
+    both = [x[order] for x in both]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in both], axis=0)
+    at = np.empty(len(order), np.int64)
+    at[order] = np.cumsum(new) - 1
+    names = [x[new] for x in both]
+    return at[: len(a[0])], at[len(a[0]) :], lambda x: pa.StructArray.from_arrays([pa.array(p[x]) for p in names], ["hi", "lo"])
+
+
 def chains(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Edges contracted to their chains: (first node, last node, edges) of each, and the nodes behind the first ones, in order, chain by chain.
 
@@ -79,10 +102,11 @@ def _solve(edges: DataFrame, kind: str) -> DataFrame:
         held = list(batches)
         if held:
             whole = pa.Table.from_batches(held)
-            rows = solved(*(whole.column(i).to_numpy() for i in range(3)))
+            src, dst, named = single(whole.column(0), whole.column(1))
+            rows = solved(src, dst, whole.column(2).to_numpy())
             for i in range(0, len(rows[0]), 100_000):
                 node, root, dist, ring = (r[i : i + 100_000] for r in rows)
-                yield pa.RecordBatch.from_arrays([pa.array(node, held[0].column(0).type), pa.array(root, held[0].column(0).type), pa.array(dist), pa.array(ring)], ["node", "root", "dist", "ring"])
+                yield pa.RecordBatch.from_arrays([named(node), named(root), pa.array(dist), pa.array(ring)], ["node", "root", "dist", "ring"])
 
     return edges.select("src", "dst", "w").repartition(1).mapInArrow(run, f"node {kind}, root {kind}, dist long, ring long")
 

@@ -18,7 +18,13 @@ FAULTS = ("kmer_repeated", "kmer_lost", "kmer_strange", "path_stops", "path_runs
 
 def _inner(unitigs: DataFrame, k: int) -> DataFrame:
     """The canonical (k-1)-mers between neighbouring k-mers of each unitig, packed."""
-    return packed_kmers(unitigs.select(F.lit(0).alias("color"), F.expr("substring(seq, 2, length(seq) - 2)").alias("seq")), k - 1).select(F.col("code").alias("inner")).distinct()
+    return _mers(unitigs.select(F.expr("substring(seq, 2, length(seq) - 2)").alias("seq")), k).select(F.col("code").alias("inner")).distinct()
+
+
+def _mers(seqs: DataFrame, k: int) -> DataFrame:
+    """(code): the canonical (k-1)-mers of (seq) rows, packed as junctions of k-mers are: of 32 bases, k-mers and junctions are pairs of longs."""
+    found = packed_kmers(seqs.select(F.lit(0).alias("color"), "seq"), k - 1).select("code")
+    return found.select(F.struct(F.lit(0).cast("long").alias("hi"), F.col("code").alias("lo")).alias("code")) if k - 1 == MAX_PACKED_K else found
 
 
 def graph_faults(sequences: DataFrame, unitigs: DataFrame, sets: DataFrame, k: int) -> DataFrame:
@@ -27,10 +33,9 @@ def graph_faults(sequences: DataFrame, unitigs: DataFrame, sets: DataFrame, k: i
     ``kmer_repeated``: k-mers that unitigs hold more than once; ``kmer_lost`` and ``kmer_strange``: k-mers of the sequences that
     the graph lacks with that color set, and the other way round; ``path_stops``: junctions that continue a path of one
     color set, but are inside no unitig (a circle's own closing one may); ``path_runs_on``: junctions inside unitigs that do not; ``set_repeated``, ``set_unused``:
-    color sets that stand twice, and sets or ids without their counterpart. Every step is a keyed join or aggregate. k is up to 31.
+    color sets that stand twice, and sets or ids without their counterpart. Every step is a keyed join or aggregate.
     """
-    if check_k(k) > MAX_PACKED_K:
-        raise ValueError(f"the check takes k up to {MAX_PACKED_K}")
+    check_k(k)
     truth = materialize(packed_colors(sequences, k), "true-colors")
     held = packed_kmers(unitigs.select(F.col("cid").cast("int").alias("color"), "seq"), k).groupBy("code").agg(F.sum("n").alias("n"), F.max("color").alias("cid"))
     held = materialize(held, "held-kmers")
@@ -38,8 +43,8 @@ def graph_faults(sequences: DataFrame, unitigs: DataFrame, sets: DataFrame, k: i
     nodes = materialize(encode_colors(truth, materialize(color_sets(truth), "true-sets")), "true-nodes")
     glue = materialize(junctions(nodes, k).where("n_in = 1 and n_out = 1 and in_kmer <> out_kmer and in_cid = out_cid").select("junction"), "true-junctions")
     inner = materialize(_inner(unitigs, k), "inner-junctions")
-    closing = unitigs.where(F.expr(f"left(seq, {k - 1}) = right(seq, {k - 1})")).select(F.lit(0).alias("color"), F.expr(f"left(seq, {k - 1})").alias("seq"))
-    closing = packed_kmers(closing, k - 1).select("code").distinct()
+    closing = unitigs.where(F.expr(f"left(seq, {k - 1}) = right(seq, {k - 1})")).select(F.expr(f"left(seq, {k - 1})").alias("seq"))
+    closing = _mers(closing, k).distinct()
     stops = glue.join(inner, F.col("junction") == F.col("inner"), "left_anti").join(closing, F.col("junction") == F.col("code"), "left_anti")
     used = unitigs.select(F.col("cid").alias("u")).distinct()
     unused = sets.join(used, F.col("cid") == F.col("u"), "full_outer").where("cid is null or u is null")

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hueweave.functions.dna import MAX_PACKED_K, check_k
+from hueweave.functions.dna import check_k
 from hueweave.operators import colors, graph
 from hueweave.runtime import materialize
 from hueweave.sources import artifacts, sequences
@@ -81,11 +81,11 @@ def build_graph(seqs: DataFrame, n_colors: int, config: BuildConfig | None = Non
         phases[name] = (time.monotonic() - began, out.count())
         return out
 
-    if k <= MAX_PACKED_K and n_colors > MASKED:
+    if n_colors > MASKED:
         named, sets = colors.digest_colors(seqs, k, n_colors)
         nodes = phase("nodes", lambda: named)
     else:
-        kc = phase("kmer-colors", lambda: (colors.packed_colors if k <= MAX_PACKED_K else colors.kmer_colors)(seqs, k, n_colors))
+        kc = phase("kmer-colors", lambda: colors.packed_colors(seqs, k, n_colors))
         sets = phase("color-sets", lambda: colors.color_sets(kc))
         nodes = phase("nodes", lambda: colors.encode_colors(kc, sets))
     numbered = phase("unitigs", lambda: artifacts.number_unitigs(graph.unitigs(nodes, k, config.m, rounds=rounds)))

@@ -22,7 +22,7 @@ from hueweave.sources import artifacts
 from hueweave.sources.packed_files import write_color_sets, write_run_ends
 from hueweave.streaming import ingest
 
-K, M, HASH_BUCKETS = 21, 10, 64
+K, M, HASH_BUCKETS, WIDE_K = 21, 10, 64, 41
 LETTERS, BASES = "abcdefghijklmnopqrstuvwxyz ", "ACGTACGTACGTACGTACGTACGTACA"
 N_COLORS = 20
 
@@ -230,6 +230,11 @@ def unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir).unitigs
 
 
+def unitigs_k41(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unitigs of k-mers that take two longs."""
+    return build_graph(sequences(spark, sf_dir), N_COLORS, BuildConfig(WIDE_K)).unitigs
+
+
 def fragment_unitigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unitigs again, by buckets of merged super-k-mers, walked alone and stitched at open ends."""
     return artifacts.number_unitigs(fragments.fragment_unitigs(sequences(spark, sf_dir), K, M, HASH_BUCKETS)[0])
@@ -275,7 +280,7 @@ def unitig_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: list[Callable[[SparkSession, str], DataFrame]] = [
     acgt_run_stats, canonical_kmers, kmer_color_sets, kmers_per_color_set, color_set_dictionary, kmer_cids, streamed_color_sets, color_set_sizes, encoding_regimes,
     color_set_complements, kmers_per_color, junction_degrees, glue_edges, branching_junctions, linked_kmers, packed_kmers, minimizers, bucket_sizes,
-    largest_buckets, junction_buckets, bucket_size_report, super_kmers, bucketed_super_kmers, color_set_codes, color_runs, private_kmers, graph_counts, unitigs, fragment_unitigs, graph_faults, merged_super_kmers, unitigs_per_color_set, packed_unitig_ranges, packed_color_sets, unitig_metadata,
+    largest_buckets, junction_buckets, bucket_size_report, super_kmers, bucketed_super_kmers, color_set_codes, color_runs, private_kmers, graph_counts, unitigs, unitigs_k41, fragment_unitigs, graph_faults, merged_super_kmers, unitigs_per_color_set, packed_unitig_ranges, packed_color_sets, unitig_metadata,
 ]
 
 
@@ -296,24 +301,31 @@ def _windows(x: str, k: int) -> str:
     return f"list_transform(range(1, length({x}) - {k} + 2), lambda i: substr({x}, i, {k}))"
 
 
-_DNA = f"""
+def _dna(k: int) -> str:
+    return f"""
 d AS (SELECT doc_id, CAST(substr(source, 4) AS INT) AS color, translate(lower(text), '{LETTERS}', '{BASES}') AS dna FROM documents),
 lists AS (SELECT doc_id, color, regexp_extract_all(dna, '[ACGT]+') AS rs FROM d),
 runs AS (SELECT doc_id, color, unnest(rs) AS run, unnest(range(len(rs))) AS run_no FROM lists),
-r AS (SELECT * FROM runs WHERE length(run) >= {K}),
-km AS (SELECT doc_id, color, run_no, unnest({_windows('run', K)}) AS x, unnest(range(length(run) - {K} + 1)) AS pos FROM r),
+r AS (SELECT * FROM runs WHERE length(run) >= {k}),
+km AS (SELECT doc_id, color, run_no, unnest({_windows('run', k)}) AS x, unnest(range(length(run) - {k} + 1)) AS pos FROM r),
 ck AS (SELECT doc_id, color, run_no, pos, {_can('x')} AS kmer FROM km),
 kc AS (SELECT kmer, list_sort(list(DISTINCT color)) AS colors FROM ck GROUP BY kmer),
 sets AS (SELECT colors, row_number() OVER (ORDER BY colors) - 1 AS cid FROM (SELECT DISTINCT colors FROM kc)),
 nodes AS (SELECT kmer, cid FROM kc JOIN sets USING (colors))
 """
-_JUNCTIONS = f"""
+
+
+def _junctions(k: int) -> str:
+    return f"""
 sides AS (
-  SELECT kmer, cid, 'L' AS side, substr(kmer, 1, {K - 1}) AS j FROM nodes
+  SELECT kmer, cid, 'L' AS side, substr(kmer, 1, {k - 1}) AS j FROM nodes
   UNION ALL SELECT kmer, cid, 'R', substr(kmer, 2) FROM nodes WHERE kmer <> {RC.format('kmer')}),
 ends AS (SELECT kmer, cid, side, {_can('j')} AS junction, (side = 'R') = (j = {_can('j')}) AS is_in FROM sides WHERE j <> {RC.format('j')}),
 js AS (SELECT junction, count(*) FILTER (is_in) AS n_in, count(*) FILTER (NOT is_in) AS n_out FROM ends GROUP BY junction)
 """
+
+
+_DNA, _JUNCTIONS = _dna(K), _junctions(K)
 _TEXT = "array_to_string(colors, ',')"
 _MIN = f"list_min(list_transform(range(1, {K - M + 2}), lambda i: least(substr({{0}}, i, {M}), reverse(translate(substr({{0}}, i, {M}), 'ACGT', 'TGCA')))))"
 
@@ -345,7 +357,10 @@ def _doubled(name: str, rounds: int) -> str:
 
 ROUNDS = 16  # paths of up to 65,536 k-mers
 _SPELT = "CASE WHEN n % 2 = 0 THEN kmer ELSE reverse(translate(kmer, 'ACGT', 'TGCA')) END"
-_UNITIGS = f"""
+
+
+def _unitigs(k: int) -> str:
+    return f"""
 ids AS MATERIALIZED (SELECT kmer, cid, row_number() OVER (ORDER BY kmer) - 1 AS id FROM nodes),
 glue AS (SELECT a.kmer AS x, a.side AS x_side, b.kmer AS y, b.side AS y_side FROM js JOIN ends a ON a.junction = js.junction AND a.is_in JOIN ends b ON b.junction = js.junction AND NOT b.is_in WHERE n_in = 1 AND n_out = 1 AND a.kmer <> b.kmer AND a.cid = b.cid),
 g AS MATERIALIZED (SELECT u.id AS x, v.id AS y, x_side, y_side FROM glue JOIN ids u ON u.kmer = x JOIN ids v ON v.kmer = y),
@@ -364,7 +379,7 @@ spelt AS (SELECT p, min(cid) AS cid, string_agg(s, '' ORDER BY d) AS seq FROM ba
 tigs AS (
   SELECT DISTINCT cid, {_can('seq')} AS seq FROM spelt
   UNION ALL SELECT cid, kmer FROM ids WHERE 2 * id NOT IN (SELECT n FROM a0) AND 2 * id + 1 NOT IN (SELECT n FROM a0)),
-unitigs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY cid, seq) - 1 AS unitig_id, cid, seq, CAST(length(seq) - {K - 1} AS BIGINT) AS num_kmers FROM tigs)
+unitigs AS MATERIALIZED (SELECT row_number() OVER (ORDER BY cid, seq) - 1 AS unitig_id, cid, seq, CAST(length(seq) - {k - 1} AS BIGINT) AS num_kmers FROM tigs)
 """
 
 
@@ -417,4 +432,6 @@ def oracle_sql() -> dict[str, str]:
     out["graph_faults"] = f"SELECT fault, 0::BIGINT AS n FROM (SELECT unnest({list(verify.FAULTS)}) AS fault) WHERE EXISTS (SELECT * FROM documents)"
     merged = f"cut AS (SELECT color, CAST((h >> 1) % {HASH_BUCKETS} AS INT) AS bucket, substr(run, CAST(a + 1 AS BIGINT), CAST(b - a + {K} AS BIGINT)) AS seq, before IS NULL AS bb, after IS NULL AS ee, before IS NULL OR h < before AS o1, after IS NULL OR h < after AS o2 FROM supers JOIN r USING (doc_id, run_no)), canon AS (SELECT bucket, color, {_can('seq')} AS seq, CASE WHEN seq > {RC.format('seq')} THEN [ee, bb, o2, o1] ELSE [bb, ee, o1, o2] END AS flags FROM cut), sets_of AS (SELECT bucket, seq, count(DISTINCT color) AS n_colors FROM canon GROUP BY bucket, seq, flags)"
     out["merged_super_kmers"] = f"WITH {_DNA},{_SUPERS},{merged} SELECT bucket, count(*) AS n_merged, CAST(sum(length(seq) - {K - 1}) AS BIGINT) AS n_kmers, CAST(sum(n_colors) AS BIGINT) AS n_integers FROM sets_of GROUP BY bucket"
-    return out | {n: f"WITH {_DNA.replace('nodes AS (', 'nodes AS MATERIALIZED (')},{_JUNCTIONS},{_UNITIGS} {sql}" for n, sql in tigs.items()}
+    held = lambda k: _dna(k).replace("nodes AS (", "nodes AS MATERIALIZED (")
+    out |= {n: f"WITH {held(K)},{_JUNCTIONS},{_unitigs(K)} {sql}" for n, sql in tigs.items()}
+    return out | {"unitigs_k41": f"WITH {held(WIDE_K)},{_junctions(WIDE_K)},{_unitigs(WIDE_K)} {tigs['unitigs']}"}

@@ -102,6 +102,47 @@ def test_unitigs_match_naive_walk(spark, k, seed):
     assert sum(r["num_kmers"] for r in got) == len(color)
 
 
+@pytest.mark.parametrize("k,seed", [(32, 5), (41, 7), (63, 9)])
+def test_wide_unitigs_match_naive_walk(spark, k, seed):
+    r = random.Random(seed)
+    half = "".join(r.choices("ACGT", k=k // 2))
+    seqs = [*random_seqs(seed), (1, "".join(r.choices("ACGT", k=20)) + half + rc(half) + "".join(r.choices("ACGT", k=20)))]  # a palindrome in the middle
+    for n in (k // 2, k, 2 * k, 150):
+        loop = "".join(r.choices("ACGT", k=n))
+        seqs.append((r.randrange(3), (loop * (2 + 2 * k // n))[: n + k - 1]))
+    seqs += [(0, "T" * (k + 3)), (2, "".join(r.choices("ACGT", k=k))), (3, "".join(r.choices("ACGT", k=400))), (None, None)][:-1]
+    color, truth = naive(seqs, k)
+    df = spark.createDataFrame(seqs, "color int, seq string")
+    kc = colors.packed_colors(df, k, 4).cache()
+    sets = colors.color_sets(kc).cache()
+    named = {r["cid"]: frozenset(r["colors"]) for r in sets.collect()}
+    nodes = colors.encode_colors(kc, sets)
+    got = sorted(tuple(r) for r in graph.unitigs(nodes, k).collect())
+    mine = sorted((sorted(can(seq[i : i + k]) for i in range(n)), sorted(named[cid])) for cid, seq, n in got)
+    assert mine == sorted((sorted(a), sorted(b)) for a, b in truth)
+    plain = nodes.select(dna.unpack("code", k).alias("kmer"), "cid")
+    assert got == sorted(tuple(r) for r in graph.unitigs(plain, k).collect())
+    digested, named_sets = colors.digest_colors(df, k, 4)
+    assert sorted(r["colors"] for r in named_sets.collect()) == sorted(sorted(x) for x in named.values())
+    assert {tuple(r) for r in digested.select(dna.unpack("code", k), "cid").collect()} == {tuple(r) for r in plain.collect()}
+    tigs = spark.createDataFrame([t[:2] for t in got], "cid long, seq string")
+    assert not any(x["n"] for x in verify.graph_faults(df, tigs, sets, k).collect())
+    cut = spark.createDataFrame([t[:2] for t in got[1:]], "cid long, seq string")
+    assert {x["fault"]: x["n"] for x in verify.graph_faults(df, cut, sets, k).collect()}["kmer_lost"] == got[0][2]
+
+
+def test_paths_of_wide_nodes(spark):
+    r = random.Random(3)
+    names = r.sample([(a, b) for a in (-(1 << 63), -5, 0, 7, 1 << 62) for b in range(60)], 200)
+    edges = [*zip(names[:120], names[1:120]), *zip(names[120:], [*names[121:], names[120]])]
+    df = spark.createDataFrame(edges, "src struct<hi: long, lo: long>, dst struct<hi: long, lo: long>")
+    ring = names[120:]
+    start = ring.index(min(ring))
+    want = {(x, names[0], i, False) for i, x in enumerate(names[:120])} | {(x, min(ring), i, True) for i, x in enumerate([*ring[start:], *ring[:start]])}
+    for in_task in (1000, 30):
+        assert {(tuple(x.node), tuple(x.root), x.dist, x.cyclic) for x in rank_paths(df, in_task).collect()} == want
+
+
 def test_chains_and_circles(spark):
     r = random.Random(2)
     names = r.sample(range(1, 10_000), 400)
