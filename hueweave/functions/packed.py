@@ -125,27 +125,63 @@ def nthashes(mers: np.ndarray, m: int) -> np.ndarray:
     return h
 
 
+def rotated(x: np.ndarray, n: int) -> np.ndarray:
+    """Longs with their bits rotated to the left."""
+    n %= 64
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n)) if n else x
+
+
+def least_hashes(code: list[np.ndarray], k: int, m: int) -> np.ndarray:
+    """The least canonical ntHash, as an unsigned number, of the m-mers of packed k-mers, (lo) or (hi, lo). Hashes roll from one m-mer to the next."""
+    seeds = np.array([NTHASH_SEEDS[c] for c in "ACGT"], np.uint64)
+    other, leaving, entering = seeds[::-1], rotated(seeds, m), rotated(seeds[::-1], m - 1)
+    code = [x.view(np.uint64) for x in code]
+
+    def base(i: int) -> np.ndarray:
+        place = k - 1 - i
+        x, place = (code[-1], place) if len(code) == 1 or place < MAX_PACKED_K else (code[0], place - MAX_PACKED_K)
+        return ((x >> np.uint64(2 * place)) & np.uint64(3)).astype(np.intp)
+
+    own = back = np.zeros(len(code[0]), np.uint64)
+    for i in range(m):
+        own, back = rotated(own, 1) ^ seeds[base(i)], back ^ rotated(other, i)[base(i)]
+    least = np.minimum(own, back)
+    for i in range(m, k):
+        gone, come = base(i - m), base(i)
+        own = rotated(own, 1) ^ leaving[gone] ^ seeds[come]
+        back = rotated(back ^ other[gone], 63) ^ entering[come]
+        least = np.minimum(least, np.minimum(own, back))
+    return least
+
+
+def turned_codes(x: np.ndarray, k: int) -> np.ndarray:
+    """Reverse complements of packed k-mers, pairs of bits turned round by halves."""
+    x = ~x
+    for n, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
+        x = ((x >> np.uint64(n)) & np.uint64(mask)) | ((x & np.uint64(mask)) << np.uint64(n))
+    return x >> np.uint64(64 - 2 * k)
+
+
+def turned_pairs(hi: np.ndarray, lo: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Reverse complements of k-mers of 31 to 62 bases, packed in two: both parts are turned and change places, and bases cross over."""
+    top, lo = k - MAX_PACKED_K, turned_codes(lo, MAX_PACKED_K)
+    if not top:
+        return np.zeros(len(lo), np.uint64), lo
+    rest = np.uint64((1 << 2 * (MAX_PACKED_K - top)) - 1)
+    return lo >> np.uint64(2 * (MAX_PACKED_K - top)), ((lo & rest) << np.uint64(2 * top)) | turned_codes(hi, top)
+
+
 def add_bucket(kmers: DataFrame, k: int, m: int, buckets: int) -> DataFrame:
-    """Add ``bucket`` to rows of packed k-mers (code), longs or pairs of them: the least canonical ntHash of their m-mers (m up to 30), as an unsigned number, without its lowest bit, modulo ``buckets``.
+    """Add ``bucket`` to rows of packed k-mers (code), longs or pairs of them: the least canonical ntHash of their m-mers, as an unsigned number, without its lowest bit, modulo ``buckets``.
 
     A k-mer and its reverse complement have one bucket, and so most neighbours do.
     """
     kind = kmers.schema["code"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.uint64((1 << 2 * m) - 1)
         for b in batches:
-            *hi, x = (p.to_numpy().view(np.uint64) for p in (b.column(0).flatten() if pa.types.is_struct(b.column(0).type) else [b.column(0)]))
-            least = np.full(len(x), np.iinfo(np.uint64).max)
-            for j in range(k - m + 1):
-                own = x >> np.uint64(2 * j) if j < MAX_PACKED_K else hi[0] >> np.uint64(2 * (j - MAX_PACKED_K))
-                if hi and j < MAX_PACKED_K:
-                    own = own | (hi[0] << np.uint64(2 * (MAX_PACKED_K - j)))
-                own = own & mask
-                turned = np.zeros(len(x), np.uint64)
-                for i in range(m):
-                    turned = (turned << np.uint64(2)) | (np.uint64(3) - ((own >> np.uint64(2 * i)) & np.uint64(3)))
-                least = np.minimum(least, np.minimum(nthashes(own, m), nthashes(turned, m)))
+            code = b.column(0).flatten() if pa.types.is_struct(b.column(0).type) else [b.column(0)]
+            least = least_hashes([x.to_numpy() for x in code], k, m)
             bucket = pa.array(((least >> np.uint64(1)) % np.uint64(buckets)).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*b.columns, bucket], [*b.schema.names, "bucket"])
 

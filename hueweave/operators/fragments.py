@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hueweave.functions.dna import MAX_PACKED_K, check_k, reverse_complement
-from hueweave.functions.packed import BREAK, CODES, super_kmers, windows
+from hueweave.functions.packed import BREAK, CODES, super_kmers, turned_codes, windows
 from hueweave.operators.colors import color_sets, runs
 from hueweave.operators.paths import solved
 from hueweave.operators.stitch import FOREIGN, stitch
@@ -35,14 +35,6 @@ def merged_super_kmers(sequences: DataFrame, k: int, m: int, buckets: int) -> Da
     return rows.groupBy(*[c for c in rows.columns if c != "color"]).agg(F.array_sort(F.collect_set("color")).alias("colors"))
 
 
-def turned_codes(x: np.ndarray, k: int) -> np.ndarray:
-    """Reverse complements of packed k-mers, pairs of bits turned round by halves."""
-    x = ~x
-    for n, mask in ((2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF), (32, 0x00000000FFFFFFFF)):
-        x = ((x >> np.uint64(n)) & np.uint64(mask)) | ((x & np.uint64(mask)) << np.uint64(n))
-    return x >> np.uint64(64 - 2 * k)
-
-
 class Sets:
     """The color sets of a bucket, numbered as they come up."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from hueweave.functions.dna import MAX_PACKED_K, base_at, canonical, default_minimizer, kmer_mask, neighbours, packed_reverse_complement, reverse_complement, unpack, wide_reverse_complement
-from hueweave.functions.packed import CODES, add_bucket, canonical_windows
+from hueweave.functions.packed import CODES, add_bucket, canonical_windows, turned_pairs
 from hueweave.operators.paths import chains, parts, rank_paths, single
 from hueweave.runtime import discard, materialize
 
@@ -38,14 +38,9 @@ class Kmers:
         return packed_reverse_complement(x, k) if self.packed else reverse_complement(x)
 
     def left(self, x: Column) -> Column:
-        if self.wide:
-            low = F.shiftleft(x["hi"].bitwiseAND(F.lit(3).cast("long")), 2 * (MAX_PACKED_K - 1)).bitwiseOR(F.shiftrightunsigned(x["lo"], 2))
-            return self.pair(F.shiftrightunsigned(x["hi"], 2), low)
         return F.shiftrightunsigned(x, 2) if self.packed else F.substring(x, 1, self.k - 1)
 
     def right(self, x: Column) -> Column:
-        if self.wide:
-            return self.pair(x["hi"].bitwiseAND(F.lit(kmer_mask(self.k - 1 - MAX_PACKED_K)).cast("long")), x["lo"])
         return x.bitwiseAND(F.lit(kmer_mask(self.k - 1)).cast("long")) if self.packed else F.substring(x, 2, self.k - 1)
 
     def same(self, x: Column, y: Column) -> Column:
@@ -75,8 +70,7 @@ class Kmers:
     def last_base(self, x: Column, plus: Column) -> Column:
         if not self.packed:
             return F.when(plus, F.right(x, F.lit(1))).otherwise(F.translate(F.left(x, F.lit(1)), "ACGT", "TGCA"))
-        last, first = (base_at(x["lo"], 0), base_at(x["hi"], self.k - 1 - MAX_PACKED_K)) if self.wide else (base_at(x, 0), base_at(x, self.k - 1))
-        return F.when(plus, last).otherwise(F.translate(first, "ACGT", "TGCA"))
+        return F.when(plus, base_at(x, 0)).otherwise(F.translate(base_at(x, self.k - 1), "ACGT", "TGCA"))
 
 
 def ends(nodes: DataFrame, k: int) -> DataFrame:
@@ -86,6 +80,8 @@ def ends(nodes: DataFrame, k: int) -> DataFrame:
     palindromic junction never continue; a palindromic k-mer has one end, as both are the same.
     """
     km = Kmers(nodes, k)
+    if km.wide:
+        return _wide_ends(nodes, k)
     x, j = F.col(km.name), F.col("j")
     sides = F.array(F.struct(F.lit("L").alias("side"), km.left(x).alias("j")), F.struct(F.lit("R").alias("side"), km.right(x).alias("j")))
     if k % 2 == 0:
@@ -95,6 +91,30 @@ def ends(nodes: DataFrame, k: int) -> DataFrame:
     return e.select("kmer", "cid", "side", "junction", ((F.col("side") == "R") == (j == F.col("junction"))).alias("is_in"))
 
 
+def _wide_ends(nodes: DataFrame, k: int) -> DataFrame:
+    """``ends`` of k-mers that take two longs, in numpy: as column expressions these grow beyond what the JVM compiles."""
+    low, two = np.uint64(kmer_mask(k - 1 - MAX_PACKED_K)), np.uint64(2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hi, lo = (x.view(np.uint64) for x in parts(b.column(0)))
+            sides = {"L": (hi >> two, ((hi & np.uint64(3)) << np.uint64(2 * MAX_PACKED_K - 2)) | (lo >> two)), "R": (hi & low, lo)}
+            for side, (jh, jl) in sides.items():
+                th, tl = turned_pairs(jh, jl, k - 1)
+                on = (jh != th) | (jl != tl)
+                if side == "R" and k % 2 == 0:
+                    kh, kl = turned_pairs(hi, lo, k)
+                    on &= (kh != hi) | (kl != lo)
+                own = ((jh < th) | ((jh == th) & (jl < tl)))[on]
+                junction = [np.where(own, x[on], y[on]).view(np.int64) for x, y in ((jh, th), (jl, tl))]
+                kept = pa.array(on)
+                columns = [b.column(0).filter(kept), b.column(1).filter(kept), pa.array([side] * len(own), pa.string()), pa.StructArray.from_arrays([pa.array(x) for x in junction], ["hi", "lo"]), pa.array(own if side == "R" else ~own)]
+                yield pa.RecordBatch.from_arrays(columns, ["kmer", "cid", "side", "junction", "is_in"])
+
+    kind, cid = (nodes.schema[c].dataType.simpleString() for c in ("code", "cid"))
+    return nodes.select("code", "cid").mapInArrow(run, f"kmer {kind}, cid {cid}, side string, junction {kind}, is_in boolean")
+
+
 def junctions(nodes: DataFrame, k: int) -> DataFrame:
     """(junction, n_in, n_out, and kmer, right and cid of an incoming and an outgoing end).
 

@@ -226,6 +226,18 @@ def plain_nthash(x):
     return out
 
 
+@pytest.mark.parametrize("k,m", [(5, 1), (20, 10), (31, 30), (32, 12), (40, 33), (62, 14)])
+def test_rolled_hashes_and_turned_pairs(k, m):
+    r = random.Random(k)
+    mers = ["".join(r.choices("ACGT", k=k)) for _ in range(50)] + ["A" * k, "T" * k]
+    number = lambda x: int("".join(str("ACGT".index(c)) for c in x), 4)
+    halves = lambda xs: [np.array([number(x) >> s & (1 << 62) - 1 for x in xs], np.uint64) for s in ((62, 0) if k > 31 else (0,))]
+    want = [min(plain_nthash(y) for i in range(k - m + 1) for y in (x[i : i + m], rc(x[i : i + m]))) for x in mers]
+    assert packed.least_hashes([x.view(np.int64) for x in halves(mers)], k, m).tolist() == want
+    if k > 31:
+        assert all((a == b).all() for a, b in zip(packed.turned_pairs(*halves(mers), k), halves([rc(x) for x in mers])))
+
+
 def test_packed_column_functions(spark):
     xs = ["ACGTTGCAACC", "TTTTTTTTTTT", "GATTACAGATT"]
     df = spark.createDataFrame([(x,) for x in xs], "x string").withColumn("code", dna.pack("x"))
