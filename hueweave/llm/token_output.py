@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hueweave.llm.textutil import byte_letters, coded_words, sums
+from hueweave.llm.textutil import byte_letters, sums
 from hueweave.runtime import broadcast_if_small, materialize
 
 BLOCK_SCHEMA = "shard int, block int, doc_ids array<{id}>, lengths binary, first long, rules binary, expansions binary, symbols binary, n_ids long"
@@ -35,19 +35,26 @@ class Grammar:
     _lists: pa.LargeListArray | None = None
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Ids of some symbols: every rule is spelt out once, in order, from the two before it."""
+        """Ids of some symbols: every rule is spelt out once, from the two before it; rules that need none of each other together."""
         if not len(self.rules) or not (symbols >= self.first).any():
             return symbols
         if self._lists is None:
-            spelt: list[np.ndarray] = []
-            for a, b in self.rules.tolist():
-                spelt.append(np.concatenate([spelt[x - self.first] if x >= self.first else np.array([x], np.uint32) for x in (a, b)]))
             ends = np.concatenate([np.arange(self.first + 1), self.first + np.cumsum(self.expansions, dtype=np.int64)])
-            self._lists = pa.LargeListArray.from_arrays(ends, pa.array(np.concatenate([np.arange(self.first, dtype=np.uint32), *spelt])))
+            spelt, needs, done = np.arange(ends[-1], dtype=np.uint32), self.rules.max(axis=1).astype(np.int64) - self.first, 0
+            while done < len(self.rules):
+                late = np.flatnonzero(needs[done:] >= done)
+                to = done + int(late[0]) if len(late) else len(self.rules)
+                parts = self.rules[done:to].ravel()
+                n = ends[parts + 1] - ends[parts]
+                spelt[ends[self.first + done] : ends[self.first + to]] = spelt[np.repeat(ends[parts] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+                done = to
+            self._lists = pa.LargeListArray.from_arrays(ends, pa.array(spelt))
         return self._lists.take(pa.array(symbols)).flatten().to_numpy()
 
     def decode(self, start: int = 0, stop: int | None = None) -> np.ndarray:
         """Ids start to stop; only the symbols that cover them are expanded."""
+        if start == 0 and stop is None:
+            return self.expand(self.symbols)
         sizes = np.ones(len(self.symbols), np.int64)
         deep = self.symbols >= self.first
         sizes[deep] = self.expansions[self.symbols[deep] - self.first]
@@ -63,17 +70,20 @@ class Grammar:
 def repair(ids: np.ndarray, first: int, least: int = 8) -> Grammar:
     """Replace frequent pairs of adjacent symbols by rules until no pair is seen ``least`` times or more.
 
-    A round counts all pairs, makes a rule of each frequent one, and replaces their occurrences from left to
+    A round counts pairs, makes a rule of each frequent one, and replaces their occurrences from left to
     right without overlap. Of pairs that share a slot of the lookup table the most frequent is replaced; the others
-    wait for the next round, and so does a pair whose every occurrence overlaps another's.
+    wait for the next round, and so does a pair whose every occurrence overlaps another's. The first round counts
+    all pairs. After that only pairs with a symbol of the last round and those that wait can be frequent, as a
+    replacement makes no other pairs, so rounds count at these places alone.
     """
     seq = ids.astype(np.uint32)
     rules = [np.zeros((0, 2), np.uint32)]
     sizes = np.ones(first, np.int64)
-    while len(seq) > 1:
+    places = np.arange(max(0, len(seq) - 1))
+    while len(places):
         shift = 16 if len(sizes) <= 1 << 16 else 32
         word = np.uint32 if shift == 16 else np.uint64
-        code = (seq[:-1].astype(word) << word(shift)) | seq[1:]
+        code = (seq[places].astype(word) << word(shift)) | seq[places + 1]
         ranked = np.sort(code)
         edge = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1], [True]]))
         count = np.diff(edge)
@@ -84,20 +94,34 @@ def repair(ids: np.ndarray, first: int, least: int = 8) -> Grammar:
         bits = min(22, max(16, int(4 * len(pairs)).bit_length()))
         slot = lambda x: (x * word(0x9E3779B97F4A7C15 & ((1 << 2 * shift) - 1))) >> word(2 * shift - bits)  # noqa: B023, E731
         rising = np.argsort(count[often], kind="stable")  # the most frequent of a slot is written last
-        owner = np.full(1 << bits, -1, np.int64)
-        owner[slot(pairs)[rising]] = rising
-        rule = owner[slot(code)]
-        at = np.flatnonzero(rule >= 0)
-        at = at[pairs[rule[at]] == code[at]]
+        owner, slots = np.full(1 << bits, -1, np.int32), slot(pairs)
+        owner[slots[rising]] = rising
+        waits = np.zeros(1 << bits, bool)  # slots of pairs that are not replaced in this round
+        waits[slots[owner[slots] != np.arange(len(pairs))]] = True
+        hit = slot(code)
+        rule = owner[hit]
+        known = np.flatnonzero(rule >= 0)
+        same = pairs[rule[known]] == code[known]
+        others = known[~same]
+        hot = np.zeros(len(seq), bool)
+        hot[places[others[waits[hit[others]]]]] = True
+        known = known[same]
+        at, rule = places[known], rule[known]
+        hot[at] = True
         fresh = np.concatenate([[True], at[1:] != at[:-1] + 1])
         run = at[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-        at = at[(at - run) % 2 == 0]  # of overlapping pairs every other one
-        used, name = np.unique(rule[at], return_inverse=True)
+        every_other = (at - run) % 2 == 0  # of overlapping pairs
+        at, rule = at[every_other], rule[every_other]
+        used = np.flatnonzero(np.bincount(rule, minlength=len(pairs)))
+        name = np.zeros(len(pairs), np.int64)
+        name[used] = np.arange(len(used)) + len(sizes)
         left, right = (pairs[used] >> word(shift)).astype(np.int64), (pairs[used] & word((1 << shift) - 1)).astype(np.int64)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq[at] = name + len(sizes)
-        seq = seq[keep]
+        seq[at] = name[rule]
+        hot[at[at > 0] - 1] = True
+        seq, hot = seq[keep], hot[keep]
+        places = np.flatnonzero(hot[:-1])
         sizes = np.concatenate([sizes, sizes[left] + sizes[right]])
         rules.append(np.stack([left, right], axis=1).astype(np.uint32))
     return Grammar(first, np.concatenate(rules), sizes[first:].astype(np.uint32), seq)
@@ -127,51 +151,62 @@ class WordEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _piece(self, low: str) -> bytes:
-        """Ids of one pre-token: lower-case letters, which the model takes with a letter for each byte."""
+    def _piece(self, x: str) -> bytes | None:
+        """Ids of one pre-token, Latin letters, which the model takes in lower case with a letter for each byte; of anything else none."""
+        low = x.lower()
+        if not low.isalpha() or not (x.isascii() or max(x) < "\u0250"):
+            return None
         letters = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
-        got = self.pieces[low] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        got = self.pieces[x] = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
         return got
 
-    def words(self, distinct: list[str]) -> list[bytes]:
-        """The ids of each word, as bytes."""
+    def _marks(self, words: list[str]) -> list[bytes]:
+        """Ids of words, or of punctuation behind a word, that the library takes as they stand."""
+        new = [w for w in words if w not in self.marks]
+        for at in range(0, len(new), 4096):
+            self.marks.update(zip(new[at : at + 4096], self._ids(new[at : at + 4096]), strict=True))
+        return [self.marks[w] for w in words]
+
+    def words(self, distinct: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and each word's number of ids."""
         if len(self.pieces) > self.most:
             self.pieces.clear()
         if len(self.marks) > 100_000:
             self.marks.clear()
-        marks, pieces, out, rest = self.marks, self.pieces, [], {}
-        for i, w in enumerate(distinct):
-            x = w.rstrip(string.punctuation)
-            low = x.lower()
-            if low.isalpha() and (x.isascii() or max(x) < "\u0250"):
-                ids = pieces.get(low) or self._piece(low)
-                if len(x) < len(w):
-                    tail = w[len(x) :]
-                    ids += marks.get(tail) or marks.setdefault(tail, self._ids([tail])[0])
-                out.append(ids)
-            else:
-                ids = marks.get(w)
-                if ids is None:
-                    rest[i] = w
-                out.append(ids)
-        new = list(rest.values())
-        for at in range(0, len(new), 4096):
-            marks.update(zip(new[at : at + 4096], self._ids(new[at : at + 4096]), strict=True))
-        for i, w in rest.items():
-            out[i] = marks[w]
-        return out
+        # each word as what stands before its last punctuation and that, both in the words' own buffer
+        offsets = np.frombuffer(distinct.buffers()[1], np.int32, len(distinct) + 1, 4 * distinct.offset)
+        cuts = np.empty(2 * len(distinct) + 1, np.int32)
+        cuts[::2] = offsets
+        cuts[1::2] = offsets[:-1] + pc.binary_length(pc.utf8_rtrim(distinct, characters=string.punctuation)).to_numpy()
+        halves = pa.StringArray.from_buffers(2 * len(distinct), pa.py_buffer(cuts), distinct.buffers()[2] or pa.py_buffer(b"")).dictionary_encode()
+        at = halves.indices.to_numpy().astype(np.int64).reshape(-1, 2)
+        texts, piece = halves.dictionary.to_numpy(zero_copy_only=False).tolist(), self.pieces.get
+        data = [piece(x) or self._piece(x) for x in texts]
+        letters = np.fromiter((x is not None for x in data), bool, len(data))[at[:, 0]]
+        ends = np.flatnonzero(np.bincount(at[letters, 1], minlength=len(data))).tolist()
+        for i, ids in zip(ends, self._marks([texts[i] for i in ends]), strict=True):
+            data[i] = ids
+        whole = self._marks(distinct.filter(pa.array(~letters)).to_pylist())
+        at[~letters, 0] = len(data) + np.arange(len(whole))
+        at[~letters, 1] = len(data) + len(whole)
+        data = [*(x or b"" for x in data), *whole, b""]
+        size = np.fromiter(map(len, data), np.int64, len(data)) // 4
+        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]), pa.array(np.frombuffer(b"".join(data), "<u4")))
+        return lists.take(pa.array(at.ravel())).flatten().to_numpy(), size[at].sum(axis=1)
 
     def encode(self, text: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end``, and each text's number of ids."""
         text = pc.fill_null(text, "")
         if not pc.any(pc.match_substring(text, "<|")).as_py():  # else a special string could come about
-            text = pc.replace_substring_regex(pc.ascii_lower(text), r"([a-zà-ÿ])([.,])(\s)", r"\1 \2\3")  # a mark of its own is a word too
-        offsets, codes, distinct = coded_words(text)
-        data = self.words(distinct)
-        size = np.fromiter(map(len, data), np.int64, len(data)) // 4
-        flat = np.frombuffer(b"".join(data) + int(end).to_bytes(4, "little"), "<u4")
+            text = pc.ascii_lower(text)
+        words = pc.ascii_split_whitespace(text)
+        offsets = words.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        coded = words.flatten().dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        flat, size = self.words(coded.dictionary.cast(pa.string()))
         # a text's words, then one pseudo-word: the end id
-        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(np.append(size, 1))]), pa.array(flat))
+        lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(np.append(size, 1))]), pa.array(np.append(flat, np.uint32(end))))
         ids = lists.take(pa.array(np.insert(codes, offsets[1:], len(size)))).flatten().to_numpy()
         return ids, sums(size[codes], offsets) + 1
 
@@ -185,11 +220,11 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def write_token_blocks(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, block_ids: int = 2_000_000, rows_per_part: int = 250_000) -> DataFrame:
+def write_token_blocks(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, block_ids: int = 2_000_000, rows_per_part: int = 250_000, slice_bytes: int = 1 << 24) -> DataFrame:
     """Encode every whole text and write the ids, in ascending doc_id order, as grammar-compressed blocks.
 
     Rows are range-partitioned by doc_id (null first, equal ids by content); a partition is a shard,
-    cut after the document that fills ``block_ids``. Each block has its own grammar. Blocks are rows
+    cut after the document that fills ``block_ids``; texts are encoded by ``slice_bytes``. Each block has its own grammar. Blocks are rows
     of a Parquet table in the shared folder, so Spark's commit makes a retried task's output appear
     once. ``tokenizer`` names a public vocabulary whose words white space separates.
     """
@@ -204,6 +239,13 @@ def write_token_blocks(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", en
         shard, block = TaskContext.get().partitionId(), 0
         ids, sizes, docs_, held = [], [], [], 0
 
+        def parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            ends, at = np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(), dtype=np.int64), 0
+            while at < b.num_rows:
+                to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + slice_bytes, side="right"))
+                yield b.slice(at, max(1, to - at))
+                at = max(at + 1, to)
+
         def flush() -> pa.RecordBatch:
             nonlocal ids, sizes, docs_, held, block
             g = repair(np.concatenate(ids), enc.size)
@@ -217,15 +259,18 @@ def write_token_blocks(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", en
             return out
 
         for b in batches:
-            for at in range(0, b.num_rows, 4000):
-                part = b.slice(at, 4000)
+            for part in parts(b):
                 x, size = enc.encode(part.column(1), end_id)
-                ids.append(x)
-                sizes.append(size)
-                docs_.append(part.column(0))
-                held += len(x)
-                if held >= block_ids:
-                    yield flush()
+                ends, at, done = np.cumsum(size), 0, 0
+                while at < len(size):
+                    to = min(len(size), int(np.searchsorted(ends, done + block_ids - held)) + 1)
+                    ids.append(x[done : ends[to - 1]])
+                    sizes.append(size[at:to])
+                    docs_.append(part.column(0).take(pa.array(np.arange(at, to))))  # a slice would keep the texts
+                    held += int(ends[to - 1]) - done
+                    at, done = to, int(ends[to - 1])
+                    if held >= block_ids:
+                        yield flush()
         if held:
             yield flush()
 

@@ -447,6 +447,39 @@ def test_grammar_round_trip_and_random_access():
     assert len(g.symbols) < len(ids) / 3
 
 
+def test_token_blocks_end_with_the_document_that_fills_them(spark):
+    docs = spark.createDataFrame([(i, "one two three. " * (i % 50)) for i in range(900)], "doc_id long, text string").coalesce(1)
+    blocks = token_output.write_token_blocks(docs, block_ids=1000).collect()
+    last = {r["shard"]: max(x["block"] for x in blocks if x["shard"] == r["shard"]) for r in blocks}
+    for r in blocks:
+        n = np.frombuffer(r["lengths"], "<u4").sum(), np.frombuffer(r["lengths"], "<u4")[-1]
+        assert r["n_ids"] == n[0] and n[0] - n[1] < 1000 and (n[0] >= 1000 or r["block"] == last[r["shard"]])
+    assert sorted(i for r in blocks for i in r["doc_ids"]) == list(range(900)) and len(blocks) > 50
+
+
+def test_later_rounds_count_only_what_changed(monkeypatch):
+    ids = (np.random.default_rng(3).zipf(1.3, 60_000) % 3000).astype(np.uint32)
+    counted, sort = [], np.sort
+    monkeypatch.setattr(np, "sort", lambda x: counted.append(len(x)) or sort(x))
+    g = token_output.repair(ids, 3000)
+    monkeypatch.undo()
+    assert np.array_equal(g.decode(), ids) and len(counted) > 2
+    assert counted[0] == len(ids) - 1 and counted[-1] < len(g.symbols) / 10
+
+
+def test_words_as_the_library_encodes_them():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, enc, r = Tokenizer.from_file(path), token_output.WordEncoder(path), random.Random(4)
+    bits = ["don't", "'s", "<|endoftext|>", "a.b@c.de", "!!!", "…", "e\u0301", "\u0338", "ÀÉÎ", "ß", "İ", "ﬁ", "=", ".", "'", "12", "x1", "日本", "ª", "\xa0", "\x85", "_", "THE", "word", "ɐ", " ", " ", "\n"]
+    texts = ["".join(r.choices(bits, k=r.randint(0, 12))) for _ in range(4000)] + [None, "", " "]
+    for some in (texts, [t for t in texts if "<|" not in (t or "")], [""], texts[5:90]):
+        ids, size = enc.encode(pa.array(["x", *some], pa.string()).slice(1), 1)
+        want = [[*e.ids, 1] for e in tok.encode_batch([t or "" for t in some], add_special_tokens=False)]
+        assert size.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_chat(spark):
     said = "</s>[INST] ok [/INST]"
     data = [(1, 0, "user", "hi"), (1, 1, "assistant", "a\\b <|im_end|>\n"), (2, 1, "assistant", None), (2, 0, "system", ""), (3, None, None, "x"), (None, 0, "user", "null id"), (-7, 0, "user", said), (-7, 1, "assistant", said), (4, 0, "us%er\n", "<\\|im_start|>[[INST]"), (4, 0, "us%er\n", "<\\|im_start|>[[INST]")]
