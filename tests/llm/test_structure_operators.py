@@ -66,6 +66,15 @@ def test_repeats_at_production_length(spark):
     assert got == want and sum(map(len, want.values())) > 20
 
 
+def test_shared_passages_count_by_bytes_not_words(spark, tmp_path):
+    words = lambda size: " ".join(f"{i:0{size}d}" for i in range(60))
+    short, long = words(5), words(6)  # 60 words of 359 and of 419 bytes
+    texts = ["a" + short + "b", "c" + short, "d" + long + "e", "f" + long, "g"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"]) for r in queries.op11_suffixes(spark, str(tmp_path)).collect()}
+    assert got == {0: (361, 0, 0), 1: (360, 0, 0), 2: (421, 419, 1), 3: (420, 419, 1), 4: (1, 0, 0)}
+
+
 def test_no_documents(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_dedup.remove_repeats(none).collect() == [] and variants.group_variants(none).collect() == []
