@@ -220,7 +220,7 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def write_token_blocks(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, block_ids: int = 2_000_000, rows_per_part: int = 250_000, slice_bytes: int = 1 << 24) -> DataFrame:
+def write_token_blocks(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, block_ids: int = 2_000_000, rows_per_part: int = 250_000, slice_bytes: int = 1 << 22) -> DataFrame:
     """Encode every whole text and write the ids, in ascending doc_id order, as grammar-compressed blocks.
 
     Rows are range-partitioned by doc_id (null first, equal ids by content); a partition is a shard,
@@ -271,6 +271,7 @@ def write_token_blocks(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", en
                     at, done = to, int(ends[to - 1])
                     if held >= block_ids:
                         yield flush()
+                del x, part
         if held:
             yield flush()
 
@@ -302,6 +303,8 @@ def read_token_blocks(blocks: DataFrame) -> DataFrame:
                 crc = np.fromiter((zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), size.tolist(), strict=True)), np.int64, len(size))
                 k = len(size)
                 yield pa.RecordBatch.from_arrays([row["doc_ids"].values, pa.array(np.full(k, row["shard"].as_py(), np.int32)), pa.array(np.full(k, row["block"].as_py(), np.int32)), pa.array(ends - size), pa.array(size), pa.array(crc)], ["doc_id", "shard", "block", "at", "n_tokens", "ids_crc32"])
+                del ids, view
+                pa.default_memory_pool().release_unused()
 
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     sizes = materialize(blocks.select("shard", "block", "n_ids"), "token-sizes")
