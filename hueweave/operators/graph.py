@@ -250,8 +250,8 @@ def spelt_paths(edges: DataFrame, km: Kmers, rounds: list[int] | None = None, pe
     return whole.union(rings), [met, ranked]
 
 
-def turn_rings(rings: DataFrame, k: int) -> DataFrame:
-    """(cid, seq) of circular paths spelt once round from any k-mer, in both directions: one direction, from the least k-mer on, in canonical form."""
+def turn_rings(rings: DataFrame, k: int, both: bool = True) -> DataFrame:
+    """(cid, seq) of circular paths spelt once round from any k-mer, in both directions or one: one direction, from the least k-mer on, in canonical form."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -262,6 +262,9 @@ def turn_rings(rings: DataFrame, k: int) -> DataFrame:
                 at = int(least[np.argmin(lo[least])])
                 n = len(lo)
                 own = seq[at : at + k]
+                if not both and own > own[::-1].translate(str.maketrans("ACGT", "TGCA")):  # take the other direction
+                    seq, at = seq[::-1].translate(str.maketrans("ACGT", "TGCA")), len(seq) - k - at
+                    own = seq[at : at + k]
                 back = own[::-1].translate(str.maketrans("ACGT", "TGCA"))
                 if own <= back:
                     rows.append((cid, min(x := (seq[:n] + seq[:n] + seq[:n] * -(-k // n))[at : at + n + k - 1], x[::-1].translate(str.maketrans("ACGT", "TGCA")))))

@@ -66,9 +66,14 @@ def chains(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 def solved(src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(node, root, dist, ring) of all nodes of some whole paths and circles: a path's root is its first node, a circle's its least, and ``ring`` the circle's length (0 for paths)."""
     names, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
-    s, t = at[: len(src)], at[len(src) :]
-    every = np.arange(len(names))
-    pred, cost = every.copy(), np.zeros(len(names), np.int64)
+    root, dist, ring = ranked(at[: len(src)], at[len(src) :], w, len(names))
+    return names, names[root], dist, ring
+
+
+def ranked(s: np.ndarray, t: np.ndarray, w: np.ndarray, n_nodes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(root, dist, ring) of the nodes from 0 to ``n_nodes`` - 1, as ``solved`` has them; a node without edges is its own root."""
+    every = np.arange(n_nodes)
+    pred, cost = every.copy(), np.zeros(n_nodes, np.int64)
     pred[t], cost[t] = s, w
     head = pred == every
     head[t[s == t]] = False  # a node that follows itself
@@ -78,7 +83,7 @@ def solved(src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
         if (n := int(round_.sum())) in (0, before):
             break
         before, dist, ptr = n, dist + dist[ptr], ptr[ptr]
-    ring = np.zeros(len(names), np.int64)
+    ring = np.zeros(n_nodes, np.int64)
     if n:
         own = np.flatnonzero(round_)
         at = np.searchsorted(own, pred[own])  # predecessors among the circles' nodes
@@ -92,7 +97,7 @@ def solved(src: np.ndarray, dst: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
         ring[own] = np.bincount(least, cost[own], n).astype(np.int64)[least]
         ptr, dist = ptr.copy(), dist.copy()
         ptr[own], dist[own] = own[least], step
-    return names, names[ptr], dist, ring
+    return ptr, dist, ring
 
 
 def _solve(edges: DataFrame, kind: str) -> DataFrame:
