@@ -9,8 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 
 from hueweave.functions.dna import check_k
-from hueweave.operators import colors, graph
-from hueweave.runtime import materialize
+from hueweave.operators import buckets, colors, graph
+from hueweave.runtime import discard, materialize
 from hueweave.sources import artifacts, sequences
 from hueweave.sources.packed_files import ColorSetFiles, RunEndFiles
 
@@ -48,7 +48,7 @@ class Graph:
     config: BuildConfig = field(default_factory=BuildConfig)
     #: Seconds and rows of each phase, in order.
     phases: dict[str, tuple[float, int]] = field(default_factory=dict)
-    #: Edges that each round of contraction begins with, the last for those that one task ranks.
+    #: Pieces of paths that each round of joining begins with; of more than 63 colors edges of each round of contraction.
     rounds: list[int] = field(default_factory=list)
 
     def _of(self, name: str) -> int:
@@ -71,7 +71,10 @@ class Graph:
 
 
 def build_graph(seqs: DataFrame, n_colors: int, config: BuildConfig | None = None) -> Graph:
-    """Unitigs, color sets and metadata of (color, seq) rows; each phase is a written table, timed and counted."""
+    """Unitigs, color sets and metadata of (color, seq) rows; each phase is a written table, timed and counted.
+
+    Up to 63 colors the phases are the buckets' own paths, the color sets, the joined paths and the numbered ones.
+    """
     config = config or BuildConfig()
     k, phases, rounds = config.k, {}, []
 
@@ -81,6 +84,16 @@ def build_graph(seqs: DataFrame, n_colors: int, config: BuildConfig | None = Non
         phases[name] = (time.monotonic() - began, out.count())
         return out
 
+    if n_colors <= buckets.MASKED:
+        local = phase("kmer-colors", lambda: buckets.local_paths(seqs, k, n_colors, config.m))
+        sets = phase("color-sets", lambda: buckets.path_sets(local))
+        tables = buckets.join_paths(local, k, rounds=rounds)
+        joined = phase("nodes", lambda: buckets.path_texts(tables, sets, k))
+        discard(*tables)
+        sets = sets.select("cid", "colors")
+        numbered = phase("unitigs", lambda: artifacts.number_unitigs(joined))
+        discard(joined)
+        return Graph(numbered, sets, artifacts.metadata(numbered, sets, k, n_colors), n_colors, config, phases, rounds)
     if n_colors > MASKED:
         named, sets = colors.digest_colors(seqs, k, n_colors)
         nodes = phase("nodes", lambda: named)
