@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,15 @@ def test_merged_counts(spark, k, m):
     assert sorted(map(tuple, fragments.merged_counts(table(spark, seqs), k, m, 7).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_super_kmers_of_whole_batches(spark, monkeypatch):
+    k, m, runs = 21, 10, [s.replace("n", "N").replace("N", "") for _, s in odd_seqs(21, 1) if s]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(runs)] + [(99, None)], "run int, run_seq string").coalesce(1)
+    got = [tuple(r) for r in packed.super_kmers(df, k, m, 7).sort("run", "start").collect()]
+    alone = [t for i, x in enumerate(runs) for t in map(tuple, packed.super_kmers(df.where(f"run = {i}"), k, m, 7).sort("start").collect())]
+    assert got == alone and {t[0] for t in got} == {i for i, x in enumerate(runs) if len(x) >= k}
+    assert [(r.tolist(), bytes(t)) for r, t in packed.joined_runs(pa.array(["ACGT", None, "AC", "GGGG"]), 3, most=4)] == [([0], b"ACGT"), ([3], b"GGGG")]
+
+
 @pytest.mark.parametrize("k,m", [(9, 4), (21, 10), (40, 13), (5, 5)])
 def test_stretches_of_one_minimizer(spark, k, m):
     want, seqs = [], [s and s.replace("n", "N") for _, s in odd_seqs(k, 6)] + ["NNACGT\nACGT", "", "\n" + "ACGTTGCA" * 9 + "é" + "GATTACA" * 9]
