@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from hueweave.runtime import broadcast_if_small, materialize
 
 
-def number_rows(df: DataFrame, name: str, order: list[str], last: str | None = None) -> DataFrame:
+def number_rows(df: DataFrame, name: str, order: list[str], last: str | None = None, lean: bool = False) -> DataFrame:
     """Add ``name``: a row's place from 0 in the global order; and ``last``, if named: whether the next row differs in the first of ``order``.
 
     Rows are range-partitioned by ``order``; a partition's offset is the sum of the counts before it,
-    so only one row for each partition meets in one task.
+    so only one row for each partition meets in one task. ``lean`` is that of ``materialize``.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = materialize(df.repartitionByRange(n, *order).withColumn("_hw_part", F.spark_partition_id()), "numbered")
+    placed = materialize(df.repartitionByRange(n, *order).withColumn("_hw_part", F.spark_partition_id()), "numbered", lean=lean)
     counts = placed.groupBy("_hw_part").agg(F.count("*").alias("_hw_n"), *([F.min(order[0]).alias("_hw_head")] if last else []))
     ahead = W.orderBy("_hw_part").rowsBetween(W.unboundedPreceding, -1)
     following = [F.lead("_hw_head").over(W.orderBy("_hw_part")).alias("_hw_next")] if last else []

@@ -115,7 +115,7 @@ def packed_faults(sequences: DataFrame, unitigs: DataFrame, sets: DataFrame, k:
         yield bucket_faults(parts, k)
 
     found = buckets.each_bucket(met, make, "what string, mask long, cid long, n long", sources=3).groupBy("what", "mask", "cid").agg(F.sum("n").alias("n"))
-    found = materialize(found, "found-faults")
+    found = materialize(found, "found-faults", lean=True)
     named = found.where("what = 'kmer'").withColumn("true_set", F.when(F.col("mask") != 0, _members(F.col("mask"), F.lit(0))))
     named = named.join(sets.select(F.col("cid").alias("c"), "colors"), F.col("cid") == F.col("c"), "left").where("not true_set <=> colors")
     used = found.where("what = 'kmer' and cid >= 0").select(F.col("cid").alias("u")).distinct()

@@ -80,7 +80,7 @@ def build_graph(seqs: DataFrame, n_colors: int, config: BuildConfig | None = Non
 
     def phase(name: str, make: Callable[[], DataFrame]) -> DataFrame:
         began = time.monotonic()
-        out = materialize(make(), name)
+        out = materialize(make(), name, lean=True)
         phases[name] = (time.monotonic() - began, out.count())
         return out
 

@@ -12,7 +12,7 @@ from hueweave.sources.packed_files import write_color_sets, write_run_ends
 
 def number_unitigs(unitigs: DataFrame) -> DataFrame:
     """(unitig_id, cid, seq, num_kmers, run_end): ids in cid order; ``run_end`` marks the last unitig of each color set."""
-    rows = number_rows(unitigs, "unitig_id", ["cid", "seq"], "run_end")
+    rows = number_rows(unitigs, "unitig_id", ["cid", "seq"], "run_end", lean=True)
     return rows.select("unitig_id", "cid", "seq", "num_kmers", "run_end")
 
 

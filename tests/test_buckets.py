@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from hueweave.functions import blobs, packed
 from hueweave.functions.dna import unpack
 from hueweave.functions.packed import CODES, junction_hashes
 from hueweave.operators import buckets, colors, fragments, graph, verify
+from hueweave.runtime import CLEANUP, discard, materialize
 from tests.test_graph import can, random_seqs, rc
 
 
@@ -182,3 +184,17 @@ def test_colors_out_of_range_are_errors(spark):
         buckets.unitigs(table(spark, [(63, "ACGTACGTAC")]), 5, 63)
     with pytest.raises(Exception, match="color None is not one of 63"):
         buckets.unitigs(table(spark, [(None, "ACGTACGTAC")]), 5, 63)
+
+
+def test_lean_tables_leave_no_shuffle_files(spark):
+    tracked = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().size()
+    rows = spark.range(1000).repartition(3, "id")
+    before = tracked()
+    assert materialize(rows, "lean", lean=True).count() == 1000
+    for _ in range(50):  # they go a moment later
+        time.sleep(0.1 * (tracked() != before))
+    assert tracked() == before
+    assert spark.conf.get(CLEANUP) == "false"
+    parts = materialize(rows.selectExpr("id", "id % 2 AS kind"), "parts", by="kind")
+    discard(parts, part="kind=0")
+    assert spark.read.parquet(parts._hw_path).count() == 500
