@@ -77,15 +77,17 @@ def ranked(s: np.ndarray, t: np.ndarray, w: np.ndarray, n_nodes: int) -> tuple[n
     pred[t], cost[t] = s, w
     head = pred == every
     head[t[s == t]] = False  # a node that follows itself
-    ptr, dist, before = pred, cost, -1
+    ptr, dist, before, left = pred.copy(), cost.copy(), -1, every
     while True:  # unsettled nodes get fewer until only circles are left
-        round_ = ~head[ptr]
-        if (n := int(round_.sum())) in (0, before):
+        left = left[~head[ptr[left]]]
+        if (n := len(left)) in (0, before):
             break
-        before, dist, ptr = n, dist + dist[ptr], ptr[ptr]
+        to = ptr[left]
+        more, onto = dist[to], ptr[to]
+        before, dist[left], ptr[left] = n, dist[left] + more, onto
     ring = np.zeros(n_nodes, np.int64)
     if n:
-        own = np.flatnonzero(round_)
+        own = left
         at = np.searchsorted(own, pred[own])  # predecessors among the circles' nodes
         least, back = np.minimum(np.arange(n), at), at
         for _ in range(n.bit_length() + 1):
@@ -95,7 +97,6 @@ def ranked(s: np.ndarray, t: np.ndarray, w: np.ndarray, n_nodes: int) -> tuple[n
         for _ in range(n.bit_length() + 1):
             step, opened = step + step[opened], opened[opened]
         ring[own] = np.bincount(least, cost[own], n).astype(np.int64)[least]
-        ptr, dist = ptr.copy(), dist.copy()
         ptr[own], dist[own] = own[least], step
     return ptr, dist, ring
 

@@ -91,8 +91,13 @@ def build_graph(seqs: DataFrame, n_colors: int, config: BuildConfig | None = Non
         joined = phase("nodes", lambda: buckets.path_texts(tables, sets, k))
         discard(*tables)
         sets = sets.select("cid", "colors")
-        numbered = phase("unitigs", lambda: artifacts.number_unitigs(joined))
-        discard(joined)
+
+        def number() -> DataFrame:
+            out = artifacts.number_unitigs(joined)  # which writes the rows in their order
+            discard(joined)
+            return out
+
+        numbered = phase("unitigs", number)
         return Graph(numbered, sets, artifacts.metadata(numbered, sets, k, n_colors), n_colors, config, phases, rounds)
     if n_colors > MASKED:
         named, sets = colors.digest_colors(seqs, k, n_colors)
